@@ -1,9 +1,10 @@
 """Token counts without token ids (operator 2).
 
 Texts are cut into blocks; a block holds its distinct pre-tokens once and, per document, how often each
-occurs (sorted codes as gaps). Distinct pre-tokens of the whole table are encoded exactly once; their piece
-counts come back to the blocks through two joins on bounded rows, where frequencies times counts are
-summed. A frequent pre-token is one row per block, so no key grows with its occurrences.
+occurs (sorted codes as gaps). The blocks' pre-tokens are dealt and sorted by pre-token, so each distinct one
+of the whole table is encoded exactly once; piece counts go back packed per block and are joined to the
+block's frequencies, where frequency times count is summed. A frequent pre-token is one small row per block,
+so no key grows with its occurrences.
 
 Results equal the tokenizer library's ``encode(text, add_special_tokens=False)``: special strings inside a
 text count as one token, as is the library's default. A null text counts as empty (0 bytes, 0 tokens);
@@ -32,7 +33,9 @@ NUMBERS = "0-9²³¹¼-¾"
 BLANKS = r"\t-\r \x85\xa0"
 OTHER_RANGE = re.compile("[^\x00-ɏ‐-‧‰-⁞]")
 BYTE_PATTERN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{BLANKS}{LETTERS}{NUMBERS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+")
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
+#: Piece counts packed together on their way back to the blocks.
+ROWS_PACKED = 1 << 18
 #: A block's tokens and frequencies: see ``pack``.
 BLOCK = "block long, tokens array<string>, docs array<long>, n_bytes array<long>, special array<long>, gaps binary, freqs binary"
 
@@ -105,15 +108,39 @@ def _blocks(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 
 
 def _piece_counts(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows come sorted by token: each distinct one is encoded once, and its count goes back to the blocks that
+    hold it, packed per block."""
+
+    def packed(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        block, code, n = (np.concatenate(x) for x in zip(*rows, strict=True))
+        order = np.lexsort((code, block))
+        block, code, n = block[order], code[order], n[order]
+        starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        parts = [(pack(np.diff(c, prepend=0)), pack(k)) for c, k in zip(np.split(code, starts[1:]), np.split(n, starts[1:]), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(block[starts]), pa.array([p[0] for p in parts], pa.binary()), pa.array([p[1] for p in parts], pa.binary())], names=["block", "codes", "pieces"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer, pre_tokenizers
 
         model = Tokenizer.from_file(path)
         model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         model.encode_special_tokens = True
+        known: dict[str, int] = {}
+        rows, held = [], 0
         for batch in slices(batches, "token", 1 << 20):
-            found = model.encode_batch_fast(batch.column("token").to_pylist(), add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([batch.column("token"), pa.array([len(e) for e in found], pa.int64())], names=["token", "n"])
+            coded = batch.column("token").dictionary_encode()
+            tokens = coded.dictionary.to_pylist()
+            new = [t for t in tokens if t not in known]
+            found = dict(zip(new, (len(e) for e in model.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+            counts = np.array([found[t] if t in found else known[t] for t in tokens])
+            known = {tokens[-1]: int(counts[-1])}  # a token's rows may go on in the next batch
+            rows.append((batch.column("block").to_numpy(), batch.column("code").to_numpy().astype(np.int64), counts[coded.indices.to_numpy()]))
+            held += batch.num_rows
+            if held >= ROWS_PACKED:
+                yield packed(rows)
+                rows, held = [], 0
+        if rows:
+            yield packed(rows)
 
     return run
 
@@ -125,9 +152,8 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             docs = row["docs"].values
             width = row["width"].as_py()
             pieces = np.zeros(max(1, width), np.int64)
-            if row["counts"].is_valid and len(row["counts"]):
-                counts = row["counts"].values
-                pieces[counts.field("code").to_numpy()] = counts.field("n").to_numpy()
+            for part in row["counts"].as_py() or ():
+                pieces[np.cumsum(unpack(part["codes"]))] = unpack(part["pieces"])
             keys = np.cumsum(unpack(row["gaps"].as_py()) + 1) - 1
             n = np.zeros(len(docs), np.int64)
             np.add.at(n, keys // max(1, width), unpack(row["freqs"].as_py()) * pieces[keys % max(1, width)])
@@ -141,12 +167,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", t
     ``tokenizer_path`` must exist on every executor, as the library itself must."""
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     blocks = scratch_table(source.mapInArrow(_blocks(tokenizer_path), BLOCK), "token-blocks")
-    pieces = blocks.select(F.explode("tokens").alias("token")).distinct().mapInArrow(_piece_counts(tokenizer_path), "token string, n long")
-    counts = (
-        blocks.select("block", F.posexplode("tokens").alias("code", "token"))
-        .join(pieces, "token")
-        .groupBy("block")
-        .agg(F.collect_list(F.struct("code", "n")).alias("counts"))
-    )
+    tokens = blocks.select("block", F.posexplode("tokens").alias("code", "token")).repartition("token").sortWithinPartitions("token")
+    pieces = tokens.mapInArrow(_piece_counts(tokenizer_path), "block long, codes binary, pieces binary")
+    counts = pieces.groupBy("block").agg(F.collect_list(F.struct("codes", "pieces")).alias("counts"))
     rows = blocks.select("block", "docs", "n_bytes", "special", "gaps", "freqs", F.size("tokens").alias("width"))
     return rows.join(counts, "block", "left").mapInArrow(_sums, "doc_id long, n_bytes long, n_tokens long")
