@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe_tree, line_dedup, quality_rules, simhash_golay, token_counts
+from quillspark.llm import bpe_tree, language_id, line_dedup, quality_rules, simhash_golay, token_counts, warc
 
-BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
+BYTE_BPE, WORD_BPE, PIECES = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
 OVER = 1024
 
 
@@ -38,6 +38,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_documents(spark, sf_dir), _vocabulary(PIECES))
+
+
 def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_golay.components(_documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
@@ -49,12 +53,26 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    revisit = F.col("type") == "revisit"
+    return records.select(
+        "page_id",
+        F.when(revisit, F.col("stated_bytes")).otherwise(F.col("length")).alias("payload_bytes"),
+        F.when(revisit, F.col("stated_digest")).otherwise(F.col("digest")).alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        "refers_to",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_bpe_tree": op3_bpe_tree,
     "op4_line_dedup": op4_line_dedup,
+    "op7_language_id": op7_language_id,
     "op8_simhash_golay": op8_simhash_golay,
     "op9_quality_rules": op9_quality_rules,
+    "op10_warc": op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
