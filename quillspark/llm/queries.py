@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe_tree, language_id, license_scan, line_dedup, quality_rules, simhash_golay, token_counts, warc
+from quillspark.llm import bpe_tree, decontamination, language_id, license_scan, line_dedup, quality_rules, simhash_golay, token_counts, warc
 
 BYTE_BPE, WORD_BPE, PIECES = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
 OVER = 1024
@@ -23,6 +23,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contained_items(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.token_counts(_documents(spark, sf_dir), _vocabulary(BYTE_BPE))
     return counts.withColumn("over_limit", F.col("n_tokens") > OVER)
@@ -70,6 +74,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
     "op3_bpe_tree": op3_bpe_tree,
     "op4_line_dedup": op4_line_dedup,
@@ -81,6 +86,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": r"""
+WITH i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+k AS (SELECT item_id, w, least(5, len(w)) AS k FROM i WHERE len(w) > 0),
+s AS (SELECT DISTINCT item_id, k, array_to_string(w[a:a + k - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS a FROM k)),
+n AS (SELECT item_id, count(*) AS n FROM s GROUP BY item_id),
+d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+t AS (SELECT DISTINCT doc_id, k, array_to_string(w[a:a + k - 1], ' ') AS g FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS a FROM d, (SELECT DISTINCT k FROM k)))
+SELECT doc_id, item_id, count(*)::BIGINT AS n_shared, any_value(n)::BIGINT AS n_shingles, count(*) / any_value(n) AS containment
+FROM t JOIN s USING (k, g) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING 10 * count(*) >= 8 * any_value(n)
+""",
     "op4_line_dedup": r"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
 k AS (
