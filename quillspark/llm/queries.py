@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe_tree, decontamination, language_id, license_scan, line_dedup, quality_rules, simhash_golay, token_counts, warc
+from quillspark.llm import bpe_tree, decontamination, language_id, license_scan, line_dedup, quality_rules, simhash_golay, substring_dedup, token_counts, warc
 
 BYTE_BPE, WORD_BPE, PIECES = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
 OVER = 1024
@@ -46,6 +46,11 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_documents(spark, sf_dir)).drop("spans")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(_documents(spark, sf_dir).select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_documents(spark, sf_dir), _vocabulary(PIECES))
 
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe_tree": op3_bpe_tree,
     "op4_line_dedup": op4_line_dedup,
     "op5_license_scan": op5_license_scan,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_language_id": op7_language_id,
     "op8_simhash_golay": op8_simhash_golay,
     "op9_quality_rules": op9_quality_rules,
