@@ -1,12 +1,12 @@
 """SimHash near-duplicates through Golay-code keys (operator 8).
 
 A 64-bit fingerprint is cut into three segments of 22, 21 and 21 bits, each padded to a 23-bit word of the
-perfect Golay code. Every word lies within 3 bits of one codeword and, if at 3, within 4 bits of five more:
-its nearby codeword indices. Two fingerprints that differ in at most 4 bits have two segments that differ
-in at most 2 bits together (the two least of three numbers that sum to 4), and a word half-way between the
-two has its nearest codeword within 3 and 4 bits of either side. So the pairs of nearby codewords that are
-not both at distance 4 form a key set (about 29 keys a fingerprint) in which every such pair meets: no
-link is lost. Candidates that share a key are verified by their differing bits.
+perfect Golay code, in which every word lies within 3 bits of exactly one codeword. Half-way between two
+fingerprints that differ in at most 4 bits there is one within 2 bits of either; the nearest codewords of its
+segments are then within 3 bits of the segments of either fingerprint, but for an excess of 2 bits over all
+three. So a fingerprint's keys are the triples of nearby codeword indices (36 bits) with at most that excess,
+about 110 of them, and every such pair meets in one: no link is lost, and fingerprints that are not alike
+hardly ever meet. Candidates that share a key are verified by their differing bits.
 
 Equal fingerprints are one row from the start. Rows of a key are compared in blocks of bounded size, and a
 block of many alike fingerprints reports only links that join its parts, so a large group of copies costs
@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -93,20 +93,23 @@ def _remainder(word: int) -> int:
 
 @lru_cache(maxsize=1)
 def golay_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Remainders of words below 2**12 (low, then shifted by 12), and per remainder the error patterns of up
-    to 4 bits that lead to a codeword: the nearest first, then those at distance 4; -1 where there is none."""
+    """Remainders of words below 2**12 (low, then shifted by 12), and per remainder the error patterns that lead
+    to a codeword: the nearest first, then up to 5 of 4 bits, then up to 21 of 5 bits; -1 where there is none."""
     low = np.array([_remainder(x) for x in range(1 << 12)])
     high = np.array([_remainder(x << 12) for x in range(1 << 11)])
-    found: list[list[int]] = [[] for _ in range(1 << CHECK)]
-    for weight in range(5):
+    table = np.full((1 << CHECK, 1 + 5 + 21), -1)
+    free = np.tile(np.array([0, 1, 6]), (1 << CHECK, 1))  # next free column for up to 3, 4 and 5 bits
+    for weight in range(6):
         for bits in combinations(range(23), weight):
             pattern = sum(1 << b for b in bits)
-            found[low[pattern & 4095] ^ high[pattern >> 12]].append(pattern)
-    return low, high, np.array([f + [-1] * (6 - len(f)) for f in found])
+            of, kind = low[pattern & 4095] ^ high[pattern >> 12], max(0, weight - 3)
+            table[of, free[of, kind]] = pattern
+            free[of, kind] += 1
+    return low, high, table
 
 
 def nearby_codewords(words: np.ndarray) -> np.ndarray:
-    """Per 23-bit word the indices of its codewords within 4 bits, the nearest first; -1 where there is none."""
+    """Per 23-bit word the indices of its codewords within 5 bits, in the order of ``golay_tables``."""
     low, high, patterns = golay_tables()
     errors = patterns[low[words & 4095] ^ high[words >> 12]]
     return np.where(errors < 0, -1, (words[:, None] ^ errors) >> CHECK)
@@ -115,13 +118,14 @@ def nearby_codewords(words: np.ndarray) -> np.ndarray:
 def keys_of(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers and keys of fingerprints (as unsigned)."""
     near = [nearby_codewords((prints >> np.uint64(at) & np.uint64((1 << n) - 1)).astype(np.int64)) for at, n in SEGMENTS]
+    excess = (range(1), range(1, 6), range(6, 27))
     rows, keys = [], []
-    for p, (a, b) in enumerate(combinations(range(3), 2)):
-        for i in range(6):
-            for j in range(6 if i == 0 else 1):  # not both at distance 4
-                ok = np.flatnonzero((near[a][:, i] >= 0) & (near[b][:, j] >= 0))
+    for levels in product(range(3), repeat=3):
+        if sum(levels) <= 2:
+            for i, j, k in product(*(excess[x] for x in levels)):
+                ok = np.flatnonzero((near[0][:, i] >= 0) & (near[1][:, j] >= 0) & (near[2][:, k] >= 0))
                 rows.append(ok)
-                keys.append(p << 24 | near[a][ok, i] << 12 | near[b][ok, j])
+                keys.append(near[0][ok, i] << 24 | near[1][ok, j] << 12 | near[2][ok, k])
     return np.concatenate(rows), np.concatenate(keys)
 
 
