@@ -33,9 +33,9 @@ NUMBERS = "0-9²³¹¼-¾"
 BLANKS = r"\t-\r \x85\xa0"
 OTHER_RANGE = re.compile("[^\x00-ɏ‐-‧‰-⁞]")
 BYTE_PATTERN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{BLANKS}{LETTERS}{NUMBERS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+")
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Piece counts packed together on their way back to the blocks.
-ROWS_PACKED = 1 << 18
+ROWS_PACKED = 1 << 17
 #: A block's tokens and frequencies: see ``pack``.
 BLOCK = "block long, tokens array<string>, docs array<long>, n_bytes array<long>, special array<long>, gaps binary, freqs binary"
 
@@ -64,13 +64,16 @@ def pre_tokenizer(path: str) -> Callable[[str], list[str]]:
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Unsigned numbers as eight byte planes: the upper ones are nearly all zero and compress away."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Unsigned numbers as byte planes, as many as the largest needs; the first byte says how many."""
+    planes = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([planes]) + values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :planes].T.tobytes()
 
 
 def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, dtype=np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<u8").reshape(-1).astype(np.int64)
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view("<i8").reshape(-1)
 
 
 def _blocks(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
