@@ -24,6 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.llm.common import scratch_table, slices
 
@@ -156,12 +157,12 @@ def learn(labelled: DataFrame, path: str, sample_per_language: int = SAMPLE_PER_
     return languages, table
 
 
-def _predict(languages: list[str], table: np.ndarray, path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _predict(languages: list[str], table: np.ndarray, path: str, kept: list[str], text: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, int] = {}
         scores = np.empty((0, len(languages)), np.float32)
-        for batch in slices(batches, "text", 4 << 20):
-            rows = [words_of(t) if languages else [] for t in batch.column("text").to_pylist()]
+        for batch in slices(batches, text, 4 << 20):
+            rows = [words_of(t) if languages else [] for t in batch.column(text).to_pylist()]
             if len(memo) > MEMO:
                 memo, scores = {}, scores[:0]
             new = list({w for row in rows for w in row if w not in memo})
@@ -174,14 +175,19 @@ def _predict(languages: list[str], table: np.ndarray, path: str) -> Callable[[It
                     total = scores[[memo[w] for w in row]].sum(axis=0, dtype=np.float64)
                     top = int(total.argmax())
                     pred[i], best[i] = languages[top], 1 / np.exp(total - total[top]).sum()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(best)], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(pred, pa.string()), pa.array(best)], names=[*kept, "lang_pred", "score"])
 
     return run
 
 
-def identify(docs: DataFrame, path: str, sample_per_language: int = SAMPLE_PER_LANGUAGE, rounds: int = ROUNDS) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score`` for every row of ``doc_id, text, lang``."""
+def identify(docs: DataFrame, path: str, sample_per_language: int = SAMPLE_PER_LANGUAGE, rounds: int = ROUNDS, keep: bool = False) -> DataFrame:
+    """``doc_id, held_out, lang_pred, score`` for every row of ``doc_id, text, lang``; with ``keep`` the other
+    input columns too (but for ones of these names)."""
     labelled = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     languages, table = learn(labelled.select("doc_id", "text", "lang"), path, sample_per_language, rounds)
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(_predict(languages, table, path), "doc_id long, lang_pred string, score double")
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    names = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score")] if keep else ["doc_id"]
+    source = docs.select(*names) if keep else docs.select("doc_id", "text")
+    fields = [T.StructField(f.name, f.dataType, True) for f in docs.schema if f.name in names]
+    out = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    found = source.mapInArrow(_predict(languages, table, path, names, "text"), out)
+    return found.select(*names, held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -20,6 +20,7 @@ rows; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations, product
@@ -37,16 +38,19 @@ SEGMENTS = ((42, 22), (21, 21), (0, 21))
 MAX_BITS = 4
 #: Fingerprints compared in one block, and up to how many a block reports every link.
 BLOCK, PLAIN = 4096, 32
-HASHES_AT_ONCE = 1 << 17
+BITS_AT_ONCE = 1 << 19
 
 
 # -- fingerprints ---------------------------------------------------------------------------------
 
 
 def _bit_sums(hashes: np.ndarray) -> np.ndarray:
-    total = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), HASHES_AT_ONCE):
-        total += np.unpackbits(hashes[i : i + HASHES_AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    """How many of the hashes (rows of 64-bit words) set each bit."""
+    rows = hashes.view(np.uint8).reshape(len(hashes), -1)
+    total = np.zeros(8 * rows.shape[1], np.int64)
+    for i in range(0, len(rows), BITS_AT_ONCE // rows.shape[1]):
+        bits = np.unpackbits(rows[i : i + BITS_AT_ONCE // rows.shape[1]], axis=1)
+        total += np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(axis=0, dtype=np.int64)
     return total
 
 
@@ -115,13 +119,13 @@ def nearby_codewords(words: np.ndarray) -> np.ndarray:
     return np.where(errors < 0, -1, (words[:, None] ^ errors) >> CHECK)
 
 
-def keys_of(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and keys of fingerprints (as unsigned)."""
+def keys_of(prints: np.ndarray, most_excess: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and keys of fingerprints (as unsigned). With an excess of 2 all pairs within 4 bits meet."""
     near = [nearby_codewords((prints >> np.uint64(at) & np.uint64((1 << n) - 1)).astype(np.int64)) for at, n in SEGMENTS]
     excess = (range(1), range(1, 6), range(6, 27))
     rows, keys = [], []
     for levels in product(range(3), repeat=3):
-        if sum(levels) <= 2:
+        if sum(levels) <= most_excess:
             for i, j, k in product(*(excess[x] for x in levels)):
                 ok = np.flatnonzero((near[0][:, i] >= 0) & (near[1][:, j] >= 0) & (near[2][:, k] >= 0))
                 rows.append(ok)
@@ -133,74 +137,91 @@ def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = batch.column("print").to_numpy()
         rows, keys = keys_of(prints.view(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(prints[rows])], names=["key", "print"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(prints[rows])], names=["key", "node"])
 
 
 # -- links ----------------------------------------------------------------------------------------
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of prints (rows of 64-bit words)."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
 def _joining_links(prints: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links of one block that join two parts of it; each part is then one."""
+    """Links of one block (as places in it) that join two parts of it; each part is then one."""
     part = np.arange(len(prints))
     for i in range(len(prints) - 1):
-        near = i + 1 + np.flatnonzero(np.bitwise_count(prints[i + 1 :] ^ prints[i]) <= max_bits)
+        near = i + 1 + np.flatnonzero(_apart(prints[i + 1 :], prints[i]) <= max_bits)
         near = near[part[near] != part[i]]
         if len(near):
             others, first = np.unique(part[near], return_index=True)
-            yield np.full(len(others), prints[i]), prints[near[first]]
+            yield np.full(len(others), i), near[first]
             part[np.isin(part, others)] = part[i]
 
 
 def _links(max_bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows come sorted by block: (key, i, j, print)."""
+    """Rows come sorted by block: (key, i, j, node, print); a print is a number or a row of 64-bit words."""
 
-    def within(names: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def within(names: np.ndarray, nodes: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
         new = np.flatnonzero(np.r_[True, (names[1:] != names[:-1]).any(axis=1)])
         sizes = np.diff(np.r_[new, len(prints)])
         size_of = np.repeat(sizes, sizes)
-        out = [(np.empty(0, np.uint64),) * 2]
+        out = [(np.empty(0, np.int64),) * 2]
         block = np.repeat(np.arange(len(new)), sizes)
         for s in range(1, min(PLAIN, int(sizes.max()))):
             same = np.flatnonzero((block[s:] == block[:-s]) & (size_of[s:] <= PLAIN))
-            hit = same[np.bitwise_count(prints[same] ^ prints[same + s]) <= max_bits]
-            out.append((prints[hit], prints[hit + s]))
+            hit = same[_apart(prints[same], prints[same + s]) <= max_bits]
+            out.append((hit, hit + s))
         for k in np.flatnonzero(sizes > PLAIN):
-            out += _joining_links(prints[new[k] : new[k] + sizes[k]], max_bits)
-        a, b = (np.concatenate(x).view(np.int64) for x in zip(*out, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            out += [(a + new[k], b + new[k]) for a, b in _joining_links(prints[new[k] : new[k] + sizes[k]], max_bits)]
+        a, b = (nodes[np.concatenate(x)] for x in zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def words(column: pa.Array) -> np.ndarray:
+        if pa.types.is_integer(column.type):
+            return column.to_numpy().view(np.uint64)[:, None]
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, prints = np.empty((0, 3), np.int64), np.empty(0, np.uint64)
+        held: list[np.ndarray] | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            names = np.concatenate([names, np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)])
-            prints = np.concatenate([prints, batch.column("print").to_numpy().view(np.uint64)])
-            changes = np.flatnonzero((names[1:] != names[:-1]).any(axis=1))
+            now = [np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")], axis=1), batch.column("node").to_numpy(), words(batch.column("print"))]
+            held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+            changes = np.flatnonzero((held[0][1:] != held[0][:-1]).any(axis=1))
             if len(changes):  # the last block may go on in the next batch
                 end = changes[-1] + 1
-                yield from within(names[:end], prints[:end])
-                names, prints = names[end:], prints[end:]
-        if len(prints):
-            yield from within(names, prints)
+                yield within(*(x[:end] for x in held))
+                held = [x[end:] for x in held]
+        if held is not None and len(held[0]):
+            yield within(*held)
 
     return run
 
 
+def _blocks_of_keys(keys: DataFrame, block: int) -> DataFrame:
+    """``key, i, j, node`` for the nodes of keys that two nodes or more share: a key's nodes are dealt into
+    parts, and each pair of parts ``i <= j`` is a block of at most about twice ``block`` nodes."""
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    parts = F.ceil(F.col("n") / block).cast("long")
+    rows = keys.join(shared, "key").select("key", "node", F.pmod(F.xxhash64("node"), parts).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
+    return rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node")
+
+
+def _block_links(rows: DataFrame, max_bits: int) -> DataFrame:
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    return rows.mapInArrow(_links(max_bits), "a long, b long").distinct()
+
+
 def near_links(prints: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
     """``a, b``: links between distinct fingerprints (column ``print``) that give the same components as all
     pairs within ``max_bits`` (at most 4, the keys' guarantee)."""
     if max_bits > MAX_BITS:
         raise ValueError(f"the keys find pairs of up to {MAX_BITS} differing bits")
-    keys = prints.select("print").mapInArrow(_key_rows, "key long, print long")
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / block).cast("long")
-    own = F.pmod(F.xxhash64("print"), blocks)
-    other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other")
-    rows = keys.join(shared, "key").select("key", "print", own.alias("own"), other)
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "print")
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "print")
-    return rows.mapInArrow(_links(max_bits), "a long, b long").distinct()
+    keys = prints.select("print").mapInArrow(_key_rows, "key long, node long")
+    return _block_links(_blocks_of_keys(keys, block).withColumn("print", F.col("node")), max_bits)
 
 
 # -- components -----------------------------------------------------------------------------------
@@ -234,3 +255,77 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     classes = rooted.join(least, "root").select("print", "component_id")
     return prints.join(classes, "print").select("doc_id", "print", "component_id")
+
+
+# -- near duplicates by similarity ----------------------------------------------------------------
+
+#: Word-set prints that give keys, and 64-bit words of the shingle-set print that verifies.
+KEY_PRINTS, PROOF_WORDS = 8, 8
+LEAST_ID = -(1 << 63)
+
+
+def _mixed(hashes: np.ndarray, rounds: int) -> np.ndarray:
+    """``rounds`` independent 64-bit hashes of each hash, as rows."""
+    x = hashes[:, None] + np.arange(rounds, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _set_print(hashes: np.ndarray, rounds: int) -> bytes:
+    """SimHash of a set of hashes, ``rounds`` times 64 bits."""
+    hashes = np.unique(hashes)
+    if not len(hashes):
+        return bytes(8 * rounds)
+    sums = sum(_bit_sums(_mixed(hashes[i : i + 4096], rounds)) for i in range(0, len(hashes), 4096))
+    return np.packbits(2 * sums > len(hashes)).tobytes()
+
+
+def _sketch_rows(shingle: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            words, proofs = [], []
+            for text in batch.column("text").to_pylist():
+                words.append(_set_print(shingle_hashes(text, 1, seed), KEY_PRINTS))
+                proofs.append(_set_print(shingle_hashes(text, shingle, seed), PROOF_WORDS))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(words, pa.binary()), pa.array(proofs, pa.binary())], names=["id", "words", "print"])
+
+    return run
+
+
+def _word_key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        nodes = batch.column("node").to_numpy()
+        prints = np.frombuffer(b"".join(batch.column("words").to_pylist()), np.uint64).reshape(len(nodes), KEY_PRINTS)
+        for number in range(KEY_PRINTS):
+            rows, keys = keys_of(np.ascontiguousarray(prints[:, number]), 1)
+            yield pa.RecordBatch.from_arrays([pa.array(number << 36 | keys), pa.array(nodes[rows])], names=["key", "node"])
+
+
+def bits_apart(similarity: float) -> int:
+    """Bits by which the proof prints of two shingle sets of that Jaccard similarity differ on average."""
+    return round(64 * PROOF_WORDS * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, seed: int = 42, block: int = BLOCK) -> DataFrame:
+    """``id, class_id`` for every row: documents linked by a similarity of their sets of ``shingle``-word runs.
+
+    At that similarity fingerprints of the runs differ in far more than 4 bits, so candidates come from
+    ``KEY_PRINTS`` fingerprints of the word sets, which stay close, by Golay keys with an excess of one bit;
+    a 512-bit SimHash of the run sets then estimates the similarity (standard error about 0.03). ``id`` is
+    ``doc_id`` with null as the least number; ``class_id`` is the least id of the class."""
+    source = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LEAST_ID)).alias("id"), F.col(text).cast("string").alias("text"))
+    sketches = scratch_table(source.mapInArrow(_sketch_rows(shingle, seed), "id long, words binary, print binary").withColumn("node", F.xxhash64("words", "print")), "sketches")
+    nodes = scratch_table(sketches.groupBy("node").agg(F.first("words").alias("words"), F.first("print").alias("print"), F.min("id").alias("least_id")), "sketch-nodes")
+    keys = nodes.select("node", "words").mapInArrow(_word_key_rows, "key long, node long")
+    rows = _blocks_of_keys(keys, block).join(nodes.select("node", "print"), "node")
+    roots = connected_components(_block_links(rows, bits_apart(similarity)))
+    rooted = nodes.select("node", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    classes = rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("class_id")), "root").select("node", "class_id")
+    return sketches.select("id", "node").join(classes, "node").select("id", "class_id")
+
+
+def keep_one_of_each_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The documents of which the class has no lesser id (rows that share that id all stay)."""
+    gone = near_duplicate_classes(docs, doc_id, text, **options).where("id <> class_id").select(F.col("id").alias("_id")).distinct()
+    return docs.join(gone, F.coalesce(F.col(doc_id).cast("long"), F.lit(LEAST_ID)) == F.col("_id"), "left_anti")
