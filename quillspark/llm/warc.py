@@ -69,7 +69,8 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html"))
     groups = rows.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(groups, "digest", "left")
+    # as a written table its size is known: while it is small the pages are joined where they are
+    rows = rows.join(scratch_table(groups, "warc-copies"), "digest", "left")
     revisit = F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept"))
     target = F.regexp_replace("url", r"[\x00-\x20\x7F]+", "%20")
     header = F.concat(
