@@ -4,13 +4,13 @@ Writing: equal payloads are found by SHA-1; of a group with payloads of at least
 the largest id is a ``response`` and the others are ``revisit`` records that refer to it. Records are written by Spark's text
 writer with the record terminator as line separator, so any store that Spark reaches will do.
 
-Reading: tasks read splits of the files as pieces between blank lines, and every place in a piece that looks
-like the start of a record becomes a candidate with the offset of its successor (its start plus header plus
-``Content-Length``). Within a split a candidate's chain is followed to its exit; across splits pointer
+Reading: tasks read splits of the files as pieces between record magics (``\\r\\nWARC/1.``, which cannot overlap
+itself, so every way of splitting a file finds the same pieces). Each piece that holds a header becomes a
+candidate with the offset of its successor (its start plus header plus ``Content-Length``). Within a split a candidate's chain is followed to its exit; across splits pointer
 jumping from the start of each file doubles the distance each round; only candidates on the chain from the
 file's start are records, so a record start written inside a payload is never taken for one. Payloads that
-lie whole behind their header are digested where they are read; others (cut by a split, or holding a blank
-line) are gathered by their byte range.
+lie whole in their piece are digested where they are read; those that hold a magic are gathered by their byte
+range.
 
 Defined results: a null html is an empty payload; a null page id counts as less than any; equal rows of the
 largest id are all responses; an empty table writes and reads nothing.
@@ -31,9 +31,11 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import scratch_path, scratch_table
 
-SEPARATOR = "\r\n\r\n"
-GAP = len(SEPARATOR)
-MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
+TERMINATOR = "\r\n\r\n"
+MAGIC = "WARC/1."
+#: What separates pieces when reading.
+DELIMITER = "\r\n" + MAGIC
+GAP = len(DELIMITER)
 FIELD = re.compile(rb"\r\n([A-Za-z-]+):[ \t]*([^\r\n]*)")
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 EPOCH = "1970-01-01T00:00:00Z"
@@ -88,10 +90,10 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
         _line("Content-Type", F.lit("text/html; charset=utf-8")),
         F.lit("Content-Length: "),
         F.when(revisit, F.lit(0)).otherwise(F.col("size")).cast("string"),
-        F.lit(SEPARATOR),
+        F.lit(TERMINATOR),
     )
     body = F.when(revisit, F.lit("")).otherwise(F.col("html"))
-    rows.select(F.concat(header, body).alias("value")).write.option("lineSep", SEPARATOR).text(path)
+    rows.select(F.concat(header, body).alias("value")).write.option("lineSep", TERMINATOR).text(path)
 
 
 # -- reading --------------------------------------------------------------------------------------
@@ -113,7 +115,7 @@ def _candidate(file: str, split: int, rel: int, body: int, head: bytes) -> dict
     number = lambda name: int(v) if re.fullmatch(r"-?\d{1,18}", v := fields.get(name, "")) else None
     length = int(fields[b"content-length"])
     return {
-        "file": file, "split": split, "total": None, "rel": rel, "body": body, "next": body + length + GAP, "exit": None, "length": length, "type": fields.get(b"warc-type"), "page_id": number(b"x-page-id"),
+        "file": file, "split": split, "total": None, "rel": rel, "body": body, "next": body + length + len(TERMINATOR), "exit": None, "length": length, "type": fields.get(b"warc-type"), "page_id": number(b"x-page-id"),
         "refers_to": number(b"x-refers-to-page"), "stated_digest": fields.get(b"warc-payload-digest", "").removeprefix("sha1:") or None, "stated_bytes": number(b"x-payload-bytes"), "url": fields.get(b"warc-target-uri"), "digest": None,
     }
 
@@ -135,10 +137,16 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if at:
                     yield closed(found, *at, rel)
                 at, rel, found = (file, split), 0, []
-            if found and found[-1]["body"] == rel and found[-1]["length"] == len(piece):
-                found[-1]["digest"] = _digest(piece)
-            for m in MAGIC.finditer(piece):
-                if c := _candidate(file, split, rel + m.start(), rel + len(piece) + GAP, piece[m.end() - 2 :]):
+            head, blank, body = piece.partition(TERMINATOR.encode())
+            first = split == rel == 0
+            end = rel + len(head) + len(blank)
+            if not blank and piece.endswith(b"\r\n"):  # the payload begins with a magic: its line end ends the header
+                end += 2
+            if (not first or head.startswith(MAGIC.encode())) and end > rel + len(head):
+                start = rel if first else rel - len(MAGIC)
+                if c := _candidate(file, split, start, end, head):
+                    if blank and len(body) >= c["length"]:
+                        c["digest"] = _digest(body[: c["length"]])
                     found.append(c)
             rel += len(piece) + GAP
     if at:
@@ -157,7 +165,7 @@ def _on_chain(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    read = spark.read.option("lineSep", SEPARATOR).text(path)
+    read = spark.read.option("lineSep", DELIMITER).text(path)
     return read.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
 
 
@@ -177,7 +185,7 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _assembled(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame.sort_values("at")
     first = frame.iloc[0]
-    whole = b"".join(bytes(v) + SEPARATOR.encode() for v in frame["value"])
+    whole = b"".join(bytes(v) + DELIMITER.encode() for v in frame["value"])
     start = int(first["body"] - first["at"])
     return pd.DataFrame({"file": [first["file"]], "off": [first["off"]], "gathered": [_digest(whole[start : start + int(first["length"])])]})
 
@@ -207,8 +215,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     placed = placed.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("at") / BUCKET), F.floor(last / BUCKET))))
     overlap = (F.col("at") < F.col("body") + F.col("length")) & (last >= F.col("body")) & (F.col("bucket") == F.floor(F.greatest("at", "body") / BUCKET))
     gathered = placed.join(ranges, ["file", "bucket"]).where(overlap).groupBy("file", "off").applyInPandas(_assembled, "file string, off long, gathered string")
-    empty = F.when((F.col("length") == 0) & (F.col("type") != "revisit"), F.lit(_digest(b"")))
-    out = records.join(gathered, ["file", "off"], "left").withColumn("digest", F.coalesce("digest", "gathered", empty))
+    out = records.join(gathered, ["file", "off"], "left").withColumn("digest", F.coalesce("digest", "gathered"))
     return out.select("file", "off", "length", "type", "page_id", "url", "refers_to", "stated_digest", "stated_bytes", "digest")
 
 

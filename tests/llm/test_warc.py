@@ -32,6 +32,7 @@ def test_round_trip_equals_brute_force_across_splits(spark):
     try:
         path = warc.scratch_path(spark, "warc")
         warc.write_archives(df.coalesce(2), path)
+        assert spark.read.text(path).rdd.getNumPartitions() > 20
         got = [(r.page_id, r.stated_bytes if r.type == "revisit" else r.length, r.stated_digest if r.type == "revisit" else r.digest, r.type, r.refers_to) for r in warc.read_archives(spark, path).collect()]
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
