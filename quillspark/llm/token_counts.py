@@ -1,7 +1,7 @@
 """Token counts without token ids (operator 2).
 
 Texts are cut into blocks; a block holds its distinct pre-tokens once and, per document, how often each
-occurs (sorted codes as gaps). The blocks' pre-tokens are dealt and sorted by pre-token, so each distinct one
+occurs (sorted codes as gaps); only pre-tokens that the vocabulary holds as one piece are summed at once. The blocks' pre-tokens are dealt and sorted by pre-token, so each distinct one
 of the whole table is encoded exactly once; piece counts go back packed per block and are joined to the
 block's frequencies, where frequency times count is summed. A frequent pre-token is one small row per block,
 so no key grows with its occurrences.
@@ -14,9 +14,11 @@ repeated rows and repeated ids each keep their row; an empty table gives an empt
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +35,11 @@ NUMBERS = "0-9²³¹¼-¾"
 BLANKS = r"\t-\r \x85\xa0"
 OTHER_RANGE = re.compile("[^\x00-ɏ‐-‧‰-⁞]")
 BYTE_PATTERN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{BLANKS}{LETTERS}{NUMBERS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+")
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Piece counts packed together on their way back to the blocks.
 ROWS_PACKED = 1 << 17
 #: A block's tokens and frequencies: see ``pack``.
-BLOCK = "block long, tokens array<string>, docs array<long>, n_bytes array<long>, special array<long>, gaps binary, freqs binary"
+BLOCK = "block long, tokens array<string>, docs array<long>, n_bytes array<long>, known array<long>, gaps binary, freqs binary"
 
 
 def settled(text: str) -> bool:
@@ -63,6 +65,25 @@ def pre_tokenizer(path: str) -> Callable[[str], list[str]]:
     return split
 
 
+def counting_model(path: str):
+    """The library's tokenizer for strings that are pre-tokens already."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
+    model = Tokenizer.from_file(path)
+    model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    model.encode_special_tokens = True
+    return model
+
+
+@lru_cache(maxsize=2)
+def single_pieces(path: str) -> frozenset[str]:
+    """Pre-tokens that are one piece, as far as the vocabulary spells them (its size bounds the set)."""
+    model = counting_model(path)
+    texts = [t for t in (model.decode([i], skip_special_tokens=False) for i in range(model.get_vocab_size(with_added_tokens=False))) if "\ufffd" not in t]
+    return frozenset(t for t, e in zip(texts, model.encode_batch_fast(texts, add_special_tokens=False), strict=True) if len(e.ids) == 1)
+
+
 def pack(values: np.ndarray) -> bytes:
     """Unsigned numbers as byte planes, as many as the largest needs; the first byte says how many."""
     planes = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
@@ -77,32 +98,34 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def _blocks(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    schema = pa.schema([("block", pa.int64()), ("tokens", pa.list_(pa.string())), ("docs", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("special", pa.list_(pa.int64())), ("gaps", pa.binary()), ("freqs", pa.binary())])
+    schema = pa.schema([("block", pa.int64()), ("tokens", pa.list_(pa.string())), ("docs", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("known", pa.list_(pa.int64())), ("gaps", pa.binary()), ("freqs", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, special = pre_tokenizer(path), special_strings(path)
+        split, special, single = pre_tokenizer(path), special_strings(path), single_pieces(path)
         block = TaskContext.get().partitionId() << 32
         for batch in slices(batches, "text", BLOCK_BYTES):
             codes: dict[str, int] = {}
-            rows, sizes, specials = [], [], []
-            for text in batch.column("text").to_pylist():
-                text = text or ""
+            rows, sizes, known = [], [], []
+            for scalar in batch.column("text"):
+                text = scalar.as_py() or ""
                 sizes.append(len(text.encode()))
                 parts = special.split(text) if special else [text]
-                specials.append(len(parts) - 1)
                 seen = Counter(split(parts[0]))
                 for part in parts[1:]:
                     seen.update(split(part))
-                row = np.fromiter((codes.setdefault(k, len(codes)) for k in seen), np.int64, len(seen))
+                rest = {k: n for k, n in seen.items() if k not in single}
+                known.append(len(parts) - 1 + seen.total() - sum(rest.values()))
+                row = np.fromiter((codes.setdefault(k, len(codes)) for k in rest), np.int32, len(rest))
                 order = np.argsort(row)
-                rows.append((row[order], np.fromiter(seen.values(), np.int64, len(seen))[order]))
+                rows.append((row[order], np.fromiter(rest.values(), np.int32, len(rest))[order]))
             # one ascending sequence of document * width + code, kept as gaps
             width = max(1, len(codes))
-            keys = np.concatenate([np.empty(0, np.int64), *(i * width + c for i, (c, _) in enumerate(rows))])
-            freqs = np.concatenate([np.empty(0, np.int64), *(f for _, f in rows)])
-            gaps = np.diff(keys, prepend=-1) - 1
+            keys = np.concatenate([np.empty(0, np.int64), *(i * width + c.astype(np.int64) for i, (c, _) in enumerate(rows))])
+            gaps = pack(np.diff(keys, prepend=-1) - 1)
+            freqs = pack(np.concatenate([np.empty(0, np.int32), *(f for _, f in rows)]))
+            del keys, rows
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int64()), pa.array([list(codes)], pa.list_(pa.string())), pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([specials], pa.list_(pa.int64())), pa.array([pack(gaps)], pa.binary()), pa.array([pack(freqs)], pa.binary())],
+                [pa.array([block], pa.int64()), pa.array([list(codes)], pa.list_(pa.string())), pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([known], pa.list_(pa.int64())), pa.array([gaps], pa.binary()), pa.array([freqs], pa.binary())],
                 schema=schema,
             )
             block += 1
@@ -123,11 +146,7 @@ def _piece_counts(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
         return pa.RecordBatch.from_arrays([pa.array(block[starts]), pa.array([p[0] for p in parts], pa.binary()), pa.array([p[1] for p in parts], pa.binary())], names=["block", "codes", "pieces"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        model = Tokenizer.from_file(path)
-        model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        model.encode_special_tokens = True
+        model = counting_model(path)
         known: dict[str, int] = {}
         rows, held = [], 0
         for batch in slices(batches, "token", 1 << 20):
@@ -151,7 +170,7 @@ def _piece_counts(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
-            row = {name: batch.column(name)[i] for name in ("docs", "n_bytes", "special", "gaps", "freqs", "counts", "width")}
+            row = {name: batch.column(name)[i] for name in ("docs", "n_bytes", "known", "gaps", "freqs", "counts", "width")}
             docs = row["docs"].values
             width = row["width"].as_py()
             pieces = np.zeros(max(1, width), np.int64)
@@ -160,7 +179,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = np.cumsum(unpack(row["gaps"].as_py()) + 1) - 1
             n = np.zeros(len(docs), np.int64)
             np.add.at(n, keys // max(1, width), unpack(row["freqs"].as_py()) * pieces[keys % max(1, width)])
-            total = pa.array(n + row["special"].values.to_numpy(), pa.int64())
+            total = pa.array(n + row["known"].values.to_numpy(), pa.int64())
             yield pa.RecordBatch.from_arrays([docs, row["n_bytes"].values, total], names=["doc_id", "n_bytes", "n_tokens"])
 
 
@@ -173,5 +192,5 @@ def token_counts(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", t
     tokens = blocks.select("block", F.posexplode("tokens").alias("code", "token")).repartition("token").sortWithinPartitions("token")
     pieces = tokens.mapInArrow(_piece_counts(tokenizer_path), "block long, codes binary, pieces binary")
     counts = pieces.groupBy("block").agg(F.collect_list(F.struct("codes", "pieces")).alias("counts"))
-    rows = blocks.select("block", "docs", "n_bytes", "special", "gaps", "freqs", F.size("tokens").alias("width"))
+    rows = blocks.select("block", "docs", "n_bytes", "known", "gaps", "freqs", F.size("tokens").alias("width"))
     return rows.join(counts, "block", "left").mapInArrow(_sums, "doc_id long, n_bytes long, n_tokens long")
