@@ -31,7 +31,7 @@ def write_predictions(predictions: DataFrame, path: str) -> None:
 
 def append_memory(rows: DataFrame, path: str) -> None:
     """Append translations with the time; failures (``[Translation ...``) are never kept."""
-    kept = rows.where(~F.col("translation").startswith("[Translation")).select("text", "translation", F.current_timestamp().alias("ts"))
+    kept = rows.where(~F.col("translation").startswith("[Translation")).select("text", "translation", F.current_timestamp().alias("timestamp"))
     kept.write.mode("append").json(path)
 
 
