@@ -35,7 +35,7 @@ NUMBERS = "0-9²³¹¼-¾"
 BLANKS = r"\t-\r \x85\xa0"
 OTHER_RANGE = re.compile("[^\x00-ɏ‐-‧‰-⁞]")
 BYTE_PATTERN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{BLANKS}{LETTERS}{NUMBERS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+")
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 12 << 20
 #: Piece counts packed together on their way back to the blocks.
 ROWS_PACKED = 1 << 17
 #: A block's tokens and frequencies: see ``pack``.
