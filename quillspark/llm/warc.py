@@ -209,7 +209,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     chained = found.join(entries, ["file", "split"]).groupBy("file", "split").applyInPandas(_on_chain, found.schema)
     records = scratch_table(chained, "warc-records")
     # payloads that are not one piece behind their header
+    # (few: as a written table they are broadcast while small, and pieces stay where they are)
     ranges = records.where("digest is null and length > 0 and type <> 'revisit'").select("file", "off", "body", "length", F.explode(F.sequence(F.floor(F.col("body") / BUCKET), F.floor((F.col("body") + F.col("length") - 1) / BUCKET))).alias("bucket"))
+    ranges = scratch_table(ranges, "warc-ranges")
     placed = _pieces(spark, path).mapInArrow(_placed, "file string, split long, rel long, value binary").join(bases, ["file", "split"]).select("file", (F.col("base") + F.col("rel")).alias("at"), "value")
     last = F.col("at") + F.octet_length("value") + (GAP - 1)
     placed = placed.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("at") / BUCKET), F.floor(last / BUCKET))))
