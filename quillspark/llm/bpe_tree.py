@@ -15,13 +15,16 @@ Repeated rows and ids keep their rows; an empty table gives an empty result; oth
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer, pre_tokenizers
 
 from quillspark.llm.common import slices
 from quillspark.llm.token_counts import BLANKS, LETTERS, NUMBERS, settled, special_strings
@@ -29,7 +32,7 @@ from quillspark.llm.token_counts import BLANKS, LETTERS, NUMBERS, settled, speci
 LONG_RUN = 4096
 CHUNK = 2048
 #: Distinct words remembered per Python worker.
-MEMO = 250_000
+MEMO = 100_000
 WORD_PATTERN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{BLANKS}{LETTERS}{NUMBERS}]+")
 
 
@@ -37,22 +40,42 @@ class WordBpe:
     """The library's tokenizer, opened up: words of a text, tokens of a word or of a chunk of one."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
-
         spec = json.load(open(path, encoding="utf-8"))
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         self.special = special_strings(path)
         self.ids_of_special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.suffix = spec["model"].get("end_of_word_suffix") or ""
-        bare = spec | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}
-        self.whole = Tokenizer.from_str(json.dumps(bare))
-        inner = bare | {"model": spec["model"] | {"end_of_word_suffix": None}}
-        self.inner = Tokenizer.from_str(json.dumps(inner))
-        self.bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.words_model = Tokenizer.from_str(json.dumps(bare))
-        self.words_model.pre_tokenizer = self.bytes_of
         self.names = {i: t for t, i in spec["model"]["vocab"].items()} | {i: t for t, i in self.ids_of_special.items()}
 
+    def _model(self, **changes) -> Tokenizer:
+        """The library's model alone: no normalizer, no pre-tokenizer, no added tokens."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
+        spec = json.load(open(self.path, encoding="utf-8"))
+        return Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": None, "added_tokens": [], "model": spec["model"] | changes}))
+
+    # each is loaded by the tasks that use it
+    @cached_property
+    def library(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
+
+    @cached_property
+    def whole(self) -> Tokenizer:
+        return self._model()
+
+    @cached_property
+    def inner(self) -> Tokenizer:
+        return self._model(end_of_word_suffix=None)
+
+    @cached_property
+    def bytes_of(self) -> pre_tokenizers.PreTokenizer:
+        return pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+
+    @cached_property
+    def words_model(self) -> Tokenizer:
+        model = self._model()
+        model.pre_tokenizer = self.bytes_of
+        return model
+
     def pieces(self, text: str) -> list[str | int]:
         """Words in order as strings, special tokens as their ids."""
         out: list[str | int] = []
@@ -122,7 +145,7 @@ def _encode(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
         bpe = load(path)
         ids: dict[str | int, str] = {}
         names: dict[str | int, str] = {}
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             rows = [bpe.pieces(t or "") for t in batch.column("text").to_pylist()]
             if len(ids) > MEMO:
                 ids, names = {}, {}

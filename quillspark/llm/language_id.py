@@ -34,7 +34,7 @@ CUT = 40
 FLOOR = 1e-7
 SAMPLE_PER_LANGUAGE, ROUNDS, SMOOTHING = 3000, 2, 0.01
 #: Distinct words remembered per Python worker.
-MEMO = 250_000
+MEMO = 100_000
 UNDETERMINED = "und"
 START = "▁"
 
@@ -161,7 +161,7 @@ def _predict(languages: list[str], table: np.ndarray, path: str, kept: list[str]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, int] = {}
         scores = np.empty((0, len(languages)), np.float32)
-        for batch in slices(batches, text, 4 << 20):
+        for batch in slices(batches, text, 1 << 20):
             rows = [words_of(t) if languages else [] for t in batch.column(text).to_pylist()]
             if len(memo) > MEMO:
                 memo, scores = {}, scores[:0]
