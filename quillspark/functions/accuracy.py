@@ -28,7 +28,7 @@ def token_distance(a: Column, b: Column) -> Column:
     known = F.array_distinct(F.concat(a, b))
     char = lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, t) + (FIRST_CHAR - 1)), 4, "0")), "UTF-16BE")
     text = lambda x: F.array_join(F.transform(x, char), "")
-    return F.levenshtein(text(a), text(b))
+    return F.when(a == b, F.lit(0)).otherwise(F.levenshtein(text(a), text(b)))
 
 
 def wer(reference: Column, prediction: Column) -> Column:

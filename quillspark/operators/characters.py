@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
@@ -49,11 +50,58 @@ class _Align:
             yield pos, a, b
 
 
-def alignments(rows: DataFrame, *keys: str) -> DataFrame:
-    """``keys, pos, ref_char, pred_char`` of every row, by a Python table function joined laterally."""
-    spark = rows.sparkSession
-    spark.udtf.register("align_chars", udtf(_Align, returnType="pos int, ref_char string, pred_char string"))
-    return spark.sql(f"SELECT {', '.join(f't.{k}' for k in keys)}, a.pos, a.ref_char, a.pred_char FROM {{rows}} t, LATERAL align_chars(t.reference, t.prediction) a", rows=rows)
+def register_table_function(spark: SparkSession, name: str = "align_chars") -> None:
+    """``name(reference, prediction)`` for SQL: a row (pos, ref_char, pred_char) per pair, joined laterally."""
+    spark.udtf.register(name, udtf(_Align, returnType="pos int, ref_char string, pred_char string"))
+
+
+def align_batch(references: list[str], predictions: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``align`` for many rows at once: row number, place, characters of both sides. Each step of the table and
+    of the way back is one operation over all rows, so rows of like length belong together."""
+    m, n = (np.array([len(x) for x in side]) for side in (references, predictions))
+    grid = lambda side, size: np.array(side, dtype=f"<U{max(1, size)}").view("<U1").reshape(len(side), -1)
+    r, p = grid(references, m.max()), grid(predictions, n.max())
+    rc, pc, every = r.view(np.uint32), p.view(np.uint32), np.arange(len(m))
+    column = np.arange(p.shape[1] + 1, dtype=np.int16)
+    cost = np.empty((int(m.max()) + 1, len(m), len(column)), np.int16)
+    cost[0] = column
+    for i in range(1, len(cost)):
+        cost[i, :, 0] = i
+        cost[i, :, 1:] = np.minimum(cost[i - 1, :, 1:] + 1, cost[i - 1, :, :-1] + (pc != rc[:, i - 1 : i]))
+        cost[i] = np.minimum.accumulate(cost[i] - column, axis=1) + column
+    i, j, steps = m.copy(), n.copy(), []
+    while len(every):
+        a, b = i[every], j[every]
+        up, left = np.maximum(a - 1, 0), np.maximum(b - 1, 0)
+        here = cost[a, every, b]
+        diagonal = (a > 0) & (b > 0) & (here == cost[up, every, left] + (rc[every, up] != pc[every, left]))
+        insertion = ~diagonal & (b > 0) & (here == cost[a, every, left] + 1)
+        steps.append((every, np.where(insertion, "", r[every, up]), np.where(diagonal | insertion, p[every, left], "")))
+        i[every] -= ~insertion
+        j[every] -= diagonal | insertion
+        every = every[(i[every] > 0) | (j[every] > 0)]
+    row, ref, pred = (np.concatenate(x)[::-1] for x in zip(*steps, strict=True))
+    order = np.argsort(row, kind="stable")
+    row = row[order]
+    return row, np.arange(len(row)) - np.searchsorted(row, row), ref[order], pred[order]
+
+
+def alignments(rows: DataFrame, *keys: str, at_once: int = 64) -> DataFrame:
+    """``keys, pos, ref_char, pred_char`` of every row with a character on either side. The table of a row grows
+    with the product of its lengths, so the rows are dealt out evenly first."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            frame = frame.fillna({"reference": "", "prediction": ""})
+            frame = frame[(frame["reference"] != "") | (frame["prediction"] != "")]
+            frame = frame.iloc[np.argsort(frame["reference"].str.len().to_numpy())]
+            for start in range(0, len(frame), at_once):
+                part = frame.iloc[start : start + at_once]
+                row, pos, ref, pred = align_batch(part["reference"].tolist(), part["prediction"].tolist())
+                yield part[list(keys)].iloc[row].assign(pos=pos.astype(np.int32), ref_char=ref.astype(object), pred_char=pred.astype(object))
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
+    return rows.repartition(*keys).mapInPandas(run, f"{kinds}, pos int, ref_char string, pred_char string")
 
 
 def holding(rows: DataFrame, tracked: str) -> DataFrame:

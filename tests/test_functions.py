@@ -67,6 +67,20 @@ def test_alignment_rebuilds_both_sides():
     assert ch.align("ab", "b") == [("a", ""), ("b", "b")]
 
 
+def test_alignment_of_batches_and_in_sql(spark):
+    rng = random.Random(2)
+    rows = [("".join(rng.choices("abč ", k=rng.randint(0, 15))), "".join(rng.choices("abč ", k=rng.randint(1, 15)))) for _ in range(200)]
+    row, pos, ref, pred = ch.align_batch(*map(list, zip(*rows, strict=True)))
+    for i, (a, b) in enumerate(rows):
+        at = row == i
+        assert list(zip(ref[at].tolist(), pred[at].tolist(), strict=True)) == ch.align(a, b) and pos[at].tolist() == list(range(at.sum()))
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate([*rows, ("", ""), (None, "a")])], "id long, reference string, prediction string")
+    df.createOrReplaceTempView("to_align")
+    ch.register_table_function(spark)
+    lateral = spark.sql("SELECT t.id, a.pos, a.ref_char, a.pred_char FROM to_align t, LATERAL align_chars(t.reference, t.prediction) a")
+    assert sorted(ch.alignments(df, "id").collect()) == sorted(lateral.collect())
+
+
 def test_char_accuracy_and_pivot(spark):
     confused = spark.createDataFrame([("m", "á", "á", 9), ("m", "á", "a", 1), ("m", "Á", "Á", 1), ("m", "č", "", 2)], "model string, ref_char string, pred_char string, n long")
     tracked = ch.tracked_chars(spark.createDataFrame([("á",), ("č",), ("ŋ",)], "char string"))
