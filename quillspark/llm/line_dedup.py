@@ -120,7 +120,9 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     runs = LineRuns(min_docs)
     for b in range(len(cuts) + 1):
         runs.add(lines.where(F.col("batch") == b).select("h", "doc"))
-    drops = lines.join(runs.frequent(), "h").where("doc < last").groupBy("doc").agg(F.collect_set("h").alias("_drop"))
+    # as a written table the state is dealt anew for the join, so that a frequent line's rows can be split
+    frequent = scratch_table(runs.frequent(), "frequent-lines")
+    drops = lines.join(frequent, "h").where("doc < last").groupBy("doc").agg(F.collect_set("h").alias("_drop"))
     joined = docs.select(*kept, id_or_least.alias("_doc")).join(drops.withColumnRenamed("doc", "_doc"), "_doc", "left").select(*kept, "_drop")
     fields = [T.StructField(f.name, f.dataType, True) for f in docs.schema if f.name in kept]
     out = T.StructType([*fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
