@@ -211,7 +211,9 @@ def repeated_hits(source: DataFrame, shard: int = SHARD, hot: int = HOT) -> Data
     """``id, print, first, windows, mask``: regions with repeated windows, of ``id, print, text`` rows."""
     found = scratch_table(source.mapInArrow(_region_rows, REGION), "regions")
     counts = found.groupBy("minimizer").agg(F.count("*").alias("places"), F.min("content").alias("least"), F.max("content").alias("most")).where("places > 1")
-    found = scratch_table(found.join(counts.select("minimizer", (F.col("least") == F.col("most")).alias("alike")), "minimizer"), "shared-regions")
+    # as a written table the counts are dealt anew for the join, so that a frequent minimizer's rows can be split
+    counts = scratch_table(counts.select("minimizer", (F.col("least") == F.col("most")).alias("alike")), "minimizers")
+    found = scratch_table(found.join(counts, "minimizer"), "shared-regions")
     contents = found.where("not alike").groupBy("minimizer", "content").agg(F.count("*").alias("n"), F.min(F.struct("id", "print", "first", "windows")).alias("place"))
     contents = scratch_table(contents, "contents")
     n_shards = -(-contents.count() // shard) or 1
