@@ -205,8 +205,13 @@ def _blocks_of_keys(keys: DataFrame, block: int) -> DataFrame:
     """``key, i, j, node`` for the nodes of keys that two nodes or more share: a key's nodes are dealt into
     parts, and each pair of parts ``i <= j`` is a block of at most about twice ``block`` nodes."""
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    return _dealt(keys.join(shared, "key"), block)
+
+
+def _dealt(rows: DataFrame, block: int) -> DataFrame:
+    """``_blocks_of_keys`` of rows that hold the key's number of nodes ``n``."""
     parts = F.ceil(F.col("n") / block).cast("long")
-    rows = keys.join(shared, "key").select("key", "node", F.pmod(F.xxhash64("node"), parts).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
+    rows = rows.select("key", "node", F.pmod(F.xxhash64("node"), parts).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
     return rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node")
 
 
@@ -259,9 +264,15 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
 
 # -- near duplicates by similarity ----------------------------------------------------------------
 
-#: Word-set prints that give keys, and 64-bit words of the shingle-set print that verifies.
+#: Word-set prints that give keys, and 64-bit words of the shingle-set print that pre-selects.
 KEY_PRINTS, PROOF_WORDS = 8, 8
 LEAST_ID = -(1 << 63)
+#: Standard errors by which a print may be off, and the least set that prints are asked about at all.
+MARGIN, LEAST_PRINTED = 6, 64
+#: Documents sampled for shingles that are frequent, and how many of these are told to the workers.
+SAMPLE_DOCS, MOST_FREQUENT = 8_000, 1 << 16
+#: Rows (16 bytes each) that may be broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def _mixed(hashes: np.ndarray, rounds: int) -> np.ndarray:
@@ -281,18 +292,88 @@ def _set_print(hashes: np.ndarray, rounds: int) -> bytes:
     return np.packbits(2 * sums > len(hashes)).tobytes()
 
 
-def _sketch_rows(shingle: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def shingle_set(text: str | None, shingle: int, seed: int) -> tuple[np.ndarray, int]:
+    """The distinct shingle hashes in order, and the number that stands for the set."""
+    import xxhash
+
+    hashes = np.unique(shingle_hashes(text, shingle, seed))
+    return hashes, xxhash.xxh64_intdigest(hashes.tobytes(), seed) - (1 << 63)
+
+
+def _least_shared(n: int, similarity: float) -> int:
+    """Shingles of a set of ``n`` that any set alike must hold."""
+    return max(1, math.ceil(similarity * n - 1e-9))
+
+
+def prefix_of(hashes: np.ndarray, similarity: float, frequent: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, one more than a set alike can lack, so that sets alike share one of them.
+    The order is the same for all sets: frequent ones last, the most frequent (last in ``frequent``) at the end."""
+    if not len(hashes):
+        return hashes
+    mixed = hashes * np.uint64(0x9E3779B97F4A7C15)
+    if not len(frequent):
+        return hashes[np.argsort(mixed)][: len(hashes) - _least_shared(len(hashes), similarity) + 1]
+    order = np.argsort(frequent)
+    place = np.minimum(np.searchsorted(frequent, hashes, sorter=order), len(frequent) - 1)
+    rank = np.where(frequent[order[place]] == hashes, order[place] + 1, 0)
+    return hashes[np.lexsort((mixed, rank))][: len(hashes) - _least_shared(len(hashes), similarity) + 1]
+
+
+def _sample_rows(shingle: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            for text in batch.column("text"):
+                hashes = shingle_set(text.as_py(), shingle, seed)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], names=["hash"])
+
+    return run
+
+
+def frequent_shingles(source: DataFrame, shingle: int, seed: int) -> np.ndarray:
+    """Shingles of several documents of a sample, the most frequent last. What is missed costs time, not links."""
+    sample = source.select("text").sample(min(1.0, SAMPLE_DOCS / max(1, source.count())), seed)
+    counts = sample.mapInArrow(_sample_rows(shingle, seed), "hash long").groupBy("hash").agg(F.count("*").alias("n"))
+    top = counts.where("n > 2").orderBy(F.desc("n"), "hash").limit(MOST_FREQUENT).select("hash").toPandas()
+    return np.ascontiguousarray(top["hash"].to_numpy(np.int64).view(np.uint64)[::-1])
+
+
+#: A prefix holds so many bytes of each of its hashes: keys that meet by chance only cost time.
+KEY_BYTES = 5
+
+
+def _sketch_rows(shingle: int, seed: int, similarity: float, frequent: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            words, proofs = [], []
+            made = []
             for text in batch.column("text").to_pylist():
-                words.append(_set_print(shingle_hashes(text, 1, seed), KEY_PRINTS))
-                proofs.append(_set_print(shingle_hashes(text, shingle, seed), PROOF_WORDS))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(words, pa.binary()), pa.array(proofs, pa.binary())], names=["id", "words", "print"])
+                hashes, node = shingle_set(text, shingle, seed)
+                prefix = prefix_of(hashes, similarity, frequent).view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+                made.append((node, len(hashes), _set_print(shingle_hashes(text, 1, seed), KEY_PRINTS), _set_print(hashes, PROOF_WORDS), prefix))
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            columns = [pa.array(x, kind) for x, kind in zip(zip(*made, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], names=["id", "node", "n", "words", "print", "prefix"])
 
     return run
 
 
+def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "prefix", 1 << 20):
+        prefixes = batch.column("prefix").to_pylist()
+        flat = np.frombuffer(b"".join(prefixes), np.uint8).reshape(-1, KEY_BYTES)
+        keys = np.zeros((len(flat), 8), np.uint8)
+        keys[:, :KEY_BYTES] = flat
+        sizes = [len(x) // KEY_BYTES for x in prefixes]
+        named = [pa.array(np.repeat(batch.column(c).to_numpy(), sizes)) for c in ("node", "root")]
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)[:, 0]), *named], names=["key", "node", "root"]).filter(_first_of_each(keys.view(np.int64)[:, 0], sizes))
+
+
+def _first_of_each(keys: np.ndarray, sizes: list[int]) -> pa.Array:
+    """Which keys are the first such of their row."""
+    first = np.zeros(len(keys), bool)
+    first[np.unique(np.repeat(np.arange(len(sizes)), sizes) << 8 * KEY_BYTES | keys, return_index=True)[1]] = True
+    return pa.array(first)
+
+
 def _word_key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         nodes = batch.column("node").to_numpy()
@@ -307,20 +388,112 @@ def bits_apart(similarity: float) -> int:
     return round(64 * PROOF_WORDS * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
+def _open_pairs(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows come sorted by block: (key, i, j, node, root, n, print). All pairs of different roots that their
+    sizes and, with a margin, their prints allow to be alike."""
+    mean = bits_apart(similarity)
+    most = mean + MARGIN * math.sqrt(mean * (1 - mean / (64 * PROOF_WORDS)))
+
+    def within(nodes: np.ndarray, roots: np.ndarray, sizes: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(len(nodes) - 1):
+            small, large = np.minimum(sizes[i + 1 :], sizes[i]), np.maximum(sizes[i + 1 :], sizes[i])
+            near = i + 1 + np.flatnonzero((roots[i + 1 :] != roots[i]) & (small >= similarity * large - 1e-9))
+            near = near[(np.minimum(sizes[near], sizes[i]) < LEAST_PRINTED) | (_apart(prints[near], prints[i]) <= most)]
+            if len(near):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(nodes[near], nodes[i])), pa.array(np.maximum(nodes[near], nodes[i]))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")], axis=1), *(batch.column(c).to_numpy() for c in ("node", "root", "n"))]
+            now.append(np.frombuffer(b"".join(batch.column("print").to_pylist()), np.uint64).reshape(batch.num_rows, -1))
+            held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+            ends = np.r_[0, 1 + np.flatnonzero((held[0][1:] != held[0][:-1]).any(axis=1))]
+            for start, end in zip(ends[:-1], ends[1:], strict=True):
+                yield from within(*(x[start:end] for x in held[1:]))
+            held = [x[ends[-1] :] for x in held]  # the last block may go on in the next batch
+        if held is not None and len(held[0]):
+            yield from within(*held[1:])
+
+    return run
+
+
+def _set_rows(shingle: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            made = [shingle_set(text.as_py(), shingle, seed) for text in batch.column("text")]
+            nodes, sets = pa.array([x[1] for x in made], pa.int64()), pa.array([x[0].tobytes() for x in made], pa.binary())
+            yield pa.RecordBatch.from_arrays([nodes, sets], names=["node", "hashes"])
+
+    return run
+
+
+def _alike(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column("hashes_a"), batch.column("hashes_b"), strict=True):
+                x, y = (np.frombuffer(s.as_py(), np.uint64) for s in (x, y))
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
+def _bounded(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, source: DataFrame, shingle: int, similarity: float, seed: int) -> DataFrame:
+    """The pairs ``a, b`` of nodes whose shingle sets have that Jaccard similarity, counted on the sets."""
+    pairs = scratch_table(pairs, "pairs")
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = scratch_table(nodes.select("node", "least_id").join(asked, "node").select("node", F.col("least_id").alias("id")), "wanted")
+    ids = _bounded(wanted.select("id").distinct())
+    sets = source.join(ids, "id", "left_semi").select("text").mapInArrow(_set_rows(shingle, seed), "node long, hashes binary")
+    sets = scratch_table(sets.join(_bounded(wanted.select("node")), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("hashes_a")), "a")
+    both = both.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hashes_b")), "b")
+    return scratch_table(both.mapInArrow(_alike(similarity), "a long, b long"), "verified")
+
+
+def _rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    found = nodes.join(_bounded(scratch_table(connected_components(links), "roots")), "node", "left")
+    return found.withColumn("root", F.coalesce("root", "node"))
+
+
 def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, seed: int = 42, block: int = BLOCK) -> DataFrame:
     """``id, class_id`` for every row: documents linked by a similarity of their sets of ``shingle``-word runs.
 
-    At that similarity fingerprints of the runs differ in far more than 4 bits, so candidates come from
-    ``KEY_PRINTS`` fingerprints of the word sets, which stay close, by Golay keys with an excess of one bit;
-    a 512-bit SimHash of the run sets then estimates the similarity (standard error about 0.03). ``id`` is
-    ``doc_id`` with null as the least number; ``class_id`` is the least id of the class."""
+    Every link is verified: the Jaccard similarity is counted on the sets. Large groups of copies are joined
+    first: ``KEY_PRINTS`` fingerprints of the word sets give Golay keys with an excess of one bit, and a 512-bit
+    SimHash of the run sets picks a forest of likely links in each block. Then all other pairs are found by an
+    exact prefix filter (sets alike share one of their first shingles, frequent ones ordered last): pairs of
+    different classes that sizes and prints, with a margin of ``MARGIN`` standard errors, do not rule out.
+    ``id`` is ``doc_id`` with null as the least number; ``class_id`` is the least id of the class."""
     source = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LEAST_ID)).alias("id"), F.col(text).cast("string").alias("text"))
-    sketches = scratch_table(source.mapInArrow(_sketch_rows(shingle, seed), "id long, words binary, print binary").withColumn("node", F.xxhash64("words", "print")), "sketches")
-    nodes = scratch_table(sketches.groupBy("node").agg(F.first("words").alias("words"), F.first("print").alias("print"), F.min("id").alias("least_id")), "sketch-nodes")
+    made = source.mapInArrow(_sketch_rows(shingle, seed, similarity, frequent_shingles(source, shingle, seed)), "id long, node long, n long, words binary, print binary, prefix binary")
+    sketches = scratch_table(made, "sketches")
+    firsts = [F.first(c).alias(c) for c in ("n", "words", "print", "prefix")]
+    nodes = scratch_table(sketches.groupBy("node").agg(*firsts, F.min("id").alias("least_id")), "sketch-nodes")
+    # likely links, verified
     keys = nodes.select("node", "words").mapInArrow(_word_key_rows, "key long, node long")
     rows = _blocks_of_keys(keys, block).join(nodes.select("node", "print"), "node")
-    roots = connected_components(_block_links(rows, bits_apart(similarity)))
-    rooted = nodes.select("node", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    links = verified(_block_links(rows, bits_apart(similarity)), nodes, source, shingle, similarity, seed)
+    # all other pairs: keys that nodes of different roots share
+    rooted = _rooted(nodes, links)
+    keys = rooted.select("node", "root", "prefix").mapInArrow(_prefix_rows, "key long, node long, root long")
+    mixed = keys.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x <> y")
+    mixed = scratch_table(mixed.select("key", "n"), "mixed-keys")
+    rows = scratch_table(keys.select("key", "node").join(_bounded(mixed), "key"), "prefix-rows")
+    rows = _dealt(rows, block).join(rooted.select("node", "root", "n", "print"), "node")
+    rows = rows.select("key", "i", "j", "node", "root", "n", "print").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    pairs = rows.mapInArrow(_open_pairs(similarity), "a long, b long").distinct()
+    links = links.union(verified(pairs, nodes, source, shingle, similarity, seed))
+    rooted = _rooted(nodes.select("node", "least_id"), links)
     classes = rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("class_id")), "root").select("node", "class_id")
     return sketches.select("id", "node").join(classes, "node").select("id", "class_id")
 

@@ -56,3 +56,25 @@ def test_near_duplicates_by_similarity(spark):
 
 def test_pipeline_runs_over_the_table(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 50
+
+
+def test_added_and_cut_parts_and_no_false_links(spark):
+    """Classes equal those of all pairs by brute force: added or cut parts change 64-bit prints of the word sets
+    by more bits than the keys allow, and estimates let pairs on either side of the threshold cross it."""
+    rng = random.Random(11)
+    pool = [f"w{i}" for i in range(20000)]
+    rows = []
+    for k in range(240):
+        words = rng.choices(pool, k=rng.randint(8, 300))
+        part = int(len(words) * rng.uniform(0.12, 0.32))
+        rows.append(" ".join(words))
+        rows.append(" ".join([words + rng.choices(pool, k=part), words[: len(words) - part], words[part:]][k % 3]))
+    sets = [shingles(x) for x in rows]
+    first = list(range(len(rows)))
+    for i in range(0, len(rows), 2):  # other pairs share hardly a shingle
+        if 10 * len(sets[i] & sets[i + 1]) >= 8 * len(sets[i] | sets[i + 1]):
+            first[i + 1] = i
+    assert 60 < sum(first[i] == i for i in range(1, len(rows), 2)) < 180
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    got = {r.id: r.class_id for r in g.near_duplicate_classes(df).collect()}
+    assert [got[i] for i in range(len(rows))] == first
