@@ -22,9 +22,14 @@ def _aligned(spark, sf):
     return ch.alignments(rows.select("id", "reference", "prediction"), "id")
 
 
+def _all_aligned(spark, sf):
+    """Alignments of every prediction of every model."""
+    return ch.alignments(d.predictions(spark, sf).select("model", "id", "reference", "prediction"), "model", "id")
+
+
 @query()
 def char_alignment(spark, sf):
-    return _aligned(spark, sf)
+    return _all_aligned(spark, sf)
 
 
 # the recognizer only replaces and drops, letter by letter, so its confusions are known without an alignment
@@ -36,7 +41,7 @@ def confusions(spark, sf):
 
 @query()
 def confusion_pairs(spark, sf):
-    return ch.confusions(_aligned(spark, sf))
+    return ch.confusions(_all_aligned(spark, sf), "model")
 
 
 def _tracked(spark, sf):

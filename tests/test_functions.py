@@ -88,3 +88,13 @@ def test_char_accuracy_and_pivot(spark):
     assert got["á"] == (9, 10, 0.9) and got["ŋ"] == (0, 0, None) and got["č"] == (0, 2, 0.0) and len(got) == 6
     pivot = {r["char"]: r["m"] for r in ch.case_folded(confused, ["m"]).collect()}
     assert pivot == {"á": 90.9, "č": 0.0, "overall": 76.9}
+
+
+def test_every_prediction_of_every_model_is_aligned(spark, sf_dir):
+    from quillspark.plans import characters
+    from quillspark.sources import derived
+
+    rows = derived.predictions(spark, sf_dir)
+    got = {r.model: r.n for r in characters.confusion_pairs(spark, sf_dir).groupBy("model").agg(F.sum("n").alias("n")).collect()}
+    assert got == {r.model: r.n for r in rows.groupBy("model").agg(F.sum(F.length("reference")).alias("n")).collect()}
+    assert set(characters.char_alignment(spark, sf_dir).columns) == {"model", "id", "pos", "ref_char", "pred_char"}
