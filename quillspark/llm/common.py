@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -17,12 +16,10 @@ SPACE_CLASS = r"[ \t-\r]"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; only where it is unset (tests) a local one."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder.rstrip("/")
+    """The application's own part of the shared folder ``spark.checkpoint.dir``; where that is unset (tests), of
+    the warehouse, which a cluster shares as well."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{folder.rstrip('/')}/scratch-{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -39,6 +36,24 @@ def scratch_table(df: DataFrame, name: str, partition_by: str | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete all that this application's ``scratch_table`` calls have written. Results that still read it must be
+    written before."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def fresh(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many underscores in front as it takes to clash with no column (in any case)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the text in each piece stays near ``most_bytes`` (one long row stays whole)."""
     for batch in batches:
