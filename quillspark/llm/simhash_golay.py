@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import scratch_table, slices
+from quillspark.llm.common import fresh, scratch_table, slices
 
 #: Generator polynomial of the binary Golay code of length 23, and its check bits.
 GENERATOR, CHECK = 0b101011100011, 11
@@ -201,18 +201,68 @@ def _links(max_bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return run
 
 
+def _shared_rows(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows come sorted by key: (key, node). Those of keys with two nodes or more, with their number ``n``; a key
+    of more than ``most`` nodes passes through uncounted (null), so that no group is held."""
+
+    def made(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray | None) -> pa.RecordBatch:
+        n = pa.nulls(len(keys), pa.int64()) if sizes is None else pa.array(sizes)
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nodes), n], names=["key", "node", "n"])
+
+    def counted(keys: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
+        _, of, sizes = np.unique(keys, return_inverse=True, return_counts=True)
+        shared = sizes[of] > 1
+        return made(keys[shared], nodes[shared], sizes[of[shared]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, nodes, large = np.empty(0, np.int64), np.empty(0, np.int64), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, nodes = np.concatenate([keys, batch.column("key").to_numpy()]), np.concatenate([nodes, batch.column("node").to_numpy()])
+            if large is not None:  # rows of a large key that goes on
+                end = np.searchsorted(keys, large, "right")
+                yield made(keys[:end], nodes[:end], None)
+                keys, nodes = keys[end:], nodes[end:]
+            if len(keys):
+                large, end = None, np.searchsorted(keys, keys[-1])
+                yield counted(keys[:end], nodes[:end])
+                keys, nodes = keys[end:], nodes[end:]
+                if len(keys) > most:
+                    large = keys[0]
+                    yield made(keys, nodes, None)
+                    keys, nodes = keys[:0], nodes[:0]
+        yield counted(keys, nodes)
+
+    return run
+
+
 def _blocks_of_keys(keys: DataFrame, block: int) -> DataFrame:
     """``key, i, j, node`` for the nodes of keys that two nodes or more share: a key's nodes are dealt into
-    parts, and each pair of parts ``i <= j`` is a block of at most about twice ``block`` nodes."""
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    return _dealt(keys.join(shared, "key"), block)
+    parts, and each pair of parts ``i <= j`` is a block of at most about twice ``block`` nodes. Keys are made
+    and shuffled once; what only one node has ends there."""
+    rows = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_shared_rows(2 * block), "key long, node long, n long")
+    shared = scratch_table(rows, "shared-keys")
+    large = shared.where("n is null").drop("n")
+    sized = large.join(scratch_table(large.groupBy("key").agg(F.count("*").alias("n")), "large-keys"), "key")
+    return _dealt(shared.where("n is not null").unionByName(sized.select("key", "node", "n")), block)
+
 
+#: Fingerprints whose keys one task makes (about 110 keys of 16 bytes each).
+PRINTS_A_TASK = 1 << 16
 
-def _dealt(rows: DataFrame, block: int) -> DataFrame:
-    """``_blocks_of_keys`` of rows that hold the key's number of nodes ``n``."""
+
+def _evenly(rows: DataFrame, *columns: str) -> DataFrame:
+    """Small rows dealt out before each becomes many; ``rows`` is a written table."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // PRINTS_A_TASK))
+    return rows.select(*columns).repartition(tasks, columns[0])
+
+
+def _dealt(rows: DataFrame, block: int, *others: str) -> DataFrame:
+    """``_blocks_of_keys`` of rows that hold the key's number of nodes ``n``; ``others`` pass."""
     parts = F.ceil(F.col("n") / block).cast("long")
-    rows = rows.select("key", "node", F.pmod(F.xxhash64("node"), parts).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
-    return rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node")
+    rows = rows.select("key", "node", *others, F.pmod(F.xxhash64("node"), parts).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
+    return rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", *others)
 
 
 def _block_links(rows: DataFrame, max_bits: int) -> DataFrame:
@@ -225,7 +275,7 @@ def near_links(prints: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK)
     pairs within ``max_bits`` (at most 4, the keys' guarantee)."""
     if max_bits > MAX_BITS:
         raise ValueError(f"the keys find pairs of up to {MAX_BITS} differing bits")
-    keys = prints.select("print").mapInArrow(_key_rows, "key long, node long")
+    keys = _evenly(prints, "print").mapInArrow(_key_rows, "key long, node long")
     return _block_links(_blocks_of_keys(keys, block).withColumn("print", F.col("node")), max_bits)
 
 
@@ -235,16 +285,18 @@ def near_links(prints: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK)
 def connected_components(links: DataFrame, name: str = "components") -> DataFrame:
     """``node, root`` for every node of ``links`` (``a, b``), the root being the least node reachable.
 
-    Alternating large-star and small-star contractions; what a hub has is joined, never gathered."""
+    Alternating large-star and small-star contractions; what a hub has is joined, never gathered. The minima are
+    written before each join (and told to all tasks while they are few), so that a hub's rows can be split."""
     edges = scratch_table(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     digest = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
     before, now = None, digest(edges)
     while now != before:
         both = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).union(edges.select("v", "u"))
-        least = both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m"))
+        least = _bounded(scratch_table(both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m")), name))
         large = both.where("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = scratch_table(large, name)
+        least = scratch_table(large.groupBy("u").agg(F.min("v").alias("m")), name)
+        small = large.join(_bounded(least), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = scratch_table(small.union(least).distinct(), name)
         before, now = now, digest(edges)
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
@@ -364,7 +416,9 @@ def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys[:, :KEY_BYTES] = flat
         sizes = [len(x) // KEY_BYTES for x in prefixes]
         named = [pa.array(np.repeat(batch.column(c).to_numpy(), sizes)) for c in ("node", "root")]
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)[:, 0]), *named], names=["key", "node", "root"]).filter(_first_of_each(keys.view(np.int64)[:, 0], sizes))
+        place = np.arange(len(flat)) - np.repeat(np.cumsum([0, *sizes])[:-1], sizes)
+        columns = [pa.array(keys.view(np.int64)[:, 0]), *named, pa.array(place.astype(np.int32))]
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "root", "place"]).filter(_first_of_each(keys.view(np.int64)[:, 0], sizes))
 
 
 def _first_of_each(keys: np.ndarray, sizes: list[int]) -> pa.Array:
@@ -389,15 +443,20 @@ def bits_apart(similarity: float) -> int:
 
 
 def _open_pairs(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows come sorted by block: (key, i, j, node, root, n, print). All pairs of different roots that their
-    sizes and, with a margin, their prints allow to be alike."""
+    """Rows come sorted by block: (key, i, j, node, root, n, place, print). All pairs of different roots that
+    their sizes, the places of the key and, with a margin, their prints allow to be alike.
+
+    Sets alike meet in the first shingle that both hold, and there nothing before counts: what is left from it on
+    in either set must be as many as sets alike share. Sets that pass a meeting further on have met before."""
     mean = bits_apart(similarity)
     most = mean + MARGIN * math.sqrt(mean * (1 - mean / (64 * PROOF_WORDS)))
 
-    def within(nodes: np.ndarray, roots: np.ndarray, sizes: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def within(nodes: np.ndarray, roots: np.ndarray, sizes: np.ndarray, places: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
+        left = sizes - places
         for i in range(len(nodes) - 1):
             small, large = np.minimum(sizes[i + 1 :], sizes[i]), np.maximum(sizes[i + 1 :], sizes[i])
-            near = i + 1 + np.flatnonzero((roots[i + 1 :] != roots[i]) & (small >= similarity * large - 1e-9))
+            enough = np.minimum(left[i + 1 :], left[i]) * (1 + similarity) >= similarity * (small + large) - 1e-9
+            near = i + 1 + np.flatnonzero((roots[i + 1 :] != roots[i]) & enough & (small >= similarity * large - 1e-9))
             near = near[(np.minimum(sizes[near], sizes[i]) < LEAST_PRINTED) | (_apart(prints[near], prints[i]) <= most)]
             if len(near):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(nodes[near], nodes[i])), pa.array(np.maximum(nodes[near], nodes[i]))], names=["a", "b"])
@@ -407,7 +466,7 @@ def _open_pairs(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Itera
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")], axis=1), *(batch.column(c).to_numpy() for c in ("node", "root", "n"))]
+            now = [np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")], axis=1), *(batch.column(c).to_numpy() for c in ("node", "root", "n", "place"))]
             now.append(np.frombuffer(b"".join(batch.column("print").to_pylist()), np.uint64).reshape(batch.num_rows, -1))
             held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
             ends = np.r_[0, 1 + np.flatnonzero((held[0][1:] != held[0][:-1]).any(axis=1))]
@@ -472,25 +531,25 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     first: ``KEY_PRINTS`` fingerprints of the word sets give Golay keys with an excess of one bit, and a 512-bit
     SimHash of the run sets picks a forest of likely links in each block. Then all other pairs are found by an
     exact prefix filter (sets alike share one of their first shingles, frequent ones ordered last): pairs of
-    different classes that sizes and prints, with a margin of ``MARGIN`` standard errors, do not rule out.
-    ``id`` is ``doc_id`` with null as the least number; ``class_id`` is the least id of the class."""
+    different classes that sizes, places of the shared shingle and prints, with a margin of ``MARGIN`` standard
+    errors, do not rule out. ``id`` is ``doc_id`` with null as the least number; ``class_id`` is the least id of the class."""
     source = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LEAST_ID)).alias("id"), F.col(text).cast("string").alias("text"))
     made = source.mapInArrow(_sketch_rows(shingle, seed, similarity, frequent_shingles(source, shingle, seed)), "id long, node long, n long, words binary, print binary, prefix binary")
     sketches = scratch_table(made, "sketches")
     firsts = [F.first(c).alias(c) for c in ("n", "words", "print", "prefix")]
     nodes = scratch_table(sketches.groupBy("node").agg(*firsts, F.min("id").alias("least_id")), "sketch-nodes")
     # likely links, verified
-    keys = nodes.select("node", "words").mapInArrow(_word_key_rows, "key long, node long")
+    keys = _evenly(nodes, "node", "words").mapInArrow(_word_key_rows, "key long, node long")
     rows = _blocks_of_keys(keys, block).join(nodes.select("node", "print"), "node")
     links = verified(_block_links(rows, bits_apart(similarity)), nodes, source, shingle, similarity, seed)
     # all other pairs: keys that nodes of different roots share
     rooted = _rooted(nodes, links)
-    keys = rooted.select("node", "root", "prefix").mapInArrow(_prefix_rows, "key long, node long, root long")
+    keys = rooted.select("node", "root", "prefix").mapInArrow(_prefix_rows, "key long, node long, root long, place int")
     mixed = keys.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x <> y")
     mixed = scratch_table(mixed.select("key", "n"), "mixed-keys")
-    rows = scratch_table(keys.select("key", "node").join(_bounded(mixed), "key"), "prefix-rows")
-    rows = _dealt(rows, block).join(rooted.select("node", "root", "n", "print"), "node")
-    rows = rows.select("key", "i", "j", "node", "root", "n", "print").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    rows = scratch_table(keys.select("key", "node", "place").join(_bounded(mixed), "key"), "prefix-rows")
+    rows = _dealt(rows, block, "place").join(rooted.select("node", "root", "n", "print"), "node")
+    rows = rows.select("key", "i", "j", "node", "root", "n", "place", "print").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
     pairs = rows.mapInArrow(_open_pairs(similarity), "a long, b long").distinct()
     links = links.union(verified(pairs, nodes, source, shingle, similarity, seed))
     rooted = _rooted(nodes.select("node", "least_id"), links)
@@ -499,6 +558,11 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def keep_one_of_each_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents of which the class has no lesser id (rows that share that id all stay)."""
-    gone = near_duplicate_classes(docs, doc_id, text, **options).where("id <> class_id").select(F.col("id").alias("_id")).distinct()
-    return docs.join(gone, F.coalesce(F.col(doc_id).cast("long"), F.lit(LEAST_ID)) == F.col("_id"), "left_anti")
+    """The documents of which the class has no lesser id, with all their columns.
+
+    Defined results: null and wordless texts are alike, so one of them stays; a null id counts as the least;
+    rows that share an id go if any of them is in a class of a lesser id, else all stay; an empty table gives an
+    empty one; columns of any name pass."""
+    (gone_id,) = fresh(docs.columns, "_id")
+    gone = near_duplicate_classes(docs, doc_id, text, **options).where("id <> class_id").select(F.col("id").alias(gone_id)).distinct()
+    return docs.join(gone, F.coalesce(F.col(doc_id).cast("long"), F.lit(LEAST_ID)) == F.col(gone_id), "left_anti")
