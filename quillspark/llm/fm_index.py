@@ -18,7 +18,7 @@ class WaveletMatrix:
             padded[: len(bits)] = bits
             words = np.packbits(padded, bitorder="little").view("<u8")
             self.words.append(words)
-            self.blocks.append(np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])[:-1])
+            self.blocks.append(np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int32)])[:-1].astype(np.int32))
             self.zeros.append(int(len(bits) - bits.sum()))
             now = np.concatenate([now[~bits], now[bits]])
 
@@ -39,7 +39,7 @@ class FmIndex:
     def __init__(self, flat: np.ndarray, lengths: np.ndarray, depth: int):
         _, codes = np.unique(flat, return_inverse=True)
         self.starts = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]
-        self.codes = np.zeros(int(lengths.sum() + len(lengths)), np.int64)  # 0 ends each text
+        self.codes = np.zeros(int(lengths.sum() + len(lengths)), np.int32)  # 0 ends each text
         inside = np.ones(len(self.codes), bool)
         inside[self.starts + lengths] = False
         self.codes[inside] = codes + 1
@@ -52,7 +52,7 @@ class FmIndex:
 
     def _suffixes(self, depth: int) -> np.ndarray:
         """Places of suffixes sorted by their first ``depth`` words or more."""
-        rank, span = self.codes, 1
+        rank, span = self.codes.astype(np.int64), 1
         order = np.argsort(rank)
         while span < min(depth, self.n):
             after = np.zeros(self.n, np.int64)

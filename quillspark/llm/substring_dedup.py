@@ -8,8 +8,9 @@ whose whole content occurs twice is all repeats. For the others, each distinct c
 shard builds an FM-index over its contents and streams them through backward search, reporting the windows
 that occur at two places or more.
 
-A minimizer with more than ``HOT`` distinct contents (a passage in very many surroundings) does not fit a
-shard; its windows are counted by hash in a grouped sum instead, which is as exact.
+A minimizer with more than ``CROWD`` distinct contents (a passage in very many surroundings) does not fit a shard:
+its contents are cut into their windows, which are dealt on by a hash of the window and searched in shards as
+contents of one window each, so that no shard grows with a passage's frequency.
 
 Words are runs without space and 0x09 to 0x0D, compared unchanged. Defined results: a null text has no words;
 windows repeat across rows and within one row; repeated rows repeat each other; texts shorter than a window
@@ -30,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import scratch_table, slices
+from quillspark.llm.common import fresh, scratch_table, slices
 from quillspark.llm.fm_index import FmIndex, repeated_windows
 
 WINDOW, GRAM = 35, 8
-#: Distinct contents in a shard, and of one minimizer before its windows are counted by hash.
-SHARD, HOT = 16_384, 8_192
+#: Distinct contents in a shard, and of one minimizer before its windows are dealt one by one.
+SHARD, CROWD = 16_384, 8_192
 LEAST_ID = -(1 << 63)
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 
@@ -160,25 +161,24 @@ def _search_shard(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = {k: [] for k in ("minimizer", "content", "n", "place", "h1", "h2")}
-        for m, c, n, words in zip(*(batch.column(k).to_pylist() for k in ("minimizer", "content", "n", "words")), strict=True):
-            hashes = np.frombuffer(words, np.uint64)
-            powers = (_powers(BASE_WORD, WINDOW), _powers(BASE_BYTE, WINDOW))
-            runs = np.lib.stride_tricks.sliding_window_view(hashes, WINDOW)
-            out["h1"].append(_mix((runs * powers[0]).sum(axis=1, dtype=np.uint64)).view(np.int64))
-            out["h2"].append(_mix((_mix(runs) * powers[1]).sum(axis=1, dtype=np.uint64)).view(np.int64))
-            for k, v in (("minimizer", m), ("content", c), ("n", n)):
-                out[k].append(np.full(len(runs), v))
-            out["place"].append(np.arange(len(runs)))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *v]).astype(np.int64)) for v in out.values()], names=list(out))
-
-
-def _rewrite(kept: list[str], text: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each window of each content: where it lies, its two hashes and its words."""
+    for batch in slices(batches, "words", 1 << 18):
+        parts = [np.frombuffer(w, np.uint64) for w in batch.column("words").to_pylist()]
+        runs = np.concatenate([np.lib.stride_tricks.sliding_window_view(p, WINDOW) for p in parts])
+        sizes = [len(p) - WINDOW + 1 for p in parts]
+        first = _mix((runs * _powers(BASE_WORD, WINDOW)).sum(axis=1, dtype=np.uint64)).view(np.int64)
+        second = _mix((_mix(runs) * _powers(BASE_BYTE, WINDOW)).sum(axis=1, dtype=np.uint64)).view(np.int64)
+        place = np.arange(len(runs)) - np.repeat(np.cumsum([0, *sizes])[:-1], sizes)
+        named = [pa.array(np.repeat(batch.column(c).to_numpy(), sizes)) for c in ("minimizer", "content", "n")]
+        words = pa.array([run.tobytes() for run in runs], pa.binary())
+        yield pa.RecordBatch.from_arrays([*named, pa.array(place), pa.array(first), pa.array(second), words], names=["minimizer", "content", "n", "place", "h1", "h2", "words"])
+
+
+def _rewrite(kept: list[str], text: str, found: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
             out, n_words, n_removed = [], [], []
-            for value, hits in zip(batch.column(text).to_pylist(), batch.column("_hits"), strict=True):
+            for value, hits in zip(batch.column(text).to_pylist(), batch.column(found), strict=True):
                 words = (value or "").encode().split()
                 n_words.append(len(words))
                 if hits.is_valid:
@@ -207,7 +207,27 @@ def _contents_with_words(source: DataFrame, contents: DataFrame) -> DataFrame:
     return named.mapInArrow(_content_rows, "minimizer long, content long, n long, words binary")
 
 
-def repeated_hits(source: DataFrame, shard: int = SHARD, hot: int = HOT) -> DataFrame:
+def _searched(contents: DataFrame, deal: str, shard: int) -> DataFrame:
+    """``minimizer, content, mask`` of contents (``minimizer, content, n, words``) that occur once, from shards dealt
+    by the column ``deal``."""
+    n_shards = -(-contents.count() // shard) or 1
+    shards = contents.select("minimizer", "content", "n", "words", F.pmod(F.xxhash64(deal), F.lit(n_shards)).alias("shard"))
+    return shards.groupBy("shard").applyInPandas(lambda frame: _search_shard(frame), "minimizer long, content long, mask long")
+
+
+def _crowd_masks(words: DataFrame, shard: int) -> DataFrame:
+    """``minimizer, content, mask`` of the contents of crowded minimizers, window by window."""
+    places = scratch_table(words.mapInArrow(_window_rows, "minimizer long, content long, n long, place long, h1 long, h2 long, words binary"), "windows")
+    windows = places.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.first("words").alias("words"))
+    windows = scratch_table(windows.select(F.col("h1").alias("minimizer"), F.col("h2").alias("content"), "n", "words"), "distinct-windows")
+    again = windows.where("n > 1").select("minimizer", "content")
+    again = again.union(_searched(windows, "minimizer", shard).where("mask <> 0").select("minimizer", "content"))
+    again = scratch_table(again.toDF("h1", "h2"), "repeated-windows")
+    hit = places.where("n = 1").select("minimizer", "content", "place", "h1", "h2").join(again, ["h1", "h2"])
+    return hit.groupBy("minimizer", "content").agg(F.expr("bit_or(shiftleft(1L, cast(place as int)))").alias("mask"))
+
+
+def repeated_hits(source: DataFrame, shard: int = SHARD, crowd: int = CROWD) -> DataFrame:
     """``id, print, first, windows, mask``: regions with repeated windows, of ``id, print, text`` rows."""
     found = scratch_table(source.mapInArrow(_region_rows, REGION), "regions")
     counts = found.groupBy("minimizer").agg(F.count("*").alias("places"), F.min("content").alias("least"), F.max("content").alias("most")).where("places > 1")
@@ -216,31 +236,28 @@ def repeated_hits(source: DataFrame, shard: int = SHARD, hot: int = HOT) -> Data
     found = scratch_table(found.join(counts, "minimizer"), "shared-regions")
     contents = found.where("not alike").groupBy("minimizer", "content").agg(F.count("*").alias("n"), F.min(F.struct("id", "print", "first", "windows")).alias("place"))
     contents = scratch_table(contents, "contents")
-    n_shards = -(-contents.count() // shard) or 1
-    sizes = contents.groupBy("minimizer").agg(F.count("*").alias("size")).where(F.col("size") > hot)
     # the same content may be cut out of equal rows more than once
-    words = _contents_with_words(source, contents).join(sizes, "minimizer", "left").dropDuplicates(["minimizer", "content"])
-    words = scratch_table(words, "content-words")
-    shards = words.where("size is null").drop("size").withColumn("shard", F.pmod(F.xxhash64("minimizer"), F.lit(n_shards)))
-    searched = shards.groupBy("shard").applyInPandas(lambda frame: _search_shard(frame), "minimizer long, content long, mask long")
-    places = words.where("size is not null").mapInArrow(_window_rows, "minimizer long, content long, n long, place long, h1 long, h2 long")
-    again = places.groupBy("minimizer", "h1", "h2").agg(F.sum("n").alias("n")).where("n > 1")
-    by_hash = places.where("n = 1").join(again.drop("n"), ["minimizer", "h1", "h2"]).groupBy("minimizer", "content").agg(F.expr("bit_or(shiftleft(1L, cast(place as int)))").alias("mask"))
-    masks = searched.unionByName(by_hash).where("mask <> 0")
+    words = scratch_table(_contents_with_words(source, contents).dropDuplicates(["minimizer", "content"]), "content-words")
+    crowded = scratch_table(contents.groupBy("minimizer").agg(F.count("*").alias("size")).where(F.col("size") > crowd).select("minimizer"), "crowded")
+    masks = _searched(words.join(crowded, "minimizer", "left_anti"), "minimizer", shard)
+    if crowded.count():
+        masks = masks.unionByName(_crowd_masks(words.join(crowded, "minimizer", "left_semi"), shard))
+    masks = scratch_table(masks.where("mask <> 0"), "masks")
     whole = found.where("alike").select("id", "print", "first", "windows", F.lit(-1).cast("long").alias("mask"))
     copies = contents.where("n > 1").select("minimizer", "content", F.lit(-1).cast("long").alias("mask"))
     marked = found.where("not alike").join(masks.unionByName(copies), ["minimizer", "content"]).select("id", "print", "first", "windows", "mask")
     return whole.unionByName(marked)
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shard: int = SHARD, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shard: int = SHARD, crowd: int = CROWD) -> DataFrame:
     """The documents with every word of a repeated window removed, ``n_words`` before and ``n_removed``."""
-    kept = [c for c in docs.columns if c not in ("n_words", "n_removed")]
+    kept = [c for c in docs.columns if c.lower() not in ("n_words", "n_removed")]
+    id_name, print_name, hits_name = fresh(docs.columns, "_id", "_print", "_hits")
     key = (F.coalesce(F.col(doc_id).cast("long"), F.lit(LEAST_ID)), F.xxhash64(F.col(text)))
     source = docs.select(key[0].alias("id"), key[1].alias("print"), F.col(text).cast("string").alias("text"))
-    hits = repeated_hits(source, shard, hot).distinct().groupBy("id", "print").agg(F.collect_list(F.struct("first", "windows", "mask")).alias("_hits"))
-    hits = hits.withColumnsRenamed({"id": "_id", "print": "_print"})
-    joined = docs.select(*kept, key[0].alias("_id"), key[1].alias("_print")).join(hits, ["_id", "_print"], "left").select(*kept, "_hits")
+    hits = repeated_hits(source, shard, crowd).distinct().groupBy("id", "print").agg(F.collect_list(F.struct("first", "windows", "mask")).alias(hits_name))
+    hits = hits.withColumnsRenamed({"id": id_name, "print": print_name})
+    joined = docs.select(*kept, key[0].alias(id_name), key[1].alias(print_name)).join(hits, [id_name, print_name], "left").select(*kept, hits_name)
     fields = [T.StructField(f.name, f.dataType, True) for f in docs.schema if f.name in kept]
     out = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return joined.mapInArrow(_rewrite(kept, text), out)
+    return joined.mapInArrow(_rewrite(kept, text, hits_name), out)

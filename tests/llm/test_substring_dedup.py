@@ -50,8 +50,8 @@ def test_words_hash_alike_wherever_they_stand():
     assert hashes[0] == hashes[2] == hashes[4] and hashes[1] == hashes[5] and len(set(hashes.tolist())) == 3
 
 
-@pytest.mark.parametrize(("shard", "hot"), [(16_384, 8_192), (8, 3)])
-def test_removal_equals_brute_force(spark, shard, hot):
+@pytest.mark.parametrize(("shard", "crowd"), [(16_384, 8_192), (8, 3)])
+def test_removal_equals_brute_force(spark, shard, crowd):
     rng = random.Random(11)
     pool = [f"w{i}" for i in range(500)] + ["É", "a,b"]
     passages = [rng.choices(pool, k=k) for k in (35, 36, 50, 120, 34)]
@@ -67,6 +67,6 @@ def test_removal_equals_brute_force(spark, shard, hot):
         rows.append((i, rng.choice([" ", "\n", "\t "]).join(w)))
     rows += [(80, "la " * 60), (81, None), (82, ""), (83, rows[3][1]), (3, rows[3][1]), (None, rows[5][1]), (5, " ".join(passages[3]))]
     df = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, n_words double").repartition(5)
-    got = [(r.doc_id, r.n_words, r.n_removed, r.text) for r in s.remove_repeats(df, shard=shard, hot=hot).collect()]
+    got = [(r.doc_id, r.n_words, r.n_removed, r.text) for r in s.remove_repeats(df, shard=shard, crowd=crowd).collect()]
     assert sorted(got, key=str) == brute(rows)
     assert s.remove_repeats(df.limit(0)).count() == 0
