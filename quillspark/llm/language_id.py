@@ -8,30 +8,28 @@ else reads whole texts of all rows.
 
 Defined results: ``und`` with score 0 for a null text, one without a letter, or where no language was learnt;
 otherwise the language of highest probability (the first in order on ties) and its posterior under equal
-priors as the score. Letters are lower-cased; a run of letters over ``CUT`` long is cut every ``CUT`` letters.
-Rows with a null id, repeated rows and empty tables need no care. ``held_out`` rows never teach.
+priors as the score. Words are runs of letters, lower-cased, of any length: probabilities are rescaled along the
+way. Rows with a null id, repeated rows and empty tables need no care. ``held_out`` rows never teach.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.llm.common import scratch_table, slices
 
-WORD = re.compile(r"[^\W\d_]+")
-CUT = 40
-#: Least probability of a piece or an unknown character: CUT of them stay above the least positive double.
-FLOOR = 1e-7
+NOT_LETTERS = r"[^\p{L}]+"
+#: Least probability of a piece or an unknown character, and letters between two rescalings.
+FLOOR, STRIDE = 1e-7, 16
 SAMPLE_PER_LANGUAGE, ROUNDS, SMOOTHING = 3000, 2, 0.01
 #: Distinct words remembered per Python worker.
 MEMO = 100_000
@@ -50,27 +48,28 @@ def vocabulary(path: str) -> tuple[dict[str, int], int]:
     return {p: i for i, p in enumerate(kept)}, max(map(len, kept))
 
 
-def words_of(text: str | None) -> list[str]:
-    found = [w for w in WORD.findall((text or "").lower()) if w.isalpha() or any(map(str.isalpha, w))]
-    if any(len(w) > CUT for w in found):
-        found = [w[i : i + CUT] for w in found for i in range(0, len(w), CUT)]
-    return found
+def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct words of all texts; each word's number in order ('' may be one); where each text's words begin."""
+    lists = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), NOT_LETTERS)
+    coded = lists.flatten().dictionary_encode()
+    offsets = lists.offsets.to_numpy()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), offsets[:-1] - offsets[0]
 
 
-def _lattice(words: list[str], path: str) -> dict[tuple[int, int], np.ndarray]:
-    """For words of one length: per (start, end) the piece of each word, or -1. A character that is no piece
-    counts as unknown and gets the number after the last piece."""
+def _lattice(words: list[str], path: str) -> Iterator[tuple[int, list[tuple[int, np.ndarray]]]]:
+    """For words of one length: per end the starts and the piece of each word from there, or -1. A character that
+    is no piece counts as unknown and gets the number after the last piece."""
     pieces, longest = vocabulary(path)
     marked = [START + w for w in words]
-    out = {}
     for end in range(1, len(marked[0]) + 1):
+        out = []
         for start in range(max(0, end - longest), end):
             found = np.array([pieces.get(w[start:end], -1) for w in marked])
             if end - start == 1:
                 found[found < 0] = len(pieces)
             if (found >= 0).any():
-                out[start, end] = found
-    return out
+                out.append((start, found))
+        yield end, out
 
 
 def _by_length(words: list[str]) -> Iterator[np.ndarray]:
@@ -80,34 +79,61 @@ def _by_length(words: list[str]) -> Iterator[np.ndarray]:
 
 
 def word_scores(words: list[str], table: np.ndarray, path: str) -> np.ndarray:
-    """Log-probability of each word in each language. ``table``: a row per piece, one for unknown characters
-    and a last row of zeros (number -1)."""
-    out = np.empty((len(words), table.shape[1]))
+    """Log-probability of each word in each language; 0 for ''. ``table``: a row per piece, one for unknown
+    characters and a last row of zeros (number -1)."""
+    out = np.zeros((len(words), table.shape[1]))
+    longest = vocabulary(path)[1]
     for at in _by_length(words):
         some = [words[i] for i in at]
-        alpha = np.zeros((len(some[0]) + 2, len(some), table.shape[1]))
+        if not some[0]:
+            continue
+        alpha, scale = np.zeros((len(some[0]) + 2, len(some), table.shape[1])), 0.0
         alpha[0] = 1
-        for (start, end), found in _lattice(some, path).items():
-            alpha[end] += alpha[start] * table[found]
-        out[at] = np.log(alpha[len(some[0]) + 1])
+        for end, edges in _lattice(some, path):
+            for start, found in edges:
+                alpha[end] += alpha[start] * table[found]
+            if end % STRIDE == 0:
+                held = alpha[max(0, end - longest + 1) : end + 1]
+                top = held.max(axis=0)
+                held /= top
+                scale = scale + np.log(top)
+        out[at] = np.log(alpha[-1]) + scale
     return out
 
 
+def _summed(edges: list[tuple[int, int, np.ndarray]], places: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over all paths from place 0 to each place (edges in order of their ends, with probabilities), and the
+    logarithm by which each is to be scaled."""
+    size = len(edges[0][2])
+    total, scale, now = np.zeros((places, size)), np.zeros((places, size)), np.zeros(size)
+    total[0] = 1
+    for i, (start, end, p) in enumerate(edges):
+        total[end] += total[start] * p
+        if i + 1 == len(edges) or edges[i + 1][1] != end:  # the place is complete
+            if end % STRIDE == 0:
+                held = slice(max(0, end - longest + 1), end + 1)
+                top = total[held].max(axis=0)
+                total[held] /= top
+                now = now + np.log(top)
+                scale[held] = now
+            scale[end] = now
+    return total, scale
+
+
 def expected_counts(words: list[str], counts: np.ndarray, probabilities: np.ndarray, path: str) -> np.ndarray:
     """Expected uses of each piece over all segmentations of the words of one language."""
     total = np.zeros(len(probabilities))
+    longest = vocabulary(path)[1]
     for at in _by_length(words):
         some, n = [words[i] for i in at], len(words[at[0]]) + 1
-        lattice = _lattice(some, path)
-        alpha, beta = np.zeros((n + 1, len(some))), np.zeros((n + 1, len(some)))
-        alpha[0] = beta[n] = 1
-        for (start, end), found in lattice.items():
-            alpha[end] += alpha[start] * probabilities[found]
-        for (start, end), found in sorted(lattice.items(), key=lambda x: -x[0][0]):
-            beta[start] += beta[end] * probabilities[found]
-        weight = counts[at] / alpha[n]
-        for (start, end), found in lattice.items():
-            np.add.at(total, found, alpha[start] * probabilities[found] * beta[end] * weight)
+        edges = [(start, end, found) for end, starts in _lattice(some, path) for start, found in starts]
+        uses = [probabilities[found] for _, _, found in edges]
+        alpha, left = _summed([(a, b, p) for (a, b, _), p in zip(edges, uses, strict=True)], n + 1, longest)
+        mirrored = sorted(((n - b, n - a, p) for (a, b, _), p in zip(edges, uses, strict=True)), key=lambda e: e[1])
+        beta, right = (x[::-1] for x in _summed(mirrored, n + 1, longest))
+        whole = np.log(alpha[n]) + left[n]
+        for (start, end, found), p in zip(edges, uses, strict=True):
+            np.add.at(total, found, alpha[start] * p * beta[end] * np.exp(left[start] + right[end] - whole) * counts[at])
     return total
 
 
@@ -117,10 +143,13 @@ def held_out(doc_id: Column) -> Column:
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
-        counts: Counter[tuple[str, str]] = Counter()
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            counts.update((lang, w) for w in words_of(text))
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["lang", "word", "n"])
+        words, codes, starts = words_of(batch.column("text"))
+        langs = batch.column("lang").dictionary_encode()
+        sizes = np.diff(np.append(starts, len(codes)))
+        both, n = np.unique(np.repeat(langs.indices.to_numpy(), sizes) * len(words) + codes, return_counts=True)
+        kept = np.array([bool(w) for w in words])[both % len(words)]
+        both, n = both[kept], n[kept]
+        yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(both // len(words))), pa.array(words, pa.string()).take(pa.array(both % len(words))), pa.array(n)], names=["lang", "word", "n"])
 
 
 def learn(labelled: DataFrame, path: str, sample_per_language: int = SAMPLE_PER_LANGUAGE, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
@@ -160,21 +189,22 @@ def learn(labelled: DataFrame, path: str, sample_per_language: int = SAMPLE_PER_
 def _predict(languages: list[str], table: np.ndarray, path: str, kept: list[str], text: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, int] = {}
-        scores = np.empty((0, len(languages)), np.float32)
+        scores = np.empty((0, len(languages)))
         for batch in slices(batches, text, 1 << 20):
-            rows = [words_of(t) if languages else [] for t in batch.column(text).to_pylist()]
+            words, codes, starts = words_of(batch.column(text))
             if len(memo) > MEMO:
                 memo, scores = {}, scores[:0]
-            new = list({w for row in rows for w in row if w not in memo})
+            new = [w for w in words if w not in memo]
             memo.update(zip(new, range(len(memo), len(memo) + len(new)), strict=True))
-            if new:
-                scores = np.concatenate([scores, word_scores(new, table, path).astype(np.float32)])
-            pred, best = [UNDETERMINED] * len(rows), np.zeros(len(rows))
-            for i, row in enumerate(rows):
-                if row:
-                    total = scores[[memo[w] for w in row]].sum(axis=0, dtype=np.float64)
-                    top = int(total.argmax())
-                    pred[i], best[i] = languages[top], 1 / np.exp(total - total[top]).sum()
+            if new and languages:
+                scores = np.concatenate([scores, word_scores(new, table, path)])
+            written = np.add.reduceat(np.array([bool(w) for w in words])[codes], starts, dtype=np.int64) > 0
+            pred, best = np.full(batch.num_rows, UNDETERMINED, object), np.zeros(batch.num_rows)
+            if languages:
+                total = np.add.reduceat(scores[[memo[w] for w in words]][codes], starts, axis=0)
+                total -= total.max(axis=1, keepdims=True)
+                pred[written] = np.array(languages, object)[total.argmax(axis=1)][written]
+                best[written] = 1 / np.exp(total).sum(axis=1)[written]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(pred, pa.string()), pa.array(best)], names=[*kept, "lang_pred", "score"])
 
     return run

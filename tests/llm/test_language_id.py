@@ -41,6 +41,29 @@ def test_forward_sums_all_segmentations():
     assert math.isclose(sum(counts[i] * n for i, n in lengths.items()), 2 * len("▁the"))
 
 
+def test_long_words_are_neither_cut_nor_lost():
+    """5,000 letters without a space: the forward sum in logarithms, and pieces that cover each letter once."""
+    rng = np.random.default_rng(1)
+    pieces, longest = li.vocabulary(PATH)
+    table = np.maximum(rng.random((len(pieces) + 2, 2)) / len(pieces), li.FLOOR)
+    table[-1] = 0
+    for word in ("".join(rng.choice(list("abdeinrst"), 5000)), "ก" * 300, "x" * 17):
+        marked = li.START + word
+        log_sum = np.full((len(marked) + 1, 2), -np.inf)
+        log_sum[0] = 0
+        for end in range(1, len(marked) + 1):
+            for start in range(max(0, end - longest), end):
+                piece = pieces.get(marked[start:end], len(pieces) if end == start + 1 else None)
+                if piece is not None:
+                    log_sum[end] = np.logaddexp(log_sum[end], log_sum[start] + np.log(table[piece]))
+        assert np.allclose(li.word_scores(["short", word], table, PATH)[1], log_sum[-1], rtol=1e-9)
+        counts = li.expected_counts([word], np.array([3.0]), table[:, 0], PATH)
+        lengths = np.zeros(len(table))
+        lengths[list(pieces.values())] = [len(p) for p in pieces]
+        lengths[len(pieces)] = 1
+        assert math.isclose(counts @ lengths, 3 * len(marked), rel_tol=1e-9)
+
+
 def test_held_out_accuracy(spark, sf_dir):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = li.identify(docs, PATH).join(docs.select("doc_id", "lang"), "doc_id").collect()
@@ -50,7 +73,7 @@ def test_held_out_accuracy(spark, sf_dir):
 
 
 def test_rows_without_letters(spark):
-    rows = [(1, "the cat", "en"), (2, "le chat", "fr"), (3, None, "en"), (4, "", None), (5, "12 !_²", "en"), (6, "x" * 500, "fr"), (None, "der hund", None), (7, "the the", "en")]
+    rows = [(1, "the cat", "en"), (2, "le chat", "fr"), (3, None, "en"), (4, "", None), (5, "12 !_²", "en"), (6, "x" * 500 + "ä" * 5000, "fr"), (None, "der hund", None), (7, "the the", "en")]
     df = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, lang string, score double")
     got = {r.doc_id: r for r in li.identify(df, PATH).collect()}
     assert len(got) == 8 and all(got[i].lang_pred == "und" and got[i].score == 0 for i in (3, 4, 5))
