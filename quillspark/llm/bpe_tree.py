@@ -1,11 +1,11 @@
-"""BPE encoding and decoding, with tree concatenation for long unsplit text (operator 3).
+"""BPE encoding and decoding by tree concatenation (operator 3).
 
-Ordinary documents are encoded word by word: each distinct word is encoded once per task by the library and
-remembered (a bounded memo). A document holding a run of at least ``long_run`` characters without white
-space takes the second way: its long words are cut into chunks that are encoded in parallel as rows of
-their own, and neighbours are then joined pairwise, level by level. At each join a window of tokens on both
-sides is re-encoded and grown until its outer tokens equal those it replaces; since BPE by merge ranks is
-decided by pairs of neighbouring tokens, the joined sequence is then the library's own.
+A text of ``long_text`` characters or more is cut every ``chunk`` characters, wherever that falls; the chunks are
+encoded in parallel, each on its own, and neighbours are then joined pairwise, level by level. Where a cut fell
+inside a word, a window of tokens on both sides of the join is re-encoded and grown until its outer tokens equal
+those it replaces; since BPE by merge ranks is decided by pairs of neighbouring tokens, the joined sequence is
+then the library's own. Words end where the library's pre-tokenizer ends them, so no window leaves its word.
+Shorter texts are encoded where they lie, each distinct word of a task once.
 
 Output per row: ``n_tokens``, ``ids`` (decimal, joined by one space) and ``decoded`` (what the library's
 ``decode(ids, skip_special_tokens=False)`` gives). Null text counts as empty: 0 tokens, empty strings.
@@ -22,15 +22,14 @@ from functools import cached_property
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
 from quillspark.llm.common import slices
 from quillspark.llm.token_counts import BLANKS, LETTERS, NUMBERS, settled, special_strings
 
-LONG_RUN = 4096
-CHUNK = 2048
+LONG_TEXT, CHUNK = 16_384, 4096
 #: Distinct words remembered per Python worker.
 MEMO = 100_000
 WORD_PATTERN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{BLANKS}{LETTERS}{NUMBERS}]+")
@@ -119,12 +118,23 @@ class WordBpe:
                 return left[: len(left) - len(a)] + window + right[len(b) :]
             k *= 2
 
-    def join_all(self, parts: list[list[int]]) -> list[int]:
-        """Neighbours joined pairwise, level by level; the last part ends the word."""
+    def join_parts(self, left: list[int], right: list[int]) -> list[int]:
+        """Tokens of two neighbouring parts of which the left one ends inside a word."""
+        a = next((i for i in range(len(left), 0, -1) if self.ends_word(left[i - 1])), 0)
+        b = next((i for i, t in enumerate(right, 1) if self.ends_word(t)), len(right))
+        last = b > 0 and self.ends_word(right[b - 1])
+        return left[:a] + self.join(left[a:], right[:b], last) + right[b:]
+
+    def ends_word(self, token: int) -> bool:
+        name = self.names[token]
+        return name.endswith(self.suffix) or name in self.ids_of_special
+
+    def join_all(self, parts: list[tuple[list[int], bool]]) -> list[int]:
+        """Parts (tokens, and whether the part ends inside a word) joined pairwise, level by level."""
         while len(parts) > 1:
-            pairs = [(parts[i : i + 2], i + 2 >= len(parts)) for i in range(0, len(parts), 2)]
-            parts = [self.join(*p, last) if len(p) == 2 else p[0] for p, last in pairs]
-        return parts[0] if parts else []
+            pairs = [parts[i : i + 2] for i in range(0, len(parts), 2)]
+            parts = [((self.join_parts(p[0][0], p[1][0]) if p[0][1] else p[0][0] + p[1][0]), p[1][1]) if len(p) == 2 else p[0] for p in pairs]
+        return parts[0][0] if parts else []
 
 
 _loaded: dict[str, WordBpe] = {}
@@ -162,9 +172,33 @@ def _encode(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     return run
 
 
-PARTS = "row long, doc_id long, word int, part int, text string, kind int"
-#: Kinds of parts: words that are short (joined by a space), an inner chunk, a last chunk, a special id.
-SHORT, INNER, LAST, SPECIAL = range(4)
+PARTS = "row long, doc_id long, part int, text string, kind int"
+#: Kinds of parts: one that ends with a word's end, one that ends inside a word, a special token's number.
+CLOSED, OPEN, SPECIAL = range(3)
+
+
+def cut(pieces: list[str | int], chunk: int) -> Iterator[tuple[str, int]]:
+    """Parts of ``chunk`` characters, words joined by spaces; a cut falls where it falls. Never none at all."""
+    words: list[str] = []
+    room, some = chunk, False
+    for piece in pieces:
+        some = True
+        if isinstance(piece, int):
+            if words:
+                yield " ".join(words), CLOSED
+            yield str(piece), SPECIAL
+            words, room = [], chunk
+            continue
+        while len(piece) > room:
+            yield " ".join([*words, piece[:room]]), OPEN
+            piece, words, room = piece[room:], [], chunk
+        words.append(piece)
+        room -= len(piece)
+        if not room:
+            yield " ".join(words), CLOSED
+            words, room = [], chunk
+    if words or not some:
+        yield " ".join(words), CLOSED
 
 
 def _parts(path: str, chunk: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -172,22 +206,8 @@ def _parts(path: str, chunk: int) -> Callable[[Iterator[pd.DataFrame]], Iterator
         bpe = load(path)
         for frame in frames:
             for row, doc_id, text in zip(frame["row"], frame["doc_id"], frame["text"], strict=True):
-                out, short = [], []
-                for piece in [*bpe.pieces(text), None]:
-                    if isinstance(piece, str) and len(piece) <= chunk:
-                        short.append(piece)
-                        if len(short) < 2000:
-                            continue
-                    if short:
-                        out.append((" ".join(short), SHORT))
-                        short = []
-                    if isinstance(piece, int):
-                        out.append((str(piece), SPECIAL))
-                    elif isinstance(piece, str) and len(piece) > chunk:
-                        cut = [piece[i : i + chunk] for i in range(0, len(piece), chunk)]
-                        out.append(([(c, LAST if i == len(cut) - 1 else INNER) for i, c in enumerate(cut)], None))
-                rows = [(w, p, t, k) for w, x in enumerate(out) for p, (t, k) in enumerate(x[0] if x[1] is None else [x])]
-                yield pd.DataFrame({"row": row, "doc_id": doc_id, "word": [r[0] for r in rows], "part": [r[1] for r in rows], "text": [r[2] for r in rows], "kind": [r[3] for r in rows]}).astype({"doc_id": "Int64"})
+                parts = list(cut(bpe.pieces(text), chunk))
+                yield pd.DataFrame({"row": row, "doc_id": doc_id, "part": range(len(parts)), "text": [t for t, _ in parts], "kind": [k for _, k in parts]}).astype({"doc_id": "Int64"})
 
     return run
 
@@ -196,14 +216,14 @@ def _encode_parts(path: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.D
     def one(bpe: WordBpe, text: str, kind: int) -> list[int]:
         if kind == SPECIAL:
             return [int(text)]
-        if kind == SHORT:
-            return [i for found in bpe.encode_words(text.split(" ")) for i in found]
-        return bpe.encode_chunk(bpe.mapped(text), kind == LAST)
+        words = text.split(" ") if text else []
+        tail = bpe.encode_chunk(bpe.mapped(words.pop()), False) if kind == OPEN else []
+        return [i for found in bpe.encode_words(words) for i in found] + tail
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = load(path)
         for frame in frames:
-            yield frame[["row", "doc_id", "word", "part"]].assign(tokens=[one(bpe, t, k) for t, k in zip(frame["text"], frame["kind"], strict=True)])
+            yield frame[["row", "doc_id", "part", "kind"]].assign(tokens=[one(bpe, t, k) for t, k in zip(frame["text"], frame["kind"], strict=True)])
 
     return run
 
@@ -211,30 +231,24 @@ def _encode_parts(path: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.D
 def _join_row(path: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         bpe = load(path)
-        frame = frame.sort_values(["word", "part"])
-        ids: list[int] = []
-        for _, parts in frame.groupby("word", sort=True):
-            ids += bpe.join_all([list(map(int, t)) for t in parts["tokens"]])
+        frame = frame.sort_values("part")
+        ids = bpe.join_all([(list(map(int, t)), k == OPEN) for t, k in zip(frame["tokens"], frame["kind"], strict=True)])
         out = pd.DataFrame({"doc_id": [frame["doc_id"].iloc[0]], "n_tokens": [len(ids)], "ids": [" ".join(map(str, ids))], "decoded": [" ".join(bpe.names[i] for i in ids)]})
         return out.astype({"doc_id": "Int64"})
 
     return run
 
 
-def has_long_run(text: Column, long_run: int) -> Column:
-    """A run of ``long_run`` characters that are not ASCII white space (only these can hold a word that long)."""
-    return F.coalesce((F.length(text) >= long_run) & text.rlike(rf"(?<!\S)\S{{{long_run}}}"), F.lit(False))
-
-
-def encode_decode(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", long_run: int = LONG_RUN, chunk: int = CHUNK) -> DataFrame:
+def encode_decode(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", long_text: int = LONG_TEXT, chunk: int = CHUNK) -> DataFrame:
     """``doc_id, n_tokens, ids, decoded`` for every row; see the module for the two ways."""
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    usual = source.where(~has_long_run(F.col("text"), long_run)).mapInArrow(_encode(tokenizer_path), SCHEMA)
+    long = F.coalesce(F.length("text") >= long_text, F.lit(False))
+    usual = source.where(~long).mapInArrow(_encode(tokenizer_path), SCHEMA)
     parts = (
-        source.where(has_long_run(F.col("text"), long_run))
+        source.where(long)
         .withColumn("row", F.monotonically_increasing_id())
         .mapInPandas(_parts(tokenizer_path, chunk), PARTS)
-        .repartition("row", "word", "part")
-        .mapInPandas(_encode_parts(tokenizer_path), "row long, doc_id long, word int, part int, tokens array<int>")
+        .repartition("row", "part")
+        .mapInPandas(_encode_parts(tokenizer_path), "row long, doc_id long, part int, kind int, tokens array<int>")
     )
     return usual.unionByName(parts.groupBy("row").applyInPandas(_join_row(tokenizer_path), SCHEMA))

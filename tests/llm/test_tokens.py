@@ -13,7 +13,8 @@ SCHEMA = "doc_id long, text string, n_tokens int"
 TEXTS = [
     None, "", " ", "\n\n  a", "Hello  world's end.\n\tNew line — café İstanbul 12½", "it's we'll I'M 'sx",
     "<|endoftext|> a <|startoftext|>b<|endoftext|>", "日本語 text नमस्ते \U0001f600‍\U0001f525", "é Å Σας", "a\x1cb\x85c d", "x" * 9001,
-    "ab" * 4000 + " tail " + "éć" * 2500, "the " * 500, "the " * 500, "--==" * 1500,
+    "ab" * 4000 + " tail " + "éć" * 2500, "the " * 500, "the " * 500, "--==" * 1500, " \n" * 9000,
+    " ".join(f"Don't stop-{i} <|startoftext|> naïve人 unforgettable" for i in range(900)),
 ]
 
 
@@ -28,10 +29,10 @@ def test_counts_equal_the_library(spark):
     assert token_counts.token_counts(rows(spark, []), BYTE).count() == 0
 
 
-@pytest.mark.parametrize("long_run", [64, 4096])
-def test_encode_decode_equals_the_library(spark, long_run):
+@pytest.mark.parametrize(("long_text", "chunk"), [(1, 7), (64, 32), (4096, 2048), (16_384, 4096)])
+def test_encode_decode_equals_the_library(spark, long_text, chunk):
     tok = Tokenizer.from_file(WORD)
-    out = bpe_tree.encode_decode(rows(spark, TEXTS), WORD, long_run=long_run, chunk=long_run // 2)
+    out = bpe_tree.encode_decode(rows(spark, TEXTS), WORD, long_text=long_text, chunk=chunk)
     want = []
     for t in TEXTS:
         ids = tok.encode(t or "", add_special_tokens=False).ids
@@ -46,10 +47,27 @@ def test_joins_of_random_chunks_are_exact():
         for size in (3, 17, 90):
             text = "".join(rng.choices(alphabet, k=700))
             cut = [text[i : i + size] for i in range(0, len(text), size)]
-            parts = [bpe.encode_chunk(bpe.mapped(c), i == len(cut) - 1) for i, c in enumerate(cut)]
+            parts = [(bpe.encode_chunk(bpe.mapped(c), i == len(cut) - 1), i < len(cut) - 1) for i, c in enumerate(cut)]
             assert bpe.join_all(parts) == bpe.encode_words([text])[0]
 
 
+def test_texts_cut_anywhere_are_joined_exactly():
+    bpe, rng = bpe_tree.load(WORD), random.Random(9)
+    library = Tokenizer.from_file(WORD)
+    for _ in range(60):
+        text = "".join(rng.choices("theinadr's .,12é人 " + "<|endoftext|>"[rng.randrange(13)], k=rng.randint(0, 400)))
+        for chunk in (1, 5, 64):
+            parts = []
+            for t, kind in bpe_tree.cut(bpe.pieces(text), chunk):
+                words = t.split(" ") if t else []
+                if kind == bpe_tree.SPECIAL:
+                    parts.append(([int(t)], False))
+                    continue
+                tail = bpe.encode_chunk(bpe.mapped(words.pop()), False) if kind == bpe_tree.OPEN else []
+                parts.append(([i for found in bpe.encode_words(words) for i in found] + tail, kind == bpe_tree.OPEN))
+            assert bpe.join_all(parts) == library.encode(text, add_special_tokens=False).ids
+
+
 def test_words_agree_with_the_library_on_latin_text():
     bpe, split = bpe_tree.load(WORD), token_counts.pre_tokenizer(BYTE)
     library = Tokenizer.from_file(BYTE).pre_tokenizer
