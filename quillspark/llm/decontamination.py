@@ -4,7 +4,7 @@ An item is contained in a document that holds at least ``containment`` of its di
 are partitioned by size; a partition keeps for each item as many of its smallest shingle hashes (a MinHash
 sketch) as a containing document can miss, plus one, so every containing document holds a sketch hash: the
 search loses no item, however short beside the document. Document shingles meet the sketches in one join
-(broadcast while the sketches' counted rows stay within ``BROADCAST_ROWS``, shuffled beyond), and each
+(broadcast while the sketches' counted bytes stay within ``BROADCAST_BYTES``, shuffled beyond), and each
 candidate pair is verified on the shingles themselves.
 
 Words are runs of letters and digits (any character beyond ASCII counts as a letter), lower-cased. An item
@@ -20,12 +20,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import scratch_table
+from quillspark.llm.common import fresh, scratch_table
 
 SHINGLE, CONTAINMENT = 5, 0.8
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Rows of sketches or items (bounded bytes each) that may be broadcast.
-BROADCAST_ROWS = 500_000
+#: Bytes of sketches or items, as counted from the written rows, that may be broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -67,8 +67,11 @@ def _sketches(items: DataFrame) -> DataFrame:
     return kept.select("hash", "item_id").distinct()
 
 
-def _bounded(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _bounded(df: DataFrame) -> DataFrame:
+    """``df``, a written table, with the advice to broadcast it if its values are small together."""
+    of = {"string": lambda c: F.octet_length(c), "array<string>": lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + 16 + F.octet_length(x))}
+    size = sum((F.coalesce(of[kind](c), F.lit(0)) if kind in of else F.lit(8) for c, kind in df.dtypes), F.lit(16))
+    return F.broadcast(df) if (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
 def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", shingle: int = SHINGLE, containment: float = CONTAINMENT) -> DataFrame:
@@ -81,17 +84,21 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", i
     hashed = [_windows(F.col("words"), k, _hash_with(k), "bigint") for k in lengths]
     hashes = F.concat(*hashed) if hashed else F.array().cast("array<bigint>")
     # the search: every document shingle against the sketches
-    candidates = words.select("doc_id", F.explode(hashes).alias("hash")).join(_bounded(sketches, sketches.count()), "hash")
+    candidates = words.select("doc_id", F.explode(hashes).alias("hash")).join(_bounded(sketches), "hash")
     candidates = scratch_table(candidates.select(F.col("doc_id").alias("candidate"), "item_id").distinct(), "candidates")
     # the proof: shared shingles, counted on the words themselves
     pairs = source.join(candidates, F.col("doc_id").eqNullSafe(F.col("candidate"))).select("doc_id", words_of(F.col("text")).alias("words"), "item_id")
-    pairs = pairs.join(_bounded(known, known.count()), "item_id")
+    pairs = pairs.join(_bounded(known), "item_id")
     shared = F.size(F.array_intersect("shingles", _windows(F.col("words"), F.col("k"), _joined, "string")))
     found = pairs.select("doc_id", "item_id", shared.cast("long").alias("n_shared"), F.col("n").cast("long").alias("n_shingles"), "need").where("n_shared >= need")
     return found.select("doc_id", "item_id", "n_shared", "n_shingles", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The documents that contain no item."""
-    leaks = contained_items(docs, items, doc_id, **options).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, F.col(doc_id).eqNullSafe(F.col("_leak")), "left_anti")
+    """The documents that contain no item, with all their columns.
+
+    Defined results: null and wordless texts stay; rows that share an id with a contaminated one go with it (null
+    ids too); with an empty table of items, or of documents, all stay; columns of any name pass."""
+    (leak,) = fresh(docs.columns, "_leak")
+    leaks = contained_items(docs, items, doc_id, **options).select(F.col("doc_id").alias(leak)).distinct()
+    return docs.join(leaks, F.col(doc_id).eqNullSafe(F.col(leak)), "left_anti")

@@ -8,10 +8,10 @@ into one of the next level.
 ``dedup_lines`` feeds the documents in batches of falling id, so that a hash found often enough in earlier
 batches needs nothing from later ones, then drops each frequent line outside the largest document holding it.
 
-Defined results: null text is one empty line; every row counts as a document of its own (rows that share an
-id and the line all keep it if the id is the largest); a null id counts as less than any other; lines whose
-key is shorter than ``min_chars`` always stay; an empty table gives an empty result. Other columns pass;
-input columns named ``n_lines`` or ``n_dropped`` are replaced.
+Defined results: null text is one empty line; rows that share an id are one document to the count (and all keep
+a line if their id is the largest that holds it); a row with a null id is a document of its own, of lesser id
+than any other; lines whose key is shorter than ``min_chars`` always stay; an empty table gives an empty result.
+Other columns pass; input columns named ``n_lines`` or ``n_dropped`` are replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import SPACES, scratch_table, slices
+from quillspark.llm.common import SPACES, fresh, scratch_table, slices
 
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 20, 3, 4, 3
 LEAST_ID = -(1 << 63)
@@ -87,14 +87,14 @@ class LineRuns:
         return self._merged(self.runs).where(F.col("n") >= self.min_docs).select("h", "last")
 
 
-def _rewrite(kept: list[str], text: str, min_chars: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _rewrite(kept: list[str], text: str, drops: str, min_chars: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
             texts = pc.fill_null(batch.column(text), "")
             counts, dropped, new = pc.add(pc.count_substring(texts, "\n"), 1).cast(pa.int64()), [0] * batch.num_rows, {}
-            touched = pc.indices_nonzero(pc.is_valid(batch.column("_drop")))
+            touched = pc.indices_nonzero(pc.is_valid(batch.column(drops)))
             for i in touched.to_pylist():
-                drop = set(batch.column("_drop")[i].as_py())
+                drop = set(batch.column(drops)[i].as_py())
                 lines, at, _, hashes = line_keys(texts.slice(i, 1), min_chars)
                 gone = {p for p, h in zip(at, hashes, strict=True) if h in drop}
                 dropped[i] = len(gone)
@@ -110,20 +110,27 @@ def _rewrite(kept: list[str], text: str, min_chars: int) -> Callable[[Iterator[p
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
     """The documents with ``text`` rewritten, ``n_lines`` before dropping and ``n_dropped``."""
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    doc, drop = fresh(docs.columns, "_doc", "_drop")
     id_or_least = F.coalesce(F.col(doc_id).cast("long"), F.lit(LEAST_ID))
     # batches of falling id: the cuts only set how much each batch holds
     cuts = docs.where(F.col(doc_id).isNotNull()).agg(F.percentile_approx(F.col(doc_id).cast("long"), [k / batches for k in range(1, batches)], 1000)).first()[0] or []
     number = reduce(lambda a, c: a + F.when(F.col("doc") < c, 1).otherwise(0), cuts, F.lit(0))
     source = docs.select(id_or_least.alias("doc"), F.col(text).alias("text")).withColumn("batch", number.cast("int"))
-    lines = scratch_table(source.mapInArrow(_line_rows(min_chars), "h binary, doc long, batch int"), "lines", "batch")
+    lines = source.mapInArrow(_line_rows(min_chars), "h binary, doc long, batch int")
+    # a document's rows are in one batch; only ids that several rows share can repeat a line
+    shared = scratch_table(docs.where(F.col(doc_id).isNotNull()).groupBy(id_or_least.alias("doc")).agg(F.count("*").alias("n")).where("n > 1").select("doc"), "shared-ids")
+    if shared.count():
+        again = lines.join(shared, "doc", "left_semi").distinct().select("h", "doc", "batch")
+        lines = lines.join(shared, "doc", "left_anti").select("h", "doc", "batch").union(again)
+    lines = scratch_table(lines, "lines", "batch")
     runs = LineRuns(min_docs)
     for b in range(len(cuts) + 1):
         runs.add(lines.where(F.col("batch") == b).select("h", "doc"))
     # as a written table the state is dealt anew for the join, so that a frequent line's rows can be split
     frequent = scratch_table(runs.frequent(), "frequent-lines")
-    drops = lines.join(frequent, "h").where("doc < last").groupBy("doc").agg(F.collect_set("h").alias("_drop"))
-    joined = docs.select(*kept, id_or_least.alias("_doc")).join(drops.withColumnRenamed("doc", "_doc"), "_doc", "left").select(*kept, "_drop")
+    drops = lines.join(frequent, "h").where("doc < last").groupBy("doc").agg(F.collect_set("h").alias(drop))
+    joined = docs.select(*kept, id_or_least.alias(doc)).join(drops.withColumnRenamed("doc", doc), doc, "left").select(*kept, drop)
     fields = [T.StructField(f.name, f.dataType, True) for f in docs.schema if f.name in kept]
     out = T.StructType([*fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    return joined.mapInArrow(_rewrite(kept, text, min_chars), out)
+    return joined.mapInArrow(_rewrite(kept, text, drop, min_chars), out)

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import SPACE_CLASS, SPACES
+from quillspark.llm.common import SPACE_CLASS, SPACES, fresh
 
 WINDOW = 5
 SYMBOLS = r"[#*$%&|<>]"
@@ -52,33 +52,34 @@ def _covered(starts: Column) -> Column:
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """Measurements and ``failure_bits`` for every row, from one reading of the text."""
-    kept = [c for c in docs.columns if c not in {*MEASURES, "failure_bits"} and not c.startswith("_q_")]
+    kept = [c for c in docs.columns if c.lower() not in {*MEASURES, "failure_bits"}]
+    q_words, q_lines, q_windows, q_sorted = fresh(docs.columns, "_words", "_lines", "_windows", "_sorted")
     body = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(SPACES))
     lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    n = F.size("_q_words")
+    n = F.size(q_words)
     df = docs.select(
         *kept,
-        F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, SPACE_CLASS + "+")).alias("_q_words"),
-        lines.alias("_q_lines"),
+        F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, SPACE_CLASS + "+")).alias(q_words),
+        lines.alias(q_lines),
         F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
     )
     # each window of five words is hashed once; only rows that repeat a window go on to sort them
-    windows = F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_q_words", i, WINDOW)))
+    windows = F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(q_words, i, WINDOW)))
     df = df.select(
         *kept,
         "n_symbols",
         n.cast("long").alias("n_words"),
-        F.length(F.array_join("_q_words", "")).cast("long").alias("word_chars"),
-        F.size("_q_lines").cast("long").alias("n_lines"),
-        (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long").alias("n_dup_lines"),
-        F.when(n >= WINDOW, windows).otherwise(F.array().cast("array<bigint>")).alias("_q_windows"),
+        F.length(F.array_join(q_words, "")).cast("long").alias("word_chars"),
+        F.size(q_lines).cast("long").alias("n_lines"),
+        (F.size(q_lines) - F.size(F.array_distinct(q_lines))).cast("long").alias("n_dup_lines"),
+        F.when(n >= WINDOW, windows).otherwise(F.array().cast("array<bigint>")).alias(q_windows),
     )
-    repeats = F.size(F.array_distinct("_q_windows")) < F.size("_q_windows")
-    at = F.transform("_q_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-    df = df.withColumn("_q_sorted", F.when(repeats, F.array_sort(at)).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))).drop("_q_windows")
-    again = lambda x, k: (F.get("_q_sorted", k - 1)["h"] == x["h"]) | (F.get("_q_sorted", k + 1)["h"] == x["h"])
-    starts = F.array_sort(F.transform(F.filter("_q_sorted", again), lambda x: x["i"]))
-    df = df.withColumn("n_repeat_words", _covered(starts)).drop("_q_sorted")
+    repeats = F.size(F.array_distinct(q_windows)) < F.size(q_windows)
+    at = F.transform(q_windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    df = df.withColumn(q_sorted, F.when(repeats, F.array_sort(at)).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))).drop(q_windows)
+    again = lambda x, k: (F.get(q_sorted, k - 1)["h"] == x["h"]) | (F.get(q_sorted, k + 1)["h"] == x["h"])
+    starts = F.array_sort(F.transform(F.filter(q_sorted, again), lambda x: x["i"]))
+    df = df.withColumn("n_repeat_words", _covered(starts)).drop(q_sorted)
     bits = reduce(lambda a, b: a.bitwiseOR(b), (F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, (_, rule) in enumerate(RULES)))
     return df.select(*kept, *MEASURES, bits.alias("failure_bits"))
 

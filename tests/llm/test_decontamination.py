@@ -28,9 +28,9 @@ def brute(docs, items):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("limit", [0, 500_000])
+@pytest.mark.parametrize("limit", [0, 64 << 20])
 def test_pairs_equal_brute_force(spark, monkeypatch, limit):
-    monkeypatch.setattr(d, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(d, "BROADCAST_BYTES", limit)
     rng = random.Random(8)
     pool = [f"w{i}" for i in range(400)] + ["É", "naïve"]
     items = [(i, " ".join(rng.choices(pool, k=rng.choice([3, 6, 20, 60])))) for i in range(30)] + [(90, None), (91, ""), (92, "one"), (93, "a a a a a a a a")]

@@ -48,3 +48,14 @@ def test_runs_are_compacted_by_level(spark):
         runs.add(spark.createDataFrame([(bytes([i]), 100 - 10 * b - i) for i in range(b, b + 4)], "h binary, doc long"))
     assert [len(x) for x in runs.levels] == [1, 0, 1]
     assert {(r.h[0], r.last) for r in runs.frequent().collect()} == {(2, 98), (3, 97), (4, 86), (5, 75)}
+
+
+def test_rows_that_share_an_id_are_one_document_and_names_may_clash(spark):
+    line, other = "a line of more than twenty characters", "another line of over twenty characters"
+    rows = [(1, line), (1, line), (1, f"{line}\n{other}"), (2, f"{line}\n{other}"), (5, other), (None, ""), (6, None)]
+    df = spark.createDataFrame([(*r, 1, 2, 3, "x") for r in rows], "doc_id long, text string, _doc int, _drop int, h int, batch string")
+    got = d.dedup_lines(df)
+    assert got.columns == [*df.columns, "n_lines", "n_dropped"]
+    # ``line`` is in two documents, ``other`` in three: it stays in 5 alone
+    assert sorted((r.doc_id or 0, r.n_lines, r.n_dropped) for r in got.collect()) == [(0, 1, 0), (1, 1, 0), (1, 1, 0), (1, 2, 1), (2, 2, 1), (5, 1, 0), (6, 1, 0)]
+    assert d.dedup_lines(df.limit(0)).count() == 0
