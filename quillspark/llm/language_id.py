@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from quillspark.llm.common import scratch_table, slices
 
 NOT_LETTERS = r"[^\p{L}]+"
-#: Least probability of a piece or an unknown character, and letters between two rescalings.
+#: Least probability of a piece or an unknown character, and characters between two rescalings.
 FLOOR, STRIDE = 1e-7, 16
 SAMPLE_PER_LANGUAGE, ROUNDS, SMOOTHING = 3000, 2, 0.01
 #: Distinct words remembered per Python worker.
@@ -56,20 +56,43 @@ def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return coded.dictionary.to_pylist(), coded.indices.to_numpy(), offsets[:-1] - offsets[0]
 
 
-def _lattice(words: list[str], path: str) -> Iterator[tuple[int, list[tuple[int, np.ndarray]]]]:
-    """For words of one length: per end the starts and the piece of each word from there, or -1. A character that
-    is no piece counts as unknown and gets the number after the last piece."""
-    pieces, longest = vocabulary(path)
-    marked = [START + w for w in words]
-    for end in range(1, len(marked[0]) + 1):
-        out = []
-        for start in range(max(0, end - longest), end):
-            found = np.array([pieces.get(w[start:end], -1) for w in marked])
-            if end - start == 1:
-                found[found < 0] = len(pieces)
-            if (found >= 0).any():
-                out.append((start, found))
-        yield end, out
+@lru_cache(maxsize=4)
+def prefix_tree(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pieces as a tree of prefixes: its edges (node, character) in order, the node each leads to, and the
+    piece that each node spells, or -1."""
+    pieces, _ = vocabulary(path)
+    nodes, edges = {"": 0}, {}
+    for piece in pieces:
+        for end in range(1, len(piece) + 1):
+            node = nodes.setdefault(piece[:end], len(nodes))
+            edges[nodes[piece[: end - 1]] << 21 | ord(piece[end - 1])] = node
+    keys = np.array(sorted(edges))
+    return keys, np.array([edges[k] for k in keys.tolist()]), np.array([pieces.get(prefix, -1) for prefix in nodes])
+
+
+def _lattice(words: list[str], path: str) -> Iterator[tuple[int, list[tuple[int, np.ndarray, np.ndarray]]]]:
+    """For words of one length, per start: ends, the words that hold a piece between, and the pieces. A character
+    that is no piece counts as unknown and gets the number after the last piece."""
+    keys, targets, piece_at = prefix_tree(path)
+    unknown = len(vocabulary(path)[0])
+    n = len(words[0]) + 1
+    chars = np.array([START + w for w in words], dtype=f"<U{n}").view(np.uint32).reshape(len(words), n).astype(np.int64)
+    for start in range(n):
+        rows, node, out = np.arange(len(words)), np.zeros(len(words), np.int64), []
+        for end in range(start + 1, n + 1):
+            edge = node << 21 | chars[rows, end - 1]
+            at = np.minimum(np.searchsorted(keys, edge), len(keys) - 1)
+            goes = keys[at] == edge
+            if end == start + 1:
+                single = np.full(len(words), unknown)
+                single[goes] = np.where(piece_at[targets[at[goes]]] < 0, unknown, piece_at[targets[at[goes]]])
+                out.append((end, rows, single))
+            rows, node = rows[goes], targets[at[goes]]
+            if not len(rows):
+                break
+            if end > start + 1 and (ends := piece_at[node] >= 0).any():
+                out.append((end, rows[ends], piece_at[node[ends]]))
+        yield start, out
 
 
 def _by_length(words: list[str]) -> Iterator[np.ndarray]:
@@ -89,34 +112,28 @@ def word_scores(words: list[str], table: np.ndarray, path: str) -> np.ndarray:
             continue
         alpha, scale = np.zeros((len(some[0]) + 2, len(some), table.shape[1])), 0.0
         alpha[0] = 1
-        for end, edges in _lattice(some, path):
-            for start, found in edges:
-                alpha[end] += alpha[start] * table[found]
-            if end % STRIDE == 0:
-                held = alpha[max(0, end - longest + 1) : end + 1]
-                top = held.max(axis=0)
-                held /= top
-                scale = scale + np.log(top)
+        for start, edges in _lattice(some, path):
+            if start % STRIDE == STRIDE - 1:
+                scale = scale + np.log(alpha[start])
+                alpha[start : start + longest] /= alpha[start].copy()
+            for end, rows, found in edges:
+                alpha[end, rows] += alpha[start, rows] * table[found]
         out[at] = np.log(alpha[-1]) + scale
     return out
 
 
-def _summed(edges: list[tuple[int, int, np.ndarray]], places: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sums over all paths from place 0 to each place (edges in order of their ends, with probabilities), and the
-    logarithm by which each is to be scaled."""
-    size = len(edges[0][2])
-    total, scale, now = np.zeros((places, size)), np.zeros((places, size)), np.zeros(size)
+def _summed(edges: list[tuple[int, int, np.ndarray, np.ndarray]], size: int, places: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over all paths from place 0 to each place (edges in order of their starts, with words and
+    probabilities), and the logarithm by which each is to be scaled."""
+    total, scale, done = np.zeros((places, size)), np.zeros((places, size)), 0
     total[0] = 1
-    for i, (start, end, p) in enumerate(edges):
-        total[end] += total[start] * p
-        if i + 1 == len(edges) or edges[i + 1][1] != end:  # the place is complete
-            if end % STRIDE == 0:
-                held = slice(max(0, end - longest + 1), end + 1)
-                top = total[held].max(axis=0)
-                total[held] /= top
-                now = now + np.log(top)
-                scale[held] = now
-            scale[end] = now
+    for start, end, rows, p in edges:
+        if start != done:
+            done = start
+            if start % STRIDE == STRIDE - 1:
+                scale[start:] += np.log(total[start])
+                total[start : start + longest] /= total[start].copy()
+        total[end, rows] += total[start, rows] * p
     return total, scale
 
 
@@ -126,14 +143,15 @@ def expected_counts(words: list[str], counts: np.ndarray, probabilities: np.ndar
     longest = vocabulary(path)[1]
     for at in _by_length(words):
         some, n = [words[i] for i in at], len(words[at[0]]) + 1
-        edges = [(start, end, found) for end, starts in _lattice(some, path) for start, found in starts]
-        uses = [probabilities[found] for _, _, found in edges]
-        alpha, left = _summed([(a, b, p) for (a, b, _), p in zip(edges, uses, strict=True)], n + 1, longest)
-        mirrored = sorted(((n - b, n - a, p) for (a, b, _), p in zip(edges, uses, strict=True)), key=lambda e: e[1])
-        beta, right = (x[::-1] for x in _summed(mirrored, n + 1, longest))
+        edges = [(start, end, rows, found) for start, ends in _lattice(some, path) for end, rows, found in ends]
+        uses = [probabilities[found] for *_, found in edges]
+        alpha, left = _summed([(a, b, rows, p) for (a, b, rows, _), p in zip(edges, uses, strict=True)], len(some), n + 1, longest)
+        mirrored = sorted(((n - b, n - a, rows, p) for (a, b, rows, _), p in zip(edges, uses, strict=True)), key=lambda e: e[0])
+        beta, right = (x[::-1] for x in _summed(mirrored, len(some), n + 1, longest))
         whole = np.log(alpha[n]) + left[n]
-        for (start, end, found), p in zip(edges, uses, strict=True):
-            np.add.at(total, found, alpha[start] * p * beta[end] * np.exp(left[start] + right[end] - whole) * counts[at])
+        for (start, end, rows, found), p in zip(edges, uses, strict=True):
+            scaled = np.exp(left[start, rows] + right[end, rows] - whole[rows])
+            np.add.at(total, found, alpha[start, rows] * p * beta[end, rows] * scaled * counts[at[rows]])
     return total
 
 
