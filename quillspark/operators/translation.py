@@ -2,67 +2,126 @@
 
 from __future__ import annotations
 
+import string
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.accuracy import token_distance
-from quillspark.functions.text import tokens
+from quillspark.functions.text import tokens, words
 
 WORD_ORDER, CHAR_ORDER, BETA = 4, 6, 2.0
-
-
-def _grams(unit: Column, n: int, size: Column, joined) -> Column:
-    """The n-grams of a text as an array of structs (n, gram)."""
-    at = F.sequence(F.lit(1), size - (n - 1))
-    return F.when(size >= n, F.transform(at, lambda i: F.struct(F.lit(n).alias("n"), joined(unit, i, n).alias("gram")))).otherwise(F.array().cast("array<struct<n:int,gram:string>>"))
-
-
-def _word_gram(unit: Column, i: Column, n: int) -> Column:
-    return F.array_join(F.slice(unit, i, F.lit(n)), " ")
-
-
-def _char_gram(unit: Column, i: Column, n: int) -> Column:
-    return F.substr(unit, i, F.lit(n))
-
-
-def _row_counts(pairs: DataFrame, key: str, order: int, unit, size, joined) -> DataFrame:
-    """``key, n, matched, hyp, ref``: clipped matches and totals per order, from one grouping of both sides'
-    grams by (row, order, gram)."""
-    side = lambda text, h: F.transform(F.flatten(F.array(*(_grams(unit(text), n, size(unit(text)), joined) for n in range(1, order + 1)))), lambda g: F.struct(g["n"].alias("n"), g["gram"].alias("gram"), F.lit(h).alias("h")))
-    both = pairs.select(key, F.inline(F.concat(side(F.col("hypothesis"), 1), side(F.col("reference"), 0))))
-    each = both.groupBy(key, "n", "gram").agg(F.sum("h").alias("hyp"), F.sum(1 - F.col("h")).alias("ref"))
-    return each.groupBy(key, "n").agg(F.sum(F.least("hyp", "ref")).alias("matched"), F.sum("hyp").alias("hyp"), F.sum("ref").alias("ref"))
-
-
-def _wide(pairs: DataFrame, counts: DataFrame, key: str, order: int, lengths: dict[str, Column]) -> DataFrame:
-    """One row per pair with columns ``m1, h1, r1, ...``; zeros where a text has no gram of an order."""
-    at = lambda c, n: F.coalesce(F.sum(F.when(F.col("n") == n, F.col(c))), F.lit(0))
-    wide = counts.groupBy(key).agg(*(at(c, n).alias(f"{c[0]}{n}") for n in range(1, order + 1) for c in ("matched", "hyp", "ref")))
-    out = pairs.select(key, *(v.alias(k) for k, v in lengths.items())).join(wide, key, "left")
-    return out.fillna(0, [f"{c}{n}" for n in range(1, order + 1) for c in "mhr"])
+#: Units (characters or tokens) whose grams are counted at once.
+UNITS = 1 << 21
+
+
+def clipped_counts(hyp: tuple[np.ndarray, np.ndarray], ref: tuple[np.ndarray, np.ndarray], order: int) -> np.ndarray:
+    """Per row and n-gram order: clipped matches, grams of the hypothesis, grams of the reference.
+
+    A side is its units as numbers, row after row, and the number of units of each row. Grams are numbered by the
+    gram one shorter and the next unit, row by row, so equal numbers are equal grams of one row and every order is
+    one sort."""
+    rows, split = len(hyp[1]), len(hyp[0])
+    units = np.unique(np.concatenate([hyp[0], ref[0]]), return_inverse=True)[1].astype(np.int64)
+    many = int(units.max(initial=0)) + 1
+    row = np.concatenate([np.repeat(np.arange(rows), hyp[1]), np.repeat(np.arange(rows), ref[1])])
+    left = np.concatenate([np.repeat(np.cumsum(x), x) for x in (hyp[1], ref[1])]).astype(np.int64)
+    left -= np.concatenate([np.arange(split), np.arange(len(ref[0]))])  # units from here to the row's end
+    at, gram = np.arange(len(units)), row
+    out = np.zeros((rows, 3 * order), np.int64)
+    for n in range(order):
+        holds = left[at] > n
+        at = at[holds]
+        _, gram = np.unique(gram[holds] * many + units[at + n], return_inverse=True)
+        size, ours = int(gram.max(initial=-1)) + 1, at < split
+        counts = [np.bincount(gram[side], minlength=size) for side in (ours, ~ours)]
+        row_of = np.zeros(size, np.int64)
+        row_of[gram] = row[at]
+        for k, values in enumerate((np.minimum(*counts), *counts)):
+            out[:, 3 * n + k] = np.bincount(row_of, weights=values, minlength=rows)
+    return out
+
+
+def _characters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    values = [t or "" for t in texts.to_pylist()]
+    return np.frombuffer("".join(values).encode("utf-32-le"), np.uint32), np.array([len(v) for v in values], np.int64)
+
+
+def _units(hyp: pa.Array, ref: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Both sides as numbers: the characters of strings, or the tokens of arrays."""
+    if not pa.types.is_list(hyp.type):
+        return [_characters(hyp), _characters(ref)]
+    codes = pa.concat_arrays([hyp.flatten().cast(pa.large_string()), ref.flatten().cast(pa.large_string())]).dictionary_encode().indices.to_numpy()
+    split = len(hyp.flatten())
+    sizes = [x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (hyp, ref)]
+    return [(codes[:split], sizes[0]), (codes[split:], sizes[1])]
+
+
+def _gram_stats(rows: DataFrame, key: str, sides: dict[str, int], lengths: bool) -> DataFrame:
+    """``key`` and ``m1, h1, r1, m2, ...`` of rows that hold, for each name of ``sides``, its two sides as columns
+    ``name_h, name_r``; orders are numbered on from one name to the next. No row leaves its partition."""
+    orders = sum(sides.values())
+    names = [f"{c}{n}" for n in range(1, orders + 1) for c in "mhr"] + (["hyp_len", "ref_len"] if lengths else [])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first = next(iter(sides))
+            size = [len(x) for x in batch.column(f"{first}_r").to_pylist()] if batch.num_rows else []
+            start = held = 0
+            for i, n in enumerate([*size, UNITS]):
+                if i > start and held + n > UNITS:
+                    yield counted(batch.slice(start, i - start))
+                    start, held = i, 0
+                held += n
+
+    def counted(part: pa.RecordBatch) -> pa.RecordBatch:
+        found = []
+        for name, order in sides.items():
+            both = _units(part.column(f"{name}_h"), part.column(f"{name}_r"))
+            found += list(clipped_counts(*both, order).T)
+        if lengths:
+            found += [both[0][1], both[1][1]]
+        return pa.RecordBatch.from_arrays([part.column(key), *map(pa.array, found)], names=[key, *names])
+
+    kind = dict(rows.dtypes)[key]
+    return rows.mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{n} long" for n in names))
+
+
+def _sides(pairs: DataFrame, key: str, **units: Callable[[Column], Column]) -> DataFrame:
+    h, r = (F.coalesce(F.col(c), F.lit("")) for c in ("hypothesis", "reference"))
+    return pairs.select(key, *(column for name, unit in units.items() for column in (unit(h).alias(f"{name}_h"), unit(r).alias(f"{name}_r"))))
 
 
 def bleu_stats(pairs: DataFrame, key: str = "id") -> DataFrame:
     """Per pair of ``hypothesis, reference``: matches, totals and token lengths."""
-    counts = _row_counts(pairs, key, WORD_ORDER, tokens, F.size, _word_gram)
-    return _wide(pairs, counts, key, WORD_ORDER, {"hyp_len": F.size(tokens(F.col("hypothesis"))), "ref_len": F.size(tokens(F.col("reference")))})
+    return _gram_stats(_sides(pairs, key, tokens=tokens), key, {"tokens": WORD_ORDER}, lengths=True)
+
+
+def _chrf_words(text: Column) -> Column:
+    """Words, of which a sign at the end, or else in front, is one of its own."""
+    sign = lambda c: F.instr(F.lit(string.punctuation), c) > 0
+    apart = lambda w: F.when((F.length(w) > 1) & sign(F.right(w, F.lit(1))), F.array(F.left(w, F.length(w) - 1), F.right(w, F.lit(1)))).when((F.length(w) > 1) & sign(F.left(w, F.lit(1))), F.array(F.left(w, F.lit(1)), F.substr(w, F.lit(2)))).otherwise(F.array(w))
+    return F.flatten(F.transform(words(text), apart))
 
 
-def chrf_stats(pairs: DataFrame, key: str = "id") -> DataFrame:
-    bare = lambda text: F.replace(text, F.lit(" "), F.lit(""))
-    return _wide(pairs, _row_counts(pairs, key, CHAR_ORDER, bare, F.length, _char_gram), key, CHAR_ORDER, {})
+def chrf_stats(pairs: DataFrame, key: str = "id", word_order: int = 0) -> DataFrame:
+    """Per pair: matches and totals of character grams, and of word grams up to ``word_order`` after them."""
+    units = {"chars": lambda text: F.replace(text, F.lit(" "), F.lit(""))} | ({"words": _chrf_words} if word_order else {})
+    return _gram_stats(_sides(pairs, key, **units), key, {"chars": CHAR_ORDER, "words": word_order} if word_order else {"chars": CHAR_ORDER}, lengths=False)
 
 
 def ter_stats(pairs: DataFrame, key: str = "id") -> DataFrame:
-    h, r = tokens(F.col("hypothesis")), tokens(F.col("reference"))
-    return pairs.select(key, token_distance(h, r).alias("edits"), F.size(r).alias("ref_len"), F.size(h).alias("hyp_len"))
+    rows = _sides(pairs, key, tokens=tokens)
+    return rows.select(key, token_distance("tokens_h", "tokens_r").alias("edits"), F.size("tokens_r").alias("ref_len"), F.size("tokens_h").alias("hyp_len"))
 
 
 def add_up(stats: DataFrame, *by: str, weight: Column | None = None) -> DataFrame:
     """Sums of the statistics, per group or of all rows; rows may carry a weight."""
-    names = [c for c, kind in stats.dtypes if kind in ("int", "bigint") and c not in ("id", "_w", *by)]
+    names = [c for c, kind in stats.dtypes if kind in ("int", "bigint", "double") and c not in ("id", "_w", *by)]
     one = lambda c: F.sum(F.col(c) * weight if weight is not None else F.col(c)).alias(c)
     return stats.groupBy(*by).agg(*map(one, names))
 
@@ -76,9 +135,9 @@ def bleu_of() -> Column:
     return F.when(missing | (F.col("hyp_len") == 0), F.lit(0.0)).otherwise(penalty * F.exp(logs / WORD_ORDER) * 100)
 
 
-def chrf_of(beta: float = BETA) -> Column:
+def chrf_of(beta: float = BETA, word_order: int = 0) -> Column:
     """chrF (0 to 100) of summed statistics: mean precision and recall over orders that both sides have."""
-    orders = range(1, CHAR_ORDER + 1)
+    orders = range(1, CHAR_ORDER + word_order + 1)
     valid = lambda n: (F.col(f"h{n}") > 0) & (F.col(f"r{n}") > 0)
     total = lambda c: reduce(lambda a, b: a + b, (F.when(valid(n), F.try_divide(f"m{n}", F.nullif(f"{c}{n}", F.lit(0)))).otherwise(F.lit(0.0)) for n in orders))
     count = reduce(lambda a, b: a + b, (valid(n).cast("int") for n in orders))
@@ -109,3 +168,22 @@ def interval(scores: DataFrame, value: str, level: float = 0.95) -> DataFrame:
     """Mean and percentile interval of resampled scores (one row)."""
     tail = (1 - level) / 2
     return scores.agg(F.avg(value).alias("mean"), F.percentile(value, F.lit(tail)).alias("ci_lower"), F.percentile(value, F.lit(1 - tail)).alias("ci_upper"))
+
+
+def significance(intervals: DataFrame, baseline: str) -> DataFrame:
+    """Each mode's interval (``mode, mean, ci_lower, ci_upper``) against the baseline's: bounds of the difference
+    from its mean, and whether the two intervals lie apart. One row per mode."""
+    base = intervals.where(F.col("mode") == baseline).select(*(F.col(c).alias(f"_{c}") for c in ("mean", "ci_lower", "ci_upper")))
+    apart = (F.col("_ci_upper") < F.col("ci_lower")) | (F.col("ci_upper") < F.col("_ci_lower"))
+    both = intervals.crossJoin(F.broadcast(base))
+    return both.select("mode", "mean", "ci_lower", "ci_upper", (F.col("ci_lower") - F.col("_mean")).alias("delta_lower"), (F.col("ci_upper") - F.col("_mean")).alias("delta_upper"), apart.alias("significant"))
+
+
+def mode_table(scores: DataFrame, splits: DataFrame, baseline: str) -> DataFrame:
+    """One row per mode: scores, their differences from the baseline's, and split statistics (``mode,
+    avg_segments, samples_split``), which count as 1 and 0 where a mode does not split."""
+    metrics = [c for c in scores.columns if c not in ("mode", "total_samples")]
+    base = scores.where(F.col("mode") == baseline).select(*(F.col(c).alias(f"_{c}") for c in metrics))
+    out = scores.crossJoin(F.broadcast(base)).join(splits, "mode", "left")
+    deltas = [(F.col(c) - F.col(f"_{c}")).alias(f"delta_{c}") for c in metrics]
+    return out.select("mode", *metrics, *deltas, F.coalesce("avg_segments", F.lit(1.0)).alias("avg_segments"), F.coalesce("samples_split", F.lit(0)).alias("samples_split"), "total_samples")
