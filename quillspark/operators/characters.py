@@ -11,37 +11,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from quillspark.functions.accuracy import distance
 from quillspark.functions.text import chars
 
 #: Lower-case North Sámi letters with diacritics; upper-case ones follow from them (fixed values).
 TRACKED_LOWER = "áčđŋšŧž"
 
 
+#: Cells of the tables filled at once, and rows of a long table between two that are kept.
+CELLS, STEP = 1 << 23, 512
+BEYOND = 1 << 30
+
+
 def align(reference: str, prediction: str) -> list[tuple[str, str]]:
     """Pairs of characters, '' for a gap: of equally cheap steps back the diagonal comes first, then an
-    insertion, then a deletion.
-
-    Costs are filled row by row; within a row ``cost - column`` is a running minimum, so each row is a few
-    vector operations."""
-    r, p = np.array(list(reference), dtype="U1"), np.array(list(prediction), dtype="U1")
-    column = np.arange(len(p) + 1)
-    cost = np.empty((len(r) + 1, len(p) + 1), np.int32)
-    cost[0] = column
-    for i in range(1, len(r) + 1):
-        best = np.concatenate([[i], np.minimum(cost[i - 1, 1:] + 1, cost[i - 1, :-1] + (p != r[i - 1]))])
-        cost[i] = np.minimum.accumulate(best - column) + column
-    out, i, j = [], len(r), len(p)
-    while i or j:
-        if i and j and cost[i, j] == cost[i - 1, j - 1] + (r[i - 1] != p[j - 1]):
-            i, j = i - 1, j - 1
-            out.append((str(r[i]), str(p[j])))
-        elif j and cost[i, j] == cost[i, j - 1] + 1:
-            j -= 1
-            out.append(("", str(p[j])))
-        else:
-            i -= 1
-            out.append((str(r[i]), ""))
-    return out[::-1]
+    insertion, then a deletion."""
+    _, _, ref, pred = _aligned([reference], [prediction])
+    return list(zip(ref.tolist(), pred.tolist(), strict=True))
 
 
 class _Align:
@@ -55,6 +41,14 @@ def register_table_function(spark: SparkSession, name: str = "align_chars") -> N
     spark.udtf.register(name, udtf(_Align, returnType="pos int, ref_char string, pred_char string"))
 
 
+def _aligned(references: list[str], predictions: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    if (len(references[0]) + 1) * (len(predictions[0]) + 1) > CELLS:
+        return align_long(references[0], predictions[0])
+    if not references[0] and not predictions[0]:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, "U1"), np.empty(0, "U1")
+    return align_batch(references, predictions)
+
+
 def align_batch(references: list[str], predictions: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``align`` for many rows at once: row number, place, characters of both sides. Each step of the table and
     of the way back is one operation over all rows, so rows of like length belong together."""
@@ -62,8 +56,8 @@ def align_batch(references: list[str], predictions: list[str]) -> tuple[np.ndarr
     grid = lambda side, size: np.array(side, dtype=f"<U{max(1, size)}").view("<U1").reshape(len(side), -1)
     r, p = grid(references, m.max()), grid(predictions, n.max())
     rc, pc, every = r.view(np.uint32), p.view(np.uint32), np.arange(len(m))
-    column = np.arange(p.shape[1] + 1, dtype=np.int16)
-    cost = np.empty((int(m.max()) + 1, len(m), len(column)), np.int16)
+    column = np.arange(p.shape[1] + 1, dtype=np.int32)
+    cost = np.empty((int(m.max()) + 1, len(m), len(column)), np.int32)
     cost[0] = column
     for i in range(1, len(cost)):
         cost[i, :, 0] = i
@@ -86,19 +80,85 @@ def align_batch(references: list[str], predictions: list[str]) -> tuple[np.ndarr
     return row, np.arange(len(row)) - np.searchsorted(row, row), ref[order], pred[order]
 
 
-def alignments(rows: DataFrame, *keys: str, at_once: int = 64) -> DataFrame:
+def align_long(reference: str, prediction: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same for one row whose table is large. No best way leaves the band as wide as the distance, so only
+    that is filled; every ``STEP``-th row is kept, and the rows between are filled again on the way back."""
+    r, p = (np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in (reference, prediction))
+    far, m, n = distance(r, p), len(r), len(p)
+
+    def below(first: int, values: np.ndarray, i: int) -> tuple[int, np.ndarray]:
+        """Row ``i`` (the column it starts at, and its costs) from the one above."""
+        low, high = max(0, i - far), min(n, i + far)
+        above = np.full(high - low + 2, BEYOND, np.int64)  # columns low - 1 to high
+        a, b = max(first, low - 1), min(first + len(values), high + 1)
+        above[a - low + 1 : b - low + 1] = values[a - first : b - first]
+        best = above[1:] + 1
+        if low == 0:
+            best[1:] = np.minimum(best[1:], above[1:-1] + (p[:high] != r[i - 1]))
+            best[0] = i
+        else:
+            best = np.minimum(best, above[:-1] + (p[low - 1 : high] != r[i - 1]))
+        column = np.arange(len(best))
+        return low, np.minimum.accumulate(best - column) + column
+
+    now = (0, np.arange(min(n, far) + 1, dtype=np.int64))
+    kept = {0: now}
+    for i in range(1, m + 1):
+        now = below(*now, i)
+        if i % STEP == 0:
+            kept[i] = now
+    rows: dict[int, tuple[int, np.ndarray]] = {}
+
+    def load(i: int) -> None:
+        """Fill row ``i`` and those above it down from the last one kept."""
+        if i not in rows or i - 1 not in rows:
+            start = (i - 1) // STEP * STEP
+            rows.clear()
+            rows[start] = kept[start]
+            for k in range(start + 1, min(start + STEP, m) + 1):
+                rows[k] = below(*rows[k - 1], k)
+
+    def cost(i: int, j: int) -> int:
+        first, values = rows[i] if i in rows else kept[i]
+        return int(values[j - first]) if 0 <= j - first < len(values) else BEYOND
+
+    i, j, back = m, n, []
+    while i or j:
+        if i:
+            load(i)
+        here = cost(i, j)
+        if i and j and here == cost(i - 1, j - 1) + (r[i - 1] != p[j - 1]):
+            i, j = i - 1, j - 1
+            back.append((reference[i], prediction[j]))
+        elif j and here == cost(i, j - 1) + 1:
+            j -= 1
+            back.append(("", prediction[j]))
+        else:
+            i -= 1
+            back.append((reference[i], ""))
+    ref, pred = (np.array(x[::-1]) for x in zip(*back, strict=True))
+    return np.zeros(len(ref), np.int64), np.arange(len(ref)), ref, pred
+
+
+def alignments(rows: DataFrame, *keys: str) -> DataFrame:
     """``keys, pos, ref_char, pred_char`` of every row with a character on either side. The table of a row grows
-    with the product of its lengths, so the rows are dealt out evenly first."""
+    with the product of its lengths, so the rows are dealt out evenly, and as many are aligned at once as fill
+    ``CELLS``."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             frame = frame.fillna({"reference": "", "prediction": ""})
             frame = frame[(frame["reference"] != "") | (frame["prediction"] != "")]
-            frame = frame.iloc[np.argsort(frame["reference"].str.len().to_numpy())]
-            for start in range(0, len(frame), at_once):
-                part = frame.iloc[start : start + at_once]
-                row, pos, ref, pred = align_batch(part["reference"].tolist(), part["prediction"].tolist())
-                yield part[list(keys)].iloc[row].assign(pos=pos.astype(np.int32), ref_char=ref.astype(object), pred_char=pred.astype(object))
+            m, n = (frame[c].str.len().to_numpy() + 1 for c in ("reference", "prediction"))
+            order = np.lexsort((n, m))
+            frame, m, n = frame.iloc[order], m[order], np.maximum.accumulate(n[order]) if len(n) else n
+            start = 0
+            for end in range(1, len(frame) + 1):
+                if end == len(frame) or int(m[end]) * int(n[end]) * (end + 1 - start) > CELLS or end - start >= 256:
+                    part = frame.iloc[start:end]
+                    row, pos, ref, pred = _aligned(part["reference"].tolist(), part["prediction"].tolist())
+                    yield part[list(keys)].iloc[row].assign(pos=pos.astype(np.int32), ref_char=ref.astype(object), pred_char=pred.astype(object))
+                    start = end
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
     return rows.repartition(*keys).mapInPandas(run, f"{kinds}, pos int, ref_char string, pred_char string")
@@ -119,10 +179,12 @@ def confusions(aligned: DataFrame, *by: str) -> DataFrame:
     return aligned.where("ref_char <> ''").groupBy(*by, "ref_char", "pred_char").agg(F.count("*").alias("n"))
 
 
-def char_accuracy(confused: DataFrame, tracked: DataFrame) -> DataFrame:
-    """``char, correct, total, accuracy`` of every tracked character; NULL accuracy where it never occurs."""
-    found = confused.groupBy(F.col("ref_char").alias("char")).agg(F.sum(F.when(F.col("ref_char") == F.col("pred_char"), F.col("n")).otherwise(0)).alias("correct"), F.sum("n").alias("total"))
-    out = tracked.join(found, "char", "left").fillna(0, ["correct", "total"])
+def char_accuracy(confused: DataFrame, tracked: DataFrame, *by: str) -> DataFrame:
+    """``by, char, correct, total, accuracy`` of every tracked character; NULL accuracy where it never occurs."""
+    if by:  # some models by some letters
+        tracked = tracked.crossJoin(F.broadcast(confused.select(*by).distinct()))
+    found = confused.groupBy(*by, F.col("ref_char").alias("char")).agg(F.sum(F.when(F.col("ref_char") == F.col("pred_char"), F.col("n")).otherwise(0)).alias("correct"), F.sum("n").alias("total"))
+    out = tracked.join(found, [*by, "char"], "left").fillna(0, ["correct", "total"])
     return out.withColumn("accuracy", F.try_divide("correct", F.nullif("total", F.lit(0))))
 
 
@@ -133,10 +195,10 @@ def case_folded(confused: DataFrame, models: list[str]) -> DataFrame:
     return rows.groupBy("char").pivot("model", models).agg(F.round(100 * F.sum("hit") / F.sum("n"), 1))
 
 
-def top_confusions(confused: DataFrame, n: int = 3) -> DataFrame:
+def top_confusions(confused: DataFrame, *by: str, n: int = 3) -> DataFrame:
     """The most frequent wrong predictions of each character."""
     wrong = confused.where("ref_char <> pred_char")
-    ranked = wrong.withColumn("rank", F.row_number().over(W.partitionBy("ref_char").orderBy(F.col("n").desc(), "pred_char")))
+    ranked = wrong.withColumn("rank", F.row_number().over(W.partitionBy(*by, "ref_char").orderBy(F.col("n").desc(), "pred_char")))
     return ranked.where(F.col("rank") <= n)
 
 

@@ -29,7 +29,7 @@ def rollup_by_source(scored: DataFrame, metrics: list[str]) -> DataFrame:
 def pipeline_means(scored: DataFrame) -> DataFrame:
     """One row per model: mean rates, mean token accuracy and rows without a wrong token."""
     accuracy = acc.token_accuracy(F.col("reference"), F.col("prediction"))
-    return scored.withColumn("accuracy", accuracy).groupBy("model").agg(F.avg("cer").alias("cer"), F.avg("accuracy").alias("accuracy"), F.count_if(F.col("accuracy") == 1).alias("exact_matches"), F.count("*").alias("n"))
+    return scored.withColumn("accuracy", accuracy).groupBy("model").agg(F.avg("cer").alias("cer"), F.avg("wer").alias("wer"), F.avg("accuracy").alias("accuracy"), F.count_if(F.col("accuracy") == 1).alias("exact_matches"), F.count("*").alias("n"))
 
 
 def long_short_means(scored: DataFrame, value: str = "cer", longest_short: int = LONG) -> DataFrame:
@@ -51,12 +51,19 @@ def micro_positional(predictions: DataFrame) -> DataFrame:
     return each.groupBy("model").agg(rate("char_errors", "chars").alias("cer"), rate("word_errors", "words").alias("wer"))
 
 
-def leaderboard(means: DataFrame, digits: int = 4) -> DataFrame:
+def leaderboard(means: DataFrame, digits: int = 4, least: tuple[str, ...] = ("cer", "wer", "seconds"), most: tuple[str, ...] = ("exact", "normalized")) -> DataFrame:
     """Rank by ``cer`` (missing last) and flag the best of each column within half a unit of the last digit."""
     whole = W.partitionBy()  # one row per model
     best = lambda c, f: F.abs(F.col(c) - f(c).over(whole)) < F.lit(0.5 * 10**-digits)
     ranked = means.withColumn("rank", F.row_number().over(W.orderBy(F.col("cer").asc_nulls_last(), "model")))
-    return ranked.withColumns({"best_cer": best("cer", F.min), "best_exact": best("exact", F.max), "best_normalized": best("normalized", F.max)})
+    return ranked.withColumns({f"best_{c}": best(c, F.min) for c in least} | {f"best_{c}": best(c, F.max) for c in most})
+
+
+def displayed(rollup: DataFrame, sources: list[str], below: float = 0.5) -> DataFrame:
+    """Rows of a rollup worth showing: of models with an overall ``cer`` below the limit and a row of each source."""
+    shown = rollup.groupBy("model").agg(F.max(F.when(F.col("source") == "all", F.col("cer"))).alias("_cer"), F.count_if(F.col("source").isin(sources) & (F.col("n") > 0)).alias("_n"))
+    shown = shown.where((F.col("_cer") < below) & (F.col("_n") == len(sources))).select("model")
+    return rollup.join(F.broadcast(shown), "model", "left_semi")  # a few rows per model
 
 
 def domain_shift(scored: DataFrame) -> DataFrame:

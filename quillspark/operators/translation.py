@@ -70,13 +70,15 @@ def _gram_stats(rows: DataFrame, key: str, sides: dict[str, int], lengths: bool)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             first = next(iter(sides))
-            size = [len(x) for x in batch.column(f"{first}_r").to_pylist()] if batch.num_rows else []
+            sizes = [1 + len(h) + len(r) for h, r in zip(batch.column(f"{first}_h").to_pylist(), batch.column(f"{first}_r").to_pylist(), strict=True)]
             start = held = 0
-            for i, n in enumerate([*size, UNITS]):
-                if i > start and held + n > UNITS:
+            for i, n in enumerate(sizes):
+                if held and held + n > UNITS:
                     yield counted(batch.slice(start, i - start))
                     start, held = i, 0
                 held += n
+            if sizes:
+                yield counted(batch.slice(start))
 
     def counted(part: pa.RecordBatch) -> pa.RecordBatch:
         found = []
@@ -151,12 +153,20 @@ def ter_of() -> Column:
     return F.when(F.col("ref_len") > 0, 100 * F.try_divide("edits", F.nullif("ref_len", F.lit(0)))).otherwise(F.when(F.col("hyp_len") > 0, F.lit(100.0)).otherwise(F.lit(0.0)))
 
 
-def resamples(stats: DataFrame, key: str, n: int) -> DataFrame:
+def corpus_scores(pairs: DataFrame, by: str) -> DataFrame:
+    """``by, bleu, chrf, ter`` per group of ``hypothesis, reference``, from summed statistics."""
+    bleu = add_up(bleu_stats(pairs, by), by).select(by, bleu_of().alias("bleu"))
+    chrf = add_up(chrf_stats(pairs, by), by).select(by, chrf_of().alias("chrf"))
+    ter = add_up(ter_stats(pairs, by), by).select(by, ter_of().alias("ter"))
+    return bleu.join(chrf, by).join(ter, by)
+
+
+def resamples(stats: DataFrame, key: str, n: int, *by: str) -> DataFrame:
     """Statistics of ``n`` resamples: each row counts 0 to 3 times in each, by a hash of row and resample, with
     the odds of a Poisson count of mean 1. The expansion is rows times ``n`` numbers, summed in place."""
     weight = _poisson(F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("resample").cast("string"))), 1, 7), 16, 10).cast("long"), F.lit(1000)))
     each = stats.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_w", weight)
-    return add_up(each, "resample", weight=F.col("_w"))
+    return add_up(each, *by, "resample", weight=F.col("_w"))
 
 
 def _poisson(u: Column) -> Column:
@@ -164,10 +174,10 @@ def _poisson(u: Column) -> Column:
     return F.when(u < 368, 0).when(u < 736, 1).when(u < 920, 2).otherwise(3)
 
 
-def interval(scores: DataFrame, value: str, level: float = 0.95) -> DataFrame:
-    """Mean and percentile interval of resampled scores (one row)."""
+def interval(scores: DataFrame, value: str, *by: str, level: float = 0.95) -> DataFrame:
+    """Mean and percentile interval of resampled scores (one row, or one per group)."""
     tail = (1 - level) / 2
-    return scores.agg(F.avg(value).alias("mean"), F.percentile(value, F.lit(tail)).alias("ci_lower"), F.percentile(value, F.lit(1 - tail)).alias("ci_upper"))
+    return scores.groupBy(*by).agg(F.avg(value).alias("mean"), F.percentile(value, F.lit(tail)).alias("ci_lower"), F.percentile(value, F.lit(1 - tail)).alias("ci_upper"))
 
 
 def significance(intervals: DataFrame, baseline: str) -> DataFrame:

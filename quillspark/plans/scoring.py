@@ -24,20 +24,40 @@ def words_sql(x: str) -> str:
     return rf"list_filter(regexp_split_to_array({x}, '\s+'), lambda w: w <> '')"
 
 
+def distance_sql(a: str, b: str, distinct: str) -> str:
+    """Edit distance of two token lists of which ``distinct`` holds each token once: a byte stands for each."""
+    text = lambda x: f"list_reduce(list_transform({x}, lambda t: chr(list_position({distinct}, t)::INT)), lambda a, b: a || b, '')"
+    return f"levenshtein({text(a)}, {text(b)})"
+
+
 SCORED = f"""{WITH},
+wordy AS (SELECT *, {words_sql('reference')} AS r, {words_sql('prediction')} AS p FROM predictions),
+known AS (SELECT *, list_distinct(list_concat(r, p)) AS v FROM wordy),
+apart AS (SELECT *, {distance_sql('r', 'p', 'v')} AS edits FROM known),
 scored AS (SELECT *, {d.cer_sql()} AS cer, (reference = prediction)::INT AS exact,
-           ({clean_sql('reference')} = {clean_sql('prediction')})::INT AS normalized FROM predictions)"""
+           ({clean_sql('reference')} = {clean_sql('prediction')})::INT AS normalized,
+           CASE WHEN len(r) > 0 THEN edits / len(r) WHEN len(p) > 0 THEN 1.0 ELSE 0.0 END AS wer,
+           len(list_filter(list_zip(r[1:least(len(r), len(p))], p[1:least(len(r), len(p))]), lambda z: z[1] = z[2])) / nullif(greatest(len(r), len(p)), 0) AS accuracy FROM apart)"""
 TOKEN_ACCURACY = f"""{WITH},
 w AS (SELECT model, id, reference, prediction, {words_sql('reference')} AS r, {words_sql('prediction')} AS p FROM predictions),
 acc AS (SELECT *, len(list_filter(list_zip(r[1:least(len(r), len(p))], p[1:least(len(r), len(p))]), lambda z: z[1] = z[2])) / nullif(greatest(len(r), len(p)), 0) AS accuracy FROM w)"""
 
 
-@query(f"""{SCORED} SELECT model, CASE WHEN grouping(source) = 1 THEN 'all' ELSE source END AS source, count(*) AS n,
-  round(avg(cer), 6) AS cer, round(avg(exact), 6) AS exact, round(avg(normalized), 6) AS normalized
-  FROM scored GROUP BY GROUPING SETS ((model, source), (model))""")
+ROLLUP = f"""{SCORED}, rollup_rows AS (SELECT model, CASE WHEN grouping(source) = 1 THEN 'all' ELSE source END AS source, count(*) AS n,
+  round(avg(cer), 6) AS cer, round(avg(wer), 6) AS wer, round(avg(exact), 6) AS exact, round(avg(normalized), 6) AS normalized
+  FROM scored GROUP BY GROUPING SETS ((model, source), (model)))"""
+
+
+@query(f"{ROLLUP} SELECT * FROM rollup_rows")
 def score_rollup(spark, sf):
-    scored = scoring.score_rows(d.predictions(spark, sf))
-    return rounded(scoring.rollup_by_source(scored, ["cer", "exact", "normalized"]))
+    scored = scoring.score_rows(d.predictions(spark, sf), with_wer=True)
+    return rounded(scoring.rollup_by_source(scored, ["cer", "wer", "exact", "normalized"]))
+
+
+@query(f"""{ROLLUP} SELECT * FROM rollup_rows WHERE model IN (SELECT model FROM rollup_rows WHERE source = 'all' AND cer < 0.1)
+  AND model IN (SELECT model FROM rollup_rows WHERE source IN ('hf', 'book') AND n > 0 GROUP BY model HAVING count(*) = 2)""")
+def displayed(spark, sf):
+    return scoring.displayed(score_rollup(spark, sf), ["hf", "book"], 0.1)
 
 
 @query(f"{WITH} SELECT model, id, round({d.cer_sql()}, 6) AS cer FROM predictions")
@@ -45,12 +65,7 @@ def cer_rows(spark, sf):
     return rounded(d.predictions(spark, sf).select("model", "id", acc.cer(F.col("reference"), F.col("prediction")).alias("cer")))
 
 
-@query(rf"""{WITH},
-w AS (SELECT model, id, {words_sql('reference')} AS r, {words_sql('prediction')} AS p FROM predictions),
-k AS (SELECT *, list_distinct(list_concat(r, p)) AS v FROM w),
-c AS (SELECT model, id, len(r) AS n, len(p) AS m, levenshtein(list_reduce(list_transform(r, lambda t: chr(list_position(v, t)::INT)), lambda a, b: a || b, ''),
-  list_reduce(list_transform(p, lambda t: chr(list_position(v, t)::INT)), lambda a, b: a || b, '')) AS e FROM k)
-SELECT model, id, round(CASE WHEN n > 0 THEN e / n WHEN m > 0 THEN 1.0 ELSE 0.0 END, 6) AS wer FROM c""")
+@query(f"{SCORED} SELECT model, id, round(wer, 6) AS wer FROM scored")
 def wer_rows(spark, sf):
     return rounded(d.predictions(spark, sf).select("model", "id", acc.wer(F.col("reference"), F.col("prediction")).alias("wer")))
 
@@ -74,13 +89,6 @@ def hamming_micro(spark, sf):
     return rounded(scoring.micro_positional(d.predictions(spark, sf)))
 
 
-@query(f"""{SCORED}, a AS (SELECT model, id, accuracy FROM ({TOKEN_ACCURACY} SELECT * FROM acc))
-SELECT s.model, round(avg(cer), 6) AS cer, round(avg(accuracy), 6) AS accuracy, count(*) FILTER (WHERE accuracy = 1) AS exact_matches, count(*) AS n
-FROM scored s JOIN a ON s.model = a.model AND s.id = a.id GROUP BY s.model""")
-def pipeline_aggregate(spark, sf):
-    return rounded(scoring.pipeline_means(scoring.score_rows(d.predictions(spark, sf))))
-
-
 @query(f"""{SCORED} SELECT model, round(coalesce(avg(cer), 0), 6) AS overall, round(coalesce(avg(cer) FILTER (WHERE length(reference) > 80), 0), 6) AS long,
   round(coalesce(avg(cer) FILTER (WHERE length(reference) <= 80), 0), 6) AS short, count(*) FILTER (WHERE length(reference) > 80) AS n_long,
   count(*) FILTER (WHERE length(reference) <= 80) AS n_short FROM scored GROUP BY model""")
@@ -88,26 +96,29 @@ def long_short(spark, sf):
     return rounded(scoring.long_short_means(scoring.score_rows(d.predictions(spark, sf))))
 
 
-MEANS = f"{SCORED}, means AS (SELECT model, round(avg(cer), 6) AS cer, round(avg(exact), 6) AS exact, round(avg(normalized), 6) AS normalized FROM scored GROUP BY model)"
+MEANS = f"{SCORED}, means AS (SELECT model, round(avg(cer), 6) AS cer, round(avg(wer), 6) AS wer, round(avg(exact), 6) AS exact, round(avg(normalized), 6) AS normalized, round(avg(length(reference)) / 1000, 6) AS seconds FROM scored GROUP BY model)"
 
 
 def _means(spark, sf):
-    scored = scoring.score_rows(d.predictions(spark, sf))
-    return rounded(scored.groupBy("model").agg(*(F.avg(m).alias(m) for m in ("cer", "exact", "normalized"))))
+    """Means per model; a mock recognizer takes a millisecond a character."""
+    scored = scoring.score_rows(d.predictions(spark, sf), with_wer=True)
+    return rounded(scored.groupBy("model").agg(*(F.avg(m).alias(m) for m in ("cer", "wer", "exact", "normalized")), (F.avg(F.length("reference")) / 1000).alias("seconds")))
+
+
+BEST = ", ".join(f"abs({c} - {f}({c}) OVER ()) < 0.00005 AS best_{c}" for f, names in (("min", ("cer", "wer", "seconds")), ("max", ("exact", "normalized"))) for c in names)
 
 
-@query(f"""{MEANS} SELECT model, cer, exact, normalized, row_number() OVER (ORDER BY cer ASC NULLS LAST, model)::INT AS rank,
-  abs(cer - min(cer) OVER ()) < 0.00005 AS best_cer, abs(exact - max(exact) OVER ()) < 0.00005 AS best_exact, abs(normalized - max(normalized) OVER ()) < 0.00005 AS best_normalized FROM means""")
+@query(f"{MEANS} SELECT *, row_number() OVER (ORDER BY cer ASC NULLS LAST, model)::INT AS rank, {BEST} FROM means")
 def leaderboard(spark, sf):
     return scoring.leaderboard(_means(spark, sf))
 
 
-@query(f"""{MEANS} SELECT model, format('{{:.6f}}', cer::DOUBLE) AS cer, format('{{:.6f}}', exact::DOUBLE) AS exact, format('{{:.6f}}', coalesce(CASE WHEN normalized > 0 THEN normalized END, -1)::DOUBLE) AS normalized FROM means""")
+@query("{} SELECT model, {}, {} FROM means".format(MEANS, ", ".join(f"format('{{:.6f}}', {c}::DOUBLE) AS {c}" for c in ("cer", "wer", "exact", "seconds")), "format('{:.6f}', coalesce(CASE WHEN normalized > 0 THEN normalized END, -1)::DOUBLE) AS normalized"))
 def leaderboard_csv(spark, sf):
     from quillspark.sources.writers import csv_fields
 
     means = _means(spark, sf).withColumn("normalized", F.when(F.col("normalized") > 0, F.col("normalized")))
-    return csv_fields(means, ["model"], ["cer", "exact", "normalized"])
+    return csv_fields(means, ["model"], ["cer", "wer", "exact", "normalized", "seconds"])
 
 
 @query(f"""{SCORED}, s AS (SELECT model, avg(cer) FILTER (WHERE source = 'hf') AS hf, avg(cer) FILTER (WHERE source = 'book') AS book FROM scored GROUP BY model)
@@ -117,11 +128,12 @@ def domain_shift(spark, sf):
 
 
 @query(f"""{SCORED} SELECT model, id, CASE WHEN bad THEN 'ERROR: no image' ELSE prediction END AS prediction, CASE WHEN bad THEN 1.0 ELSE round(cer, 6) END AS cer,
-  CASE WHEN bad THEN 1.0 ELSE exact::DOUBLE END AS wer, CASE WHEN bad THEN 0.0 ELSE normalized::DOUBLE END AS accuracy, CASE WHEN bad THEN '' ELSE reference END AS translation
+  CASE WHEN bad THEN 1.0 ELSE round(wer, 6) END AS wer, CASE WHEN bad THEN 0.0 ELSE round(accuracy, 6) END AS accuracy, CASE WHEN bad THEN '' ELSE reference END AS translation
   FROM (SELECT *, id % 50 = 7 AS bad FROM scored)""")
 def error_rows(spark, sf):
-    scored = scoring.score_rows(d.predictions(spark, sf))
-    rows = scored.select("model", "id", "prediction", "cer", F.col("exact").cast("double").alias("wer"), F.col("normalized").cast("double").alias("accuracy"), F.col("reference").alias("translation"), F.when(F.col("id") % 50 == 7, "no image").alias("error"))
+    scored = scoring.score_rows(d.predictions(spark, sf), with_wer=True)
+    accuracy = acc.token_accuracy(F.col("reference"), F.col("prediction"))
+    rows = scored.select("model", "id", "prediction", "cer", "wer", accuracy.alias("accuracy"), F.col("reference").alias("translation"), F.when(F.col("id") % 50 == 7, "no image").alias("error"))
     return rounded(scoring.with_error_policy(rows).drop("error"))
 
 
@@ -136,8 +148,8 @@ def token_counts(spark, sf):
     return d.lines(spark, sf).select(F.explode(tx.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
-@query(f"""{SCORED}, a AS (SELECT *, 100 - 100 * cer AS accuracy FROM scored)
-SELECT model, CASE WHEN accuracy >= 100 THEN 'Perfect' WHEN accuracy >= 95 THEN 'Excellent' WHEN accuracy >= 80 THEN 'Good' ELSE 'Poor' END AS tier, count(*) AS n FROM a GROUP BY ALL""")
+@query(f"""{SCORED}, a AS (SELECT model, 100 - 100 * cer AS share FROM scored)
+SELECT model, CASE WHEN share >= 100 THEN 'Perfect' WHEN share >= 95 THEN 'Excellent' WHEN share >= 80 THEN 'Good' ELSE 'Poor' END AS tier, count(*) AS n FROM a GROUP BY ALL""")
 def quality_tier(spark, sf):
     accuracy = 100 - 100 * F.col("cer")
     tier = F.when(accuracy >= 100, "Perfect").when(accuracy >= 95, "Excellent").when(accuracy >= 80, "Good").otherwise("Poor")

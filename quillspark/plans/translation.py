@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import inference
 from quillspark.operators import translation as mt
+from quillspark.operators import scoring
+from quillspark.plans import splitting
 from quillspark.plans.register import registry, rounded
+from quillspark.plans.scoring import SCORED, distance_sql
 from quillspark.sources import derived as d
-from quillspark.sources import readers
+from quillspark.sources import readers, writers
 
 QUERIES, ORACLE_SQL, query = registry()
 
@@ -94,6 +97,31 @@ def bootstrap_bleu(spark, sf):
     return rounded(mt.interval(scores, "bleu"))
 
 
+def corpus_sql(rows: str, by: str) -> str:
+    """CTEs up to ``corpus_scores (by, bleu, chrf, ter, total_samples)`` of ``rows`` (by, id, hypothesis, reference)."""
+    grams = lambda unit, size, gram, orders: " UNION ALL ".join(f"SELECT {by}, id, n, {gram.format(side)} AS gram, {1 - k} AS h FROM (SELECT {by}, id, {side}, n, unnest(range(1, {size.format(side)} - n + 2)) AS i FROM {unit}, range(1, {orders + 1}) o(n))" for k, side in enumerate("hr"))
+    counted = lambda name: f"SELECT {by}, n, sum(least(hyp, ref)) AS m, sum(hyp) AS h, sum(ref) AS r FROM (SELECT {by}, id, n, gram, sum(h) AS hyp, sum(1 - h) AS ref FROM {name} GROUP BY ALL) GROUP BY ALL"
+    return f"""kt AS (SELECT {by}, id, {tok('hypothesis')} AS h, {tok('reference')} AS r FROM {rows}),
+kc AS (SELECT {by}, id, replace(hypothesis, ' ', '') AS h, replace(reference, ' ', '') AS r FROM {rows}),
+gt AS ({grams('kt', 'len({})', "array_to_string({}[i:i + n - 1], ' ')", 4)}), ct AS ({counted('gt')}),
+gc AS ({grams('kc', 'length({})', 'substr({}, i, n)', 6)}), cc AS ({counted('gc')}),
+sized AS (SELECT {by}, sum(len(h)) AS hyp_len, sum(len(r)) AS ref_len, count(*) AS total_samples, sum({distance_sql('h', 'r', 'v')}) AS edits FROM (SELECT *, list_distinct(list_concat(h, r)) AS v FROM kt) GROUP BY {by}),
+bleus AS (SELECT {by}, CASE WHEN count(*) FILTER (WHERE m > 0) < 4 THEN 0.0 ELSE exp(sum(ln(m / h)) FILTER (WHERE m > 0) / 4) * 100 END AS precision FROM ct GROUP BY {by}),
+chrfs AS (SELECT {by}, {CHRF} AS chrf FROM cc GROUP BY {by}),
+corpus_scores AS (SELECT s.{by}, CASE WHEN hyp_len = 0 THEN 0.0 ELSE least(1.0, exp(1 - ref_len / hyp_len)) * precision END AS bleu, chrf, {TER} AS ter, total_samples
+  FROM sized s JOIN bleus b ON s.{by} = b.{by} JOIN chrfs c ON s.{by} = c.{by})"""
+
+
+@query(f"""{SCORED}, tr AS (SELECT model, id, prediction AS hypothesis, reference FROM predictions), {corpus_sql('tr', 'model')},
+m AS (SELECT model, round(avg(cer), 6) AS cer, round(avg(wer), 6) AS wer, round(avg(accuracy), 6) AS accuracy, count(*) FILTER (WHERE accuracy = 1) AS exact_matches, count(*) AS n FROM scored GROUP BY model)
+SELECT m.*, round(bleu, 6) AS bleu, round(chrf, 6) AS chrf, round(ter, 6) AS ter FROM m JOIN corpus_scores USING (model)""")
+def pipeline_aggregate(spark, sf):
+    """Means of the rows' rates, and corpus scores of the predictions taken as translations."""
+    rows = d.predictions(spark, sf)
+    scores = mt.corpus_scores(rows.select("model", F.col("prediction").alias("hypothesis"), "reference"), "model")
+    return rounded(scoring.pipeline_means(scoring.score_rows(rows, with_wer=True)).join(scores, "model"))
+
+
 def _modes(spark, sf):
     """Three mock modes of one translator over the same lines, as ``mode, id, hypothesis, reference``."""
     names = F.create_map(*(F.lit(x) for pair in (("strip", "baseline"), ("trunc", "simple"), ("noisy", "full")) for x in pair))
@@ -102,23 +130,51 @@ def _modes(spark, sf):
 
 
 MODE_ROWS = f"WITH {d.PREDICTIONS_SQL}, modes AS (SELECT CASE model WHEN 'strip' THEN 'baseline' WHEN 'trunc' THEN 'simple' ELSE 'full' END AS mode, id, prediction AS hypothesis, reference FROM predictions)"
+MODE_TABLE = f"""{MODE_ROWS}, {corpus_sql('modes', 'mode')}, per_line AS (SELECT mode, id, count(*) AS n FROM ({splitting.ORACLE_SQL['mode_split']}) GROUP BY mode, id),
+splits AS (SELECT mode, avg(n) AS avg_segments, count(*) FILTER (WHERE n > 1) AS samples_split FROM per_line GROUP BY mode),
+mode_table AS (SELECT s.mode, s.bleu, s.chrf, s.ter, s.bleu - b.bleu AS delta_bleu, s.chrf - b.chrf AS delta_chrf, s.ter - b.ter AS delta_ter, coalesce(avg_segments, 1.0) AS avg_segments, coalesce(samples_split, 0) AS samples_split, s.total_samples
+  FROM corpus_scores s CROSS JOIN (SELECT * FROM corpus_scores WHERE mode = 'baseline') b LEFT JOIN splits p ON p.mode = s.mode)"""
 
 
-@query(f"""{MODE_ROWS}, k AS (SELECT mode, id, {tok('hypothesis')} AS h, {tok('reference')} AS r FROM modes),
-v AS (SELECT *, list_distinct(list_concat(h, r)) AS v FROM k),
-s AS (SELECT mode, id, len(r) AS n, levenshtein(list_reduce(list_transform(h, lambda x: chr(list_position(v, x)::INT)), lambda a, b: a || b, ''), list_reduce(list_transform(r, lambda x: chr(list_position(v, x)::INT)), lambda a, b: a || b, '')) AS e FROM v),
-m AS (SELECT mode, 100 * sum(e) / sum(n) AS ter FROM s GROUP BY mode)
-SELECT m.mode, round(m.ter, 6) AS ter, round(m.ter - b.ter, 6) AS delta FROM m, (SELECT ter FROM m WHERE mode = 'baseline') b""")
+def _mode_table(spark, sf):
+    rows = _modes(spark, sf)
+    scores = mt.corpus_scores(rows.drop("id"), "mode").join(rows.groupBy("mode").agg(F.count("*").alias("total_samples")), "mode")
+    lines = splitting.mode_split(spark, sf).groupBy("mode", "id").agg(F.count("*").alias("n"))
+    splits = lines.groupBy("mode").agg(F.avg("n").alias("avg_segments"), F.count_if(F.col("n") > 1).alias("samples_split"))
+    return mt.mode_table(scores, splits, "baseline")
+
+
+@query(f"{MODE_TABLE} SELECT mode, round(bleu, 6) AS bleu, round(chrf, 6) AS chrf, round(ter, 6) AS ter, round(delta_bleu, 6) AS delta_bleu, round(delta_chrf, 6) AS delta_chrf, round(delta_ter, 6) AS delta_ter, round(avg_segments, 6) AS avg_segments, samples_split, total_samples FROM mode_table")
 def mode_compare(spark, sf):
-    """Each mode's corpus TER and its difference from the baseline's."""
-    stats = mt.ter_stats(_modes(spark, sf).withColumn("key", F.struct("mode", "id")), "key").select("key.mode", "edits", "ref_len", "hyp_len")
-    scored = mt.add_up(stats, "mode").select("mode", mt.ter_of().alias("ter"))
-    base = scored.where("mode = 'baseline'").select(F.col("ter").alias("base"))
-    return rounded(scored.crossJoin(F.broadcast(base)).select("mode", "ter", (F.col("ter") - F.col("base")).alias("delta")))  # one row
+    """Each mode's corpus scores, their differences from the baseline's, and how much it splits."""
+    return rounded(_mode_table(spark, sf))
+
 
+@query(f"{MODE_TABLE} SELECT mode, format('{{:.2f}}', bleu) AS bleu, format('{{:.2f}}', chrf) AS chrf, format('{{:.3f}}', ter) AS ter, format('{{:.1f}}', avg_segments::DOUBLE) AS avg_segments, samples_split::VARCHAR AS samples_split, total_samples::VARCHAR AS total_samples FROM mode_table")
+def mode_csv(spark, sf):
+    """The comparison as the CSV sink writes it."""
+    return writers.mode_fields(_mode_table(spark, sf))
 
-@query(f"""{MODE_ROWS} SELECT b.id, b.hypothesis AS baseline, s.hypothesis AS simple, f.hypothesis AS "full", b.hypothesis = s.hypothesis AND s.hypothesis = f.hypothesis AS alike
-  FROM modes b JOIN modes s ON b.id = s.id AND s.mode = 'simple' JOIN modes f ON b.id = f.id AND f.mode = 'full' WHERE b.mode = 'baseline'""")
+
+ALL_SUMS = ", ".join(f"sum({c} * w) AS {c}" for c in ["hyp_len", "ref_len", *(f"{x}{n}" for n in range(1, 5) for x in "mh")])
+
+
+@query(f"""{MODE_ROWS}, t AS (SELECT mode || ':' || id AS id, hypothesis, reference FROM modes), {BLEU_STATS.split(MOCK, 1)[1].lstrip(', ')},
+u AS (SELECT s.*, b, split_part(id, ':', 1) AS mode, ('0x' || left(md5(split_part(id, ':', 2) || ':' || b), 7))::BIGINT % 1000 AS u FROM s, range(0, {RESAMPLES}) q(b)),
+w AS (SELECT *, CASE WHEN u < 368 THEN 0 WHEN u < 736 THEN 1 WHEN u < 920 THEN 2 ELSE 3 END AS w FROM u),
+a AS (SELECT mode, b, {ALL_SUMS} FROM w GROUP BY mode, b), x AS (SELECT mode, {BLEU} AS bleu FROM a),
+i AS (SELECT mode, avg(bleu) AS mean, quantile_cont(bleu, 0.025) AS ci_lower, quantile_cont(bleu, 0.975) AS ci_upper FROM x GROUP BY mode)
+SELECT i.mode, round(i.mean, 6) AS mean, round(i.ci_lower, 6) AS ci_lower, round(i.ci_upper, 6) AS ci_upper, round(i.ci_lower - o.mean, 6) AS delta_lower, round(i.ci_upper - o.mean, 6) AS delta_upper,
+  o.ci_upper < i.ci_lower OR i.ci_upper < o.ci_lower AS significant FROM i, (SELECT * FROM i WHERE mode = 'baseline') o""")
+def mode_significance(spark, sf):
+    """Bootstrap intervals of BLEU per mode against the baseline's."""
+    stats = mt.bleu_stats(_modes(spark, sf).withColumn("key", F.struct("mode", "id")), "key").select("key.mode", "key.id", "*").drop("key")
+    scores = mt.resamples(stats, "id", RESAMPLES, "mode").select("mode", mt.bleu_of().alias("bleu"))
+    return rounded(mt.significance(mt.interval(scores, "bleu", "mode"), "baseline"))
+
+
+@query(f"""{MODE_ROWS}, r AS (SELECT id, any_value(hypothesis) FILTER (WHERE mode = 'baseline') AS baseline, any_value(hypothesis) FILTER (WHERE mode = 'simple') AS simple, any_value(hypothesis) FILTER (WHERE mode = 'full') AS "full" FROM modes GROUP BY id)
+SELECT *, baseline = simple AND simple = "full" AS alike FROM r""")
 def mode_rows(spark, sf):
     rows = _modes(spark, sf)
     of = lambda m: rows.where(F.col("mode") == m).select("id", F.col("hypothesis").alias(m))
@@ -126,6 +182,18 @@ def mode_rows(spark, sf):
     return joined.withColumn("alike", (F.col("baseline") == F.col("simple")) & (F.col("simple") == F.col("full")))
 
 
+@query(rf"""{CHRF_STATS.split(', a AS')[0]}, sign AS (SELECT '!"#$%&''()*+,-./:;<=>?@[\]^_`{{|}}~' AS signs),
+ws AS (SELECT id, side, list_filter(regexp_split_to_array(x, '\s+'), lambda w: w <> '') AS w FROM (SELECT id, 1 AS side, hypothesis AS x FROM t UNION ALL SELECT id, 0, reference FROM t)),
+wu AS (SELECT id, side, flatten(list_transform(w, lambda x: CASE WHEN length(x) > 1 AND contains(signs, right(x, 1)) THEN [left(x, length(x) - 1), right(x, 1)] WHEN length(x) > 1 AND contains(signs, left(x, 1)) THEN [left(x, 1), substr(x, 2)] ELSE [x] END)) AS w FROM ws, sign),
+wg AS (SELECT id, side, n, array_to_string(w[i:i + n - 1], ' ') AS gram FROM (SELECT id, side, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM wu, range(1, 3) q(n))),
+wc AS (SELECT id, n, gram, sum(side) AS hyp, sum(1 - side) AS ref FROM wg GROUP BY ALL),
+every AS (SELECT n, m, h, r FROM o UNION ALL SELECT 6 + n, sum(least(hyp, ref)), sum(hyp), sum(ref) FROM wc GROUP BY id, n),
+a AS (SELECT n, sum(m) AS m, sum(h) AS h, sum(r) AS r FROM every GROUP BY n) SELECT round({CHRF}, 6) AS chrf FROM a""")
+def corpus_chrf_words(spark, sf):
+    """chrF with word grams up to order 2."""
+    return rounded(mt.add_up(mt.chrf_stats(_mock(spark, sf), word_order=2)).select(mt.chrf_of(word_order=2).alias("chrf")))
+
+
 PAIRS = f"WITH {d.PAIRS_SQL}"
 
 

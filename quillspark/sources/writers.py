@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +19,34 @@ def write_leaderboard(df: DataFrame, path: str, names: list[str], numbers: list[
     csv_fields(ordered, names, numbers).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def run_folder(path: str, model: str, at: datetime) -> str:
+    """Folder of one run: the model and the time."""
+    return f"{path}/{model}_{at:%Y%m%d_%H%M%S}"
+
+
+def run_metadata(files: DataFrame, model: str, at: datetime, modes: dict[str, list[str]], total: DataFrame) -> DataFrame:
+    """One row: model, time, the inputs by hash (rows of the ``binaryFile`` source), the modes and the conjunctions of
+    each, and the number of samples (``total``, one row)."""
+    inputs = content_hashes(files).agg(F.array_sort(F.collect_list(F.struct("path", "sha256"))).alias("inputs"))  # a row per input file
+    lists = F.create_map(*(c for mode, words in modes.items() for c in (F.lit(mode), F.array(*map(F.lit, words)).cast("array<string>"))))
+    return inputs.crossJoin(total).select(F.lit(model).alias("model"), F.lit(at.isoformat()).alias("timestamp"), "inputs", F.array(*map(F.lit, modes)).alias("modes"), lists.alias("conjunctions"), "total_samples")
+
+
+def mode_fields(modes: DataFrame) -> DataFrame:
+    """The mode comparison as text: two places for BLEU and chrF, three for TER, one for segments."""
+    places = {"bleu": 2, "chrf": 2, "ter": 3, "avg_segments": 1}
+    text = lambda c: F.format_string(f"%.{places[c]}f", F.col(c)) if c in places else F.col(c).cast("string")
+    return modes.select("mode", *(text(c).alias(c) for c in ("bleu", "chrf", "ter", "avg_segments", "samples_split", "total_samples")))
+
+
+def write_mode_comparison(modes: DataFrame, path: str) -> None:
+    """CSV, a row per mode, so one file."""
+    mode_fields(modes).orderBy("mode").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
 def write_results(per_sample: DataFrame, aggregate: DataFrame, metadata: DataFrame, path: str) -> None:
-    """JSON: the samples under ``samples``, and one document of metadata and aggregate metrics."""
+    """JSON under the run's folder: the samples under ``samples``, and one document of metadata and aggregate
+    metrics."""
     per_sample.write.mode("overwrite").json(f"{path}/samples")
     head = metadata.select(F.struct("*").alias("metadata")).crossJoin(aggregate.select(F.struct("*").alias("aggregate_metrics")))  # one row each
     head.write.mode("overwrite").json(f"{path}/summary")

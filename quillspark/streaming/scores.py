@@ -1,8 +1,8 @@
 """Incremental scoring of arriving prediction files.
 
-The running state is sums and counts per model and source, never means, so a batch of arrivals is added by one
-small join, and means are taken when the state is read. Repeated (model, id) rows count once: within a batch,
-and across batches by an anti-join with the keys scored before."""
+The running state is sums and counts per model and source, never means, and means are taken when it is read.
+Repeated (model, id) rows count once: the stream keeps the keys it has seen in its own partitioned state, so a batch
+reads nothing but what arrives."""
 
 from __future__ import annotations
 
@@ -32,22 +32,12 @@ def means(state: DataFrame) -> DataFrame:
 
 
 def add_batch(batch: DataFrame, batch_id: int, path: str) -> None:
-    """Score rows whose key is new and write their sums and keys under the batch's number: a batch that is run
-    again after a failure replaces what it wrote, so nothing counts twice."""
-    spark = batch.sparkSession
-    fresh = batch.dropDuplicates(["model", "id"])
-    jvm = spark.sparkContext._jvm
-    keys = jvm.org.apache.hadoop.fs.Path(f"{path}/keys")
-    if keys.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(keys):
-        seen = spark.read.parquet(f"{path}/keys").where(F.col("batch") < batch_id).select("model", "id")
-        fresh = fresh.join(seen, ["model", "id"], "left_anti")
-    fresh = fresh.persist()
-    fresh.select("model", "id").write.mode("overwrite").parquet(f"{path}/keys/batch={batch_id}")
-    score_sums(fresh).write.mode("overwrite").parquet(f"{path}/sums/batch={batch_id}")
-    fresh.unpersist()
+    """Write the sums of rows not seen before under the batch's number: a batch that is run again after a failure
+    replaces what it wrote, so nothing counts twice."""
+    score_sums(batch).write.mode("overwrite").parquet(f"{path}/sums/batch={batch_id}")
 
 
 def score_stream(spark: SparkSession, source: str, path: str, checkpoint: str) -> StreamingQuery:
     """Score JSON files as they arrive under ``source``; the state is under ``path``. Runs until nothing is left."""
-    arriving = spark.readStream.schema(ARRIVAL).json(source)
+    arriving = spark.readStream.schema(ARRIVAL).json(source).dropDuplicates(["model", "id"])
     return arriving.writeStream.foreachBatch(lambda batch, number: add_batch(batch, number, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,13 +1,16 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quillspark.functions import accuracy as acc
 from quillspark.functions import segmentation as seg
 from quillspark.functions import text as tx
 from quillspark.operators import characters as ch
+from quillspark.operators import translation as mt
 
 
 def one(spark, column, **values):
@@ -34,6 +37,23 @@ def test_error_rates_and_their_edges(spark):
     assert got[1]["acc"] is None and got[1]["norm"] == 1
 
 
+def test_distances_of_long_rows(spark):
+    """50,000 characters, and more distinct words than a character set holds planes."""
+    rng = random.Random(5)
+    long = "".join(rng.choices("abcdefgh ", k=50_000))
+    words = [f"w{i}" for i in range(70_000)]
+    other = words[:100] + ["x"] + words[101:40_000] + words[40_003:] + ["y"]
+    rows = [(long, long[:110]), (long[:9000], long[:2000] + "##" + long[2000:9000]), ("", long), ("a b c", "c b a")]
+    df = spark.createDataFrame(rows, "r string, p string")
+    assert [r.c for r in df.select(acc.edit_distance(F.col("p"), F.col("r")).alias("c")).collect()] == [50_000 - 110, 2, 50_000, 2]
+    df = spark.createDataFrame([(" ".join(words), " ".join(other)), *rows], "r string, p string")
+    got = [r.w for r in df.select(acc.token_distance(tx.words(F.col("r")), tx.words(F.col("p"))).alias("w")).collect()]
+    assert got[0] == 5 and got[3:] == [len(long.split()), 2]
+    for _ in range(400):
+        a, b = (np.array(rng.choices(range(3), k=rng.randint(0, 70))) for _ in range(2))
+        assert acc.distance(a, b) == levenshtein(a.tolist(), b.tolist())
+
+
 def test_text_rules(spark):
     assert one(spark, tx.clean_text(F.col("t")), t="  Hello,   WORLD! it's ") == "hello world its"
     assert one(spark, tx.format_sentence(F.col("t")), t="Hi,you (there)  .") == "Hi , you ( there ) ."
@@ -81,6 +101,35 @@ def test_alignment_of_batches_and_in_sql(spark):
     assert sorted(ch.alignments(df, "id").collect()) == sorted(lateral.collect())
 
 
+def test_long_rows_are_aligned_in_a_band_like_all_others(spark, monkeypatch):
+    rng = random.Random(7)
+    for k in range(120):
+        a = "".join(rng.choices("abč ", k=rng.randint(1, 90)))
+        b = "".join(c for c in a if rng.random() > 0.1) + "".join(rng.choices("ab", k=rng.randint(0, 5))) if k % 2 else "".join(rng.choices("abč ", k=rng.randint(1, 60)))
+        if not b:
+            continue
+        monkeypatch.setattr(ch, "STEP", rng.choice([1, 2, 7, 512]))
+        for one, two in zip(ch.align_batch([a], [b]), ch.align_long(a, b), strict=True):
+            assert one.tolist() == two.tolist()
+    text = "".join(rng.choices("abcdefghč ", k=50_000))
+    df = spark.createDataFrame([(1, text, text.replace("č", "")[:-7]), (2, text, text[:50])], "id long, reference string, prediction string")
+    sums = ch.alignments(df, "id").groupBy("id").agg(F.count_if(F.col("ref_char") != "").alias("r"), F.count_if(F.col("pred_char") != "").alias("p"), F.count_if(F.col("ref_char") != F.col("pred_char")).alias("d")).collect()
+    lost = text.count("č")
+    assert {(r.id, r.r, r.p) for r in sums} == {(1, 50_000, 50_000 - lost - 7), (2, 50_000, 50)}
+    assert all(r.d == (lost + 7 if r.id == 1 else 50_000 - 50) for r in sums)
+
+
+def test_clipped_counts_equal_counters():
+    rng = random.Random(8)
+    rows = [(rng.choices("abc", k=rng.randint(0, 30)), rng.choices("abc", k=rng.randint(0, 30))) for _ in range(80)]
+    sides = [(np.array([ord(c) for row in rows for c in row[k]], np.uint32), np.array([len(row[k]) for row in rows])) for k in (0, 1)]
+    got = mt.clipped_counts(*sides, 4)
+    for (h, r), found in zip(rows, got.tolist(), strict=True):
+        for n in range(1, 5):
+            a, b = (Counter(tuple(x[i : i + n]) for i in range(len(x) - n + 1)) for x in (h, r))
+            assert found[3 * n - 3 : 3 * n] == [sum((a & b).values()), a.total(), b.total()]
+
+
 def test_char_accuracy_and_pivot(spark):
     confused = spark.createDataFrame([("m", "á", "á", 9), ("m", "á", "a", 1), ("m", "Á", "Á", 1), ("m", "č", "", 2)], "model string, ref_char string, pred_char string, n long")
     tracked = ch.tracked_chars(spark.createDataFrame([("á",), ("č",), ("ŋ",)], "char string"))

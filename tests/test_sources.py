@@ -48,6 +48,28 @@ def test_writers(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "e/comparison")).columns == ["sme", "eng"]
 
 
+def test_run_folder_metadata_and_mode_comparison(spark, tmp_path):
+    from datetime import datetime
+
+    (tmp_path / "in.json").write_text("{}")
+    at = datetime(2024, 5, 6, 7, 8, 9)
+    files = spark.read.format("binaryFile").load(str(tmp_path / "in.json"))
+    meta = writers.run_metadata(files, "m", at, {"baseline": [], "simple": ["ja", "go"]}, spark.createDataFrame([(3,)], "total_samples long")).first()
+    assert meta.inputs[0].sha256 == "44136fa355b3678a1146ad16f7e8649e94fb4fc21fe77e8310c060f61caaff8a"
+    assert meta.conjunctions == {"baseline": [], "simple": ["ja", "go"]} and meta.total_samples == 3 and meta.modes == ["baseline", "simple"]
+    assert writers.run_folder("/x", "m", at) == "/x/m_20240506_070809"
+    scores = spark.createDataFrame([("baseline", 10.0, 20.0, 30.0, 7), ("simple", 12.345, 21.0, 29.0, 7)], "mode string, bleu double, chrf double, ter double, total_samples long")
+    table = mt.mode_table(scores, spark.createDataFrame([("simple", 1.25, 2)], "mode string, avg_segments double, samples_split long"), "baseline")
+    assert [(r.mode, round(r.delta_bleu, 3), r.avg_segments, r.samples_split) for r in table.orderBy("mode").collect()] == [("baseline", 0.0, 1.0, 0), ("simple", 2.345, 1.25, 2)]
+    writers.write_mode_comparison(table, str(tmp_path / "modes"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "modes")).collect()] == ["mode,bleu,chrf,ter,avg_segments,samples_split,total_samples", "baseline,10.00,20.00,30.000,1.0,0,7", "simple,12.35,21.00,29.000,1.3,2,7"]
+
+
+def test_intervals_that_overlap_or_not(spark):
+    rows = spark.createDataFrame([("base", 10.0, 9.0, 11.0), ("a", 10.5, 9.5, 11.5), ("b", 13.0, 12.0, 14.0)], "mode string, mean double, ci_lower double, ci_upper double")
+    assert {(r.mode, r.delta_lower, r.significant) for r in mt.significance(rows, "base").collect()} == {("base", -1.0, False), ("a", -0.5, False), ("b", 2.0, True)}
+
+
 def test_registry_and_error_policy(spark):
     with pytest.raises(ValueError, match="unknown model"):
         inference.factory_of("nope")
