@@ -213,17 +213,18 @@ def _parts(path: str, chunk: int) -> Callable[[Iterator[pd.DataFrame]], Iterator
 
 
 def _encode_parts(path: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def one(bpe: WordBpe, text: str, kind: int) -> list[int]:
-        if kind == SPECIAL:
-            return [int(text)]
-        words = text.split(" ") if text else []
-        tail = bpe.encode_chunk(bpe.mapped(words.pop()), False) if kind == OPEN else []
-        return [i for found in bpe.encode_words(words) for i in found] + tail
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = load(path)
+        known: dict[str, list[int]] = {}
         for frame in frames:
-            yield frame[["row", "doc_id", "part", "kind"]].assign(tokens=[one(bpe, t, k) for t, k in zip(frame["text"], frame["kind"], strict=True)])
+            parts = [t.split(" ") if t and k != SPECIAL else [] for t, k in zip(frame["text"], frame["kind"], strict=True)]
+            tails = [words.pop() if k == OPEN else "" for words, k in zip(parts, frame["kind"], strict=True)]
+            if len(known) > MEMO:
+                known = {}
+            new = list({w for words in parts for w in words if w not in known})
+            known.update(zip(new, bpe.encode_words(new), strict=True))
+            tokens = [[int(t)] if k == SPECIAL else [i for w in words for i in known[w]] + bpe.encode_chunk(bpe.mapped(tail), False) for t, k, words, tail in zip(frame["text"], frame["kind"], parts, tails, strict=True)]
+            yield frame[["row", "doc_id", "part", "kind"]].assign(tokens=tokens)
 
     return run
 
