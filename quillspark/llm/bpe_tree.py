@@ -19,7 +19,9 @@ import os
 import re
 from collections.abc import Callable, Iterator
 from functools import cached_property
+from itertools import chain, groupby
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,6 +55,10 @@ class WordBpe:
         return Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": None, "added_tokens": [], "model": spec["model"] | changes}))
 
     # each is loaded by the tasks that use it
+    @cached_property
+    def numerals(self) -> dict[int, str]:
+        return {i: str(i) for i in self.names}
+
     @cached_property
     def library(self) -> Tokenizer:
         return Tokenizer.from_file(self.path)
@@ -179,26 +185,24 @@ CLOSED, OPEN, SPECIAL = range(3)
 
 def cut(pieces: list[str | int], chunk: int) -> Iterator[tuple[str, int]]:
     """Parts of ``chunk`` characters, words joined by spaces; a cut falls where it falls. Never none at all."""
-    words: list[str] = []
-    room, some = chunk, False
-    for piece in pieces:
-        some = True
-        if isinstance(piece, int):
-            if words:
-                yield " ".join(words), CLOSED
-            yield str(piece), SPECIAL
-            words, room = [], chunk
+    if not pieces:
+        yield "", CLOSED
+    for special, run in groupby(pieces, lambda piece: isinstance(piece, int)):
+        words = list(run)
+        if special:
+            yield from ((str(piece), SPECIAL) for piece in words)
             continue
-        while len(piece) > room:
-            yield " ".join([*words, piece[:room]]), OPEN
-            piece, words, room = piece[room:], [], chunk
-        words.append(piece)
-        room -= len(piece)
-        if not room:
-            yield " ".join(words), CLOSED
-            words, room = [], chunk
-    if words or not some:
-        yield " ".join(words), CLOSED
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        first, kept = 0, 0  # the word that a part begins in, and how much of it went before
+        for at in range(chunk, int(ends[-1]) + chunk, chunk):
+            last = min(int(np.searchsorted(ends, at)), len(words) - 1)
+            inside = at < ends[last]
+            part = words[first : last + 1]
+            size = len(words[last]) - int(ends[last] - at) if inside else len(words[last])
+            part[-1] = part[-1][:size]
+            part[0] = part[0][kept:]
+            yield " ".join(part), OPEN if inside else CLOSED
+            first, kept = (last, size) if inside else (last + 1, 0)
 
 
 def _parts(path: str, chunk: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -223,7 +227,7 @@ def _encode_parts(path: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.D
                 known = {}
             new = list({w for words in parts for w in words if w not in known})
             known.update(zip(new, bpe.encode_words(new), strict=True))
-            tokens = [[int(t)] if k == SPECIAL else [i for w in words for i in known[w]] + bpe.encode_chunk(bpe.mapped(tail), False) for t, k, words, tail in zip(frame["text"], frame["kind"], parts, tails, strict=True)]
+            tokens = [[int(t)] if k == SPECIAL else list(chain.from_iterable(map(known.__getitem__, words))) + bpe.encode_chunk(bpe.mapped(tail), False) for t, k, words, tail in zip(frame["text"], frame["kind"], parts, tails, strict=True)]
             yield frame[["row", "doc_id", "part", "kind"]].assign(tokens=tokens)
 
     return run
@@ -233,8 +237,8 @@ def _join_row(path: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         bpe = load(path)
         frame = frame.sort_values("part")
-        ids = bpe.join_all([(list(map(int, t)), k == OPEN) for t, k in zip(frame["tokens"], frame["kind"], strict=True)])
-        out = pd.DataFrame({"doc_id": [frame["doc_id"].iloc[0]], "n_tokens": [len(ids)], "ids": [" ".join(map(str, ids))], "decoded": [" ".join(bpe.names[i] for i in ids)]})
+        ids = bpe.join_all([(t.tolist(), k == OPEN) for t, k in zip(frame["tokens"], frame["kind"], strict=True)])
+        out = pd.DataFrame({"doc_id": [frame["doc_id"].iloc[0]], "n_tokens": [len(ids)], "ids": [" ".join(map(bpe.numerals.__getitem__, ids))], "decoded": [" ".join(map(bpe.names.__getitem__, ids))]})
         return out.astype({"doc_id": "Int64"})
 
     return run
