@@ -40,6 +40,22 @@ TEMPLATES = (
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License", ("creative commons attribution 4 0",)),
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", ("creative commons attribution noncommercial 4 0",)),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0", ("cc by nc 4 0",)),
+    ("gpl-2", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version", ("gnu general public license", "free software foundation", "version 2 of the license")),
+    ("lgpl-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version", ("gnu lesser general public license", "version 2 1 of the license")),
+    ("lgpl-3", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", ("gnu lesser general public license", "version 3 of the license")),
+    ("agpl-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", ("gnu affero general public license", "version 3 of the license")),
+    ("bsd-3", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("neither the name of", "endorse or promote products derived from this software")),
+    ("mit-0", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so. THE SOFTWARE IS PROVIDED AS IS", ("furnished to do so the software is provided as is",)),
+    ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely", ("without any express or implied warranty", "alter it and redistribute it freely")),
+    ("bsl-1", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software", ("any person or organization obtaining a copy", "prepare derivative works of the software")),
+    ("bsl-1", "Distributed under the Boost Software License, Version 1.0", ("boost software license version 1 0",)),
+    ("epl-2", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", ("eclipse public license 2 0",)),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", ("waived all copyright and related or neighboring rights",)),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", ("creative commons attribution sharealike 4 0",)),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License", ("creative commons attribution noderivatives 4 0",)),
+    ("cc-by-nc-sa", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", ("creative commons attribution noncommercial sharealike 4 0",)),
+    ("ofl-1.1", "This Font Software is licensed under the SIL Open Font License, Version 1.1. This license is copied below, and is also available with a FAQ at", ("sil open font license version 1 1",)),
+    ("wtfpl", "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed", ("changing it is allowed as long as the name is changed",)),
 )
 #: Index words per template; words in more than this share of the templates are never indexed.
 TOP_WORDS, COMMON = 12, 0.34
@@ -123,8 +139,18 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
         .join(templates, "template")
         .where(F.col("votes") >= VOTES * F.col("size"))
     )
-    stands = lambda need: F.exists("phrases", lambda h: (h["phrase"] == need["phrase"]) & (F.abs(h["place"] - F.col("shift") - need["at"]) <= SLACK))
-    verified = votes.join(found.where(F.size("words") > 0).select("row", "phrases"), "row").where(F.forall("needed", stands))
+    # a key phrase may be SLACK words off: each of its possible places is one row of an equi-join, so that a file of
+    # many notices costs its places, not their product with its shifts
+    expected = votes.select("row", "template", "label", "size", "votes", "shift", F.size("needed").alias("n_needed"), F.posexplode("needed").alias("need", "key"))
+    off = F.explode(F.array(*(F.lit(d) for d in range(-SLACK, SLACK + 1))))
+    expected = expected.withColumn("off", off).withColumn("place", F.col("shift") + F.col("key")["at"] + F.col("off")).withColumn("phrase", F.col("key")["phrase"])
+    standing = found.where(F.size("words") > 0).select("row", F.inline("phrases")).distinct()
+    verified = (
+        expected.join(standing, ["row", "phrase", "place"])
+        .groupBy("row", "template", "label", "size", "votes", "shift", "n_needed")
+        .agg(F.count_distinct("need").alias("n_found"))
+        .where("n_found = n_needed")
+    )
     spans = verified.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("label", F.col("shift").alias("first_word"), (F.col("votes") / F.col("size")).alias("score")))).alias("spans"))
     base = F.filter("phrases", lambda h: h["phrase"] < len(BASE))
     label_of = F.array(*(F.lit(label) for _, label in BASE))

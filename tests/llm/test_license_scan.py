@@ -34,3 +34,25 @@ def test_base_equals_brute_force_and_templates_are_found(spark):
     assert labels[5:] == ["", "mit", "", "bsd-3", "", "apache-2", "", "gpl-3", "", "cc-by-nc"]
     assert got[6].score == 1 and got[6].spans[0].first_word == 36
     assert s.scan(df.limit(0)).count() == 0
+
+
+def test_every_template_is_found_and_many_notices_in_one_file(spark):
+    texts = [FILLER * 20 + text + " " + FILLER * 20 for _, text, _ in s.TEMPLATES]
+    everything = (" " + FILLER * 5).join([t for _, t, _ in s.TEMPLATES] * 8)
+    df = spark.createDataFrame(list(enumerate([*texts, everything])), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in s.scan(df).collect()}
+    for i, (label, _, _) in enumerate(s.TEMPLATES):
+        assert label in got[i].labels.split(",") and (80, label, 1.0) in {(x.first_word, x.label, x.score) for x in got[i].spans}
+    whole = got[len(texts)]
+    assert set(whole.labels.split(",")) == {label for label, _, _ in s.TEMPLATES}
+    assert sum(x.score == 1 for x in whole.spans) >= 8 * len(s.TEMPLATES)
+
+
+def test_close_relatives_are_told_apart(spark):
+    by_label = {}
+    for label, text, _ in s.TEMPLATES:
+        by_label.setdefault(label, text)
+    names = ["gpl-2", "gpl-3", "lgpl-2.1", "lgpl-3", "agpl-3", "cc-by", "cc-by-sa", "cc-by-nd", "cc-by-nc", "cc-by-nc-sa"]
+    df = spark.createDataFrame([(i, FILLER + by_label[n]) for i, n in enumerate(names)], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in s.scan(df).collect()}
+    assert [got[i] for i in range(len(names))] == names
