@@ -2,9 +2,10 @@
 
 Texts are cut into blocks; a block holds its distinct pre-tokens once and, per document, how often each
 occurs (sorted codes as gaps); only pre-tokens that the vocabulary holds as one piece are summed at once. The blocks' pre-tokens are dealt and sorted by pre-token, so each distinct one
-of the whole table is encoded exactly once; piece counts go back packed per block and are joined to the
-block's frequencies, where frequency times count is summed. A frequent pre-token is one small row per block,
-so no key grows with its occurrences.
+of the whole table is encoded once (by ``BLOCKS_TOGETHER`` blocks, if there are more than that); piece counts go
+back packed per block and are joined to the block's frequencies, where frequency times count is summed. A frequent
+pre-token is one small row per block, so no key grows with its occurrences, and the blocks dealt together bound the
+rows of one pre-token in a task.
 
 Results equal the tokenizer library's ``encode(text, add_special_tokens=False)``: special strings inside a
 text count as one token, as is the library's default. A null text counts as empty (0 bytes, 0 tokens);
@@ -38,6 +39,8 @@ BYTE_PATTERN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]
 BLOCK_BYTES = 12 << 20
 #: Piece counts packed together on their way back to the blocks.
 ROWS_PACKED = 1 << 17
+#: Blocks (of up to BLOCK_BYTES) whose rows of one pre-token may meet in one task.
+BLOCKS_TOGETHER = 1 << 16
 #: A block's tokens and frequencies: see ``pack``.
 BLOCK = "block long, tokens array<string>, docs array<long>, n_bytes array<long>, known array<long>, gaps binary, freqs binary"
 
@@ -183,13 +186,14 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([docs, row["n_bytes"].values, total], names=["doc_id", "n_bytes", "n_tokens"])
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", together: int = BLOCKS_TOGETHER) -> DataFrame:
     """``doc_id, n_bytes, n_tokens`` for every row, counted by a byte-level BPE of the tokenizers library.
 
     ``tokenizer_path`` must exist on every executor, as the library itself must."""
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     blocks = scratch_table(source.mapInArrow(_blocks(tokenizer_path), BLOCK), "token-blocks")
-    tokens = blocks.select("block", F.posexplode("tokens").alias("code", "token")).repartition("token").sortWithinPartitions("token")
+    part = F.pmod(F.xxhash64("block"), F.lit(-(-blocks.count() // together) or 1))
+    tokens = blocks.select("block", F.posexplode("tokens").alias("code", "token")).repartition("token", part).sortWithinPartitions("token")
     pieces = tokens.mapInArrow(_piece_counts(tokenizer_path), "block long, codes binary, pieces binary")
     counts = pieces.groupBy("block").agg(F.collect_list(F.struct("codes", "pieces")).alias("counts"))
     rows = blocks.select("block", "docs", "n_bytes", "known", "gaps", "freqs", F.size("tokens").alias("width"))

@@ -26,6 +26,8 @@ def test_counts_equal_the_library(spark):
     tok = Tokenizer.from_file(BYTE)
     got = sorted((r.n_bytes, r.n_tokens) for r in token_counts.token_counts(rows(spark, TEXTS), BYTE).collect())
     assert got == sorted((len((t or "").encode()), len(tok.encode(t or "", add_special_tokens=False).ids)) for t in TEXTS)
+    parted = sorted((r.n_bytes, r.n_tokens) for r in token_counts.token_counts(rows(spark, TEXTS), BYTE, together=1).collect())
+    assert parted == got
     assert token_counts.token_counts(rows(spark, []), BYTE).count() == 0
 
 
