@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import SPACE_CLASS, SPACES, fresh
+from quillspark.llm.common import SPACE_CLASS, SPACES, fresh, scratch_table
 
 WINDOW = 5
 SYMBOLS = r"[#*$%&|<>]"
@@ -84,6 +84,11 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.select(*kept, *MEASURES, bits.alias("failure_bits"))
 
 
+def stored_ledger(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The ledger of ids, measurements and bits as a written table: policies and ablations read this alone."""
+    return scratch_table(ledger(docs.select(doc_id, text), text).drop(text), "quality-ledger")
+
+
 def apply_policy(ledger_df: DataFrame, policy: str = "v1") -> DataFrame:
     """Add ``kept``: no failure bit of the policy is set."""
     return ledger_df.withColumn("kept", F.col("failure_bits").bitwiseAND(F.lit(policy_mask(policy))) == 0)

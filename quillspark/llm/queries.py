@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,11 +62,18 @@ def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_rules.apply_policy(quality_rules.ledger(_documents(spark, sf_dir).select("doc_id", "text")), "v1")
+    judged = quality_rules.apply_policy(quality_rules.stored_ledger(_documents(spark, sf_dir)), "v1")
     base = F.col("failure_bits").bitwiseAND(F.lit(quality_rules.policy_mask("base"))) != 0
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept")
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy removes, from one stored ledger."""
+    stored = quality_rules.stored_ledger(_documents(spark, sf_dir))
+    each = [quality_rules.ablations(stored, p).select(F.lit(p).alias("policy"), "*") for p in quality_rules.POLICIES]
+    return reduce(DataFrame.union, each)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     revisit = F.col("type") == "revisit"
@@ -88,9 +96,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": op7_language_id,
     "op8_simhash_golay": op8_simhash_golay,
     "op9_quality_rules": op9_quality_rules,
+    "quality_ablations": quality_ablations,
     "op10_warc": op10_warc,
 }
 
+#: Measurements of every document, shared by the SQL of the ledger's queries.
+MEASURES_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (
+  SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM d
+),
+g AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS gram
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM w)
+),
+c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g),
+r AS (
+  SELECT doc_id, count(DISTINCT p) AS n_repeat_words
+  FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM c WHERE n > 1) GROUP BY doc_id
+),
+m AS (
+  SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN r USING (doc_id)
+)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": r"""
 WITH i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
@@ -115,31 +150,48 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM j GROUP BY doc_id
 """,
-    "op9_quality_rules": r"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-w AS (
-  SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
-         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
-  FROM d
-),
-g AS (
-  SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS gram
-  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM w)
-),
-c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g),
-r AS (
-  SELECT doc_id, count(DISTINCT p) AS n_repeat_words
-  FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM c WHERE n > 1) GROUP BY doc_id
-),
-m AS (
-  SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
-         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
-         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
-         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
-  FROM w LEFT JOIN r USING (doc_id)
-)
+    "op6_substring_dedup": r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+k AS (SELECT g FROM g GROUP BY g HAVING count(*) > 1),
+s AS (SELECT doc_id, list(i) AS starts FROM g JOIN k USING (g) GROUP BY doc_id),
+c AS (SELECT DISTINCT doc_id, unnest(flatten(list_transform(starts, lambda i: range(i, i + 35)))) AS p FROM s),
+r AS (SELECT doc_id, list(p) AS gone, count(*) AS n FROM c GROUP BY doc_id),
+e AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d WHERE doc_id IN (SELECT doc_id FROM r)),
+t AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS kept FROM e ANTI JOIN c USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(r.n, 0)::BIGINT AS n_removed,
+       sha256(CASE WHEN r.n IS NULL THEN array_to_string(w, ' ') ELSE coalesce(kept, '') END) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id) LEFT JOIN t USING (doc_id)
+""",
+    "op9_quality_rules": MEASURES_SQL
+    + r"""
 SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR n_symbols > 2 * n_words OR word_chars > 20 * n_words) AS kept
 FROM m
+""",
+    "quality_ablations": MEASURES_SQL.replace("length(array_to_string(words, ''))::BIGINT AS word_chars", "length(array_to_string(words, ''))::BIGINT AS word_chars, len(lines) AS n_lines")
+    + r"""
+, f AS (
+  SELECT unnest([['few_words', '1'], ['repeated_words', '2'], ['many_symbols', '4'], ['long_words', '8'], ['short_words', '16'], ['repeated_lines', '32']]) AS rule,
+         ((n_words < 10)::INT + 2 * (100 * n_repeat_words > 20 * n_words)::INT + 4 * (n_symbols > 2 * n_words)::INT + 8 * (word_chars > 20 * n_words)::INT
+          + 16 * (word_chars < 2 * n_words)::INT + 32 * (2 * n_dup_lines > n_lines)::INT) AS bits
+  FROM m
+),
+p AS (SELECT unnest(['base', 'v1', 'strict']) AS policy, unnest([3, 15, 63]) AS mask),
+x AS (SELECT policy, rule[1] AS rule, rule[2]::INT AS bit, bits & mask AS bits FROM f, p WHERE rule[2]::INT & mask <> 0)
+SELECT policy, rule, count(*) FILTER (WHERE bits & bit <> 0)::BIGINT AS n_failed, count(*) FILTER (WHERE bits = bit)::BIGINT AS n_only,
+       count(*) FILTER (WHERE bits = 0 OR bits = bit)::BIGINT AS n_kept_without
+FROM x GROUP BY policy, rule
+""",
+    "op10_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS n, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS last FROM p),
+b AS (
+  SELECT page_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(x, 5 * g + 1, 5))::BIGINT >> (15 - 5 * k)) & 31)::INT + 1, 1), '' ORDER BY g, k) AS digest
+  FROM d, range(8) AS a(g), range(4) AS c(k) GROUP BY page_id
+)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last THEN last END AS refers_to
+FROM d JOIN b USING (page_id)
 """,
 }

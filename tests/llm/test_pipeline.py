@@ -78,3 +78,19 @@ def test_added_and_cut_parts_and_no_false_links(spark):
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
     got = {r.id: r.class_id for r in g.near_duplicate_classes(df).collect()}
     assert [got[i] for i in range(len(rows))] == first
+
+
+def test_recall_on_the_given_table(spark):
+    """All pairs of the table: every pair at 0.8 is in one class, and classes hold no document without a partner."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets = {r.doc_id: shingles(r.text or "") for r in docs.collect()}
+    got = {r.id: r.class_id for r in g.near_duplicate_classes(docs).collect()}
+    alike = lambda a, b: 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])
+    pairs = [(a, b) for a in sets for b in sets if a < b and 0.8 <= (len(sets[a]) + 1) / (len(sets[b]) + 1) <= 1.25 and alike(a, b)]
+    assert len(pairs) > 50 and all(got[a] == got[b] for a, b in pairs)
+    members = {}
+    for d, c in got.items():
+        members.setdefault(c, []).append(d)
+    for group in members.values():
+        for d in group if len(group) > 1 else ():
+            assert any(alike(d, other) for other in group if other != d)
