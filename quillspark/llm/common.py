@@ -36,6 +36,17 @@ def scratch_table(df: DataFrame, name: str, partition_by: str | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_buckets(df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:
+    """``scratch_table`` dealt into buckets of ``key`` and sorted in each: joins and sums on ``key`` with as many parts
+    read it without a shuffle. The catalogue forgets the table once it is read; its files stay with the scratch ones."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").option("path", scratch_path(spark, name)).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    rows = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return rows
+
+
 def remove_scratch(spark: SparkSession) -> None:
     """Delete all that this application's ``scratch_table`` calls have written. Results that still read it must be
     written before."""

@@ -1,9 +1,9 @@
 """Line dedup over levelled sorted runs of line hashes (operator 4).
 
-``LineRuns`` holds what is known of lines as runs: tables of (hash, documents, largest id), dealt and sorted
-by hash. A new batch is counted per hash, merge-anti-joined with the hashes that the runs already hold often
-enough, and what is left is written as a run of level 0; when a level holds ``fanout`` runs they are merged
-into one of the next level.
+``LineRuns`` holds what is known of lines as runs: tables of (hash, documents, largest id), bucketed and sorted
+by hash, one file a bucket. A new batch is counted per hash (its only shuffle, into as many parts as the runs have
+buckets), merge-anti-joined bucket by bucket with the hashes that the runs already hold often enough, and what is
+left is written as a run of level 0; when a level holds ``fanout`` runs they are merged into one of the next level.
 
 ``dedup_lines`` feeds the documents in batches of falling id, so that a hash found often enough in earlier
 batches needs nothing from later ones, then drops each frequent line outside the largest document holding it.
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import SPACES, fresh, scratch_table, slices
+from quillspark.llm.common import SPACES, fresh, scratch_buckets, scratch_table, slices
 
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 20, 3, 4, 3
 LEAST_ID = -(1 << 63)
@@ -56,28 +56,43 @@ def _line_rows(min_chars: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 class LineRuns:
     """Levelled runs of (h, n, last); see the module."""
 
-    def __init__(self, min_docs: int = MIN_DOCS, fanout: int = FANOUT):
-        self.min_docs, self.fanout = min_docs, fanout
+    def __init__(self, buckets: int, min_docs: int = MIN_DOCS, fanout: int = FANOUT):
+        self.buckets, self.min_docs, self.fanout = buckets, min_docs, fanout
         self.levels: list[list[DataFrame]] = []
 
-    def _merged(self, runs: list[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.union, runs).groupBy("h").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+    @staticmethod
+    def _merged(runs: list[DataFrame]) -> DataFrame:
+        """Runs as one, by sort-merge joins of their buckets. (No union: Spark 4.1 takes a union of bucketed scans for
+        bucketed and sums it without a shuffle, though its parts hold one file each.)"""
+
+        def merge(left: DataFrame, right: DataFrame) -> DataFrame:
+            right = right.select("h", F.col("n").alias("n_right"), F.col("last").alias("last_right"))
+            n = F.coalesce("n", F.lit(0)) + F.coalesce("n_right", F.lit(0))
+            return left.join(right.hint("merge"), "h", "full_outer").select("h", n.alias("n"), F.greatest("last", "last_right").alias("last"))
+
+        return reduce(merge, runs)
 
     @property
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
-    def add(self, lines: DataFrame) -> None:
-        """Count a batch of (h, doc), leave out what the runs settle already, and add the rest as a run."""
+    def unsettled(self, lines: DataFrame) -> DataFrame:
+        """Counts of a batch of (h, doc) but for the hashes that the runs settle already."""
         own = lines.groupBy("h").agg(F.count("*").alias("n"), F.max("doc").alias("last"))
         for run in self.runs:
-            own = own.join(run.where(F.col("n") >= self.min_docs).select("h"), "h", "left_anti")
-        self._push(0, own)
+            # an anti-join by name would be moved below the count, and a frequent line's rows into one task with it
+            settled = run.where(F.col("n") >= self.min_docs).select("h", F.lit(True).alias("settled"))
+            own = own.join(settled.hint("merge"), "h", "left").where("settled IS NULL").drop("settled")
+        return own
+
+    def add(self, lines: DataFrame) -> None:
+        """Add the unsettled counts of a batch of (h, doc) as a run."""
+        self._push(0, self.unsettled(lines))
 
     def _push(self, level: int, rows: DataFrame) -> None:
         if level == len(self.levels):
             self.levels.append([])
-        self.levels[level].append(scratch_table(rows.sortWithinPartitions("h"), f"line-run-{level}"))
+        self.levels[level].append(scratch_buckets(rows, f"line_run_{level}", self.buckets, "h"))
         if len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
             self._push(level + 1, self._merged(full))
@@ -124,7 +139,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
         again = lines.join(shared, "doc", "left_semi").distinct().select("h", "doc", "batch")
         lines = lines.join(shared, "doc", "left_anti").select("h", "doc", "batch").union(again)
     lines = scratch_table(lines, "lines", "batch")
-    runs = LineRuns(min_docs)
+    runs = LineRuns(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min_docs)
     for b in range(len(cuts) + 1):
         runs.add(lines.where(F.col("batch") == b).select("h", "doc"))
     # as a written table the state is dealt anew for the join, so that a frequent line's rows can be split

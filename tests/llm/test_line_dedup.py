@@ -43,7 +43,7 @@ def test_null_ids_count_as_least(spark):
 
 
 def test_runs_are_compacted_by_level(spark):
-    runs = d.LineRuns(min_docs=3, fanout=2)
+    runs = d.LineRuns(4, min_docs=3, fanout=2)
     for b in range(5):
         runs.add(spark.createDataFrame([(bytes([i]), 100 - 10 * b - i) for i in range(b, b + 4)], "h binary, doc long"))
     assert [len(x) for x in runs.levels] == [1, 0, 1]
@@ -59,3 +59,26 @@ def test_rows_that_share_an_id_are_one_document_and_names_may_clash(spark):
     # ``line`` is in two documents, ``other`` in three: it stays in 5 alone
     assert sorted((r.doc_id or 0, r.n_lines, r.n_dropped) for r in got.collect()) == [(0, 1, 0), (1, 1, 0), (1, 1, 0), (1, 2, 1), (2, 2, 1), (5, 1, 0), (6, 1, 0)]
     assert d.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_only_the_count_of_a_batch_shuffles(spark):
+    runs = d.LineRuns(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    batches = [spark.createDataFrame([(bytes([i % 50]), 1000 - 100 * b - i) for i in range(90)], "h binary, doc long") for b in range(2)]
+    for batch in batches:
+        runs.add(batch)
+
+    def exchanges(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+    assert exchanges(runs.unsettled(batches[0])) == 1
+    assert exchanges(runs.frequent()) == 0
+
+
+def test_runs_of_a_line_are_summed_across_levels(spark):
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    runs = d.LineRuns(buckets, min_docs=4, fanout=3)
+    for b in range(5):
+        runs.add(spark.createDataFrame([(bytes([i]), 100 - b) for i in range(60)], "h binary, doc long"))
+    # the fifth batch still counts, as three runs of one document each settle nothing
+    assert [len(x) for x in runs.levels] == [2, 1]
+    assert {(r.h[0], r.last) for r in runs.frequent().collect()} == {(i, 100) for i in range(60)}
