@@ -1,10 +1,11 @@
 """License scans by a positional rare-token index (operator 5).
 
-The index holds, for each template, the positions of its highest-IDF words (inverse frequency over the
-templates). One reading of a text yields its word count, the places of fixed phrases and the places of index
-words. Spark then joins those places to the templates' postings, counts votes per template and shift (place
-in the text minus place in the template), and keeps a shift with enough votes if each mandatory key phrase
-of the template stands where that shift puts it.
+The index holds the positions of each template's words, but for those that many templates share. One reading of
+a text yields its word count, the places of fixed phrases and the places of licence words. A licence word's IDF is
+taken over all files. Spark looks up the places of the highest-IDF words alone: of each template as many postings
+as a match can miss and one more, so that every match is met. They give candidates of template and shift (place in
+the text minus place in the template). A candidate is kept if each mandatory key phrase of the template stands
+where its shift puts it and enough of all the template's postings agree with the shift.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased. Base phrases label a text
 wherever their words stand consecutively. Defined results: a null or empty text has no words and no label;
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import scratch_table, slices
@@ -57,8 +58,8 @@ TEMPLATES = (
     ("ofl-1.1", "This Font Software is licensed under the SIL Open Font License, Version 1.1. This license is copied below, and is also available with a FAQ at", ("sil open font license version 1 1",)),
     ("wtfpl", "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed", ("changing it is allowed as long as the name is changed",)),
 )
-#: Index words per template; words in more than this share of the templates are never indexed.
-TOP_WORDS, COMMON = 12, 0.34
+#: Words in more than this share of the templates are never indexed.
+COMMON = 0.34
 #: Share of a template's postings that must vote for a shift, and words that a key phrase may be off.
 VOTES, SLACK = 0.6, 3
 
@@ -79,9 +80,8 @@ def index() -> tuple[dict[bytes, int], list[tuple[int, int, int]], list[tuple[li
     numbers: dict[bytes, int] = {}
     postings = []
     for t, words in enumerate(texts):
-        rare = sorted({w for w in words if df[w] <= COMMON * len(texts)}, key=lambda w: (-idf[w], w))[:TOP_WORDS]
         for place, w in enumerate(words):
-            if w in rare:
+            if df[w] <= COMMON * len(texts):
                 postings.append((numbers.setdefault(w, len(numbers)), t, place))
     phrases = [words_of(p) for p, _ in BASE]
     needed = []
@@ -97,6 +97,10 @@ def index() -> tuple[dict[bytes, int], list[tuple[int, int, int]], list[tuple[li
     return numbers, postings, anchored, needed
 
 
+def least_votes(size: int) -> int:
+    return math.ceil(VOTES * size)
+
+
 FOUND = "row long, doc_id long, n_words long, phrases array<struct<phrase:int,place:long>>, words array<struct<word:int,place:long>>"
 
 
@@ -125,32 +129,32 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     _, postings, _, needed = index()
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     found = scratch_table(source.mapInArrow(_places, FOUND), "licence-places")
-    # the index and the templates are fixed tables of a few hundred rows
-    listed = F.broadcast(spark.createDataFrame(postings, "word int, template int, at int"))
+    # the index, the templates and their key phrases are fixed tables of a few hundred rows
     sizes = Counter(t for _, t, _ in postings)
-    rules = [(t, label, sizes[t], [{"phrase": p, "at": at} for p, at in needed[t]]) for t, (label, _, _) in enumerate(TEMPLATES)]
-    templates = F.broadcast(spark.createDataFrame(rules, "template int, label string, size int, needed array<struct<phrase:int,at:int>>"))
-    votes = (
-        found.where(F.size("words") > 0)
-        .select("row", F.inline("words"))
-        .join(listed, "word")
-        .groupBy("row", "template", (F.col("place") - F.col("at")).alias("shift"))
-        .agg(F.count_distinct("at").alias("votes"))
+    listed = spark.createDataFrame(postings, "word int, template int, at int")
+    rules = [(t, label, sizes[t], len(needed[t]), least_votes(sizes[t])) for t, (label, _, _) in enumerate(TEMPLATES)]
+    templates = F.broadcast(spark.createDataFrame(rules, "template int, label string, size int, n_needed int, least int"))
+    keys = F.broadcast(spark.createDataFrame([(t, p, k, at) for t, own in enumerate(needed) for k, (p, at) in enumerate(own)], "template int, phrase int, need int, key_at int"))
+    # at most one row a licence word: in how many files it stands
+    files = found.select(F.explode(F.array_distinct(F.transform("words", lambda w: w["word"]))).alias("word")).groupBy("word").agg(F.count("*").alias("files"))
+    rarest_first = Window.partitionBy("template").orderBy(F.coalesce("files", F.lit(0)), "word", "at")
+    leading = (
+        listed.join(F.broadcast(files), "word", "left")
+        .withColumn("rank", F.row_number().over(rarest_first))
         .join(templates, "template")
-        .where(F.col("votes") >= VOTES * F.col("size"))
-    )
-    # a key phrase may be SLACK words off: each of its possible places is one row of an equi-join, so that a file of
-    # many notices costs its places, not their product with its shifts
-    expected = votes.select("row", "template", "label", "size", "votes", "shift", F.size("needed").alias("n_needed"), F.posexplode("needed").alias("need", "key"))
-    off = F.explode(F.array(*(F.lit(d) for d in range(-SLACK, SLACK + 1))))
-    expected = expected.withColumn("off", off).withColumn("place", F.col("shift") + F.col("key")["at"] + F.col("off")).withColumn("phrase", F.col("key")["phrase"])
-    standing = found.where(F.size("words") > 0).select("row", F.inline("phrases")).distinct()
-    verified = (
-        expected.join(standing, ["row", "phrase", "place"])
-        .groupBy("row", "template", "label", "size", "votes", "shift", "n_needed")
-        .agg(F.count_distinct("need").alias("n_found"))
-        .where("n_found = n_needed")
+        .where(F.col("rank") <= F.col("size") - F.col("least") + 1)
+        .select("word", "template", "at")
     )
+    placed = found.where(F.size("words") > 0).select("row", F.inline("words"))
+    candidates = placed.join(F.broadcast(leading), "word").select("row", "template", (F.col("place") - F.col("at")).alias("shift")).distinct()
+    # a key phrase may be SLACK words off: each shift that it allows is one row of an equi-join, so that a file of many
+    # notices costs its places, not their product with its shifts
+    off = F.explode(F.array(*(F.lit(d) for d in range(-SLACK, SLACK + 1)))).alias("off")
+    standing = found.where(F.size("phrases") > 0).select("row", F.inline("phrases")).join(keys, "phrase").select("*", off)
+    allowed = standing.select("row", "template", (F.col("place") - F.col("key_at") + F.col("off")).alias("shift"), "need")
+    keyed = candidates.join(allowed, ["row", "template", "shift"]).groupBy("row", "template", "shift").agg(F.count_distinct("need").alias("n_found"))
+    expected = keyed.join(templates, "template").where("n_found = n_needed").join(F.broadcast(listed), "template").withColumn("place", F.col("shift") + F.col("at"))
+    verified = expected.join(placed, ["row", "word", "place"]).groupBy("row", "template", "label", "size", "least", "shift").agg(F.count("*").alias("votes")).where("votes >= least")
     spans = verified.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("label", F.col("shift").alias("first_word"), (F.col("votes") / F.col("size")).alias("score")))).alias("spans"))
     base = F.filter("phrases", lambda h: h["phrase"] < len(BASE))
     label_of = F.array(*(F.lit(label) for _, label in BASE))

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 
 from quillspark.llm import license_scan as s
@@ -56,3 +57,44 @@ def test_close_relatives_are_told_apart(spark):
     df = spark.createDataFrame([(i, FILLER + by_label[n]) for i, n in enumerate(names)], "doc_id long, text string")
     got = {r.doc_id: r.labels for r in s.scan(df).collect()}
     assert [got[i] for i in range(len(names))] == names
+
+
+def plain_spans(text):
+    """Each shift of each template tried on its own: no index, no rare words."""
+    words, spans = s.words_of(text), set()
+    numbers, postings, anchored, needed = s.index()
+    named = {n: w for w, n in numbers.items()}
+    for t, (label, _, _) in enumerate(s.TEMPLATES):
+        own = [(named[w], at) for w, x, at in postings if x == t]
+        for shift in {i - at for i, w in enumerate(words) for x, at in own if x == w}:
+            votes = sum(0 <= shift + at < len(words) and words[shift + at] == w for w, at in own)
+            phrases = [(anchored[p][0], shift + at) for p, at in needed[t]]
+            stand = all(any(words[q : q + len(p)] == p for q in range(max(0, at - s.SLACK), at + s.SLACK + 1)) for p, at in phrases)
+            if stand and votes >= s.VOTES * len(own):
+                spans.add((label, shift, round(votes / len(own), 9)))
+    return spans
+
+
+def test_spans_equal_a_plain_search_without_the_index(spark, sf_dir):
+    rng = random.Random(5)
+
+    def damaged(text):
+        words = [w if rng.random() < 0.93 else rng.choice(["software", "the", "license", "la"]) for w in text.split()]
+        for _ in range(rng.randint(0, 2)):
+            words.insert(rng.randrange(len(words)), "quite")
+        return FILLER * rng.randint(0, 3) + " ".join(words)
+
+    texts = [damaged(text) for _, text, _ in s.TEMPLATES for _ in range(6)]
+    texts += [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    # words of one licence in most files are no longer rare: which words lead must not matter
+    texts += ["mozilla public affero lesser eclipse boost permission redistribution"] * 300
+    got = {r.doc_id: r for r in s.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = 0
+    for i, text in enumerate(texts):
+        want = plain_spans(text)
+        found += bool(want)
+        assert {(x.label, x.first_word, round(x.score, 9)) for x in got[i].spans or []} == want
+        base = set(filter(None, brute(text)[4].split(",")))
+        assert got[i].labels == ",".join(sorted(base | {label for label, _, _ in want}))
+        assert round(got[i].score, 9) == (1 if base else max((score for _, _, score in want), default=0))
+    assert found > 60
