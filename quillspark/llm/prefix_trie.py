@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -192,13 +193,16 @@ def trie(paths: DataFrame, shard_turns: int = SHARD_TURNS) -> DataFrame:
     sorted_ = paths.select("conv_id", "ids", "chars").repartitionByRange("ids", "conv_id").sortWithinPartitions("ids", "conv_id")
     kinds = ", ".join(f"{f.name} {_KIND[f.type]}" for f in _NODE)
     nodes = scratch_table(sorted_.mapInArrow(lambda batches: _shards(batches, shard_turns), kinds), "nodes")
-    merged = _merged(nodes.where("key IS NOT NULL"))
-    named = merged.select(F.col("key").alias("parent_key"), F.col("conv_id").alias("_parent"))
+    boundary = nodes.where("key IS NOT NULL")
+    merged = _merged(boundary)
+    named = merged.select("key", F.col("conv_id").alias("_parent"))
+    # names go to each shard's own part of a boundary node: a node with very many children is no hot key then
+    known = boundary.select("shard", "key").join(named, "key").withColumnRenamed("key", "parent_key")
     inner = nodes.where("key IS NULL")
     out = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends"]
-    below = inner.where("parent_key IS NOT NULL").drop("parent_conv_id").unionByName(merged, allowMissingColumns=True)
-    below = below.join(named, "parent_key", "left").withColumnRenamed("_parent", "parent_conv_id")
-    return inner.where("parent_key IS NULL").select(out).unionByName(below.select(out))
+    below = inner.where("parent_key IS NOT NULL").drop("parent_conv_id").join(known, ["shard", "parent_key"]).withColumnRenamed("_parent", "parent_conv_id")
+    merged = merged.join(named.withColumnRenamed("key", "parent_key"), "parent_key", "left").withColumnRenamed("_parent", "parent_conv_id")
+    return reduce(DataFrame.unionByName, [x.select(out) for x in (inner.where("parent_key IS NULL"), below, merged)])
 
 
 def _merged(parts: DataFrame) -> DataFrame:
