@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,8 +19,8 @@ from quillspark.functions.text import chars
 TRACKED_LOWER = "áčđŋšŧž"
 
 
-#: Cells of the tables filled at once, and rows of a long table between two that are kept.
-CELLS, STEP = 1 << 23, 512
+#: Cells and rows of the tables filled at once, characters read at once, and rows of a long table between two that are kept.
+CELLS, ROWS, CHARS, STEP = 1 << 23, 1024, 1 << 20, 512
 BEYOND = 1 << 30
 
 
@@ -42,48 +43,186 @@ def register_table_function(spark: SparkSession, name: str = "align_chars") -> N
 
 
 def _aligned(references: list[str], predictions: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    if (len(references[0]) + 1) * (len(predictions[0]) + 1) > CELLS:
-        return align_long(references[0], predictions[0])
-    if not references[0] and not predictions[0]:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, "U1"), np.empty(0, "U1")
-    return align_batch(references, predictions)
+    row, pos, ref, pred = align_codes(*_codes(references), *_codes(predictions))
+    return row, pos, _letters(ref), _letters(pred)
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of all texts as numbers, and how many each has."""
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), np.array([len(t) for t in texts], np.int64)
+
+
+def _letters(codes: np.ndarray) -> np.ndarray:
+    """Characters of aligned codes, '' for a gap."""
+    kinds, at = np.unique(codes, return_inverse=True)
+    return np.array([chr(c - 1) if c else "" for c in kinds.tolist()], "U1")[at]
 
 
 def align_batch(references: list[str], predictions: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``align`` for many rows at once: row number, place, characters of both sides. Each step of the table and
-    of the way back is one operation over all rows, so rows of like length belong together."""
-    m, n = (np.array([len(x) for x in side]) for side in (references, predictions))
-    grid = lambda side, size: np.array(side, dtype=f"<U{max(1, size)}").view("<U1").reshape(len(side), -1)
-    r, p = grid(references, m.max()), grid(predictions, n.max())
-    rc, pc, every = r.view(np.uint32), p.view(np.uint32), np.arange(len(m))
-    column = np.arange(p.shape[1] + 1, dtype=np.int32)
-    cost = np.empty((int(m.max()) + 1, len(m), len(column)), np.int32)
-    cost[0] = column
-    for i in range(1, len(cost)):
-        cost[i, :, 0] = i
-        cost[i, :, 1:] = np.minimum(cost[i - 1, :, 1:] + 1, cost[i - 1, :, :-1] + (pc != rc[:, i - 1 : i]))
-        cost[i] = np.minimum.accumulate(cost[i] - column, axis=1) + column
-    i, j, steps = m.copy(), n.copy(), []
-    while len(every):
-        a, b = i[every], j[every]
-        up, left = np.maximum(a - 1, 0), np.maximum(b - 1, 0)
-        here = cost[a, every, b]
-        diagonal = (a > 0) & (b > 0) & (here == cost[up, every, left] + (rc[every, up] != pc[every, left]))
-        insertion = ~diagonal & (b > 0) & (here == cost[a, every, left] + 1)
-        steps.append((every, np.where(insertion, "", r[every, up]), np.where(diagonal | insertion, p[every, left], "")))
-        i[every] -= ~insertion
-        j[every] -= diagonal | insertion
-        every = every[(i[every] > 0) | (j[every] > 0)]
-    row, ref, pred = (np.concatenate(x)[::-1] for x in zip(*steps, strict=True))
+    """``align`` for many rows at once: row number, place, characters of both sides."""
+    return _aligned(references, predictions)
+
+
+def _unmatched(r: np.ndarray, m: np.ndarray, p: np.ndarray, n: np.ndarray, kinds: int) -> np.ndarray:
+    """Per row, characters of one side that the other has none left for (of either side, the more): no alignment has
+    fewer wrong pairs."""
+    key = np.concatenate([np.repeat(np.arange(len(m)), m), np.repeat(np.arange(len(n)), n)]) * (kinds + 1) + np.concatenate([r, p])
+    size = len(m) * (kinds + 1)
+    if size > 4 * len(key) + (1 << 16):
+        names, key = np.unique(key, return_inverse=True)
+        rows, size = names // (kinds + 1), len(names)
+    else:
+        rows = np.repeat(np.arange(len(m)), kinds + 1)
+    over = np.bincount(key[: len(r)], minlength=size) - np.bincount(key[len(r) :], minlength=size)
+    one, other = (np.bincount(rows, np.maximum(x, 0), len(m)) for x in (over, -over))
+    return np.maximum(one, other).astype(np.int64)
+
+
+def _found_in(longer: np.ndarray, size: np.ndarray, shorter: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of which all of one side stands, in order, in the other, and the places where: the last ones possible."""
+    every, left = np.arange(len(n)), n.copy()
+    at = np.zeros(longer.shape, bool)
+    if shorter.shape[1]:
+        starts = np.searchsorted(size, np.arange(longer.shape[1]), "right").tolist()
+        for i in range(longer.shape[1] - 1, -1, -1):
+            k = starts[i]  # rows are sorted by their length: the first ones have ended before
+            ahead = left[k:]
+            at[k:, i] = same = (longer[k:, i] == shorter[every[k:], np.maximum(ahead - 1, 0)]) & (ahead > 0)
+            ahead -= same
+    return left == 0, at
+
+
+def align_codes(r: np.ndarray, m: np.ndarray, p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place and both characters' codes (plus one; 0 for a gap) of the pairs of rows whose characters stand one
+    after the other in ``r`` and ``p``, ``m`` and ``n`` of each row.
+
+    Of sides of one length that differ in as many places as either has unmatched characters, the best way is straight
+    on; where one side is part of the other, it is to skip characters of the other, as early ones as possible. Any other
+    row is filled in a table: an alignment with d wrong pairs has at most d deletions and insertions, and as many more
+    deletions as the reference is longer, so it stays in a band of d + 1 diagonals. That of the least possible distance
+    is filled first, and then one twice as wide until it holds the distance."""
+    first_r, first_p = np.cumsum(m) - m, np.cumsum(n) - n
+    kinds, small = np.unique(np.concatenate([r, p]), return_inverse=True)
+    small = (small + 1).astype(np.uint8 if len(kinds) < 255 else np.uint16 if len(kinds) < 65535 else np.uint32)  # 0 is no character
+    sides = (small[: len(r)], first_r, m), (small[len(r) :], first_p, n)
+    least = _unmatched(sides[0][0], m, sides[1][0], n, len(kinds))
+    kinds = np.concatenate([[0], kinds + np.uint32(1)]).astype(np.uint32)
+    even = m == n
+    even[even] = np.bincount(np.repeat(np.arange(len(m)), m)[np.repeat(even, m)], sides[0][0][np.repeat(even, m)] != sides[1][0][np.repeat(even, n)], len(m))[even] == least[even]
+    rows, ref, pred = [np.repeat(np.arange(len(m)), m)[np.repeat(even, m)]], [r[np.repeat(even, m)] + np.uint32(1)], [p[np.repeat(even, n)] + np.uint32(1)]
+    left = [np.flatnonzero(~even & ((least != abs(m - n)) | (m == n)))]
+    for longer, shorter, out in ((0, 1, (ref, pred)), (1, 0, (pred, ref))):
+        size, other = sides[longer][2], sides[shorter][2]
+        maybe = np.flatnonzero((size > other) & (least == size - other))
+        maybe = maybe[np.argsort(size[maybe])]
+        while len(maybe):
+            part = maybe[: max(1, int(np.count_nonzero(np.arange(1, min(4 * ROWS, len(maybe)) + 1) * size[maybe[: 4 * ROWS]] <= CELLS)))]
+            maybe = maybe[len(part) :]
+            grid = _grid(sides[longer], part)
+            held, at = _found_in(grid, size[part], _grid(sides[shorter], part), other[part])
+            left.append(part[~held])
+            there = (grid > 0) & held[:, None]
+            codes = kinds[grid[there]]
+            rows.append(part[np.nonzero(there)[0]])
+            out[0].append(codes)
+            out[1].append(np.where(at[there], codes, 0).astype(np.uint32))
+    left = np.concatenate(left)
+    while len(left):
+        wide = np.maximum(least[left], 4)
+        half = 1 << np.maximum(np.log2(wide).astype(np.int64) - 1, 2)
+        least[left] = -(-wide // half) * half  # few widths, many rows of each
+        left = left[np.lexsort((m[left], least[left]))]
+        again, start = [], 0
+        while start < len(left):
+            d, ahead = int(least[left[start]]), left[start : start + ROWS]
+            cells = np.arange(1, len(ahead) + 1) * (d + 1) * (m[ahead] + 1)
+            part = ahead[: max(1, int(np.count_nonzero((cells <= CELLS) & (least[ahead] == d))))]
+            start += len(part)
+            if cells[0] > CELLS:
+                i = int(part[0])
+                found = _align_long(r[first_r[i] : first_r[i] + m[i]], p[first_p[i] : first_p[i] + n[i]])
+                rows.append(np.full(len(found[0]), i))
+                ref.append(found[0])
+                pred.append(found[1])
+            else:
+                held, at, *codes = _in_band(_grid(sides[0], part), m[part], _grid(sides[1], part), n[part], d)
+                again.append(part[~held])
+                rows.append(part[at])
+                ref.append(kinds[codes[0]])
+                pred.append(kinds[codes[1]])
+        left = np.concatenate(again) if again else left[:0]
+        least[left] *= 2
+    row, ref, pred = (np.concatenate(x) for x in (rows, ref, pred))
     order = np.argsort(row, kind="stable")
     row = row[order]
     return row, np.arange(len(row)) - np.searchsorted(row, row), ref[order], pred[order]
 
 
+def _grid(side: tuple[np.ndarray, np.ndarray, np.ndarray], part: np.ndarray) -> np.ndarray:
+    """Rows of numbers, filled up with 0."""
+    codes, first, size = side
+    out = np.zeros((len(part), int(size[part].max(initial=0))), codes.dtype)
+    row = np.repeat(np.arange(len(part)), size[part])
+    column = np.arange(len(row)) - np.repeat(np.cumsum(size[part]) - size[part], size[part])
+    out[row, column] = codes[first[part][row] + column]
+    return out
+
+
+def _in_band(r: np.ndarray, m: np.ndarray, p: np.ndarray, n: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Alignments with ``d`` wrong pairs at most, of rows sorted by ``m``: which rows have one, then row and both numbers
+    of their pairs in order. Each step of the table and of the way back is one operation over all rows; of the table only
+    the steps back are kept, a byte a cell."""
+    count, w = len(m), d + 1
+    low = np.maximum((d + m - n) // 2, 0)  # diagonals below the first; the others are above
+    far = 1 << 14 if r.shape[1] + w < 1 << 13 else BEYOND
+    kind = np.int16 if far < BEYOND else np.int32
+    padded = np.zeros((count, max(r.shape[1] + w, int(low.max()) + p.shape[1])), r.dtype)
+    if p.shape[1]:
+        padded[np.arange(count)[:, None], low[:, None] + np.arange(p.shape[1])] = p
+    column = np.arange(w, dtype=kind)
+    cost = np.where(column < low[:, None], far, column - low[:, None]).astype(kind)
+    step = np.empty((r.shape[1] + 1, count, w), np.uint8)  # 0 diagonal, 1 insertion, 2 deletion
+    last, total, done, one = n - m + low, np.zeros(count, np.int64), 0, kind(1)
+    ends = np.searchsorted(m, np.arange(r.shape[1] + 1), "right").tolist()  # rows that end up to each step; they come first
+    for i, end in enumerate(ends):
+        if i:
+            diagonal = cost + (padded[done:, i - 1 : i - 1 + w] != r[done:, i - 1 : i])
+            best = diagonal - column
+            np.minimum(best[:, :-1], cost[:, 1:] - column[:-1] + one, out=best[:, :-1])
+            cost = np.minimum.accumulate(best, axis=1) + column
+            here = step[i, done:]
+            here[:, 0] = 2
+            np.subtract(2, cost[:, 1:] == cost[:, :-1] + one, out=here[:, 1:], casting="unsafe")
+            here *= cost != diagonal
+        if end > done:
+            total[done:end] = cost[np.arange(end - done), np.clip(last[done:end], 0, w - 1)]
+            cost, done = cost[end - done :], end
+    held = (last >= 0) & (last < w) & (total <= d)
+    i, j, every, back = m.copy(), n.copy(), np.flatnonzero(held), []
+    every = every[(m[every] > 0) | (n[every] > 0)]
+    while len(every):
+        a, b = i[every], j[every]
+        turn = step[a, every, b - a + low[every]]
+        turn[a == 0] = 1
+        turn[b == 0] = 2
+        none = np.zeros(len(every), r.dtype)
+        back.append((every, np.where(turn == 1, none, r[every, a - 1]) if r.shape[1] else none, np.where(turn == 2, none, p[every, b - 1]) if p.shape[1] else none))
+        i[every] = a = a - (turn != 1)
+        j[every] = b = b - (turn != 2)
+        every = every[(a > 0) | (b > 0)]
+    row, ref, pred = (np.concatenate([x[c] for x in back])[::-1] if back else np.empty(0, np.int64) for c in range(3))
+    return held, row, ref, pred
+
+
 def align_long(reference: str, prediction: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The same for one row whose table is large. No best way leaves the band as wide as the distance, so only
-    that is filled; every ``STEP``-th row is kept, and the rows between are filled again on the way back."""
-    r, p = (np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in (reference, prediction))
+    """The same for one row whose band is large."""
+    ref, pred = _align_long(_codes([reference])[0], _codes([prediction])[0])
+    return np.zeros(len(ref), np.int64), np.arange(len(ref)), _letters(ref), _letters(pred)
+
+
+def _align_long(r: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every ``STEP``-th row of the band as wide as the distance is kept, and the rows between are filled again on the
+    way back. Codes plus one, 0 for a gap."""
     far, m, n = distance(r, p), len(r), len(p)
 
     def below(first: int, values: np.ndarray, i: int) -> tuple[int, np.ndarray]:
@@ -129,39 +268,95 @@ def align_long(reference: str, prediction: str) -> tuple[np.ndarray, np.ndarray,
         here = cost(i, j)
         if i and j and here == cost(i - 1, j - 1) + (r[i - 1] != p[j - 1]):
             i, j = i - 1, j - 1
-            back.append((reference[i], prediction[j]))
+            back.append((r[i] + 1, p[j] + 1))
         elif j and here == cost(i, j - 1) + 1:
             j -= 1
-            back.append(("", prediction[j]))
+            back.append((0, p[j] + 1))
         else:
             i -= 1
-            back.append((reference[i], ""))
-    ref, pred = (np.array(x[::-1]) for x in zip(*back, strict=True))
-    return np.zeros(len(ref), np.int64), np.arange(len(ref)), ref, pred
+            back.append((r[i] + 1, 0))
+    pairs = np.array(back[::-1], np.uint32).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str], list[str]]]:
+    """Batches cut to about ``CHARS`` characters (one long row stays whole), with both sides; nulls are empty."""
+    for batch in batches:
+        sides = [pc.fill_null(batch.column(c), "") for c in ("reference", "prediction")]
+        size = np.cumsum(pc.add(*(pc.utf8_length(x) for x in sides)).to_numpy())
+        start = 0
+        while start < len(batch):
+            end = max(start + 1, int(np.searchsorted(size, CHARS + (size[start - 1] if start else 0), "right")))
+            yield batch.slice(start, end - start), *(x.slice(start, end - start).to_pylist() for x in sides)
+            start = end
+
+
+def _kinds(rows: DataFrame, names: Iterable[str]) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in names)
+
+
+def _as_letters(codes: np.ndarray) -> pa.Array:
+    kinds, at = np.unique(codes, return_inverse=True)
+    return pa.DictionaryArray.from_arrays(pa.array(at.astype(np.int32)), pa.array([chr(c - 1) if c else "" for c in kinds.tolist()], pa.string())).dictionary_decode()
+
+
+def aligned_rows(rows: DataFrame, *keys: str) -> DataFrame:
+    """``keys, ref_chars, pred_chars``: both sides of each row as arrays of one length, '' for gaps. Rows are dealt out
+    evenly, as an alignment costs the row's length times its distance."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, references, predictions in _slices(batches):
+            row, _, ref, pred = align_codes(*_codes(references), *_codes(predictions))
+            ends = pa.array(np.searchsorted(row, np.arange(len(part) + 1)).astype(np.int32))
+            sides = [pa.ListArray.from_arrays(ends, _as_letters(x)) for x in (ref, pred)]
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), *sides], [*keys, "ref_chars", "pred_chars"])
+
+    own = rows.select(*keys, "reference", "prediction").repartition(*keys)
+    return own.mapInArrow(run, f"{_kinds(rows.select(*keys), keys)}, ref_chars array<string>, pred_chars array<string>")
 
 
 def alignments(rows: DataFrame, *keys: str) -> DataFrame:
-    """``keys, pos, ref_char, pred_char`` of every row with a character on either side. The table of a row grows
-    with the product of its lengths, so the rows are dealt out evenly, and as many are aligned at once as fill
-    ``CELLS``."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame = frame.fillna({"reference": "", "prediction": ""})
-            frame = frame[(frame["reference"] != "") | (frame["prediction"] != "")]
-            m, n = (frame[c].str.len().to_numpy() + 1 for c in ("reference", "prediction"))
-            order = np.lexsort((n, m))
-            frame, m, n = frame.iloc[order], m[order], np.maximum.accumulate(n[order]) if len(n) else n
-            start = 0
-            for end in range(1, len(frame) + 1):
-                if end == len(frame) or int(m[end]) * int(n[end]) * (end + 1 - start) > CELLS or end - start >= 256:
-                    part = frame.iloc[start:end]
-                    row, pos, ref, pred = _aligned(part["reference"].tolist(), part["prediction"].tolist())
-                    yield part[list(keys)].iloc[row].assign(pos=pos.astype(np.int32), ref_char=ref.astype(object), pred_char=pred.astype(object))
-                    start = end
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
-    return rows.repartition(*keys).mapInPandas(run, f"{kinds}, pos int, ref_char string, pred_char string")
+    """``keys, pos, ref_char, pred_char`` of every row with a character on either side."""
+    pairs = F.arrays_zip(F.col("ref_chars").alias("ref_char"), F.col("pred_chars").alias("pred_char"))
+    return aligned_rows(rows, *keys).select(*keys, F.posexplode(pairs).alias("pos", "p")).select(*keys, "pos", "p.ref_char", "p.pred_char")
+
+
+def certificate(rows: DataFrame, *keys: str) -> DataFrame:
+    """``keys, reference, prediction, n_wrong``: the sides an alignment gives back and its wrong pairs, which for a best
+    one are as many as the edit distance."""
+    wrong = F.size(F.filter(F.arrays_zip("ref_chars", "pred_chars"), lambda x: x["ref_chars"] != x["pred_chars"]))
+    return aligned_rows(rows, *keys).select(*keys, F.array_join("ref_chars", "").alias("reference"), F.array_join("pred_chars", "").alias("prediction"), wrong.cast("long").alias("n_wrong"))
+
+
+def count_confusions(rows: DataFrame, *by: str) -> DataFrame:
+    """``confusions`` of the alignments of all rows. Each task counts the pairs of its rows, so that what is shuffled is
+    a row for each pair of characters that it has met."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, references, predictions in _slices(batches):
+            group = np.zeros(len(part), np.int64)
+            for c in by:
+                codes = part.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy().astype(np.int64)
+                group = group * (int(codes.max(initial=0)) + 1) + codes
+            firsts, group = np.unique(group, return_index=True, return_inverse=True)[1:]
+            row, _, ref, pred = align_codes(*_codes(references), *_codes(predictions))
+            there = ref > 0
+            kinds, at = np.unique(np.concatenate([ref[there], pred[there]]), return_inverse=True)
+            n, size = int(there.sum()), max(len(kinds), 1)
+            pair = (group[row[there]] * size + at[:n]) * size + at[n:]
+            if size * size * max(len(firsts), 1) <= len(pair) + (1 << 16):
+                counts = np.bincount(pair)
+                found = np.flatnonzero(counts)
+                counts = counts[found]
+            else:
+                found, counts = np.unique(pair, return_counts=True)
+            of = pa.array(firsts[found // size // size] if len(found) else np.empty(0, np.int64))
+            letters = [_as_letters(kinds[x]) if len(found) else pa.array([], pa.string()) for x in (found // size % size, found % size)]
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(of) for c in by), *letters, pa.array(counts.astype(np.int64))], [*by, "ref_char", "pred_char", "n"])
+
+    kinds = ", ".join(x for x in (_kinds(rows.select(*by), by), "ref_char string, pred_char string, n long") if x)
+    counted = rows.select(*by, "reference", "prediction").mapInArrow(run, kinds)
+    return counted.groupBy(*by, "ref_char", "pred_char").agg(F.sum("n").alias("n"))
 
 
 def holding(rows: DataFrame, tracked: str) -> DataFrame:
@@ -180,12 +375,17 @@ def confusions(aligned: DataFrame, *by: str) -> DataFrame:
 
 
 def char_accuracy(confused: DataFrame, tracked: DataFrame, *by: str) -> DataFrame:
-    """``by, char, correct, total, accuracy`` of every tracked character; NULL accuracy where it never occurs."""
-    if by:  # some models by some letters
-        tracked = tracked.crossJoin(F.broadcast(confused.select(*by).distinct()))
-    found = confused.groupBy(*by, F.col("ref_char").alias("char")).agg(F.sum(F.when(F.col("ref_char") == F.col("pred_char"), F.col("n")).otherwise(0)).alias("correct"), F.sum("n").alias("total"))
-    out = tracked.join(found, [*by, "char"], "left").fillna(0, ["correct", "total"])
-    return out.withColumn("accuracy", F.try_divide("correct", F.nullif("total", F.lit(0))))
+    """``by, char, correct, total, accuracy`` of every tracked character; NULL accuracy where it never occurs.
+
+    The counts of a group are one map by character, and the tracked characters one array (both no longer than an
+    alphabet), so that what the counts come from is computed once."""
+    right = F.sum(F.when(F.col("ref_char") == F.col("pred_char"), F.col("n")).otherwise(0))
+    found = confused.groupBy(*by, "ref_char").agg(F.struct(right.alias("correct"), F.sum("n").alias("total")).alias("c"))
+    found = found.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("ref_char", "c"))).alias("found"))
+    wanted = tracked.agg(F.collect_set("char").alias("chars"))  # one row
+    each = found.crossJoin(F.broadcast(wanted)).select(*by, "found", F.explode("chars").alias("char"))
+    each = each.select(*by, "char", *(F.coalesce(F.try_element_at("found", F.col("char"))[c], F.lit(0)).alias(c) for c in ("correct", "total")))
+    return each.withColumn("accuracy", F.try_divide("correct", F.nullif("total", F.lit(0))))
 
 
 def case_folded(confused: DataFrame, models: list[str]) -> DataFrame:

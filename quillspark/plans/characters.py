@@ -22,7 +22,7 @@ def _aligned(spark, sf):
 
 
 def _confusions(spark, sf):
-    return ch.confusions(_aligned(spark, sf), "model")
+    return ch.count_confusions(d.predictions(spark, sf).select("model", "reference", "prediction"), "model")
 
 
 @query()
@@ -30,6 +30,14 @@ def char_alignment(spark, sf):
     return _aligned(spark, sf)
 
 
+@query(f"""WITH {d.PREDICTIONS_SQL}, c AS (SELECT model, id, reference, prediction, levenshtein({d.to_bytes_sql('prediction')}, {d.to_bytes_sql('reference')})::BIGINT AS n_wrong FROM predictions)
+SELECT model, id, md5(reference) AS reference_md5, md5(prediction) AS prediction_md5, n_wrong FROM c""")
+def alignment_certificate(spark, sf):
+    """Every row's sides, put together again from its alignment, and the wrong pairs, which are as many as edits."""
+    found = ch.certificate(d.predictions(spark, sf), "model", "id")
+    return found.select("model", "id", F.md5("reference").alias("reference_md5"), F.md5("prediction").alias("prediction_md5"), "n_wrong")
+
+
 # A letter stands against its like as often as the recognizer left it in place: one writes no accents, one writes no
 # accents and no h, and one keeps the front. How the other letters stand is the alignment's choice.
 LIKE = f"""WITH {d.PREDICTIONS_SQL}, r AS (SELECT model, unnest(string_split(reference, '')) AS ref_char FROM predictions),

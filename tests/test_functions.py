@@ -147,3 +147,60 @@ def test_every_prediction_of_every_model_is_aligned(spark, sf_dir):
     got = {r.model: r.n for r in characters.confusion_pairs(spark, sf_dir).groupBy("model").agg(F.sum("n").alias("n")).collect()}
     assert got == {r.model: r.n for r in rows.groupBy("model").agg(F.sum(F.length("reference")).alias("n")).collect()}
     assert set(characters.char_alignment(spark, sf_dir).columns) == {"model", "id", "pos", "ref_char", "pred_char"}
+
+
+def _plain_alignment(a: str, b: str) -> list[tuple[str, str]]:
+    cost = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            cost[i][j] = min(cost[i - 1][j - 1] + (a[i - 1] != b[j - 1]), cost[i - 1][j] + 1, cost[i][j - 1] + 1)
+    i, j, out = len(a), len(b), []
+    while i or j:
+        if i and j and cost[i][j] == cost[i - 1][j - 1] + (a[i - 1] != b[j - 1]):
+            i, j = i - 1, j - 1
+            out.append((a[i], b[j]))
+        elif j and cost[i][j] == cost[i][j - 1] + 1:
+            j -= 1
+            out.append(("", b[j]))
+        else:
+            i -= 1
+            out.append((a[i], ""))
+    return out[::-1]
+
+
+def test_alignments_equal_a_plain_table(monkeypatch):
+    rng = random.Random(11)
+    for cells in (1 << 23, 2000, 150):
+        monkeypatch.setattr(ch, "CELLS", cells)
+        rows = []
+        for _ in range(150):
+            a = "".join(rng.choices("abč \U0001f600", k=rng.randint(0, 25)))
+            rows.append((a, rng.choice([a, "".join(c for c in a if rng.random() > 0.2), "".join(rng.sample(a, len(a))), "".join(rng.choices("abč", k=rng.randint(0, 25)))])))
+            rows.append(rows[-1][::-1])
+        row, pos, ref, pred = ch.align_batch(*map(list, zip(*rows, strict=True)))
+        for i, (a, b) in enumerate(rows):
+            at = row == i
+            assert list(zip(ref[at].tolist(), pred[at].tolist(), strict=True)) == _plain_alignment(a, b) and pos[at].tolist() == list(range(at.sum()))
+
+
+def test_every_alignment_and_count_of_a_whole_table_equals_a_plain_table(spark, sf_dir):
+    """Rows of up to 120 characters of the three mock models, each against the full table of costs."""
+    from quillspark.sources import derived
+
+    rows = derived.predictions(spark, sf_dir).where("length(reference) <= 120").select("model", "id", "reference", "prediction").cache()
+    want, pairs = Counter(), 0
+    got = {(r.model, r.id): list(zip(r.ref_chars, r.pred_chars, strict=True)) for r in ch.aligned_rows(rows, "model", "id").collect()}
+    for r in rows.collect():
+        plain = _plain_alignment(r.reference, r.prediction) if r.reference != r.prediction else [(c, c) for c in r.reference]
+        assert got[r.model, r.id] == plain
+        want.update((r.model, a, b) for a, b in plain if a)
+        pairs += len(plain)
+    counted = {(r.model, r.ref_char, r.pred_char): r.n for r in ch.count_confusions(rows, "model").collect()}
+    assert counted == dict(want) and ch.alignments(rows, "model", "id").count() == pairs
+
+
+def test_counts_of_null_groups_empty_sides_and_tables(spark):
+    rows = spark.createDataFrame([("m", "ab", None), (None, None, "x"), (None, "é", "é"), (None, "", "")], "model string, reference string, prediction string")
+    assert {tuple(r) for r in ch.count_confusions(rows, "model").collect()} == {("m", "a", "", 1), ("m", "b", "", 1), (None, "é", "é", 1)}
+    assert {tuple(r) for r in ch.count_confusions(rows).collect()} == {("a", "", 1), ("b", "", 1), ("é", "é", 1)}
+    assert ch.count_confusions(rows.limit(0), "model").count() == 0
