@@ -14,6 +14,7 @@ from pyspark.sql.functions import udtf
 
 from quillspark.functions.accuracy import distance
 from quillspark.functions.text import chars
+from quillspark.operators.arrow import group_rows
 
 #: Lower-case North Sámi letters with diacritics; upper-case ones follow from them (fixed values).
 TRACKED_LOWER = "áčđŋšŧž"
@@ -334,11 +335,7 @@ def count_confusions(rows: DataFrame, *by: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, references, predictions in _slices(batches):
-            group = np.zeros(len(part), np.int64)
-            for c in by:
-                codes = part.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy().astype(np.int64)
-                group = group * (int(codes.max(initial=0)) + 1) + codes
-            firsts, group = np.unique(group, return_index=True, return_inverse=True)[1:]
+            firsts, group = group_rows(part, by)
             row, _, ref, pred = align_codes(*_codes(references), *_codes(predictions))
             there = ref > 0
             kinds, at = np.unique(np.concatenate([ref[there], pred[there]]), return_inverse=True)
@@ -428,6 +425,38 @@ def decode_ids(ids: Column, vocabulary: Column) -> Column:
     return F.array_join(F.transform(F.filter(ids, lambda i: i > 0), lambda i: F.substr(vocabulary, i, F.lit(1))), "")
 
 
+def best_classes(frames: DataFrame, sample: str, step: str, label: str, score: str) -> DataFrame:
+    """``sample, step, label`` with the class of greatest score of each step; of equals the least, and a null score is
+    below all. Each task reduces its own classes first."""
+    return frames.groupBy(sample, step).agg(F.max_by(label, F.struct(F.col(score), -F.col(label))).alias(label))
+
+
+def collapse_segments(labels: DataFrame, sample: str, step: str, label: str, blank: int, steps: int = 4096) -> DataFrame:
+    """``sample, segment, labels``: the greedy collapse of ordered labels (repeats go, then blanks, which part repeats),
+    in segments of ``steps`` step numbers; put together in order they are the sample's.
+
+    A segment is its first and last label and its collapsed body; where a segment starts with the label that the one
+    before it ends with, its body loses its first. Only the end labels of a sample's segments meet in one task, so a
+    long sample is as many tasks as it has segments. Steps may be missing (the ones beside them are then neighbours);
+    null samples are one sample; null labels count as blanks."""
+    rows = labels.select(F.col(sample).alias("sample"), F.floor(F.col(step) / steps).alias("segment"), F.struct(F.col(step).alias("step"), F.coalesce(F.col(label), F.lit(blank)).alias("label")).alias("x"))
+    held = rows.groupBy("sample", "segment").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    every = F.col("x.label")
+    new = F.filter(F.transform(every, lambda c, i: F.when(((i == 0) | (c != F.get(every, F.greatest(i - 1, F.lit(0))))) & (c != blank), c)), lambda c: c.isNotNull())
+    held = held.select("sample", "segment", F.get(every, F.lit(0)).alias("first"), F.element_at(every, -1).alias("last"), new.alias("body"))
+    before = F.lag("last").over(W.partitionBy("sample").orderBy("segment"))
+    goes_on = before.eqNullSafe(F.col("first")) & (F.col("first") != blank)
+    return held.select(F.col("sample").alias(sample), "segment", F.when(goes_on, F.slice("body", F.lit(2), F.size("body"))).otherwise(F.col("body")).alias("labels"))
+
+
+def frame_collapse(frames: DataFrame, sample: str, step: str, label: str, score: str, blank: int = 0, steps: int = 4096) -> DataFrame:
+    """``sample, labels`` of long frames (sample, step, class, score): the best class of each step, collapsed. The
+    labels of a sample have to fit in a row; ``collapse_segments`` gives them in pieces."""
+    parts = collapse_segments(best_classes(frames, sample, step, label, score), sample, step, label, blank, steps)
+    whole = parts.groupBy(sample).agg(F.sort_array(F.collect_list(F.struct("segment", "labels"))).alias("parts"))
+    return whole.select(sample, F.flatten("parts.labels").alias("labels"))
+
+
 def run_collapse(frames: DataFrame, group: str, order: str, label: str, blank: str) -> DataFrame:
     """Greedy collapse of ordered labels per group: repeats go, then blanks (a blank parts repeats)."""
     before = F.lag(label).over(W.partitionBy(group).orderBy(order))

@@ -7,17 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
+from quillspark.functions.segmentation import matches
 
 HEADER_RATIO, FOOTNOTE_RATIO = 1.15, 0.85
 
 
 def occurrences(lines: DataFrame, rule: str, text: str = "low", key: str = "id") -> DataFrame:
     """``key, a, b``: start and end of each match of a one-group rule."""
-    found, between = F.regexp_extract_all(F.col(text), F.lit(rule), F.lit(1)), F.split(F.col(text), rule)
-    pairs = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
-    step = lambda acc, p: F.struct((acc["at"] + p["g"] + p["m"]).alias("at"), F.array_append(acc["out"], F.struct((acc["at"] + p["g"]).alias("a"), (acc["at"] + p["g"] + p["m"]).alias("b"))).alias("out"))
-    return lines.select(key, F.inline(F.aggregate(pairs, zero, step, lambda acc: acc["out"])))
+    return lines.select(key, F.inline(matches(F.col(text), rule))).select(key, F.col("pos").alias("a"), F.col("end").alias("b"))
 
 
 def outside(short: DataFrame, long: DataFrame, key: str) -> DataFrame:

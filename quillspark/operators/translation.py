@@ -5,16 +5,24 @@ from __future__ import annotations
 import string
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.accuracy import token_distance
 from quillspark.functions.text import tokens, words
+from quillspark.operators.arrow import group_rows
 
 WORD_ORDER, CHAR_ORDER, BETA = 4, 6, 2.0
+#: The sequence of a row's weights: modulus and multiplier; and the thousandths from which a row counts once, twice and
+#: three times.
+MODULUS, MULTIPLIER, POISSON = 2**31 - 1, 48271, (368, 736, 920)
+#: Rows whose weights are held at once.
+WEIGHED = 1024
 #: Units (characters or tokens) whose grams are counted at once.
 UNITS = 1 << 21
 
@@ -61,6 +69,12 @@ def _units(hyp: pa.Array, ref: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(codes[:split], sizes[0]), (codes[split:], sizes[1])]
 
 
+def _lengths(units: pa.Array) -> np.ndarray:
+    """Units of each row, without making objects of them."""
+    counts = pc.list_value_length(units) if pa.types.is_list(units.type) else pc.utf8_length(units)
+    return pc.fill_null(counts, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def _gram_stats(rows: DataFrame, key: str, sides: dict[str, int], lengths: bool) -> DataFrame:
     """``key`` and ``m1, h1, r1, m2, ...`` of rows that hold, for each name of ``sides``, its two sides as columns
     ``name_h, name_r``; orders are numbered on from one name to the next. No row leaves its partition."""
@@ -69,16 +83,12 @@ def _gram_stats(rows: DataFrame, key: str, sides: dict[str, int], lengths: bool)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first = next(iter(sides))
-            sizes = [1 + len(h) + len(r) for h, r in zip(batch.column(f"{first}_h").to_pylist(), batch.column(f"{first}_r").to_pylist(), strict=True)]
-            start = held = 0
-            for i, n in enumerate(sizes):
-                if held and held + n > UNITS:
-                    yield counted(batch.slice(start, i - start))
-                    start, held = i, 0
-                held += n
-            if sizes:
-                yield counted(batch.slice(start))
+            sizes = np.cumsum(sum(_lengths(batch.column(f"{name}_{side}")) for name in sides for side in "hr"))
+            start = 0
+            while start < len(batch):
+                end = max(start + 1, int(np.searchsorted(sizes, UNITS + (sizes[start - 1] if start else 0), "right")))
+                yield counted(batch.slice(start, end - start))
+                start = end
 
     def counted(part: pa.RecordBatch) -> pa.RecordBatch:
         found = []
@@ -121,11 +131,10 @@ def ter_stats(pairs: DataFrame, key: str = "id") -> DataFrame:
     return rows.select(key, token_distance("tokens_h", "tokens_r").alias("edits"), F.size("tokens_r").alias("ref_len"), F.size("tokens_h").alias("hyp_len"))
 
 
-def add_up(stats: DataFrame, *by: str, weight: Column | None = None) -> DataFrame:
-    """Sums of the statistics, per group or of all rows; rows may carry a weight."""
-    names = [c for c, kind in stats.dtypes if kind in ("int", "bigint", "double") and c not in ("id", "_w", *by)]
-    one = lambda c: F.sum(F.col(c) * weight if weight is not None else F.col(c)).alias(c)
-    return stats.groupBy(*by).agg(*map(one, names))
+def add_up(stats: DataFrame, *by: str) -> DataFrame:
+    """Sums of the statistics, per group or of all rows."""
+    names = [c for c, kind in stats.dtypes if kind in ("int", "bigint", "double") and c not in ("id", *by)]
+    return stats.groupBy(*by).agg(*(F.sum(c).alias(c) for c in names))
 
 
 def bleu_of() -> Column:
@@ -162,16 +171,37 @@ def corpus_scores(pairs: DataFrame, by: str) -> DataFrame:
 
 
 def resamples(stats: DataFrame, key: str, n: int, *by: str) -> DataFrame:
-    """Statistics of ``n`` resamples: each row counts 0 to 3 times in each, by a hash of row and resample, with
-    the odds of a Poisson count of mean 1. The expansion is rows times ``n`` numbers, summed in place."""
-    weight = _poisson(F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("resample").cast("string"))), 1, 7), 16, 10).cast("long"), F.lit(1000)))
-    each = stats.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_w", weight)
-    return add_up(each, *by, "resample", weight=F.col("_w"))
+    """Sums of ``stats`` in ``n`` resamples (``by, resample`` and the statistics): each row counts 0 to 3 times in each,
+    with the odds of a Poisson count of mean 1.
 
+    A row's counts are a multiplicative sequence that starts from a hash of its key. A task multiplies the weights of
+    some rows at a time with their statistics and sends one table of ``n`` sums for each group, however many rows it
+    reads."""
+    names = [c for c, kind in stats.dtypes if kind in ("int", "bigint") and c not in (key, "id", *by)]
+    seed = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 15), 16, 10).cast("long") % (MODULUS - 1) + 1
 
-def _poisson(u: Column) -> Column:
-    """0, 1, 2 or 3 for a number below 1000."""
-    return F.when(u < 368, 0).when(u < 736, 1).when(u < 920, 2).otherwise(3)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        jumps = np.array(list(accumulate(range(n), lambda x, _: x * MULTIPLIER % MODULUS, initial=MULTIPLIER))[:n], np.int64)
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            firsts, group = group_rows(batch, by)
+            ids = [tuple(batch.column(c)[int(i)].as_py() for c in by) for i in firsts]
+            values = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names], axis=1).astype(np.float64)
+            seeds = batch.column("_seed").to_numpy()
+            for start in range(0, len(batch), WEIGHED):
+                some = slice(start, start + WEIGHED)
+                at = np.searchsorted(POISSON, seeds[some, None] * jumps % MODULUS * 1000 // MODULUS, "right").astype(np.float64)
+                for g in np.unique(group[some]).tolist():
+                    own = group[some] == g
+                    sums[ids[g]] = sums.get(ids[g], 0) + at[own].T @ values[some][own]
+        for group_values, found in sums.items():
+            columns = [pa.array([v] * n, batch.schema.field(c).type) for v, c in zip(group_values, by, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(n)), *(pa.array(x.astype(np.int64)) for x in found.T)], [*by, "resample", *names])
+
+    kinds = dict(stats.dtypes)
+    weighed = stats.select(*by, seed.alias("_seed"), *(F.coalesce(c, F.lit(0)).alias(c) for c in names))
+    parts = weighed.mapInArrow(run, "".join(f"`{c}` {kinds[c]}, " for c in by) + "resample long, " + ", ".join(f"{c} long" for c in names))
+    return parts.groupBy(*by, "resample").agg(*(F.sum(c).alias(c) for c in names))
 
 
 def interval(scores: DataFrame, value: str, *by: str, level: float = 0.95) -> DataFrame:

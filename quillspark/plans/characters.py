@@ -121,6 +121,22 @@ def run_collapse(spark, sf):
     return ch.run_collapse(frames, "user_id", "at", "event_type", "error").select("user_id", F.array_join("labels", ">").alias("labels"))
 
 
+#: Classes of a frame: an embedding of the given table is read as so many scores a step, one step after the other.
+CLASSES = 8
+
+
+# a label's vectors, in order, are the frames of one long sample
+@query(f"""WITH f AS (SELECT label AS sample, vec_id * 1024 + (i - 1) // {CLASSES} AS t, (i - 1) % {CLASSES} AS class, embedding[i] AS score FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)),
+a AS (SELECT sample, t, list(class ORDER BY score DESC, class)[1] AS class FROM f GROUP BY sample, t),
+c AS (SELECT *, lag(class) OVER (PARTITION BY sample ORDER BY t) AS before FROM a)
+SELECT sample, count(*) FILTER (class <> 0 AND class IS DISTINCT FROM before) AS n_labels, md5(coalesce(string_agg(class::VARCHAR, ',' ORDER BY t) FILTER (class <> 0 AND class IS DISTINCT FROM before), '')) AS labels_md5 FROM c GROUP BY sample""")
+def frame_collapse(spark, sf):
+    scores = d.table(spark, sf, "embeddings").select(F.col("label").alias("sample"), "vec_id", F.posexplode("embedding").alias("i", "score"))
+    frames = scores.select("sample", (F.col("vec_id") * 1024 + F.floor(F.col("i") / CLASSES)).alias("t"), (F.col("i") % CLASSES).alias("class"), "score")
+    found = ch.frame_collapse(frames, "sample", "t", "class", "score")
+    return found.select("sample", F.size("labels").cast("long").alias("n_labels"), F.md5(F.array_join(F.col("labels").cast("array<string>"), ",")).alias("labels_md5"))
+
+
 # the label vectors are those of the least vec_id of each label: a table of as many rows as there are labels
 @query("""WITH u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings),
 l AS (SELECT label, arg_min(v, vec_id) AS lv FROM u GROUP BY label),

@@ -44,12 +44,17 @@ def segments_sql(source: str, name: str) -> str:
 SEGMENTS = f"{GREEDY}, {segments_sql('greedy', 'split')}"
 
 
-def _lines_with_spans(spark, sf, words=TEST):
-    return d.lines(spark, sf).select("id", "text", seg.spans(F.col("text"), words).alias("spans"))
+def whole(sql: str) -> str:
+    """The same over lines as they are."""
+    return sql.replace(d.LINES_SQL, d.WHOLE_LINES_SQL)
 
 
-def _greedy(spark, sf):
-    cut = _lines_with_spans(spark, sf).withColumn("cuts", seg.greedy_cuts(F.col("text"), F.col("spans")))
+def _lines_with_spans(spark, sf, words=TEST, lines=d.whole_lines):
+    return lines(spark, sf).select("id", "text", seg.spans(F.col("text"), words).alias("spans"))
+
+
+def _greedy(spark, sf, lines=d.whole_lines):
+    cut = _lines_with_spans(spark, sf, lines=lines).withColumn("cuts", seg.greedy_cuts(F.col("text"), F.col("spans")))
     return cut.select("id", "text", "spans", "cuts", seg.segments(F.col("text"), F.col("cuts")).alias("segments"))
 
 
@@ -57,18 +62,18 @@ def _ints(c):
     return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
 
 
-@query(f"{SPANS} SELECT id, s.pos::BIGINT AS pos, (s.pos + length(s.conj))::BIGINT AS stop, s.conj AS conj FROM (SELECT id, unnest(spans) AS s FROM spans)")
+@query(f"{whole(SPANS)} SELECT id, s.pos::BIGINT AS pos, (s.pos + length(s.conj))::BIGINT AS stop, s.conj AS conj FROM (SELECT id, unnest(spans) AS s FROM spans)")
 def conj_spans(spark, sf):
     s = _lines_with_spans(spark, sf).select("id", F.inline("spans"))
     return s.select("id", F.col("pos").cast("long").alias("pos"), F.col("end").cast("long").alias("stop"), "conj")
 
 
-@query(f"{SEGMENTS} SELECT id, array_to_string(cuts, ',') AS cuts, len(segments)::BIGINT AS n, array_to_string(segments, '|') AS segments FROM split")
+@query(f"{whole(SEGMENTS)} SELECT id, array_to_string(cuts, ',') AS cuts, len(segments)::BIGINT AS n, array_to_string(segments, '|') AS segments FROM split")
 def split_greedy(spark, sf):
     return _greedy(spark, sf).select("id", _ints("cuts").alias("cuts"), F.size("segments").cast("long").alias("n"), F.array_join("segments", "|").alias("segments"))
 
 
-@query(f"""{SPANS},
+@query(f"""{whole(SPANS)},
 aggressive AS (SELECT id, text, coalesce(list_reduce(list_transform(spans, lambda s: {{'s': s.pos, 'c': []::INT[]}}), lambda a, p:
     CASE WHEN length(trim(substr(text, a.s + 1, p.s - a.s))) >= 20 AND length(trim(substr(text, p.s + 1))) >= 20 THEN {{'s': p.s, 'c': list_append(a.c, p.s)}} ELSE a END, {{'s': 0, 'c': []::INT[]}}).c, []::INT[]) AS cuts FROM spans),
 {segments_sql('aggressive', 'split')} SELECT id, array_to_string(cuts, ',') AS cuts, array_to_string(segments, '|') AS segments FROM split""")
@@ -77,16 +82,18 @@ def split_aggressive(spark, sf):
     return cut.select("id", _ints("cuts").alias("cuts"), F.array_join(seg.segments(F.col("text"), F.col("cuts")), "|").alias("segments"))
 
 
-@query(f"{SEGMENTS} SELECT id, array_to_string(segments, ' ') AS joined FROM split")
+@query(f"{whole(SEGMENTS)} SELECT id, array_to_string(segments, ' ') AS joined FROM split")
 def split_rejoin(spark, sf):
     return _greedy(spark, sf).select("id", seg.rejoin(F.col("segments")).alias("joined"))
 
 
-@query(f"""{SPANS} SELECT id, length(text)::BIGINT AS text_length, len(spans)::BIGINT AS total, coalesce(list_min(list_transform(spans, lambda s: s.pos)), -1)::BIGINT AS first_pos,
-  length(text) > 80 AND len(spans) > 0 AS could_split, len(list_distinct(list_transform(spans, lambda s: s.conj)))::BIGINT AS n_distinct FROM spans""")
+@query(f"""{whole(SPANS)}, c AS (SELECT id, text, list_transform(spans, lambda s: s.conj) AS c, list_transform(spans, lambda s: s.pos) AS p FROM spans)
+SELECT id, length(text)::BIGINT AS text_length, len(p)::BIGINT AS total, array_to_string(p, ',') AS positions, length(text) > 80 AND len(p) > 0 AS could_split,
+  array_to_string(list_transform(list_sort(list_distinct(c)), lambda x: x || '=' || len(list_filter(c, lambda y: y = x))), ',') AS counts FROM c""")
 def conj_profile(spark, sf):
-    s = _lines_with_spans(spark, sf)
-    return s.select("id", F.length("text").cast("long").alias("text_length"), F.size("spans").cast("long").alias("total"), F.coalesce(F.array_min(F.transform("spans", lambda x: x["pos"])), F.lit(-1)).cast("long").alias("first_pos"), ((F.length("text") > 80) & (F.size("spans") > 0)).alias("could_split"), F.size(F.array_distinct(F.transform("spans", lambda x: x["conj"]))).cast("long").alias("n_distinct"))
+    p = _lines_with_spans(spark, sf).select("id", seg.profile(F.col("text"), F.col("spans")).alias("p")).select("id", "p.*")
+    counts = F.transform(F.map_entries("counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return p.select("id", F.col("text_length").cast("long").alias("text_length"), F.col("total").cast("long").alias("total"), _ints("positions").alias("positions"), "could_split", F.array_join(counts, ",").alias("counts"))
 
 
 def _mode_sql(mode: str) -> str:
@@ -98,7 +105,7 @@ SELECT id, unnest(segments) AS segment, generate_subscripts(segments, 1)::BIGINT
 @query(f"WITH {d.LINES_SQL} {_mode_sql('simple')} UNION ALL {_mode_sql('full')}")
 def mode_split(spark, sf):
     def one(mode):
-        s = _lines_with_spans(spark, sf, TEST_MODES[mode])
+        s = _lines_with_spans(spark, sf, TEST_MODES[mode], d.lines)
         parts = seg.segments(F.col("text"), seg.all_cuts(F.col("spans")))
         return s.select(F.lit(mode).alias("mode"), "id", F.posexplode(parts).alias("pos", "segment")).withColumn("pos", F.col("pos").cast("long"))
 
@@ -128,7 +135,7 @@ r AS (SELECT *, cer_before - cer_after AS improvement FROM e)"""
 
 def _experiment(spark, sf):
     """Rates in percent before and after: rows without a cut keep their prediction."""
-    split = _greedy(spark, sf).select("id", F.col("text").alias("reference"), "segments", F.size("segments").cast("long").alias("num_segments"))
+    split = _greedy(spark, sf, d.lines).select("id", F.col("text").alias("reference"), "segments", F.size("segments").cast("long").alias("num_segments"))
     whole = inference.batch_infer(split.select("id", F.col("reference").alias("text")), "first60").select("id", "prediction")
     parts = inference.predict_segments(split.where("num_segments > 1"), "first60").select("id", "split_prediction")
     rows = split.join(whole, "id").join(parts, "id", "left").withColumn("split_prediction", F.coalesce("split_prediction", "prediction"))
@@ -142,7 +149,7 @@ def split_predict(spark, sf):
     return rounded(_experiment(spark, sf).select("id", "num_segments", "split_prediction", "cer_before", "cer_after"))
 
 
-@query(f"{SEGMENTS} SELECT round(avg(len(segments)), 6) AS avg_segments, count(*) FILTER (WHERE len(segments) > 1) AS samples_split, count(*) FILTER (WHERE len(segments) = 1) AS unchanged, sum(len(segments))::BIGINT AS total_segments FROM split")
+@query(f"{whole(SEGMENTS)} SELECT round(avg(len(segments)), 6) AS avg_segments, count(*) FILTER (WHERE len(segments) > 1) AS samples_split, count(*) FILTER (WHERE len(segments) = 1) AS unchanged, sum(len(segments))::BIGINT AS total_segments FROM split")
 def split_stats(spark, sf):
     n = F.size("segments")
     return rounded(_greedy(spark, sf).agg(F.avg(n).alias("avg_segments"), F.count_if(n > 1).alias("samples_split"), F.count_if(n == 1).alias("unchanged"), F.sum(n.cast("long")).alias("total_segments")))

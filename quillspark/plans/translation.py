@@ -15,7 +15,11 @@ from quillspark.sources import readers, writers
 
 QUERIES, ORACLE_SQL, query = registry()
 
-RESAMPLES = 100
+RESAMPLES = 1000
+#: A row's weights in SQL: its seed, and the numbers that the seed is multiplied with, one for each resample.
+_SEED = f"('0x' || left(md5({{}}::VARCHAR), 15))::BIGINT % {mt.MODULUS - 1} + 1"
+JUMPS = f"jumps AS (SELECT 0 AS b, {mt.MULTIPLIER}::BIGINT AS x UNION ALL SELECT b + 1, x * {mt.MULTIPLIER} % {mt.MODULUS} FROM jumps WHERE b < {RESAMPLES - 1})"
+_WEIGHT = "CASE " + " ".join(f"WHEN seed * x % {mt.MODULUS} * 1000 // {mt.MODULUS} < {most} THEN {k}" for k, most in enumerate(mt.POISSON)) + f" ELSE {len(mt.POISSON)} END"
 
 
 def tok(x: str) -> str:
@@ -83,14 +87,16 @@ def sentence_ter(spark, sf):
 
 @query(f"{TER_STATS}, a AS (SELECT sum(edits) AS edits, sum(ref_len) AS ref_len, sum(hyp_len) AS hyp_len, avg({TER}) AS mean FROM s) SELECT round({TER}, 6) AS ter, round(mean, 6) AS mean_ter FROM a")
 def corpus_ter(spark, sf):
-    stats = mt.ter_stats(_mock(spark, sf))
-    one = mt.add_up(stats).select(mt.ter_of().alias("ter"))
-    return rounded(one.crossJoin(stats.agg(F.avg(mt.ter_of()).alias("mean_ter"))))  # one row each
+    rows = mt.ter_stats(_mock(spark, sf)).withColumn("row_ter", mt.ter_of())
+    sums = rows.agg(*(F.sum(c).alias(c) for c in ("edits", "ref_len", "hyp_len")), F.avg("row_ter").alias("mean_ter"))
+    return rounded(sums.select(mt.ter_of().alias("ter"), "mean_ter"))
 
 
-@query(f"""{BLEU_STATS}, w AS (SELECT s.*, b, CASE WHEN u < 368 THEN 0 WHEN u < 736 THEN 1 WHEN u < 920 THEN 2 ELSE 3 END AS w FROM (
-  SELECT s.*, b, ('0x' || left(md5(s.id || ':' || b), 7))::BIGINT % 1000 AS u FROM s, range(0, {RESAMPLES}) q(b)) s),
-a AS (SELECT b, {', '.join(f'sum({c} * w) AS {c}' for c in ['hyp_len', 'ref_len', *(f'{x}{n}' for n in range(1, 5) for x in 'mh')])} FROM w GROUP BY b),
+ALL_SUMS = ", ".join(f"sum({c} * w) AS {c}" for c in ["hyp_len", "ref_len", *(f"{x}{n}" for n in range(1, 5) for x in "mh")])
+
+
+@query(f"""{BLEU_STATS.replace('WITH ', 'WITH RECURSIVE ', 1)}, {JUMPS}, w AS (SELECT s.*, b, {_WEIGHT} AS w FROM (SELECT *, {_SEED.format('id')} AS seed FROM s) s, jumps),
+a AS (SELECT b, {ALL_SUMS} FROM w GROUP BY b),
 x AS (SELECT {BLEU} AS bleu FROM a) SELECT round(avg(bleu), 6) AS mean, round(quantile_cont(bleu, 0.025), 6) AS ci_lower, round(quantile_cont(bleu, 0.975), 6) AS ci_upper FROM x""")
 def bootstrap_bleu(spark, sf):
     scores = mt.resamples(mt.bleu_stats(_mock(spark, sf)), "id", RESAMPLES).select(mt.bleu_of().alias("bleu"))
@@ -156,12 +162,8 @@ def mode_csv(spark, sf):
     return writers.mode_fields(_mode_table(spark, sf))
 
 
-ALL_SUMS = ", ".join(f"sum({c} * w) AS {c}" for c in ["hyp_len", "ref_len", *(f"{x}{n}" for n in range(1, 5) for x in "mh")])
-
-
-@query(f"""{MODE_ROWS}, t AS (SELECT mode || ':' || id AS id, hypothesis, reference FROM modes), {BLEU_STATS.split(MOCK, 1)[1].lstrip(', ')},
-u AS (SELECT s.*, b, split_part(id, ':', 1) AS mode, ('0x' || left(md5(split_part(id, ':', 2) || ':' || b), 7))::BIGINT % 1000 AS u FROM s, range(0, {RESAMPLES}) q(b)),
-w AS (SELECT *, CASE WHEN u < 368 THEN 0 WHEN u < 736 THEN 1 WHEN u < 920 THEN 2 ELSE 3 END AS w FROM u),
+@query(f"""{MODE_ROWS.replace('WITH ', 'WITH RECURSIVE ', 1)}, t AS (SELECT mode || ':' || id AS id, hypothesis, reference FROM modes), {BLEU_STATS.split(MOCK, 1)[1].lstrip(', ')},
+{JUMPS}, w AS (SELECT s.*, b, {_WEIGHT} AS w FROM (SELECT *, split_part(id, ':', 1) AS mode, {_SEED.format("split_part(id, ':', 2)")} AS seed FROM s) s, jumps),
 a AS (SELECT mode, b, {ALL_SUMS} FROM w GROUP BY mode, b), x AS (SELECT mode, {BLEU} AS bleu FROM a),
 i AS (SELECT mode, avg(bleu) AS mean, quantile_cont(bleu, 0.025) AS ci_lower, quantile_cont(bleu, 0.975) AS ci_upper FROM x GROUP BY mode)
 SELECT i.mode, round(i.mean, 6) AS mean, round(i.ci_lower, 6) AS ci_lower, round(i.ci_upper, 6) AS ci_upper, round(i.ci_lower - o.mean, 6) AS delta_lower, round(i.ci_upper - o.mean, 6) AS delta_upper,

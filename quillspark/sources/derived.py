@@ -49,6 +49,18 @@ LINES_SQL = rf"""lines AS (
   WHERE length(text) > 0)"""
 
 
+def whole_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of documents as they are, of any length: ``doc_id, line_no, id, text``."""
+    found = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text")).where(F.length("text") > 0)
+    return found.select("doc_id", F.col("line_no").cast("long").alias("line_no"), (F.col("doc_id") * LINES + F.col("line_no")).alias("id"), "text")
+
+
+WHOLE_LINES_SQL = f"""lines AS (
+  SELECT doc_id, i - 1 AS line_no, doc_id * {LINES} + i - 1 AS id, text
+  FROM (SELECT doc_id, unnest(a) AS text, generate_subscripts(a, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents))
+  WHERE length(text) > 0)"""
+
+
 def source_of(doc_id: Column) -> Column:
     return F.when(doc_id % 20 == 0, "book").otherwise("hf")
 
