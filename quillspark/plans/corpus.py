@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
 from quillspark.operators import corpus
 from quillspark.plans.register import registry
 from quillspark.sources import derived as d
-from quillspark.sources import readers, writers
+from quillspark.sources import lines, readers, writers
+from quillspark.sources.scratch import scratch_path
 
 QUERIES, ORACLE_SQL, query = registry()
 
@@ -19,6 +21,20 @@ def numbered_lines(spark, sf):
     return rows.withColumn("idx", F.col("idx").cast("long"))
 
 
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)
+SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS line_no, md5(line) AS line_md5 FROM l""")
+def file_lines(spark, sf):
+    """All texts, one after the other, as text files, and their lines numbered from the files."""
+    path = scratch_path(spark, "texts")
+    texts = d.table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("text").write.text(path)
+    rows = lines.numbered_lines(spark, path)
+    # files are numbered on in the order of their names: a row a file
+    sizes = lines.split_counts(spark, path).groupBy("path").agg(F.sum("n").alias("n"))
+    before = sizes.select("path", F.coalesce(F.sum("n").over(W.orderBy("path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return rows.join(before, "path").select((F.col("before") + F.col("line_no")).alias("line_no"), F.md5("line").alias("line_md5"))
+
+
 @query(r"SELECT p.page_id, regexp_extract(p.url, '/(\d+)(?:#\w+)?$', 1) AS id FROM pages p WHERE regexp_extract(p.url, '/(\d+)(?:#\w+)?$', 1) IN (SELECT doc_id::VARCHAR FROM documents)")
 def asset_join(spark, sf):
     paths = d.table(spark, sf, "pages").select("page_id", "url")

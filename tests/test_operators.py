@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import segmentation as seg
 from quillspark.operators import characters as ch
 from quillspark.operators import translation as mt
+from quillspark.sources import lines
 
 
 def plan_of(df) -> str:
@@ -149,3 +150,27 @@ def test_splitting_a_line_costs_its_length(spark):
     took(10)
     (quarter, _), (whole, n) = took(6_000), took(24_000)  # 1 MB
     assert n > 20_000 and whole < 8 * max(quarter, 0.5)
+
+
+# -- lines of files -------------------------------------------------------------------------------
+
+
+def test_lines_of_a_file_in_small_splits(spark, tmp_path):
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("abcé \r", k=rng.choice([0, 3, 60, 5000]))) for _ in range(700)]
+    (tmp_path / "a.txt").write_bytes(("\n".join(texts) + "\n").encode())
+    (tmp_path / "b.txt").write_bytes("x\n\ny".encode())
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        counts = lines.split_counts(spark, f"{tmp_path}/a.txt").cache()
+        assert counts.count() > 50
+        found = sorted((r.path[-5:], r.line_no, r.line) for r in lines.numbered_lines(spark, str(tmp_path)).collect())
+        assert found == [("a.txt", i, t) for i, t in enumerate(texts)] + [("b.txt", 0, "x"), ("b.txt", 1, ""), ("b.txt", 2, "y")]
+        for start, count in ((0, 1), (137, 60), (695, 50), (900, 5)):
+            some = lines.get_lines(spark, f"{tmp_path}/a.txt", start, count, counts)
+            assert sorted((r.line_no, r.line) for r in some.collect()) == list(enumerate(texts))[start : start + count]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
