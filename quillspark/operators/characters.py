@@ -474,14 +474,60 @@ def unit(vector: Column) -> Column:
     return F.transform(vector, lambda x: F.coalesce(F.try_divide(x.cast("double"), size), F.lit(0.0)))
 
 
-def zero_shot(items: DataFrame, labels: DataFrame, scale: float = 100.0) -> DataFrame:
-    """``vec_id, label, probability``: softmax over a fixed, small set of label vectors (``label, label_vec``).
-
-    The labels travel as one array, so an item is scored in its own row."""
-    table = labels.agg(F.array_sort(F.collect_list(F.struct("label", unit(F.col("label_vec")).alias("v")))).alias("labels"))  # one row
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    scored = items.select("vec_id", unit(F.col("embedding")).alias("v")).crossJoin(F.broadcast(table))
-    scored = scored.select("vec_id", F.transform("labels", lambda x: F.struct(x["label"].alias("label"), (scale * dot(F.col("v"), x["v"])).alias("s"))).alias("s"))
-    top = F.array_max(F.transform("s", lambda x: x["s"]))
-    total = F.aggregate("s", F.lit(0.0), lambda a, x: a + F.exp(x["s"] - top))
-    return scored.select("vec_id", F.inline(F.transform("s", lambda x: F.struct(x["label"].alias("label"), (F.exp(x["s"] - top) / total).alias("probability")))))
+def _blocks(rows: DataFrame, vector: str, size: int) -> DataFrame:
+    """Up to ``size`` rows of a task as one: its columns as arrays, with the unit vectors one after the other."""
+    others = [c for c in rows.columns if c != vector]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, len(batch), size):
+                part = batch.slice(start, size)
+                columns = [*(part.column(c) for c in others), part.column(vector).flatten()]
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in columns], [*others, vector])
+
+    kinds = dict(rows.dtypes)
+    return rows.select(*others, unit(F.col(vector)).alias(vector)).mapInArrow(run, "".join(f"`{c}` array<{kinds[c]}>, " for c in others) + f"`{vector}` array<double>")
+
+
+#: Items and labels of one block: their product is one matrix of scores.
+ITEM_BLOCK, LABEL_BLOCK = 1024, 1024
+
+
+def zero_shot(items: DataFrame, labels: DataFrame, scale: float = 100.0, label_block: int = LABEL_BLOCK, item_block: int = ITEM_BLOCK) -> DataFrame:
+    """``vec_id, label, probability``: softmax of each item's scaled cosines over all label vectors (``label, label_vec``).
+
+    Items and labels are packed into blocks, and a pair of blocks is one matrix product. The first pass keeps, for each
+    item and block of labels, the greatest score and the sum of exponentials beneath it, which merge to the item's; the
+    second makes the scores again and divides, so that scores are never shuffled. No row holds all labels; whether the
+    blocks of labels go to every task or are dealt out is left to their size. All vectors have one length, ``vec_id`` names one item, and each
+    has a row for each label, as the result asks for."""
+    kinds = dict(items.dtypes)["vec_id"], dict(labels.dtypes)["label"]
+    items = items.select("vec_id", "embedding")
+    named = _blocks(labels.select("label", "label_vec"), "label_vec", label_block)
+
+    def scores(batch: pa.RecordBatch, i: int) -> tuple[pa.Array, pa.Array, np.ndarray]:
+        ids, names = batch.column("vec_id")[i].values, batch.column("label")[i].values
+        left, right = (batch.column(c)[i].values.to_numpy(zero_copy_only=False).reshape(len(x), -1) for c, x in (("embedding", ids), ("label_vec", names)))
+        return ids, names, scale * (left @ right.T)
+
+    def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                ids, _, s = scores(batch, i)
+                top = s.max(axis=1)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(top), pa.array(np.exp(s - top[:, None]).sum(axis=1))], ["vec_id", "top", "total"])
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                ids, names, s = scores(batch, i)
+                top, total = (batch.column(c)[i].values.to_numpy(zero_copy_only=False)[:, None] for c in ("top", "total"))
+                p = np.exp(s - top) / total
+                at = np.repeat(np.arange(len(ids)), len(names)), np.tile(np.arange(len(names)), len(ids))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at[0])), names.take(pa.array(at[1])), pa.array(p.ravel())], ["vec_id", "label", "probability"])
+
+    parts = _blocks(items, "embedding", item_block).crossJoin(named).mapInArrow(tops, f"vec_id {kinds[0]}, top double, total double")
+    most = parts.groupBy("vec_id").agg(F.max("top").alias("top"), F.collect_list(F.struct("top", "total")).alias("parts"))
+    whole = most.select("vec_id", "top", F.aggregate("parts", F.lit(0.0), lambda a, x: a + x["total"] * F.exp(x["top"] - F.col("top"))).alias("total"))
+    # an item's block again, with what its scores are divided by
+    return _blocks(items.join(whole, "vec_id"), "embedding", item_block).crossJoin(named).mapInArrow(shares, f"vec_id {kinds[0]}, label {kinds[1]}, probability double")

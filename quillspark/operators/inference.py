@@ -1,4 +1,7 @@
-"""Plug-in recognizers and translators run as batch jobs: each distinct input once, misses of a cache only."""
+"""Plug-in recognizers and translators run as batch jobs: each distinct input once, misses of a cache only.
+
+A plug-in takes a list of texts and returns one for each. It is called with lists of bounded size; a list that fails is
+halved until the texts that fail stand alone, so that one bad text costs a few calls and no other text its result."""
 
 from __future__ import annotations
 
@@ -8,41 +11,80 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.segmentation import rejoin
+from quillspark.functions.segmentation import WHITE
 
-#: Name -> factory; the factory runs once per task and returns a function text -> text.
-REGISTRY: dict[str, Callable[[], Callable[[str], str]]] = {}
+#: A plug-in: texts to texts.
+Model = Callable[[list[str]], list[str]]
+#: Name -> factory; the factory runs once per task.
+REGISTRY: dict[str, Callable[[], Model]] = {}
 FAILURE = "[Translation"
 TRIES = 3
+#: Texts and characters of one call; a longer text is a call of its own.
+CALL_TEXTS, CALL_CHARS = 256, 1 << 16
 
 
-def register(name: str) -> Callable[[Callable[[], Callable[[str], str]]], Callable[[], Callable[[str], str]]]:
-    def add(factory: Callable[[], Callable[[str], str]]) -> Callable[[], Callable[[str], str]]:
+def register(name: str) -> Callable[[Callable[[], Model]], Callable[[], Model]]:
+    def add(factory: Callable[[], Model]) -> Callable[[], Model]:
         REGISTRY[name] = factory
         return factory
 
     return add
 
 
+def one_by_one(factory: Callable[[], Callable[[str], str]]) -> Callable[[], Model]:
+    """A plug-in of a function that takes one text."""
+
+    def made() -> Model:
+        one = factory()
+        return lambda texts: [one(t) for t in texts]
+
+    return made
+
+
 @register("first60")
-def _first60() -> Callable[[str], str]:
+def _first60() -> Model:
     """Stub recognizer: sees the first 60 characters."""
-    return lambda text: text[:60]
+    return lambda texts: [t[:60] for t in texts]
 
 
 @register("reverse")
-def _reverse() -> Callable[[str], str]:
-    """Stub translator: reverses the text and fails on texts that begin with z."""
+def _reverse() -> Model:
+    """Stub translator: reverses texts and fails on those that begin with z."""
 
-    def translate(text: str) -> str:
-        if text[:1] in ("z", "Z"):
+    def translate(texts: list[str]) -> list[str]:
+        if any(t[:1] in ("z", "Z") for t in texts):
             raise ValueError("no translation")
-        return text[::-1]
+        return [t[::-1] for t in texts]
 
     return translate
 
 
-def factory_of(name: str) -> Callable[[], Callable[[str], str]]:
+def call(model: Model, texts: list[str], tries: int = 1) -> list[tuple[str, str | None]]:
+    """``(result, error)`` of each text. A list that fails is halved; a text alone is tried ``tries`` times."""
+    try:
+        found = model(texts)
+        if len(found) != len(texts):
+            raise ValueError(f"{len(found)} results for {len(texts)} texts")
+        return [(x, None) for x in found]
+    except Exception as e:  # the policy: a failed row is a row
+        if len(texts) > 1:
+            half = len(texts) // 2
+            return call(model, texts[:half], tries) + call(model, texts[half:], tries)
+        return call(model, texts, tries - 1) if tries > 1 else [("", str(e))]
+
+
+def call_in_lists(model: Model, texts: list[str], tries: int = 1) -> list[tuple[str, str | None]]:
+    """``call`` on lists of bounded size, in order."""
+    out, start, held = [], 0, 0
+    for i, t in enumerate(texts):
+        if i > start and (i - start >= CALL_TEXTS or held + len(t) > CALL_CHARS):
+            out += call(model, texts[start:i], tries)
+            start, held = i, 0
+        held += len(t)
+    return out + (call(model, texts[start:], tries) if start < len(texts) else [])
+
+
+def factory_of(name: str) -> Callable[[], Model]:
     if name not in REGISTRY:
         raise ValueError(f"unknown model {name!r}; known: {', '.join(sorted(REGISTRY))}")
     return REGISTRY[name]
@@ -53,20 +95,16 @@ def batch_infer(rows: DataFrame, model: str, column: str = "text") -> DataFrame:
     factory = factory_of(model)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        recognize = factory()
-
-        def one(text: str) -> tuple[str, str | None]:
-            try:
-                return recognize(text), None
-            except Exception as e:  # the policy: a failed row is a row
-                return "", str(e)
-
+        model_ = factory()
         for frame in frames:
-            found = [one(t) for t in frame[column]]
+            found = call_in_lists(model_, frame[column].tolist())
             yield frame.assign(prediction=[f[0] for f in found], error=[f[1] for f in found])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInPandas(run, f"{kinds}, prediction string, error string")
+    return rows.mapInPandas(run, f"{_kinds(rows)}, prediction string, error string")
+
+
+def _kinds(rows: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
 
 def translate_misses(texts: DataFrame, model: str) -> DataFrame:
@@ -75,18 +113,9 @@ def translate_misses(texts: DataFrame, model: str) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         translate = factory()
-
-        def one(text: str) -> str:
-            error = ""
-            for _ in range(TRIES):
-                try:
-                    return translate(text)
-                except Exception as e:
-                    error = str(e)
-            return f"{FAILURE} failed: {error}]"
-
         for frame in frames:
-            yield pd.DataFrame({"text": frame["text"], "translation": [one(t) for t in frame["text"]]})
+            found = call_in_lists(translate, frame["text"].tolist(), TRIES)
+            yield pd.DataFrame({"text": frame["text"], "translation": [x if e is None else f"{FAILURE} failed: {e}]" for x, e in found]})
 
     return texts.select("text").distinct().mapInPandas(run, "text string, translation string")
 
@@ -104,10 +133,21 @@ def latest(rows: DataFrame, key: str, value: Column | str, order: Column | str)
     return rows.groupBy(key).agg(F.max_by(value, order).alias(value if isinstance(value, str) else "value"))
 
 
-def predict_segments(rows: DataFrame, model: str, key: str = "id", segments: str = "segments") -> DataFrame:
-    """``key, segment_predictions, split_prediction``: each segment predicted, joined again in order."""
-    each = rows.select(key, F.posexplode(segments).alias("pos", "text"))
-    found = batch_infer(each, model).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "prediction"))).alias("parts"))
-    parts = F.transform("parts", lambda p: p["prediction"])
-    return found.select(key, parts.alias("segment_predictions"), rejoin(parts).alias("split_prediction"))
+def predict_split(rows: DataFrame, model: str, text: str = "reference", segments: str = "segments") -> DataFrame:
+    """Add ``prediction`` of the whole text and ``split_prediction``, its segments' predictions joined again in order (for
+    rows of one segment the whole text's). Texts and segments of a batch of rows go to the model together; no row leaves
+    its place. A failed call leaves its part empty."""
+    factory = factory_of(model)
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model_ = factory()
+        for frame in frames:
+            parts = [list(p) if p is not None and len(p) > 1 else [] for p in frame[segments]]
+            found = [x for x, _ in call_in_lists(model_, frame[text].tolist() + [p for own in parts for p in own])]
+            whole, at, split = found[: len(frame)], len(frame), []
+            for own, all_ in zip(parts, whole, strict=True):
+                split.append(" ".join(x for x in (f.strip(WHITE) for f in found[at : at + len(own)]) if x) if own else all_)
+                at += len(own)
+            yield frame.assign(prediction=whole, split_prediction=split)
+
+    return rows.mapInPandas(run, f"{_kinds(rows)}, prediction string, split_prediction string")

@@ -136,9 +136,7 @@ r AS (SELECT *, cer_before - cer_after AS improvement FROM e)"""
 def _experiment(spark, sf):
     """Rates in percent before and after: rows without a cut keep their prediction."""
     split = _greedy(spark, sf, d.lines).select("id", F.col("text").alias("reference"), "segments", F.size("segments").cast("long").alias("num_segments"))
-    whole = inference.batch_infer(split.select("id", F.col("reference").alias("text")), "first60").select("id", "prediction")
-    parts = inference.predict_segments(split.where("num_segments > 1"), "first60").select("id", "split_prediction")
-    rows = split.join(whole, "id").join(parts, "id", "left").withColumn("split_prediction", F.coalesce("split_prediction", "prediction"))
+    rows = inference.predict_split(split, "first60")
     rate = lambda p: 100 * acc.cer(F.col("reference"), F.col(p))
     rows = rows.withColumns({"cer_before": rate("prediction"), "cer_after": rate("split_prediction")})
     return rows.withColumn("improvement", F.col("cer_before") - F.col("cer_after"))

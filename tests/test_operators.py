@@ -6,11 +6,13 @@ import hashlib
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import segmentation as seg
 from quillspark.operators import characters as ch
+from quillspark.operators import inference
 from quillspark.operators import translation as mt
 from quillspark.sources import lines
 
@@ -174,3 +176,68 @@ def test_lines_of_a_file_in_small_splits(spark, tmp_path):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+# -- similarity to labels -------------------------------------------------------------------------
+
+
+def test_softmax_over_label_blocks_of_any_size(spark):
+    rng = np.random.default_rng(5)
+    vectors, names = rng.normal(size=(70, 8)), rng.normal(size=(9, 8))
+    vectors[3] = 0
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>").repartition(3)
+    labels = spark.createDataFrame([(f"l{i}", v.tolist()) for i, v in enumerate(names)], "label string, label_vec array<float>")
+    one = lambda x: x / np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) > 0, n, 1)
+    s = 20 * one(vectors.astype(np.float32).astype(float)) @ one(names.astype(np.float32).astype(float)).T
+    want = np.exp(s) / np.exp(s).sum(axis=1, keepdims=True)
+    for label_block, item_block in ((1, 7), (3, 1024), (64, 1)):
+        got = ch.zero_shot(items, labels, 20.0, label_block, item_block).collect()
+        assert len(got) == want.size
+        assert max(abs(want[r.vec_id, int(r.label[1:])] - r.probability) for r in got) < 1e-9
+    assert ch.zero_shot(items.limit(0), labels).count() == 0
+
+
+# -- plug-ins -------------------------------------------------------------------------------------
+
+
+def test_a_failing_list_is_halved_until_the_bad_texts_stand_alone():
+    calls = []
+
+    def model(texts):
+        calls.append(len(texts))
+        if "bad" in texts:
+            raise ValueError("no")
+        return [t.upper() for t in texts]
+
+    texts = [f"t{i}" for i in range(200)] + ["bad"] + [f"u{i}" for i in range(300)]
+    found = inference.call_in_lists(model, texts)
+    assert [x for x, _ in found] == [t.upper() if t != "bad" else "" for t in texts] and [e for _, e in found if e] == ["no"]
+    assert max(calls) == inference.CALL_TEXTS and len(calls) <= 2 + 2 * 9
+    assert inference.call_in_lists(model, []) == [] and inference.call(lambda texts: [], ["a"])[0][1] == "0 results for 1 texts"
+    assert [len(x) for x, _ in inference.call_in_lists(lambda t: t, ["x" * 100_000, "y", "z" * 70_000])] == [100_000, 1, 70_000]
+
+
+def test_lists_give_what_single_texts_give_with_few_calls(spark):
+    rows = spark.createDataFrame([(f"{'z' if i % 50 == 0 else 'a'}{i}",) for i in range(1000)], "text string").coalesce(1)
+    counter = spark.sparkContext.accumulator(0)
+
+    def counting():
+        inner = inference.REGISTRY["reverse"]()
+
+        def model(texts):
+            counter.add(1)
+            return inner(texts)
+
+        return model
+
+    inference.REGISTRY["counting"] = counting
+    inference.REGISTRY["single"] = inference.one_by_one(lambda: lambda t: inference.REGISTRY["reverse"]()([t])[0])
+    assert sorted(inference.batch_infer(rows, "counting").collect(), key=str) == sorted(inference.batch_infer(rows, "single").collect(), key=str)
+    assert counter.value < 400  # 1000 texts, 20 of them bad
+
+
+def test_splits_are_predicted_where_they_lie(spark):
+    rows = spark.createDataFrame([(1, "ab cd", ["ab", " cd "]), (2, "whole", ["whole"]), (3, "x", None), (4, "p " * 50 + "q", ["p " * 50, " ", "q"])], "id int, reference string, segments array<string>")
+    found = inference.predict_split(rows, "first60")
+    assert {r.id: (r.prediction, r.split_prediction) for r in found.collect()} == {1: ("ab cd", "ab cd"), 2: ("whole", "whole"), 3: ("x", "x"), 4: (("p " * 50)[:60], ("p " * 50)[:60].strip() + " q")}
+    assert "Exchange" not in plan_of(found) and "Join" not in plan_of(found)

@@ -73,7 +73,7 @@ def test_intervals_that_overlap_or_not(spark):
 def test_registry_and_error_policy(spark):
     with pytest.raises(ValueError, match="unknown model"):
         inference.factory_of("nope")
-    inference.REGISTRY["picky"] = lambda: lambda t: {"ok": "fine"}[t]
+    inference.REGISTRY["picky"] = inference.one_by_one(lambda: lambda t: {"ok": "fine"}[t])
     rows = inference.batch_infer(spark.createDataFrame([("ok",), ("bad",)], "text string"), "picky").collect()
     assert [(r.prediction, r.error) for r in rows] == [("fine", None), ("", "'bad'")]
 
