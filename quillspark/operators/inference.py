@@ -107,15 +107,20 @@ def _kinds(rows: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
 
+def translate_texts(factory: Callable[[], Model]) -> Callable[[list[str]], list[str]]:
+    """A function for one task: translations of texts; after ``TRIES`` failures a text that begins ``[Translation``."""
+    translate = factory()
+    return lambda texts: [x if e is None else f"{FAILURE} failed: {e}]" for x, e in call_in_lists(translate, texts, TRIES)]
+
+
 def translate_misses(texts: DataFrame, model: str) -> DataFrame:
-    """``text, translation`` for distinct texts; after ``TRIES`` failures a text that begins ``[Translation``."""
+    """``text, translation`` for distinct texts."""
     factory = factory_of(model)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        translate = factory()
+        translate = translate_texts(factory)
         for frame in frames:
-            found = call_in_lists(translate, frame["text"].tolist(), TRIES)
-            yield pd.DataFrame({"text": frame["text"], "translation": [x if e is None else f"{FAILURE} failed: {e}]" for x, e in found]})
+            yield pd.DataFrame({"text": frame["text"], "translation": translate(frame["text"].tolist())})
 
     return texts.select("text").distinct().mapInPandas(run, "text string, translation string")
 

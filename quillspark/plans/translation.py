@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from quillspark.operators import inference
 from quillspark.operators import translation as mt
 from quillspark.operators import scoring
+from quillspark.operators.memory import Memory
 from quillspark.plans import splitting
 from quillspark.plans.register import registry, rounded
 from quillspark.plans.scoring import SCORED, distance_sql
 from quillspark.sources import derived as d
 from quillspark.sources import readers, writers
+from quillspark.sources.scratch import scratch_path
 
 QUERIES, ORACLE_SQL, query = registry()
 
@@ -219,6 +221,27 @@ def cache_hits_misses(spark, sf):
     return inference.with_cache(pairs, memory, "reverse")
 
 
+def _memory(spark, sf):
+    """The pairs of the given table as a memory of three runs, two of which are merged before the third comes."""
+    rows = d.pairs(spark, sf).select(F.col("original").alias("text"), "translation", "id", F.timestamp_micros("id").alias("at"))
+    folder = scratch_path(spark, "memory")
+    memory = Memory(spark, "memory_" + folder.rpartition("-")[2], folder, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    for k in range(3):
+        if k == 2:
+            memory.compact()
+        memory.append(rows.where(F.pmod(F.xxhash64("id"), F.lit(3)) == k))
+    return memory
+
+
+@query(f"{PAIRS} SELECT original AS text, arg_max(translation, id) AS translation FROM pairs GROUP BY original")
+def memory_runs(spark, sf):
+    """The last translation of each text, looked up in a memory of several runs."""
+    memory = _memory(spark, sf)
+    found = memory.lookup(d.pairs(spark, sf).select(F.col("original").alias("text"))).select("text", "translation")
+    memory.forget()  # what is read stays
+    return found
+
+
 @query(f"WITH {d.LINES_SQL} SELECT id, left(text, 60) AS prediction FROM lines")
 def batch_infer(spark, sf):
     return inference.batch_infer(d.lines(spark, sf).select("id", "text"), "first60").select("id", "prediction")

@@ -241,3 +241,39 @@ def test_splits_are_predicted_where_they_lie(spark):
     found = inference.predict_split(rows, "first60")
     assert {r.id: (r.prediction, r.split_prediction) for r in found.collect()} == {1: ("ab cd", "ab cd"), 2: ("whole", "whole"), 3: ("x", "x"), 4: (("p " * 50)[:60], ("p " * 50)[:60].strip() + " q")}
     assert "Exchange" not in plan_of(found) and "Join" not in plan_of(found)
+
+
+# -- translation memory ---------------------------------------------------------------------------
+
+
+def test_memory_of_runs(spark, tmp_path, monkeypatch):
+    from quillspark.operators import memory as mem
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    memory = mem.Memory(spark, "held", str(tmp_path / "held"), 4)
+    rows = lambda *x: spark.createDataFrame([(t, r, s) for t, r, s in x], "text string, translation string, s long").withColumn("at", F.timestamp_seconds("s"))
+    try:
+        memory.append(rows(("a", "A1", 1), ("a", "A0", 0), ("b", "B1", 1), ("z", "[Translation failed: x]", 1), (None, "N", 1)))
+        memory.append(rows(("a", "A2", 2), ("c", "C2", 2)))
+        memory.append(rows(("b", "B0", 0), ("d", None, 3)))
+        texts = spark.createDataFrame([("a",), ("a",), ("b",), ("c",), ("d",), ("q",), (None,)], "text string")
+        want = {"a": "A2", "b": "B1", "c": "C2", "d": None, "q": None}
+        found = memory.lookup(texts)
+        assert {r.text: r.translation for r in found.collect()} == want and found.count() == 5
+        # only the texts are dealt out: no exchange stands over a scan of the memory
+        plan = plan_of(memory.lookup(texts))
+        assert plan.count("Exchange") == 1 and plan.count("SortMergeJoin") == 3 and "BroadcastHashJoin" not in plan
+        assert plan_of(memory.rows()).count("Exchange") == 1
+        assert {(r.text, r.translation, r.hit) for r in memory.translate(texts, "reverse").collect()} == {("a", "A2", True), ("b", "B1", True), ("c", "C2", True), ("d", None, True), ("q", "q", False)}
+        memory.compact()
+        assert len(memory.runs()) == 1 and {r.text: r.translation for r in memory.lookup(texts).collect()} == want
+        monkeypatch.setattr(mem, "MOST_RUNS", 2)
+        for k in range(4):
+            memory.append(rows(("a", f"N{k}", 10 + k)))
+        assert len(memory.runs()) <= 3 and memory.lookup(texts).where("text = 'a'").first().translation == "N3"
+        assert memory.rows().count() == 4
+    finally:
+        memory.forget()
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert memory.runs() == []
