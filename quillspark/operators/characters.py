@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
+from pyspark.sql.functions import arrow_udtf, udtf
 
 from quillspark.functions.accuracy import distance
 from quillspark.functions.text import chars
@@ -43,6 +43,21 @@ def register_table_function(spark: SparkSession, name: str = "align_chars") -> N
     spark.udtf.register(name, udtf(_Align, returnType="pos int, ref_char string, pred_char string"))
 
 
+class _AlignBatches:
+    def eval(self, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for part, references, predictions in _slices([rows]):
+            row, pos, ref, pred = align_codes(*_codes(references), *_codes(predictions))
+            own = [part.column(c).take(pa.array(row)) for c in ("model", "id")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(pos.astype(np.int32)), _as_letters(ref), _as_letters(pred)], ["model", "id", "pos", "ref_char", "pred_char"])
+
+
+def register_batch_function(spark: SparkSession, name: str = "align_rows") -> None:
+    """``name(TABLE(...) PARTITION BY ...)`` for SQL: rows (model, id, pos, ref_char, pred_char) for a table of rows (model,
+    id, reference, prediction), aligned an Arrow batch at a time. How the table is partitioned says only which rows meet in
+    a task; a partition is read in batches and never held."""
+    spark.udtf.register(name, arrow_udtf(_AlignBatches, returnType="model string, id long, pos int, ref_char string, pred_char string"))
+
+
 def _aligned(references: list[str], predictions: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     row, pos, ref, pred = align_codes(*_codes(references), *_codes(predictions))
     return row, pos, _letters(ref), _letters(pred)

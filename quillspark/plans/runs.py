@@ -120,3 +120,29 @@ def log_final_metric(spark, sf):
 @query(f"{LOGS} SELECT log, epoch::INT AS epoch, rate AS train_loss, rate AS val_loss, rate AS cer FROM e WHERE NOT final")
 def log_epoch_curve(spark, sf):
     return readers.log_epochs(_logs(spark, sf))
+
+
+#: Seconds without a line after which a run counts as dead in the given events, which are hours apart.
+IDLE = 2 * 86_400
+
+
+@query(f"""WITH e AS (SELECT user_id AS log, ts, event_id, CASE WHEN event_type = 'purchase' AND user_id % 3 = 0 THEN 'success' WHEN event_type = 'error' AND user_id % 3 = 1 AND value < 10 THEN 'error' WHEN event_type = 'signup' AND user_id % 7 = 0 AND value > 90 THEN 'failed' END AS kind,
+  format('{{:.4f}}', value / 100) AS rate, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events),
+l AS (SELECT log, min(ts) AS first, max(ts) AS last, min(before + INTERVAL {IDLE} SECOND) FILTER (ts > before + INTERVAL {IDLE} SECOND) AS stall,
+  min({{'ts': ts, 'id': event_id, 'kind': kind, 'rate': rate}}) FILTER (kind IS NOT NULL) AS ended FROM e GROUP BY log),
+s AS (SELECT log, first, last, ended, coalesce(stall, CASE WHEN (SELECT max(ts) FROM events) > last + INTERVAL {IDLE} SECOND THEN last + INTERVAL {IDLE} SECOND END) AS stall FROM l),
+o AS (SELECT *, ended IS NOT NULL AND (stall IS NULL OR ended.ts <= stall) AS done FROM s)
+SELECT log, CASE WHEN done THEN ended.kind WHEN stall IS NOT NULL THEN 'timeout' ELSE 'running' END AS status, CASE WHEN done AND ended.kind = 'success' THEN ended.rate::DOUBLE END AS best_cer,
+  CASE WHEN done AND ended.kind = 'error' THEN 'out of memory at ' || ended.rate WHEN done AND ended.kind = 'failed' THEN '2' END AS message,
+  floor(epoch_us(CASE WHEN done THEN ended.ts ELSE coalesce(stall, last) END - first) / 1000000)::BIGINT AS seconds FROM o""")
+def run_outcome(spark, sf):
+    """Events as lines of runs: some end well, some with an error or an exit code, some fall silent."""
+    e = d.table(spark, sf, "events")
+    rate = F.format_string("%.4f", F.col("value") / 100)
+    is_ = lambda kind, cond: (F.col("event_type") == kind) & cond
+    user, value = F.col("user_id"), F.col("value")
+    text = F.when(is_("purchase", user % 3 == 0), F.concat(F.lit("Training complete. Best CER: "), rate))
+    text = text.when(is_("error", (user % 3 == 1) & (value < 10)), F.concat(F.lit("RuntimeError: out of memory at "), rate))
+    text = text.when(is_("signup", (user % 7 == 0) & (value > 90)), F.lit("Exit code: 2")).otherwise(F.concat(F.lit("CER: "), rate, F.lit(" | WER: "), rate))
+    lines = e.select(user.alias("log"), F.col("ts").alias("at"), F.col("event_id").alias("line_no"), text.alias("text"))
+    return readers.run_outcomes(lines, IDLE)

@@ -5,6 +5,7 @@ Schemas are declared, never inferred."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import strip
@@ -88,3 +89,59 @@ def log_epochs(lines: DataFrame, log: str = "log", text: str = "text") -> DataFr
     part = lambda i, kind: F.regexp_extract(text, EPOCH, i).cast(kind)
     found = lines.where(F.col(text).rlike(EPOCH))
     return found.select(log, part(1, "int").alias("epoch"), part(2, "double").alias("train_loss"), part(3, "double").alias("val_loss"), part(4, "double").alias("cer"))
+
+
+#: Lines that end a run: an error with its message, and the exit code of one that failed.
+ERROR, EXIT = r"(?:Error|Exception): (.*)", r"Exit code: ([1-9]\d*)"
+
+
+def run_outcomes(lines: DataFrame, idle_seconds: int = 3600, as_of: Column | None = None) -> DataFrame:
+    """``log, status, best_cer, message, seconds`` of training logs ``(log, at, line_no, text)``.
+
+    The first of these decides: a final line (``success``, with its value), an error line (``error``, with its message), a
+    non-zero exit code (``failed``, with the code), or ``idle_seconds`` without a line (``timeout``). A log that has none
+    is ``running`` until it has been silent so long before ``as_of`` (the time of the last line of all logs if not given).
+    ``seconds`` run from the first line to that end, or to the last line of one that is running. Lines without a time are
+    left out; of lines of one time the lower number comes first.
+
+    A pause of that length cannot lie within a stretch of it, so lines are first reduced to the ends of each stretch, and
+    only these are put in order: a log that holds a third of all lines is no more than its stretches."""
+    lines = lines.withColumn("at", F.col("at").cast("timestamp"))
+    text = F.coalesce("text", F.lit(""))
+    kind = F.when(text.rlike(FINAL), "success").when(text.rlike(ERROR), "error").when(text.rlike(EXIT), "failed")
+    value = F.when(kind == "success", F.regexp_extract(text, FINAL, 1).cast("double"))
+    message = F.when(kind == "error", F.regexp_extract(text, ERROR, 1)).when(kind == "failed", F.regexp_extract(text, EXIT, 1))
+    end = F.when(kind.isNotNull(), F.struct("at", "line_no", kind.alias("status"), value.alias("best_cer"), message.alias("message")))
+    stretch = F.floor(F.unix_micros("at") / (idle_seconds * 1_000_000))
+    parts = lines.where("at IS NOT NULL").select("log", "at", end.alias("end"), stretch.alias("stretch")).groupBy("log", "stretch").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.min("end").alias("end"))
+    idle = F.make_dt_interval(secs=F.lit(idle_seconds))
+    before = F.lag("last").over(W.partitionBy("log").orderBy("stretch"))
+    parts = parts.withColumn("stall", F.when(F.col("first") > before + idle, before + idle))
+    logs = parts.groupBy("log").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min("end").alias("end"), F.min("stall").alias("stall"))
+    if as_of is None:
+        logs = logs.crossJoin(F.broadcast(lines.agg(F.max("at").alias("now"))))  # one row
+    else:
+        logs = logs.withColumn("now", as_of)
+    stall = F.coalesce("stall", F.when(F.col("now") > F.col("last") + idle, F.col("last") + idle))
+    ended = F.col("end").isNotNull() & (stall.isNull() | (F.col("end.at") <= stall))
+    until = F.when(ended, F.col("end.at")).otherwise(F.coalesce(stall, F.col("last")))
+    status = F.when(ended, F.col("end.status")).when(stall.isNotNull(), "timeout").otherwise("running")
+    seconds = F.floor((F.unix_micros(until) - F.unix_micros("first")) / 1_000_000)
+    return logs.select("log", status.alias("status"), *(F.when(ended, F.col(f"end.{c}")).alias(c) for c in ("best_cer", "message")), seconds.alias("seconds"))
+
+
+# -- files as rows --------------------------------------------------------------------------------
+
+#: The columns of a file as a row (fixed by the source).
+FILE = "path string, modificationTime timestamp, length long, content binary"
+
+
+def files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """``path, modificationTime, length, content`` of files under ``path``, at any depth, whose names fit ``glob``. What is
+    not selected is not read: without ``content`` no file is opened. Empty files are no rows: the source leaves them out."""
+    return spark.read.format("binaryFile").schema(FILE).option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
+
+
+def file_assets(found: DataFrame, corpus_ids: DataFrame, rule: str = r"entry_(\w+)\.png$") -> DataFrame:
+    """``id, path, length`` of files whose path holds an id of the corpus."""
+    return assets(found.select("path", "length"), corpus_ids, rule).select("id", "path", "length")

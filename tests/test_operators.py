@@ -14,7 +14,7 @@ from quillspark.functions import segmentation as seg
 from quillspark.operators import characters as ch
 from quillspark.operators import inference
 from quillspark.operators import translation as mt
-from quillspark.sources import lines
+from quillspark.sources import lines, readers, writers
 
 
 def plan_of(df) -> str:
@@ -277,3 +277,51 @@ def test_memory_of_runs(spark, tmp_path, monkeypatch):
         memory.forget()
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert memory.runs() == []
+
+
+# -- outcomes of runs, files as rows --------------------------------------------------------------
+
+
+def test_outcomes_of_runs(spark):
+    rows = [
+        ("ok", 0, "start"), ("ok", 3000, "CER: 0.5 | WER: 0.6"), ("ok", 6000, "Training complete. Best CER: 0.25"), ("ok", 6001, "Error: later"),
+        ("error", 0, "x"), ("error", 10, "ValueError: bad value"), ("error", 20, "Exit code: 1"),
+        ("failed", 5, "Exit code: 0"), ("failed", 9, "Exit code: 3"),
+        ("stalled", 0, "x"), ("stalled", 3601, "Training complete. Best CER: 0.1"),
+        ("edge", 0, "x"), ("edge", 3600, "Training complete. Best CER: 0.2"),
+        ("silent", 0, "x"), ("running", 6500, "x"), ("running", 6500, None),
+    ]
+    lines_ = spark.createDataFrame([(a, s, i, t) for i, (a, s, t) in enumerate(rows)] + [("none", None, 99, "x")], "log string, s long, line_no int, text string").withColumn("at", F.timestamp_seconds(F.col("s") + 1_700_000_000))
+    got = {r.log: (r.status, r.best_cer, r.message, r.seconds) for r in readers.run_outcomes(lines_).collect()}
+    assert got == {
+        "ok": ("success", 0.25, None, 6000), "error": ("error", None, "bad value", 10), "failed": ("failed", None, "3", 4), "stalled": ("timeout", None, None, 3600),
+        "edge": ("success", 0.2, None, 3600), "silent": ("timeout", None, None, 3600), "running": ("running", None, None, 0),
+    }
+    later = readers.run_outcomes(lines_, as_of=F.timestamp_seconds(F.lit(1_700_100_000))).where("log = 'running'").first()
+    assert later.status == "timeout" and readers.run_outcomes(lines_.limit(0)).count() == 0
+
+
+def test_files_are_joined_without_being_opened(spark, tmp_path):
+    for name, content in (("entry_1.png", b"one"), ("entry_22.png", b"\x00\xff"), ("entry_3.txt", b"three"), ("sub/entry_4.png", b"four"), ("entry_5.png", b"")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    found = readers.files(spark, str(tmp_path), "*.png")
+    assert {r.path.rpartition("/")[2]: r.sha256 for r in writers.content_hashes(found).collect()} == {f"entry_{i}.png": hashlib.sha256(c).hexdigest() for i, c in ((1, b"one"), (22, b"\x00\xff"), (4, b"four"))}
+    kept = readers.file_assets(found, spark.createDataFrame([(1,), (4,), (5,), (9,)], "id int"))
+    assert {(r.id, r.length) for r in kept.collect()} == {("1", 3), ("4", 4)}
+    assert "content" not in plan_of(kept).replace("content#", "content") and "ReadSchema: struct<path:string,length:bigint>" in plan_of(kept)
+
+
+# -- table function -------------------------------------------------------------------------------
+
+
+def test_alignments_from_a_table_function_over_batches(spark):
+    rng = random.Random(12)
+    rows = [(rng.choice(["m", "n"]), i, "".join(rng.choices("abé ", k=rng.randint(0, 20))), "".join(rng.choices("abé ", k=rng.randint(0, 20)))) for i in range(300)] + [(None, 300, None, "x")]
+    df = spark.createDataFrame(rows, "model string, id long, reference string, prediction string").repartition(3)
+    df.createOrReplaceTempView("rows_to_align")
+    ch.register_batch_function(spark)
+    found = spark.sql("SELECT * FROM align_rows(TABLE(SELECT model, id, reference, prediction FROM rows_to_align) PARTITION BY model)")
+    assert sorted(map(str, found.collect())) == sorted(map(str, ch.alignments(df, "model", "id").collect()))
+    counts = spark.sql("SELECT model, ref_char, count(*) AS n FROM align_rows(TABLE(SELECT model, id, reference, prediction FROM rows_to_align) PARTITION BY model) WHERE ref_char <> '' GROUP BY ALL")
+    assert {tuple(r) for r in counts.collect()} == {tuple(r) for r in ch.count_confusions(df, "model").groupBy("model", "ref_char").agg(F.sum("n")).collect()}
