@@ -114,7 +114,8 @@ def header_split(text: Column) -> Column:
     return F.when(header != "", by_pattern).when(repeated, by_repeat).otherwise(F.array(text))
 
 
-def first_sentence_repair(text: Column, prefix: str) -> Column:
+def first_sentence_repair(text: Column, prefix: str | Column) -> Column:
     """If ``text`` begins with ``prefix`` twice and then " who": the prefix as a sentence, and the rest."""
-    double = F.startswith(text, F.lit(f"{prefix} {prefix} who"))
-    return F.when(double, F.array(F.lit(f"{prefix} ."), F.substr(text, F.lit(len(prefix) + 2)))).otherwise(F.array(text))
+    front = F.lit(prefix) if isinstance(prefix, str) else prefix
+    double = F.startswith(text, F.concat(front, F.lit(" "), front, F.lit(" who")))
+    return F.when(double, F.array(F.concat(front, F.lit(" .")), F.substr(text, F.length(front) + 2))).otherwise(F.array(text))

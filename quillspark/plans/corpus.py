@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
@@ -28,11 +27,7 @@ def file_lines(spark, sf):
     path = scratch_path(spark, "texts")
     texts = d.table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("text").write.text(path)
-    rows = lines.numbered_lines(spark, path)
-    # files are numbered on in the order of their names: a row a file
-    sizes = lines.split_counts(spark, path).groupBy("path").agg(F.sum("n").alias("n"))
-    before = sizes.select("path", F.coalesce(F.sum("n").over(W.orderBy("path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return rows.join(before, "path").select((F.col("before") + F.col("line_no")).alias("line_no"), F.md5("line").alias("line_md5"))
+    return lines.numbered_lines(spark, path, by_file=False).select("line_no", F.md5("line").alias("line_md5"))
 
 
 @query("""SELECT page_id::VARCHAR AS id, sha256(coalesce(html, '') || chr(10)) AS sha256, strlen(coalesce(html, '')) + 1 AS length FROM pages WHERE page_id IN (SELECT doc_id FROM documents)""")

@@ -50,10 +50,16 @@ def _counted(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "path string, split long, line string, k long")
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``path, line_no, line`` of every line of the text files at ``path``, numbered from 0 in each file. The table of splits
-    is joined as its size allows: beside the lines, or, where it is small, as a copy in each task."""
-    first = split_counts(spark, path).select(*_PLACE, "first")
+def numbered_lines(spark: SparkSession, path: str, by_file: bool = True) -> DataFrame:
+    """``path, line_no, line`` of every line of the text files at ``path``, numbered from 0 in each file, or over all files in
+    the order of their paths. The table of splits is joined as its size allows: beside the lines, or, where it is small, as a
+    copy in each task."""
+    first = split_counts(spark, path)
+    if not by_file:
+        sizes = first.groupBy("path").agg(F.sum("n").alias("_n"))  # a row a file
+        before = sizes.select("path", F.coalesce(F.sum("_n").over(W.orderBy("path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+        first = first.join(before, "path").withColumn("first", F.col("first") + F.col("_before"))
+    first = first.select(*_PLACE, "first")
     return _counted(_scan(spark, path)).join(first, _PLACE).select("path", (F.col("first") + F.col("k")).alias("line_no"), "line")
 
 
