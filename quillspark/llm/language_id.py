@@ -230,10 +230,10 @@ def _predict(languages: list[str], table: np.ndarray, path: str, kept: list[str]
 
 def identify(docs: DataFrame, path: str, sample_per_language: int = SAMPLE_PER_LANGUAGE, rounds: int = ROUNDS, keep: bool = False) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for every row of ``doc_id, text, lang``; with ``keep`` the other
-    input columns too (but for ones of these names)."""
+    input columns too (but for ones of these names, in any case)."""
     labelled = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     languages, table = learn(labelled.select("doc_id", "text", "lang"), path, sample_per_language, rounds)
-    names = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score")] if keep else ["doc_id"]
+    names = [c for c in docs.columns if c.lower() not in ("held_out", "lang_pred", "score")] if keep else ["doc_id"]
     source = docs.select(*names) if keep else docs.select("doc_id", "text")
     fields = [T.StructField(f.name, f.dataType, True) for f in docs.schema if f.name in names]
     out = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

@@ -80,3 +80,9 @@ def test_rows_without_letters(spark):
     assert got[7].lang_pred == "en" and 0.5 < got[7].score <= 1 and got[None].lang_pred in ("en", "fr")
     assert li.identify(df.limit(0), PATH).count() == 0
     assert {r.lang_pred for r in li.identify(df.withColumn("lang", df.lang.substr(9, 1)).na.replace("", None), PATH).collect()} == {"und"}
+
+
+def test_columns_that_clash_in_another_case(spark):
+    df = spark.createDataFrame([(1, "the cat", "en", 0.5, "x", 7), (2, "le chat", "fr", 0.5, "y", 8)], "doc_id long, text string, lang string, Score double, LANG_PRED string, extra int")
+    found = li.identify(df, PATH, keep=True)
+    assert found.columns == ["doc_id", "text", "lang", "extra", "held_out", "lang_pred", "score"] and found.count() == 2
