@@ -61,7 +61,7 @@ def quadratic_trend(rows: DataFrame, x: str, y: str, *by: str) -> DataFrame:
     centre = rows.groupBy(*by).agg(F.avg(x).alias("mid"))
     u = F.col(x) - F.col("mid")
     sums = {f"s{k}": F.sum(F.pow(u, F.lit(k))) for k in range(5)} | {f"t{k}": F.sum(F.col(y) * F.pow(u, F.lit(k))) for k in range(3)}
-    s = rows.join(F.broadcast(centre), list(by)).groupBy(*by, "mid").agg(*(e.alias(n) for n, e in sums.items()))  # one row per group
+    s = rows.join(centre, list(by)).groupBy(*by, "mid").agg(*(e.alias(n) for n, e in sums.items()))  # one row per group
     det = "(s4*(s2*s0-s1*s1) - s3*(s3*s0-s1*s2) + s2*(s3*s1-s2*s2))"
     a = f"(t2*(s2*s0-s1*s1) - s3*(t1*s0-s1*t0) + s2*(t1*s1-s2*t0)) / nullif({det}, 0)"
     b = f"(s4*(t1*s0-s1*t0) - t2*(s3*s0-s1*s2) + s2*(s3*t0-t1*s2)) / nullif({det}, 0)"

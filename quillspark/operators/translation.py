@@ -75,11 +75,16 @@ def _lengths(units: pa.Array) -> np.ndarray:
     return pc.fill_null(counts, 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _gram_stats(rows: DataFrame, key: str, sides: dict[str, int], lengths: bool) -> DataFrame:
+def _unspaced(text: Column) -> Column:
+    return F.replace(text, F.lit(" "), F.lit(""))
+
+
+def _gram_stats(rows: DataFrame, key: str, sides: dict[str, int], lengths: bool, others: tuple[str, ...] = ()) -> DataFrame:
     """``key`` and ``m1, h1, r1, m2, ...`` of rows that hold, for each name of ``sides``, its two sides as columns
-    ``name_h, name_r``; orders are numbered on from one name to the next. No row leaves its partition."""
+    ``name_h, name_r``; orders are numbered on from one name to the next, lengths are the last name's. ``others`` are
+    counts of the row that pass. No row leaves its partition."""
     orders = sum(sides.values())
-    names = [f"{c}{n}" for n in range(1, orders + 1) for c in "mhr"] + (["hyp_len", "ref_len"] if lengths else [])
+    names = [f"{c}{n}" for n in range(1, orders + 1) for c in "mhr"] + (["hyp_len", "ref_len"] if lengths else []) + list(others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,7 +102,8 @@ def _gram_stats(rows: DataFrame, key: str, sides: dict[str, int], lengths: bool)
             found += list(clipped_counts(*both, order).T)
         if lengths:
             found += [both[0][1], both[1][1]]
-        return pa.RecordBatch.from_arrays([part.column(key), *map(pa.array, found)], names=[key, *names])
+        found += [part.column(c).cast(pa.int64()) for c in others]
+        return pa.RecordBatch.from_arrays([part.column(key), *(x if isinstance(x, pa.Array) else pa.array(x) for x in found)], names=[key, *names])
 
     kind = dict(rows.dtypes)[key]
     return rows.mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{n} long" for n in names))
@@ -122,7 +128,7 @@ def _chrf_words(text: Column) -> Column:
 
 def chrf_stats(pairs: DataFrame, key: str = "id", word_order: int = 0) -> DataFrame:
     """Per pair: matches and totals of character grams, and of word grams up to ``word_order`` after them."""
-    units = {"chars": lambda text: F.replace(text, F.lit(" "), F.lit(""))} | ({"words": _chrf_words} if word_order else {})
+    units = {"chars": _unspaced} | ({"words": _chrf_words} if word_order else {})
     return _gram_stats(_sides(pairs, key, **units), key, {"chars": CHAR_ORDER, "words": word_order} if word_order else {"chars": CHAR_ORDER}, lengths=False)
 
 
@@ -163,11 +169,12 @@ def ter_of() -> Column:
 
 
 def corpus_scores(pairs: DataFrame, by: str) -> DataFrame:
-    """``by, bleu, chrf, ter`` per group of ``hypothesis, reference``, from summed statistics."""
-    bleu = add_up(bleu_stats(pairs, by), by).select(by, bleu_of().alias("bleu"))
-    chrf = add_up(chrf_stats(pairs, by), by).select(by, chrf_of().alias("chrf"))
-    ter = add_up(ter_stats(pairs, by), by).select(by, ter_of().alias("ter"))
-    return bleu.join(chrf, by).join(ter, by)
+    """``by, bleu, chrf, ter`` per group of ``hypothesis, reference``, from summed statistics. The rows are read once:
+    character grams, token grams and token edits of a row are counted together."""
+    sides = _sides(pairs, by, chars=_unspaced, tokens=tokens).withColumn("edits", token_distance("tokens_h", "tokens_r"))
+    sums = add_up(_gram_stats(sides, by, {"chars": CHAR_ORDER, "tokens": WORD_ORDER}, lengths=True, others=("edits",)), by)
+    done = sums.select(by, chrf_of().alias("chrf"), ter_of().alias("ter"), "hyp_len", "ref_len", *(F.col(f"{c}{CHAR_ORDER + n}").alias(f"{c}{n}") for n in range(1, WORD_ORDER + 1) for c in "mhr"))
+    return done.select(by, bleu_of().alias("bleu"), "chrf", "ter")
 
 
 def resamples(stats: DataFrame, key: str, n: int, *by: str) -> DataFrame:
