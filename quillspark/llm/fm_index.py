@@ -1,42 +1,101 @@
-"""A compressed FM-index over words: truncated suffix sort, wavelet matrix with packed bits, backward search."""
+"""A compressed FM-index over words: truncated suffix sort, Huffman-shaped wavelet matrix, backward search."""
 
 from __future__ import annotations
 
 import numpy as np
 
 
+def code_lengths(counts: np.ndarray) -> np.ndarray:
+    """Lengths of Huffman codes of symbols that occur so often; a symbol alone gets one bit."""
+    if len(counts) == 1:
+        return np.ones(1, np.int64)
+    leaves = np.argsort(counts, kind="stable")
+    weight = counts[leaves].tolist()
+    n, made = len(weight), []
+    parent = [0] * (2 * n - 1)
+    leaf = node = 0
+    for k in range(n, 2 * n - 1):  # the two lightest are the next of two rising queues: leaves and made nodes
+        total = 0
+        for _ in range(2):
+            if node >= len(made) or (leaf < n and weight[leaf] <= made[node]):
+                parent[leaf] = k
+                total += weight[leaf]
+                leaf += 1
+            else:
+                parent[n + node] = k
+                total += made[node]
+                node += 1
+        made.append(total)
+    depth = [0] * (2 * n - 1)
+    for k in reversed(range(2 * n - 2)):
+        depth[k] = depth[parent[k]] + 1
+    lengths = np.empty(n, np.int64)
+    lengths[leaves] = depth[:n]
+    return lengths
+
+
 class WaveletMatrix:
-    """Ranks over a sequence of small numbers, one packed bit row per level."""
+    """Ranks over a sequence of small numbers, compressed to about its zero-order entropy: bits are those of Huffman
+    codes, packed, one row a level, with a 32-bit rank for each 512 bits and a 16-bit one for each 64 between.
+
+    A level holds its nodes' zero children before their one children; codes that end there are given to its last
+    nodes, so that what goes on to the next level stays in one piece."""
 
     def __init__(self, sequence: np.ndarray):
-        self.levels = max(1, int(sequence.max(initial=0)).bit_length())
-        self.words, self.blocks, self.zeros = [], [], []
+        counts = np.bincount(sequence, minlength=1)
+        used = np.flatnonzero(counts)
+        lengths = code_lengths(counts[used]) if len(used) else np.empty(0, np.int64)
+        self.lengths = np.zeros(len(counts), np.uint8)
+        self.lengths[used] = lengths
+        self.levels = int(lengths.max(initial=0))
+        self.codes = np.zeros(len(counts), np.int64)  # first bit lowest
+        nodes = np.zeros(1, np.int64)
+        for level in range(self.levels):
+            nodes = np.concatenate([nodes, nodes | np.int64(1) << np.int64(level)])
+            ending = used[lengths == level + 1]
+            keep = len(nodes) - len(ending)
+            self.codes[ending], nodes = nodes[keep:], nodes[:keep]
+        self.words, self.supers, self.blocks, self.zeros = [], [], [], []
         now = sequence
-        for level in reversed(range(self.levels)):
-            bits = (now >> level & 1).astype(bool)
-            padded = np.zeros((len(bits) // 64 + 1) * 64, bool)
+        for level in range(self.levels):
+            bits = (self.codes[now] >> level & 1).astype(bool)
+            padded = np.zeros((len(bits) // 512 + 1) * 512, bool)
             padded[: len(bits)] = bits
             words = np.packbits(padded, bitorder="little").view("<u8")
+            ones = np.bitwise_count(words).reshape(-1, 8).astype(np.int32)
             self.words.append(words)
-            self.blocks.append(np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int32)])[:-1].astype(np.int32))
+            self.supers.append(np.concatenate([[0], np.cumsum(ones.sum(axis=1))])[:-1].astype(np.int32))
+            self.blocks.append((np.cumsum(ones, axis=1) - ones).astype(np.uint16).ravel())
             self.zeros.append(int(len(bits) - bits.sum()))
             now = np.concatenate([now[~bits], now[bits]])
+            now = now[self.lengths[now] > level + 1]
 
     def walk(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Where the prefix of length ``at`` ends in the last level's run of each symbol."""
+        """Where the prefix of length ``at`` ends in the run of each symbol, on the level where its code ends."""
+        out, live = at.copy(), np.flatnonzero(self.lengths[symbols])
+        codes, lengths, at = self.codes[symbols[live]], self.lengths[symbols[live]], at[live]
         for level in range(self.levels):
             word = at >> 6
-            ones = self.blocks[level][word] + np.bitwise_count(self.words[level][word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))).astype(np.int64)
-            up = (symbols >> (self.levels - 1 - level) & 1).astype(bool)
-            at = np.where(up, self.zeros[level] + ones, at - ones)
-        return at
+            below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+            ones = self.supers[level][at >> 9] + (self.blocks[level][word] + np.bitwise_count(self.words[level][word] & below)).astype(np.int64)
+            at = np.where(codes >> level & 1, self.zeros[level] + ones, at - ones)
+            ended = lengths == level + 1
+            out[live[ended]] = at[ended]
+            live, codes, lengths, at = live[~ended], codes[~ended], lengths[~ended], at[~ended]
+        return out
+
+    def nbytes(self) -> int:
+        """Bytes of the bit rows, their ranks and the codes."""
+        rows = sum(part.nbytes for each in (self.words, self.supers, self.blocks) for part in each)
+        return rows + self.codes.nbytes + self.lengths.nbytes
 
 
 class FmIndex:
     """Over texts of words, given one after the other (``flat``) with their lengths; patterns of up to
-    ``depth`` words."""
+    ``depth`` words. A text may stand for several places (``places``, one each if not given): the places of the
+    suffixes are summed up beside the index, so that an interval tells how often a pattern occurs in all."""
 
-    def __init__(self, flat: np.ndarray, lengths: np.ndarray, depth: int):
+    def __init__(self, flat: np.ndarray, lengths: np.ndarray, depth: int, places: np.ndarray | None = None):
         _, codes = np.unique(flat, return_inverse=True)
         self.starts = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]
         self.codes = np.zeros(int(lengths.sum() + len(lengths)), np.int32)  # 0 ends each text
@@ -46,6 +105,8 @@ class FmIndex:
         self.n = len(self.codes)
         order = self._suffixes(depth)
         self.matrix = WaveletMatrix(self.codes[order - 1])
+        each = np.ones(len(lengths), np.int64) if places is None else places
+        self.places = np.concatenate([[0], np.cumsum(np.repeat(each, lengths + 1)[order])])
         symbols = np.arange(int(self.codes.max(initial=0)) + 1)
         before = np.concatenate([[0], np.cumsum(np.bincount(self.codes, minlength=len(symbols)))])[:-1]
         self.base = before - self.matrix.walk(symbols, np.zeros(len(symbols), np.int64))
@@ -70,6 +131,10 @@ class FmIndex:
         both = self.matrix.walk(np.concatenate([symbols, symbols]), np.concatenate([low, high]))
         return self.base[symbols] + both[: len(low)], self.base[symbols] + both[len(low) :]
 
+    def occurrences(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Places at which the pattern of each interval occurs."""
+        return self.places[np.maximum(high, low)] - self.places[low]
+
 
 def repeated_windows(index: FmIndex, texts: np.ndarray, lengths: np.ndarray, window: int) -> np.ndarray:
     """Per text (numbers into the index) a bit mask of the windows that occur at two places or more.
@@ -85,7 +150,7 @@ def repeated_windows(index: FmIndex, texts: np.ndarray, lengths: np.ndarray, win
     run = np.zeros(len(texts), np.int64)  # length of the run tried from ``stop``; 0 while searching
     while len(at):
         low[at], high[at] = index.extend(index.codes[origin[at] + place[at]], low[at], high[at])
-        twice = high[at] - low[at] >= 2
+        twice = index.occurrences(low[at], high[at]) >= 2
         place[at] -= twice
         trying = run[at] > 0
         done = ~twice | (place[at] < np.where(trying, stop[at], 0))

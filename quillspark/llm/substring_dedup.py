@@ -3,14 +3,14 @@
 Every window of ``WINDOW`` words has one minimizer (its least hash of ``GRAM`` words, the leftmost on ties),
 so equal windows share it. Consecutive windows of a document with the same minimizer are a region; regions
 are dealt to shards by minimizer, which sends all places of a window to one shard and lets each document be
-searched in the shards of its own regions only. A region whose minimizer occurs once holds no repeat; one
-whose whole content occurs twice is all repeats. For the others, each distinct content is indexed once: a
-shard builds an FM-index over its contents and streams them through backward search, reporting the windows
-that occur at two places or more.
+searched in the shards of its own regions only. A region whose minimizer occurs once holds no repeat. Of all others
+each distinct content is indexed once, with the number of its places: a shard builds an FM-index over its contents, sums
+their places up in the order of suffixes, and streams the contents through backward search, reporting the windows of
+which an interval holds two places or more. Whatever is removed was found there.
 
 A minimizer with more than ``CROWD`` distinct contents (a passage in very many surroundings) does not fit a shard:
-its contents are cut into their windows, which are dealt on by a hash of the window and searched in shards as
-contents of one window each, so that no shard grows with a passage's frequency.
+its contents are cut into their windows, and each distinct window, with the number of its places, is indexed and searched
+in a shard dealt by a hash of the window, so that no shard grows with a passage's frequency.
 
 Words are runs without space and 0x09 to 0x0D, compared unchanged. Defined results: a null text has no words;
 windows repeat across rows and within one row; repeated rows repeat each other; texts shorter than a window
@@ -151,13 +151,12 @@ def _content_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _search_shard(frame: pd.DataFrame) -> pd.DataFrame:
-    """Masks of repeated windows of the shard's contents that occur once themselves."""
+    """Masks of repeated windows of the shard's contents, each of which stands for ``n`` places."""
     parts = [np.frombuffer(w, np.uint64) for w in frame["words"]]
     lengths = np.array([len(p) for p in parts])
-    index = FmIndex(np.concatenate(parts), lengths, 2 * WINDOW - GRAM + 1)
-    once = np.flatnonzero(frame["n"].to_numpy() == 1)
-    masks = repeated_windows(index, once, lengths[once], WINDOW)
-    return frame.iloc[once][["minimizer", "content"]].assign(mask=masks)
+    index = FmIndex(np.concatenate(parts), lengths, 2 * WINDOW - GRAM + 1, frame["n"].to_numpy())
+    masks = repeated_windows(index, np.arange(len(parts)), lengths, WINDOW)
+    return frame[["minimizer", "content"]].assign(mask=masks)
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,8 +207,8 @@ def _contents_with_words(source: DataFrame, contents: DataFrame) -> DataFrame:
 
 
 def _searched(contents: DataFrame, deal: str, shard: int) -> DataFrame:
-    """``minimizer, content, mask`` of contents (``minimizer, content, n, words``) that occur once, from shards dealt
-    by the column ``deal``."""
+    """``minimizer, content, mask`` of contents (``minimizer, content, n, words``), from shards dealt by the column
+    ``deal``."""
     n_shards = -(-contents.count() // shard) or 1
     shards = contents.select("minimizer", "content", "n", "words", F.pmod(F.xxhash64(deal), F.lit(n_shards)).alias("shard"))
     return shards.groupBy("shard").applyInPandas(lambda frame: _search_shard(frame), "minimizer long, content long, mask long")
@@ -220,21 +219,19 @@ def _crowd_masks(words: DataFrame, shard: int) -> DataFrame:
     places = scratch_table(words.mapInArrow(_window_rows, "minimizer long, content long, n long, place long, h1 long, h2 long, words binary"), "windows")
     windows = places.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.first("words").alias("words"))
     windows = scratch_table(windows.select(F.col("h1").alias("minimizer"), F.col("h2").alias("content"), "n", "words"), "distinct-windows")
-    again = windows.where("n > 1").select("minimizer", "content")
-    again = again.union(_searched(windows, "minimizer", shard).where("mask <> 0").select("minimizer", "content"))
-    again = scratch_table(again.toDF("h1", "h2"), "repeated-windows")
-    hit = places.where("n = 1").select("minimizer", "content", "place", "h1", "h2").join(again, ["h1", "h2"])
+    again = _searched(windows, "minimizer", shard).where("mask <> 0").select(F.col("minimizer").alias("h1"), F.col("content").alias("h2"))
+    hit = places.select("minimizer", "content", "place", "h1", "h2").join(scratch_table(again, "repeated-windows"), ["h1", "h2"])
     return hit.groupBy("minimizer", "content").agg(F.expr("bit_or(shiftleft(1L, cast(place as int)))").alias("mask"))
 
 
 def repeated_hits(source: DataFrame, shard: int = SHARD, crowd: int = CROWD) -> DataFrame:
     """``id, print, first, windows, mask``: regions with repeated windows, of ``id, print, text`` rows."""
     found = scratch_table(source.mapInArrow(_region_rows, REGION), "regions")
-    counts = found.groupBy("minimizer").agg(F.count("*").alias("places"), F.min("content").alias("least"), F.max("content").alias("most")).where("places > 1")
+    counts = found.groupBy("minimizer").agg(F.count("*").alias("places")).where("places > 1")
     # as a written table the counts are dealt anew for the join, so that a frequent minimizer's rows can be split
-    counts = scratch_table(counts.select("minimizer", (F.col("least") == F.col("most")).alias("alike")), "minimizers")
+    counts = scratch_table(counts.select("minimizer"), "minimizers")
     found = scratch_table(found.join(counts, "minimizer"), "shared-regions")
-    contents = found.where("not alike").groupBy("minimizer", "content").agg(F.count("*").alias("n"), F.min(F.struct("id", "print", "first", "windows")).alias("place"))
+    contents = found.groupBy("minimizer", "content").agg(F.count("*").alias("n"), F.min(F.struct("id", "print", "first", "windows")).alias("place"))
     contents = scratch_table(contents, "contents")
     # the same content may be cut out of equal rows more than once
     words = scratch_table(_contents_with_words(source, contents).dropDuplicates(["minimizer", "content"]), "content-words")
@@ -243,10 +240,7 @@ def repeated_hits(source: DataFrame, shard: int = SHARD, crowd: int = CROWD) ->
     if crowded.count():
         masks = masks.unionByName(_crowd_masks(words.join(crowded, "minimizer", "left_semi"), shard))
     masks = scratch_table(masks.where("mask <> 0"), "masks")
-    whole = found.where("alike").select("id", "print", "first", "windows", F.lit(-1).cast("long").alias("mask"))
-    copies = contents.where("n > 1").select("minimizer", "content", F.lit(-1).cast("long").alias("mask"))
-    marked = found.where("not alike").join(masks.unionByName(copies), ["minimizer", "content"]).select("id", "print", "first", "windows", "mask")
-    return whole.unionByName(marked)
+    return found.join(masks, ["minimizer", "content"]).select("id", "print", "first", "windows", "mask")
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shard: int = SHARD, crowd: int = CROWD) -> DataFrame:

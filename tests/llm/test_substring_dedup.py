@@ -7,9 +7,10 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.llm import substring_dedup as s
-from quillspark.llm.fm_index import FmIndex, repeated_windows
+from quillspark.llm.fm_index import FmIndex, WaveletMatrix, repeated_windows
 
 
 def split(text):
@@ -38,11 +39,33 @@ def test_backward_search_finds_repeated_windows():
             if rng.random() < 0.6:
                 text[rng.integers(0, size)] = rng.integers(0, 40)
             texts.append(text)
-        masks = repeated_windows(FmIndex(np.concatenate(texts).astype(np.uint64), lengths, 64), np.arange(n), lengths, w)
-        seen = Counter(tuple(t[i : i + w]) for t in texts for i in range(len(t) - w + 1))
+        places = rng.choice([1, 1, 1, 2, 3], n)
+        masks = repeated_windows(FmIndex(np.concatenate(texts).astype(np.uint64), lengths, 64, places), np.arange(n), lengths, w)
+        seen = Counter(tuple(t[i : i + w]) for t, k in zip(texts, places, strict=True) for i in range(len(t) - w + 1) for _ in range(k))
         assert masks.tolist() == [sum(1 << i for i in range(len(t) - w + 1) if seen[tuple(t[i : i + w])] > 1) for t in texts]
 
 
+@pytest.mark.parametrize("symbols", [1, 2, 3, 40, 3000])
+def test_compressed_ranks_equal_counts(symbols):
+    rng = np.random.default_rng(symbols)
+    sequence = np.minimum(rng.geometric(0.02, 5000) - 1, symbols - 1)
+    sequence[:symbols] = np.arange(symbols)
+    matrix = WaveletMatrix(sequence)
+    asked, at = rng.integers(0, symbols, 800), rng.integers(0, 5001, 800)
+    got = matrix.walk(asked, at) - matrix.walk(asked, np.zeros(800, np.int64))
+    assert got.tolist() == [int((sequence[:a] == s).sum()) for s, a in zip(asked, at, strict=True)]
+    counts = np.bincount(sequence)
+    entropy = float(-(counts / 5000 * np.log2(counts / 5000)).sum())
+    assert matrix.lengths[sequence].astype(int).sum() <= 5000 * max(1, entropy + 1)
+
+
+def test_every_hit_is_found_by_the_index(spark, monkeypatch):
+    monkeypatch.setattr(s, "_searched", lambda contents, deal, shard: contents.select("minimizer", "content", F.lit(0).cast("long").alias("mask")))
+    text = " ".join(f"w{i}" for i in range(80))
+    df = spark.createDataFrame([(1, text), (2, text), (3, "x " + text)], "id long, text string").withColumn("print", F.lit(0).cast("long"))
+    assert s.repeated_hits(df).count() == 0 and s.repeated_hits(df, crowd=0).count() == 0
+
+
 def test_words_hash_alike_wherever_they_stand():
     texts = ["", "  ab é ab\n", None, "x" * 70000 + " ab", "é"]
     hashes, bounds = s.word_hashes(pa.array(texts))
