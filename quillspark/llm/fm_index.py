@@ -71,17 +71,20 @@ class WaveletMatrix:
             now = now[self.lengths[now] > level + 1]
 
     def walk(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Where the prefix of length ``at`` ends in the run of each symbol, on the level where its code ends."""
-        out, live = at.copy(), np.flatnonzero(self.lengths[symbols])
-        codes, lengths, at = self.codes[symbols[live]], self.lengths[symbols[live]], at[live]
-        for level in range(self.levels):
-            word = at >> 6
-            below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-            ones = self.supers[level][at >> 9] + (self.blocks[level][word] + np.bitwise_count(self.words[level][word] & below)).astype(np.int64)
-            at = np.where(codes >> level & 1, self.zeros[level] + ones, at - ones)
-            ended = lengths == level + 1
-            out[live[ended]] = at[ended]
-            live, codes, lengths, at = live[~ended], codes[~ended], lengths[~ended], at[~ended]
+        """Where the prefix of length ``at`` ends in the run of each symbol, on the level where its code ends; ``at``
+        may have several rows."""
+        lengths = self.lengths[symbols]
+        order = np.argsort(lengths, kind="stable")[::-1]  # longest codes first: each level takes a leading part
+        codes, at = self.codes[symbols[order]], at[..., order]
+        left = len(symbols) - np.cumsum(np.bincount(lengths, minlength=self.levels + 1))
+        for level, n in enumerate(left[:-1].tolist()):
+            now = at[..., :n]
+            word = now >> 6
+            below = (np.uint64(1) << (now & 63).astype(np.uint64)) - np.uint64(1)
+            ones = self.supers[level][now >> 9] + (self.blocks[level][word] + np.bitwise_count(self.words[level][word] & below)).astype(np.int64)
+            at[..., :n] = np.where(codes[:n] >> level & 1, self.zeros[level] + ones, now - ones)
+        out = np.empty_like(at)
+        out[..., order] = at
         return out
 
     def nbytes(self) -> int:
@@ -128,8 +131,8 @@ class FmIndex:
 
     def extend(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One step of backward search: the interval of each pattern with ``symbols`` put in front."""
-        both = self.matrix.walk(np.concatenate([symbols, symbols]), np.concatenate([low, high]))
-        return self.base[symbols] + both[: len(low)], self.base[symbols] + both[len(low) :]
+        low, high = self.base[symbols] + self.matrix.walk(symbols, np.stack([low, high]))
+        return low, high
 
     def occurrences(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Places at which the pattern of each interval occurs."""
@@ -148,7 +151,9 @@ def repeated_windows(index: FmIndex, texts: np.ndarray, lengths: np.ndarray, win
     place, stop = end.copy(), np.full(len(texts), -1)
     low, high = np.zeros(len(texts), np.int64), np.full(len(texts), index.n)
     run = np.zeros(len(texts), np.int64)  # length of the run tried from ``stop``; 0 while searching
-    while len(at):
+    for _ in range(2 * int(lengths.max(initial=0))):
+        if not len(at):
+            return masks
         low[at], high[at] = index.extend(index.codes[origin[at] + place[at]], low[at], high[at])
         twice = index.occurrences(low[at], high[at]) >= 2
         place[at] -= twice
@@ -174,4 +179,14 @@ def repeated_windows(index: FmIndex, texts: np.ndarray, lengths: np.ndarray, win
         low[again], high[again] = 0, index.n
         ended = (stop < 0) & (run > 0) | (end < window - 1)
         at = at[~ended[at]]
+    # windows that end after ``end`` are decided
+    open_windows = end[at] - window + 2
+    text = np.repeat(at, open_windows)
+    first = np.arange(len(text)) - np.repeat(np.cumsum(open_windows) - open_windows, open_windows)
+    low, high = np.zeros(len(text), np.int64), np.full(len(text), index.n)
+    for step in reversed(range(window)):
+        low, high = index.extend(index.codes[origin[text] + first + step], low, high)
+        twice = index.occurrences(low, high) >= 2
+        text, first, low, high = text[twice], first[twice], low[twice], high[twice]
+    np.bitwise_or.at(masks, text, np.int64(1) << first)
     return masks
