@@ -1,7 +1,8 @@
 """BPE encoding and decoding by tree concatenation (operator 3).
 
 A text of ``long_text`` characters or more is cut every ``chunk`` characters, wherever that falls; the chunks are
-encoded in parallel, each on its own, and neighbours are then joined pairwise, level by level. Where a cut fell
+encoded in parallel, each on its own, and neighbours are then joined level by level: a task of a level joins at most
+``fan`` neighbouring parts, pairwise, and what it makes is one part of the next level. Where a cut fell
 inside a word, a window of tokens on both sides of the join is re-encoded and grown until its outer tokens equal
 those it replaces; since BPE by merge ranks is decided by pairs of neighbouring tokens, the joined sequence is
 then the library's own. Words end where the library's pre-tokenizer ends them, so no window leaves its word.
@@ -18,7 +19,7 @@ import json
 import os
 import re
 from collections.abc import Callable, Iterator
-from functools import cached_property
+from functools import cached_property, reduce
 from itertools import chain, groupby
 
 import numpy as np
@@ -28,10 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from quillspark.llm.common import slices
+from quillspark.llm.common import scratch_table, slices
 from quillspark.llm.token_counts import BLANKS, LETTERS, NUMBERS, settled, special_strings
 
 LONG_TEXT, CHUNK = 16_384, 4096
+#: Neighbouring parts that one task of a level joins.
+FAN = 64
 #: Distinct words remembered per Python worker.
 MEMO = 100_000
 WORD_PATTERN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{BLANKS}{LETTERS}{NUMBERS}]+")
@@ -178,7 +181,8 @@ def _encode(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     return run
 
 
-PARTS = "row long, doc_id long, part int, text string, kind int"
+PARTS = "row long, doc_id long, part int, n_parts int, text string, kind int"
+ENCODED = "row long, doc_id long, part int, n_parts int, kind int, tokens array<int>"
 #: Kinds of parts: one that ends with a word's end, one that ends inside a word, a special token's number.
 CLOSED, OPEN, SPECIAL = range(3)
 
@@ -211,7 +215,7 @@ def _parts(path: str, chunk: int) -> Callable[[Iterator[pd.DataFrame]], Iterator
         for frame in frames:
             for row, doc_id, text in zip(frame["row"], frame["doc_id"], frame["text"], strict=True):
                 parts = list(cut(bpe.pieces(text), chunk))
-                yield pd.DataFrame({"row": row, "doc_id": doc_id, "part": range(len(parts)), "text": [t for t, _ in parts], "kind": [k for _, k in parts]}).astype({"doc_id": "Int64"})
+                yield pd.DataFrame({"row": row, "doc_id": doc_id, "part": range(len(parts)), "n_parts": len(parts), "text": [t for t, _ in parts], "kind": [k for _, k in parts]}).astype({"doc_id": "Int64"})
 
     return run
 
@@ -228,24 +232,55 @@ def _encode_parts(path: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.D
             new = list({w for words in parts for w in words if w not in known})
             known.update(zip(new, bpe.encode_words(new), strict=True))
             tokens = [[int(t)] if k == SPECIAL else list(chain.from_iterable(map(known.__getitem__, words))) + bpe.encode_chunk(bpe.mapped(tail), False) for t, k, words, tail in zip(frame["text"], frame["kind"], parts, tails, strict=True)]
-            yield frame[["row", "doc_id", "part", "kind"]].assign(tokens=tokens)
+            yield frame[["row", "doc_id", "part", "n_parts", "kind"]].assign(tokens=tokens)
 
     return run
 
 
-def _join_row(path: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _join_parts(path: str, fan: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Neighbouring parts of a row as one part of the next level; it ends as its last part does."""
+
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        bpe = load(path)
         frame = frame.sort_values("part")
-        ids = bpe.join_all([(t.tolist(), k == OPEN) for t, k in zip(frame["tokens"], frame["kind"], strict=True)])
-        out = pd.DataFrame({"doc_id": [frame["doc_id"].iloc[0]], "n_tokens": [len(ids)], "ids": [" ".join(map(bpe.numerals.__getitem__, ids))], "decoded": [" ".join(map(bpe.names.__getitem__, ids))]})
-        return out.astype({"doc_id": "Int64"})
+        tokens = load(path).join_all([(t.tolist(), k == OPEN) for t, k in zip(frame["tokens"], frame["kind"], strict=True)])
+        last = frame.iloc[[-1]][["row", "doc_id", "part", "n_parts", "kind"]]
+        return last.assign(part=last["part"] // fan, n_parts=-(-last["n_parts"] // fan), tokens=[tokens]).astype({"doc_id": "Int64"})
 
     return run
 
 
-def encode_decode(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", long_text: int = LONG_TEXT, chunk: int = CHUNK) -> DataFrame:
+def _spell(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(path)
+        for batch in batches:
+            for i in range(batch.num_rows):  # long texts: a batch each
+                found = batch.column("tokens")[i].as_py()
+                made = [pa.array([len(found)], pa.int64()), *(pa.array([" ".join(map(of.__getitem__, found))], pa.string()) for of in (bpe.numerals, bpe.names))]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, 1), *made], names=["doc_id", "n_tokens", "ids", "decoded"])
+
+    return run
+
+
+def joined_rows(parts: DataFrame, tokenizer_path: str, fan: int = FAN) -> DataFrame:
+    """``doc_id, n_tokens, ids, decoded`` from encoded parts, a written table of ``ENCODED``.
+
+    Each level is a shuffle of the rows that still have parts, and is written: a row of few parts is done after one
+    level and moves no more, and a lost executor costs tasks of one level."""
+    most = parts.agg(F.max("n_parts")).first()[0] or 0
+    done = [parts.where("n_parts = 1")]
+    while most > 1:
+        groups = parts.where("n_parts > 1").groupBy("row", F.floor(F.col("part") / fan).alias("group"))
+        parts = scratch_table(groups.applyInPandas(_join_parts(tokenizer_path, fan), ENCODED), "bpe-level")
+        done.append(parts.where("n_parts = 1"))
+        most = -(-most // fan)
+    whole = reduce(DataFrame.unionByName, done)
+    return whole.select("doc_id", "tokens").mapInArrow(_spell(tokenizer_path), SCHEMA)
+
+
+def encode_decode(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", long_text: int = LONG_TEXT, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """``doc_id, n_tokens, ids, decoded`` for every row; see the module for the two ways."""
+    if fan < 2:
+        raise ValueError("a level joins two parts or more")
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     long = F.coalesce(F.length("text") >= long_text, F.lit(False))
     usual = source.where(~long).mapInArrow(_encode(tokenizer_path), SCHEMA)
@@ -254,6 +289,6 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id",
         .withColumn("row", F.monotonically_increasing_id())
         .mapInPandas(_parts(tokenizer_path, chunk), PARTS)
         .repartition("row", "part")
-        .mapInPandas(_encode_parts(tokenizer_path), "row long, doc_id long, part int, kind int, tokens array<int>")
+        .mapInPandas(_encode_parts(tokenizer_path), ENCODED)
     )
-    return usual.unionByName(parts.groupBy("row").applyInPandas(_join_row(tokenizer_path), SCHEMA))
+    return usual.unionByName(joined_rows(scratch_table(parts, "bpe-parts"), tokenizer_path, fan))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,8 +24,31 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/scratch-{spark.sparkContext.applicationId}"
 
 
+#: The part of the scratch folder that new tables go to; see ``scratch_scope``.
+_scope: ContextVar[str] = ContextVar("scope", default="")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_dir(spark)}{_scope.get()}/{name}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of the shared file system, if it is there."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables made inside are deleted at the end, also after a failure. What reads them must be written before,
+    to a path taken outside."""
+    inner = f"{_scope.get()}/scope-{uuid.uuid4().hex}"
+    before = _scope.set(inner)
+    try:
+        yield
+    finally:
+        _scope.reset(before)
+        delete(spark, scratch_dir(spark) + inner)
 
 
 def scratch_table(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
@@ -50,8 +75,7 @@ def scratch_buckets(df: DataFrame, name: str, buckets: int, key: str) -> DataFra
 def remove_scratch(spark: SparkSession) -> None:
     """Delete all that this application's ``scratch_table`` calls have written. Results that still read it must be
     written before."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    delete(spark, scratch_dir(spark))
 
 
 def fresh(columns: Iterable[str], *names: str) -> list[str]:

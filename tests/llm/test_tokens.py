@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -80,3 +82,29 @@ def test_words_agree_with_the_library_on_latin_text():
         assert split(text) == [text[a:b] for _, (a, b) in library.pre_tokenize_str(text)]
         plain = bpe.library.normalizer.normalize_str(text)
         assert bpe.words(text) == [plain[a:b] for _, (a, b) in bpe.library.pre_tokenizer.pre_tokenize_str(plain)]
+
+
+@pytest.mark.parametrize("fan", [2, 3, 64])
+def test_levels_of_few_parts_a_task_equal_the_library(spark, fan):
+    library, rng = Tokenizer.from_file(WORD), random.Random(4)
+    texts = [*TEXTS, "x" * 60_000, "".join(rng.choices("theinadr's é人 ", k=30_000)), "<|endoftext|>" * 40 + "tail", "z" * 64]
+    got = bpe_tree.encode_decode(rows(spark, texts), WORD, long_text=64, chunk=500, fan=fan).select("n_tokens", "ids").collect()
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert sorted((r.n_tokens, r.ids) for r in got) == sorted((len(ids), " ".join(map(str, ids))) for ids in want)
+
+
+def test_a_level_joins_no_more_parts_than_its_fan(spark):
+    """A text of 300 parts by fours: 75, 19, 5, 2 and 1 parts; a row of one part moves no more."""
+    made = bpe_tree._join_parts(WORD, 4)
+    bpe = bpe_tree.load(WORD)
+    parts = list(bpe_tree.cut(bpe.pieces("ab" * 15_000), 100))
+    frame = next(bpe_tree._encode_parts(WORD)(iter([pd.DataFrame({"row": 1, "doc_id": 1, "part": range(len(parts)), "n_parts": len(parts), "text": [t for t, _ in parts], "kind": [k for _, k in parts]})])))
+    frame["tokens"] = frame["tokens"].map(np.array)
+    sizes = []
+    while len(frame) > 1:
+        frame = pd.concat([made(part) for _, part in frame.groupby(frame["part"] // 4)], ignore_index=True)
+        assert set(frame["n_parts"]) == {len(frame)} and list(frame["part"]) == list(range(len(frame)))
+        sizes.append(len(frame))
+        frame["tokens"] = frame["tokens"].map(np.array)
+    assert sizes == [75, 19, 5, 2, 1]
+    assert frame["tokens"][0].tolist() == bpe.encode_words(["ab" * 15_000])[0]
