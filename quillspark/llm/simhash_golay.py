@@ -319,7 +319,7 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
 #: Word-set prints that give keys, and 64-bit words of the shingle-set print that pre-selects.
 KEY_PRINTS, PROOF_WORDS = 8, 8
 LEAST_ID = -(1 << 63)
-#: Standard errors by which a print may be off, and the least set that prints are asked about at all.
+#: Standard errors by which a print may be off (the default), and the least set that prints are asked about at all.
 MARGIN, LEAST_PRINTED = 6, 64
 #: Documents sampled for shingles that are frequent, and how many of these are told to the workers.
 SAMPLE_DOCS, MOST_FREQUENT = 8_000, 1 << 16
@@ -415,10 +415,10 @@ def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = np.zeros((len(flat), 8), np.uint8)
         keys[:, :KEY_BYTES] = flat
         sizes = [len(x) // KEY_BYTES for x in prefixes]
-        named = [pa.array(np.repeat(batch.column(c).to_numpy(), sizes)) for c in ("node", "root")]
+        named = [pa.array(np.repeat(batch.column(c).to_numpy(), sizes)) for c in ("node", "root", "size")]
         place = np.arange(len(flat)) - np.repeat(np.cumsum([0, *sizes])[:-1], sizes)
         columns = [pa.array(keys.view(np.int64)[:, 0]), *named, pa.array(place.astype(np.int32))]
-        yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "root", "place"]).filter(_first_of_each(keys.view(np.int64)[:, 0], sizes))
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "root", "size", "place"]).filter(_first_of_each(keys.view(np.int64)[:, 0], sizes))
 
 
 def _first_of_each(keys: np.ndarray, sizes: list[int]) -> pa.Array:
@@ -442,14 +442,14 @@ def bits_apart(similarity: float) -> int:
     return round(64 * PROOF_WORDS * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
-def _open_pairs(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _open_pairs(similarity: float, margin: float | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows come sorted by block: (key, i, j, node, root, n, place, print). All pairs of different roots that
-    their sizes, the places of the key and, with a margin, their prints allow to be alike.
+    their sizes, the places of the key and, unless ``margin`` is None, their prints allow to be alike.
 
     Sets alike meet in the first shingle that both hold, and there nothing before counts: what is left from it on
     in either set must be as many as sets alike share. Sets that pass a meeting further on have met before."""
     mean = bits_apart(similarity)
-    most = mean + MARGIN * math.sqrt(mean * (1 - mean / (64 * PROOF_WORDS)))
+    most = math.inf if margin is None else mean + margin * math.sqrt(mean * (1 - mean / (64 * PROOF_WORDS)))
 
     def within(nodes: np.ndarray, roots: np.ndarray, sizes: np.ndarray, places: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
         left = sizes - places
@@ -519,20 +519,32 @@ def verified(pairs: DataFrame, nodes: DataFrame, source: DataFrame, shingle: int
     return scratch_table(both.mapInArrow(_alike(similarity), "a long, b long"), "verified")
 
 
+def _by_size(rows: DataFrame, block: int, similarity: float) -> DataFrame:
+    """``key, node, n, place`` of rows that also hold ``size``: a key of more than ``block`` nodes becomes a key for each
+    band of sizes. Sets alike lie in one band or in neighbouring ones, so that each set goes to its own band and the next,
+    and a frequent shingle pairs no sets that their sizes tell apart."""
+    few = rows.where(F.col("n") <= block).select("key", "node", "n", "place")
+    band = F.floor(F.log("size") / (1e-9 - math.log(similarity)))
+    many = rows.where(F.col("n") > block).select("key", "node", "place", F.explode(F.array(band, band + 1)).alias("band"))
+    many = scratch_table(many.select(F.xxhash64("key", "band").alias("key"), "node", "place"), "size-bands")
+    sizes = scratch_table(many.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "band-sizes")
+    return few.unionByName(many.join(_bounded(sizes), "key").select("key", "node", "n", "place"))
+
+
 def _rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
     found = nodes.join(_bounded(scratch_table(connected_components(links), "roots")), "node", "left")
     return found.withColumn("root", F.coalesce("root", "node"))
 
 
-def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, seed: int = 42, block: int = BLOCK) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, seed: int = 42, block: int = BLOCK, margin: float | None = MARGIN) -> DataFrame:
     """``id, class_id`` for every row: documents linked by a similarity of their sets of ``shingle``-word runs.
 
     Every link is verified: the Jaccard similarity is counted on the sets. Large groups of copies are joined
     first: ``KEY_PRINTS`` fingerprints of the word sets give Golay keys with an excess of one bit, and a 512-bit
     SimHash of the run sets picks a forest of likely links in each block. Then all other pairs are found by an
     exact prefix filter (sets alike share one of their first shingles, frequent ones ordered last): pairs of
-    different classes that sizes, places of the shared shingle and prints, with a margin of ``MARGIN`` standard
-    errors, do not rule out. ``id`` is ``doc_id`` with null as the least number; ``class_id`` is the least id of the class."""
+    different classes that sizes, places of the shared shingle and prints, with a margin of ``margin`` standard
+    errors (None: prints rule out nothing), do not rule out. ``id`` is ``doc_id`` with null as the least number; ``class_id`` is the least id of the class."""
     source = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LEAST_ID)).alias("id"), F.col(text).cast("string").alias("text"))
     made = source.mapInArrow(_sketch_rows(shingle, seed, similarity, frequent_shingles(source, shingle, seed)), "id long, node long, n long, words binary, print binary, prefix binary")
     sketches = scratch_table(made, "sketches")
@@ -544,13 +556,14 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     links = verified(_block_links(rows, bits_apart(similarity)), nodes, source, shingle, similarity, seed)
     # all other pairs: keys that nodes of different roots share
     rooted = _rooted(nodes, links)
-    keys = rooted.select("node", "root", "prefix").mapInArrow(_prefix_rows, "key long, node long, root long, place int")
+    keys = rooted.select("node", "root", F.col("n").alias("size"), "prefix").mapInArrow(_prefix_rows, "key long, node long, root long, size long, place int")
+    keys = scratch_table(keys, "prefix-keys")
     mixed = keys.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x <> y")
     mixed = scratch_table(mixed.select("key", "n"), "mixed-keys")
-    rows = scratch_table(keys.select("key", "node", "place").join(_bounded(mixed), "key"), "prefix-rows")
-    rows = _dealt(rows, block, "place").join(rooted.select("node", "root", "n", "print"), "node")
+    rows = scratch_table(keys.select("key", "node", "size", "place").join(_bounded(mixed), "key"), "prefix-rows")
+    rows = _dealt(_by_size(rows, block, similarity), block, "place").join(rooted.select("node", "root", "n", "print"), "node")
     rows = rows.select("key", "i", "j", "node", "root", "n", "place", "print").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-    pairs = rows.mapInArrow(_open_pairs(similarity), "a long, b long").distinct()
+    pairs = rows.mapInArrow(_open_pairs(similarity, margin), "a long, b long").distinct()
     links = links.union(verified(pairs, nodes, source, shingle, similarity, seed))
     rooted = _rooted(nodes.select("node", "least_id"), links)
     classes = rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("class_id")), "root").select("node", "class_id")

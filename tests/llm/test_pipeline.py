@@ -94,3 +94,26 @@ def test_recall_on_the_given_table(spark):
     for group in members.values():
         for d in group if len(group) > 1 else ():
             assert any(alike(d, other) for other in group if other != d)
+
+
+def test_frequent_shingles_split_by_size_lose_no_link(spark):
+    """Blocks of four: nearly every key is split into bands of sizes; without a margin all pairs are counted."""
+    rng = random.Random(21)
+    common = [f"c{i}" for i in range(40)]
+    rows = []
+    for k in range(120):
+        words = common[: rng.randint(5, 40)] + [f"w{k}_{i}" for i in range(rng.randint(0, 60))]
+        rows.append(" ".join(words))
+        rows.append(" ".join(words[: rng.randint(len(words) * 3 // 4, len(words))]))
+    sets = [shingles(x) for x in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if root[i] != root[j] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    assert 20 < len(set(root)) < 220
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    for options in ({"block": 4}, {"block": 4, "margin": None}):
+        got = {r.id: r.class_id for r in g.near_duplicate_classes(df, **options).collect()}
+        assert [got[i] for i in range(len(rows))] == root
