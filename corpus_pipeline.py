@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import bpe_tree, decontamination, language_id, line_dedup, simhash_golay
-from quillspark.llm.common import fresh, scratch_table
+from quillspark.llm.common import delete, fresh, scratch_path, scratch_scope
 
 #: Documents whose language has a lesser posterior are rejected.
 LEAST_SCORE = 0.5
@@ -80,8 +80,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``: rows of the last one. Each stage is written whole before the next begins."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages over ``documents``: rows of the last one. Each stage is written whole before the next begins; its
+    own scratch tables go then, and what its predecessor wrote."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = scratch_table(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = scratch_path(spark, f"stage-{name}")
+        with scratch_scope(spark):
+            kept = stage(spark, docs, sf_dir)
+            kept.write.option("compression", "zstd").parquet(path)
+            docs = spark.read.schema(kept.schema).parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs
