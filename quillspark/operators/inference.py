@@ -127,10 +127,18 @@ def translate_misses(texts: DataFrame, model: str) -> DataFrame:
 
 def with_cache(rows: DataFrame, memory: DataFrame, model: str) -> DataFrame:
     """``text, translation, hit`` for each distinct text: from memory, or translated if it is not there."""
-    wanted = rows.select("text").distinct()
-    hits = wanted.join(memory.select("text", "translation"), "text").withColumn("hit", F.lit(True))
-    misses = translate_misses(wanted.join(memory, "text", "left_anti"), model).withColumn("hit", F.lit(False))
-    return hits.unionByName(misses)
+    factory = factory_of(model)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        translate = translate_texts(factory)
+        for frame in frames:
+            missed = ~frame["hit"]
+            frame.loc[missed, "translation"] = translate(frame.loc[missed, "text"].tolist())
+            yield frame
+
+    known = memory.select("text", "translation", F.lit(True).alias("hit"))
+    found = rows.select("text").distinct().join(known, "text", "left")  # hits and misses of one join: what they come from is read once
+    return found.select("text", "translation", F.coalesce("hit", F.lit(False)).alias("hit")).mapInPandas(run, "text string, translation string, hit boolean")
 
 
 def latest(rows: DataFrame, key: str, value: Column | str, order: Column | str) -> DataFrame:
