@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from quillspark.sources.scratch import written
+
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
     """Continued fraction of the incomplete beta function."""
@@ -57,11 +59,13 @@ def linear_trend(rows: DataFrame, x: Column, y: Column, *by: str) -> DataFrame:
 
 
 def quadratic_trend(rows: DataFrame, x: str, y: str, *by: str) -> DataFrame:
-    """``a x^2 + b x + c`` by least squares, from power sums of centred ``x`` (one aggregation after the mean)."""
-    centre = rows.groupBy(*by).agg(F.avg(x).alias("mid"))
+    """``a x^2 + b x + c`` by least squares, from power sums of centred ``x``. Rows are made once: their count and sum of
+    ``y`` for each ``x`` are written, and the mean and the power sums are taken from these."""
+    made = written(rows.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("_n"), F.sum(y).alias("_y")), "trend")
+    centre = made.groupBy(*by).agg((F.sum(F.col(x) * F.col("_n")) / F.sum("_n")).alias("mid"))
     u = F.col(x) - F.col("mid")
-    sums = {f"s{k}": F.sum(F.pow(u, F.lit(k))) for k in range(5)} | {f"t{k}": F.sum(F.col(y) * F.pow(u, F.lit(k))) for k in range(3)}
-    s = rows.join(centre, list(by)).groupBy(*by, "mid").agg(*(e.alias(n) for n, e in sums.items()))  # one row per group
+    sums = {f"s{k}": F.sum(F.col("_n") * F.pow(u, F.lit(k))) for k in range(5)} | {f"t{k}": F.sum(F.col("_y") * F.pow(u, F.lit(k))) for k in range(3)}
+    s = made.join(centre, list(by)).groupBy(*by, "mid").agg(*(e.alias(n) for n, e in sums.items()))  # one row per group
     det = "(s4*(s2*s0-s1*s1) - s3*(s3*s0-s1*s2) + s2*(s3*s1-s2*s2))"
     a = f"(t2*(s2*s0-s1*s1) - s3*(t1*s0-s1*t0) + s2*(t1*s1-s2*t0)) / nullif({det}, 0)"
     b = f"(s4*(t1*s0-s1*t0) - t2*(s3*s0-s1*s2) + s2*(s3*t0-t1*s2)) / nullif({det}, 0)"
@@ -72,12 +76,13 @@ def quadratic_trend(rows: DataFrame, x: str, y: str, *by: str) -> DataFrame:
 
 def histogram(rows: DataFrame, value: str, edges: int = 30) -> DataFrame:
     """Counts in equal bins between ``edges`` edges from the least value less 1 to the greatest plus 1."""
+    rows = written(rows.groupBy(value).agg(F.count("*").alias("_n")), "histogram")  # the rows are made once
     bounds = rows.agg((F.min(value) - 1).alias("lo"), (F.max(value) + 1).alias("hi"))  # one row
     bins = edges - 1
     at = F.least(F.lit(bins), F.width_bucket(F.col(value), F.col("lo"), F.col("hi"), F.lit(bins)))
     width = (F.col("hi") - F.col("lo")) / bins
     found = rows.crossJoin(F.broadcast(bounds)).groupBy(at.alias("bin"), (F.col("lo") + (at - 1) * width).alias("from"), (F.col("lo") + at * width).alias("to"))
-    return found.agg(F.count("*").alias("n"))
+    return found.agg(F.sum("_n").alias("n"))
 
 
 def best_and_worst(rows: DataFrame, value: str, key: str) -> DataFrame:
