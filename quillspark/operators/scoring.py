@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions import accuracy as acc
-from quillspark.functions.text import chars, words
 
 LONG = 80
 
@@ -44,8 +43,8 @@ def micro_positional(predictions: DataFrame) -> DataFrame:
     r, p = F.col("reference"), F.col("prediction")
     each = predictions.select(
         "model",
-        acc.place_errors(chars(r), chars(p)).alias("char_errors"), F.length(r).alias("chars"),
-        acc.place_errors(words(r), words(p)).alias("word_errors"), F.size(words(r)).alias("words"),
+        acc.char_errors(r, p).alias("char_errors"), F.length(r).alias("chars"),
+        acc.word_errors(r, p).alias("word_errors"), acc.n_words(r, p).alias("words"),
     )
     rate = lambda e, n: F.try_divide(100 * F.sum(e), F.sum(n))
     return each.groupBy("model").agg(rate("char_errors", "chars").alias("cer"), rate("word_errors", "words").alias("wer"))
@@ -61,9 +60,10 @@ def leaderboard(means: DataFrame, digits: int = 4, least: tuple[str, ...] = ("ce
 
 def displayed(rollup: DataFrame, sources: list[str], below: float = 0.5) -> DataFrame:
     """Rows of a rollup worth showing: of models with an overall ``cer`` below the limit and a row of each source."""
-    shown = rollup.groupBy("model").agg(F.max(F.when(F.col("source") == "all", F.col("cer"))).alias("_cer"), F.count_if(F.col("source").isin(sources) & (F.col("n") > 0)).alias("_n"))
-    shown = shown.where((F.col("_cer") < below) & (F.col("_n") == len(sources))).select("model")
-    return rollup.join(F.broadcast(shown), "model", "left_semi")  # a few rows per model
+    own = W.partitionBy("model")  # a few rows per model, made once
+    cer = F.max(F.when(F.col("source") == "all", F.col("cer"))).over(own)
+    n = F.count_if(F.col("source").isin(sources) & (F.col("n") > 0)).over(own)
+    return rollup.withColumns({"_cer": cer, "_n": n}).where((F.col("_cer") < below) & (F.col("_n") == len(sources))).drop("_cer", "_n")
 
 
 def domain_shift(scored: DataFrame) -> DataFrame:
