@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 import time
+from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -97,3 +99,31 @@ def test_hits_keep_their_translation_and_misses_get_one(spark):
     memory = spark.createDataFrame([("old", "kept"), ("none", None)], "text string, translation string")
     got = {tuple(r) for r in inference.with_cache(rows, memory, "reverse").collect()}
     assert got == {("abc", "cba", False), ("zed", "[Translation failed: no translation]", False), ("old", "kept", True), ("none", None, True)}
+
+
+def test_grams_taken_out_in_pairs_are_counted_once():
+    rng = random.Random(6)
+    for kinds in (2, 5, 60, 10**7):
+        rows = []
+        for _ in range(60):
+            h = [rng.randrange(kinds) for _ in range(rng.randrange(12))]
+            r = list(h)
+            for _ in range(rng.randrange(4)):
+                i = rng.randrange(len(r) + 1)
+                r[i : i + rng.randrange(2)] = [rng.randrange(kinds)] * rng.randrange(2)
+            rows.append((h, r))
+        sides = [(np.array([u for row in rows for u in row[k]], np.int64), np.array([len(row[k]) for row in rows])) for k in (0, 1)]
+        for (h, r), got in zip(rows, mt.clipped_counts(*sides, 6), strict=True):
+            for n in range(6):
+                a, b = (Counter(tuple(x[i : i + n + 1]) for i in range(len(x) - n)) for x in (h, r))
+                assert got[3 * n : 3 * n + 3].tolist() == [sum((a & b).values()), sum(a.values()), sum(b.values())]
+
+
+def test_grams_alike_place_by_place_are_not_sorted(monkeypatch):
+    sorted_ = []
+    unique = np.unique
+    monkeypatch.setattr(mt.np, "unique", lambda x, **k: sorted_.append(len(x)) or unique(x, **k))
+    h = np.arange(4000) % 50
+    r = np.delete(h, 2000)
+    mt.clipped_counts((h, np.array([4000])), (r, np.array([3999])), 6)
+    assert sum(sorted_) < 100
