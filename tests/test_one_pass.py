@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from quillspark.functions import accuracy as acc
+from quillspark.operators import characters as ch
 from quillspark.operators import inference, statistics
 from quillspark.operators import translation as mt
 from quillspark.plans import catalogue
@@ -127,3 +128,18 @@ def test_grams_alike_place_by_place_are_not_sorted(monkeypatch):
     r = np.delete(h, 2000)
     mt.clipped_counts((h, np.array([4000])), (r, np.array([3999])), 6)
     assert sum(sorted_) < 100
+
+
+def test_counted_pairs_are_not_put_in_order(spark, monkeypatch):
+    """Letters are numbered by a table, and pairs that are only counted are not sorted."""
+    rng = random.Random(8)
+    rows = [("".join(rng.choices("abcdé h", k=120)), "") for _ in range(60)]
+    sides = [ch._codes([a for a, _ in rows]), ch._codes([a.replace("h", "").replace("é", "e") for a, _ in rows])]
+    whole = ch.align_codes(*sides[0], *sides[1])
+    sorted_ = []
+    for name in ("unique", "argsort"):
+        own = getattr(np, name)
+        monkeypatch.setattr(ch.np, name, lambda x, *a, own=own, **k: sorted_.append(len(x)) or own(x, *a, **k))
+    counted = ch.align_codes(*sides[0], *sides[1], in_order=False)
+    assert Counter(zip(*(whole[i].tolist() for i in (0, 2, 3)), strict=True)) == Counter(zip(*(counted[i].tolist() for i in (0, 2, 3)), strict=True))
+    assert max(sorted_, default=0) <= len(rows)
