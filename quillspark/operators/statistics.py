@@ -87,6 +87,6 @@ def histogram(rows: DataFrame, value: str, edges: int = 30) -> DataFrame:
 
 def best_and_worst(rows: DataFrame, value: str, key: str) -> DataFrame:
     """Two rows: where ``value`` is greatest and least, the least key on ties."""
-    best = rows.agg(F.min_by(F.struct(key, value), F.struct((-F.col(value)).alias("v"), F.col(key).alias("k"))).alias("r")).select(F.lit("best").alias("which"), "r.*")
-    worst = rows.agg(F.min_by(F.struct(key, value), F.struct(F.col(value).alias("v"), F.col(key).alias("k"))).alias("r")).select(F.lit("worst").alias("which"), "r.*")
-    return best.unionByName(worst)
+    least = lambda v: F.min_by(F.struct(key, value), F.struct(v.alias("v"), F.col(key).alias("k")))
+    both = rows.agg(least(-F.col(value)).alias("best"), least(F.col(value)).alias("worst"))  # one row: the rows are made once
+    return both.select(F.inline(F.array(*(F.struct(F.lit(w).alias("which"), F.col(f"{w}.{key}").alias(key), F.col(f"{w}.{value}").alias(value)) for w in ("best", "worst")))))

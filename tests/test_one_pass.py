@@ -143,3 +143,10 @@ def test_counted_pairs_are_not_put_in_order(spark, monkeypatch):
     counted = ch.align_codes(*sides[0], *sides[1], in_order=False)
     assert Counter(zip(*(whole[i].tolist() for i in (0, 2, 3)), strict=True)) == Counter(zip(*(counted[i].tolist() for i in (0, 2, 3)), strict=True))
     assert max(sorted_, default=0) <= len(rows)
+
+
+def test_rows_of_modes_and_of_the_best_are_made_once(spark, sf_dir):
+    assert scans(catalogue.QUERIES["mode_rows"](spark, sf_dir)) == 1
+    assert scans(catalogue.QUERIES["best_worst"](spark, sf_dir)) == 1
+    rows = spark.createDataFrame([(1, 2.0), (2, 5.0), (3, 5.0), (5, 1.0), (4, 1.0)], "id long, v double")
+    assert [tuple(r) for r in statistics.best_and_worst(rows, "v", "id").collect()] == [("best", 2, 5.0), ("worst", 4, 1.0)]
