@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from quillspark.functions import accuracy as acc
+from quillspark.functions import text as tx
 from quillspark.operators import characters as ch
 from quillspark.operators import inference, statistics
 from quillspark.operators import translation as mt
@@ -150,3 +151,42 @@ def test_rows_of_modes_and_of_the_best_are_made_once(spark, sf_dir):
     assert scans(catalogue.QUERIES["best_worst"](spark, sf_dir)) == 1
     rows = spark.createDataFrame([(1, 2.0), (2, 5.0), (3, 5.0), (5, 1.0), (4, 1.0)], "id long, v double")
     assert [tuple(r) for r in statistics.best_and_worst(rows, "v", "id").collect()] == [("best", 2, 5.0), ("worst", 4, 1.0)]
+
+
+def _units(texts):
+    return np.array([ord(c) for t in texts for c in t], np.uint32), np.array([len(t) for t in texts], np.int64)
+
+
+def test_letters_left_out_or_replaced_need_no_table(monkeypatch):
+    rng = random.Random(9)
+    whole = ["".join(rng.choices("abcdéh ", k=rng.randrange(20, 90))) for _ in range(300)]
+    noisy = [t.replace("h", "").replace("é", "e") for t in whole]
+    pairs = [(a, b) for a, b in zip(whole, noisy, strict=True) if "h" in a]
+    monkeypatch.setattr(acc, "_block", None)
+    monkeypatch.setattr(acc, "distance", None)
+    for sides in (pairs, [(b, a) for a, b in pairs]):
+        found = acc.distances(*_units([a for a, _ in sides]), *_units([b for _, b in sides]))
+        assert found.tolist() == [max(a.count("h") + a.count("é"), b.count("h") + b.count("é")) for a, b in sides]
+
+
+def test_distances_of_letters_left_out_are_the_least(monkeypatch):
+    rng = random.Random(10)
+    pairs = []
+    for _ in range(1500):
+        a = "".join(rng.choices("abcdeh", k=rng.randrange(14)))
+        b = rng.choice([a.replace("h", ""), a.replace("h", "").replace("e", rng.choice("xabc")), a.replace("h", "").replace("c", ""), "".join(rng.choices("abch", k=5))])
+        pairs.append(rng.choice([(a, b), (b, a)]))
+    for entries in (1 << 21, 40):  # many rows at once, and few
+        monkeypatch.setattr(acc, "ENTRIES", entries)
+        found = acc.distances(*_units([a for a, _ in pairs]), *_units([b for _, b in pairs]))
+        assert found.tolist() == [levenshtein(a, b) for a, b in pairs]
+
+
+def test_equal_texts_do_not_go_to_python_nor_do_other_letters_get_cleaned(spark):
+    rows = [("a b", "a b"), ("", ""), (" ", " "), (None, None), ("A, b!", "a  b"), ("Km", "km"), ("km", "KM."), ("İ", "i̇"), ("abc", "abd"), ("ab", "ba"), ("a1", "a2"), ("é", "É"), ("é", "e"), ("a", None), (None, "a")]
+    df = spark.createDataFrame(rows, "r string, p string").coalesce(1)
+    r, p = F.col("r"), F.col("p")
+    assert [tuple(x) for x in df.select(*acc.unlike(r, p)).collect()[:4]] == [(None, None)] * 4
+    got = df.select(acc.normalized(r, p).alias("n"), F.when(r == p, 1).otherwise((tx.clean_text(r) == tx.clean_text(p)).cast("int")).alias("plain"), acc.same_letters(r, p).alias("same"), acc.wer(r, p).alias("w"), acc.token_accuracy(r, p).alias("a"), acc.edit_distance(r, p).alias("c")).collect()
+    assert [g.n for g in got] == [g.plain for g in got] and [g.same for g in got[4:13]] == [True, True, True, True, False, True, False, True, False]
+    assert [(g.w, g.a, g.c) for g in got[:4]] == [(0.0, 1.0, 0), (0.0, None, 0), (0.0, None, 0), (0.0, None, None)]
