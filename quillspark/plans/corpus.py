@@ -33,13 +33,11 @@ def file_lines(spark, sf):
 @query("""SELECT page_id::VARCHAR AS id, sha256(coalesce(html, '') || chr(10)) AS sha256, strlen(coalesce(html, '')) + 1 AS length FROM pages WHERE page_id IN (SELECT doc_id FROM documents)""")
 def page_files(spark, sf):
     """Pages as files of their own: those with an id of the corpus, found by their paths, and their hashes."""
-    path = scratch_path(spark, "pages")
     pages = d.table(spark, sf, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("html"))
-    pages.repartition("page_id").write.partitionBy("page_id").text(path)
-    found = readers.files(spark, path, "part-*")
+    folders = writers.write_files(pages.repartition("page_id"), scratch_path(spark, "pages"))
+    found = readers.files(spark, folders, "*.txt").select("path", "length", writers.content_hash())
     ids = d.table(spark, sf, "documents").select(F.col("doc_id").alias("id"))
-    kept = readers.file_assets(found, ids, r"/page_id=(\d+)/[^/]+$")
-    return writers.content_hashes(found).join(kept, "path").select("id", "sha256", "length")
+    return readers.file_assets(found, ids, r"/page_id=(\d+)(?:/[^/]+)?\.txt$").select("id", "sha256", "length")
 
 
 @query(r"SELECT p.page_id, regexp_extract(p.url, '/(\d+)(?:#\w+)?$', 1) AS id FROM pages p WHERE regexp_extract(p.url, '/(\d+)(?:#\w+)?$', 1) IN (SELECT doc_id::VARCHAR FROM documents)")

@@ -136,12 +136,13 @@ def run_outcomes(lines: DataFrame, idle_seconds: int = 3600, as_of: Column | Non
 FILE = "path string, modificationTime timestamp, length long, content binary"
 
 
-def files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+def files(spark: SparkSession, path: str | list[str], glob: str = "*") -> DataFrame:
     """``path, modificationTime, length, content`` of files under ``path``, at any depth, whose names fit ``glob``. What is
     not selected is not read: without ``content`` no file is opened. Empty files are no rows: the source leaves them out."""
     return spark.read.format("binaryFile").schema(FILE).option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
 
 
 def file_assets(found: DataFrame, corpus_ids: DataFrame, rule: str = r"entry_(\w+)\.png$") -> DataFrame:
-    """``id, path, length`` of files whose path holds an id of the corpus."""
-    return assets(found.select("path", "length"), corpus_ids, rule).select("id", "path", "length")
+    """``id, path, length`` (and ``sha256``, where it was made) of files whose path holds an id of the corpus."""
+    columns = [c for c in ("path", "length", "sha256") if c in found.columns]
+    return assets(found.select(*columns), corpus_ids, rule).select("id", *columns)

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+import zlib
+from collections.abc import Iterator
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Folders that files of their own are dealt into: more than Spark lists one after the other.
+FOLDERS = 256
+
 
 def csv_fields(df: DataFrame, names: list[str], numbers: list[str], digits: int = 6) -> DataFrame:
     """Numbers with ``digits`` places, -1 where missing."""
@@ -88,6 +96,41 @@ def write_split_experiment(rows: DataFrame, summary: DataFrame, path: str) -> No
     rows.unpersist()
 
 
+def content_hash() -> Column:
+    return F.sha2("content", 256).alias("sha256")
+
+
 def content_hashes(files: DataFrame) -> DataFrame:
     """``path, sha256`` of rows of the ``binaryFile`` source: what a run's metadata names its inputs by."""
-    return files.select("path", F.sha2("content", 256).alias("sha256"))
+    return files.select("path", content_hash())
+
+
+def write_files(rows: DataFrame, path: str) -> list[str]:
+    """Rows ``key, text`` as files of their own, each a text and a line end, named ``name=key.txt`` by the name of the first
+    column, whose values are unique; the folders they are in, which a reader lists in parallel.
+
+    Spark's writer makes a folder a key, moves each file twice and, on a local disk, starts a program for each; here a task
+    opens its files itself and gives a file its name once it is whole, so that a task that runs again replaces what it
+    wrote. Where Arrow does not know the file system, Spark's writer does it."""
+    key, text = rows.columns
+    try:
+        system, root = fs.FileSystem.from_uri(path)
+        for k in range(FOLDERS):
+            system.create_dir(f"{root}/{k:03x}")
+    except (pa.ArrowException, OSError, NotImplementedError):
+        rows.write.partitionBy(key).text(path)
+        return [path]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(path)
+        for batch in batches:
+            for k, content in zip(batch.column(0), batch.column(1), strict=True):
+                folder = f"{root}/{zlib.crc32(str(k).encode()) % FOLDERS:03x}"
+                made = f"{folder}/_{uuid.uuid4().hex}"  # hidden from readers
+                with system.open_output_stream(made) as out:
+                    out.write((content.as_py() or "").encode() + b"\n")
+                system.move(made, f"{folder}/{key}={k}.txt")
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)])], ["n"])
+
+    rows.mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
+    return [f"{path}/{k:03x}" for k in range(FOLDERS)]

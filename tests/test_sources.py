@@ -117,3 +117,28 @@ def test_stream_state_equals_batch(spark, sf_dir, tmp_path):
     for r in batch:
         g = got[r.model, r.source]
         assert g.n == r.n and abs(g.cer - r.cer) < 1e-9 and abs(g.exact - r.exact) < 1e-9
+
+
+def test_files_of_their_own_are_written_and_read_once(spark, sf_dir, tmp_path, monkeypatch):
+    from quillspark.plans import catalogue
+
+    plan = catalogue.QUERIES["page_files"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan binaryFile") == 1
+    texts = {k: "é\n" * (k % 5) for k in range(600)}
+    rows = spark.createDataFrame([*texts.items(), (600, None)], "k long, text string").repartition(3)
+    for path in (str(tmp_path / "bare"), f"file:{tmp_path}/uri"):
+        for _ in range(2):  # what runs again replaces what it wrote
+            folders = writers.write_files(rows, path)
+        found = {r.path.rsplit("/", 1)[1]: bytes(r.content).decode() for r in readers.files(spark, folders, "*.txt").collect()}
+        assert found == {f"k={k}.txt": t + "\n" for k, t in [*texts.items(), (600, "")]}
+    assert sum(p.is_file() for p in tmp_path.rglob("*")) == 2 * 601  # nothing half written is left
+    none = writers.write_files(rows.where("k < 0"), str(tmp_path / "none"))
+    assert readers.files(spark, none, "*.txt").count() == 0
+
+    def unknown(uri):
+        raise writers.pa.ArrowInvalid(uri)
+
+    monkeypatch.setattr(writers.fs, "FileSystem", type("Unknown", (), {"from_uri": staticmethod(unknown)}))
+    by_spark = readers.files(spark, writers.write_files(rows.where("k < 3"), str(tmp_path / "spark")), "*.txt")
+    kept = readers.file_assets(by_spark, spark.range(2), r"/k=(\d+)(?:/[^/]+)?\.txt$")
+    assert sorted((r.id, r.length) for r in kept.collect()) == [("0", 1), ("1", 4)]
