@@ -190,3 +190,18 @@ def test_equal_texts_do_not_go_to_python_nor_do_other_letters_get_cleaned(spark)
     got = df.select(acc.normalized(r, p).alias("n"), F.when(r == p, 1).otherwise((tx.clean_text(r) == tx.clean_text(p)).cast("int")).alias("plain"), acc.same_letters(r, p).alias("same"), acc.wer(r, p).alias("w"), acc.token_accuracy(r, p).alias("a"), acc.edit_distance(r, p).alias("c")).collect()
     assert [g.n for g in got] == [g.plain for g in got] and [g.same for g in got[4:13]] == [True, True, True, True, False, True, False, True, False]
     assert [(g.w, g.a, g.c) for g in got[:4]] == [(0.0, 1.0, 0), (0.0, None, 0), (0.0, None, 0), (0.0, None, None)]
+
+
+def test_what_arrives_in_a_stream_is_made_once(spark, monkeypatch):
+    made = spark.sparkContext.accumulator(0)
+
+    def run(frames):
+        for frame in frames:
+            made.add(len(frame))
+            yield frame
+
+    kinds = "model string, id long, source string, reference string, prediction string"
+    rows = spark.range(90, numPartitions=2).selectExpr("'m' AS model", "id", "'hf' AS source", "'a b' AS reference", "if(id < 45, 'a b', 'a c') AS prediction")
+    monkeypatch.setattr(d, "predictions", lambda *_: rows.mapInPandas(run, kinds))
+    got = {r.source: (r.n, r.cer, r.wer, r.exact) for r in catalogue.QUERIES["stream_scores"](spark, "").collect()}
+    assert got == dict.fromkeys(("hf", "all"), (90, 0.166667, 0.25, 0.5)) and made.value == 90
