@@ -5,13 +5,18 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import datetime
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Texts are packed: those of several models, and their repeats, are much alike. The quickest level is nearly as small.
+PACKED = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
+#: Files that a task keeps open when it writes a folder a value; for more values its rows are sorted first.
+OPEN_FILES = 32
 #: Folders that files of their own are dealt into: more than Spark lists one after the other.
 FOLDERS = 256
 
@@ -60,9 +65,27 @@ def write_results(per_sample: DataFrame, aggregate: DataFrame, metadata: DataFra
     head.write.mode("overwrite").json(f"{path}/summary")
 
 
+@contextmanager
+def open_folders(spark: SparkSession) -> Iterator[None]:
+    """Tasks that write a folder a value do not sort (and spill) their rows by it while this lasts."""
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    spark.conf.set(key, OPEN_FILES)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def write_json_folders(rows: DataFrame, path: str, by: str) -> None:
+    """Packed JSON lines, a folder a value."""
+    with open_folders(rows.sparkSession):
+        rows.write.mode("overwrite").partitionBy(by).options(**PACKED).json(path)
+
+
 def write_predictions(predictions: DataFrame, path: str) -> None:
     """Prediction cache, replaced as a whole, one folder per model so that readers prune."""
-    predictions.write.mode("overwrite").partitionBy("model").json(path)
+    write_json_folders(predictions, path, "model")
 
 
 def append_memory(rows: DataFrame, path: str) -> None:

@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import random
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from quillspark.operators import characters as ch
 from quillspark.plans.catalogue import ORACLE_SQL, QUERIES
+from quillspark.sources import readers, writers
+from quillspark.streaming import scores
 from tests import compare
 
 
@@ -12,3 +21,60 @@ def test_lines_that_begin_twice_by_themselves(spark, tmp_path, monkeypatch):
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     monkeypatch.setattr(compare, "TABLES", ["documents"])
     assert compare.difference(spark, str(tmp_path), QUERIES["first_sentences"], ORACLE_SQL["first_sentences"]) == ""
+
+
+def _alignments_with_and_without_tables(monkeypatch, rows):
+    """Pairs of the rows, how many rows ``_taken_out`` knew, and the pairs where it knows none."""
+    codes, known, found = [ch._codes(list(x)) for x in zip(*rows, strict=True)], [0], ch._taken_out
+
+    def counted(*a):
+        out = found(*a)
+        known[0] += int(out[0].sum())
+        return out
+
+    monkeypatch.setattr(ch, "_taken_out", counted)
+    got = ch.align_codes(*codes[0], *codes[1])
+    monkeypatch.setattr(ch, "_taken_out", lambda x, row, y, of, diff, many: (np.zeros(len(diff), bool), np.zeros(len(x), bool)))
+    return got, known[0], ch.align_codes(*codes[0], *codes[1])
+
+
+def test_rows_without_some_letters_are_aligned_like_a_table(monkeypatch):
+    rng = random.Random(5)
+    rows = []
+    for k in range(1500):
+        text = "".join(rng.choices(("abhé", "ahéö", "hé", "abcdehéü")[k % 4], k=rng.choice([1, 3, 8, 30])))
+        other = text.replace("h", "") if k % 7 else text
+        other = other.replace("é", rng.choice("ea")).replace("ö", "e") if k % 3 else other
+        rows.append((text, other) if k % 2 else (other, text))
+    got, known, plain = _alignments_with_and_without_tables(monkeypatch, rows)
+    assert all(np.array_equal(x, y) for x, y in zip(got, plain, strict=True)) and known > 500
+
+
+def test_texts_are_aligned_where_they_lie(spark):
+    rows = spark.createDataFrame([("m", 1, "thé aha", "te aa"), ("m", 2, None, "x"), ("n", 3, "", "")], "model string, id long, reference string, prediction string")
+    found = ch.certificate(rows, "model", "id")
+    assert [tuple(r) for r in found.orderBy("id").collect()] == [("m", 1, "thé aha", "te aa", 3), ("m", 2, "", "x", 1), ("n", 3, "", "", 0)]
+    ch.register_count_function(spark)
+    rows.createOrReplaceTempView("rows_to_count")
+    counts = spark.sql("SELECT * FROM count_aligned(TABLE(SELECT model, reference, prediction FROM rows_to_count))")
+    assert sorted(map(tuple, counts.groupBy("model", "ref_char", "pred_char").sum("n").collect())) == sorted(map(tuple, ch.count_confusions(rows, "model").collect()))
+    for df in (found, ch.alignments(rows, "model", "id"), counts):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_prediction_files_are_packed_and_not_sorted(spark, tmp_path):
+    rows = spark.createDataFrame([("m", "1", "p", "r"), ("n", "2", None, "é"), ("m", "3", "p", None)], "model string, id string, prediction string, reference string")
+    writers.write_predictions(rows, f"{tmp_path}/cache")
+    assert {x.parent.name for x in tmp_path.glob("cache/*/part-*.json.gz")} == {"model=m", "model=n"} and not [*tmp_path.glob("cache/*/*.json")]
+    got = [tuple(r) for m in "mn" for r in readers.predictions(spark, f"{tmp_path}/cache/model={m}").select(F.lit(m), "id", "prediction", "reference").collect()]
+    assert sorted(got, key=str) == sorted(map(tuple, rows.collect()), key=str)
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    with writers.open_folders(spark):
+        assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == str(writers.OPEN_FILES)
+
+
+def test_no_text_meets_its_repeats(spark, tmp_path):
+    row = {"model": "m", "id": "1", "source": "hf", "reference": "a b", "prediction": "a c", "at": "2024-01-01T00:00:00Z"}
+    (tmp_path / "a.json").write_text(json.dumps(row))
+    found = scores.scored_arrivals(spark.read.schema(scores.ARRIVAL).json(str(tmp_path)))
+    assert set(found.columns) == {"model", "id", "source", "at", "cer", "wer", "exact", "normalized"} and found.first().wer == 0.5
