@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from quillspark.functions import segmentation as seg
+from quillspark.functions import text as tx
 from quillspark.operators import characters as ch
+from quillspark.operators import translation as mt
 from quillspark.plans.catalogue import ORACLE_SQL, QUERIES
 from quillspark.sources import readers, writers
 from quillspark.streaming import scores
@@ -78,3 +83,43 @@ def test_no_text_meets_its_repeats(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps(row))
     found = scores.scored_arrivals(spark.read.schema(scores.ARRIVAL).json(str(tmp_path)))
     assert set(found.columns) == {"model", "id", "source", "at", "cer", "wer", "exact", "normalized"} and found.first().wer == 0.5
+
+
+def test_grams_of_rows_without_some_letters_are_not_sorted(monkeypatch):
+    rng, unique, longest = random.Random(7), np.unique, [0]
+    monkeypatch.setattr(mt.np, "unique", lambda x, **k: longest.append(len(x)) or unique(x, **k))
+    whole = ["".join(rng.choices("abcdefg h", k=200)) for _ in range(40)]
+    h, r = (ch._codes([t.replace("h", "") for t in whole]), ch._codes(whole))
+    got = mt.clipped_counts(h, r, 6)
+    assert max(longest) <= sum(t.count("h") for t in whole)
+    for t, found in zip(whole, got.tolist(), strict=True):
+        a, b = (Counter(x[i : i + 4] for i in range(len(x) - 3)) for x in (t.replace("h", ""), t))
+        assert found[9:12] == [sum((a & b).values()), a.total(), b.total()]
+
+
+def test_alike_sides_send_no_units(spark):
+    pairs = spark.createDataFrame([(1, "a b c d e", "a b c d e"), (2, "a b", "a c"), (3, None, "")], "id long, hypothesis string, reference string")
+    sent = mt._unlike_sides(pairs, "id", tokens=(tx.tokens, F.size)).orderBy("id").collect()
+    assert [tuple(r)[1:] for r in sent] == [(None, None, 5), (["a", "b"], ["a", "c"], None), (None, None, 0)]
+    got = [tuple(r) for r in mt.bleu_stats(pairs).orderBy("id").collect()]
+    assert got == [(1, *(x for n in (5, 4, 3, 2) for x in (n, n, n)), 5, 5), (2, 1, 2, 2, 0, 1, 1, *[0] * 6, 2, 2), (3, *[0] * 14)]
+
+
+def test_weights_are_made_once_a_key_and_intervals_once(spark, sf_dir, monkeypatch):
+    made, weights = [], mt._weights
+    monkeypatch.setattr(mt, "_weights", lambda seeds, jumps: made.append(len(seeds)) or weights(seeds, jumps))
+    stats = spark.createDataFrame([(i, m, 1) for i in range(20) for m in "abc"], "id long, mode string, x long").coalesce(1)
+    monkeypatch.setattr(type(stats), "mapInArrow", lambda df, run, kinds: [*run(iter(df.toArrow().to_batches()))])
+    with contextlib.suppress(AttributeError):  # a list has no groups
+        mt.resamples(stats, "id", 30, "mode")
+    assert sum(made) == 20
+    monkeypatch.undo()
+    plan = QUERIES["mode_significance"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+
+
+def test_lines_without_a_conjunction_are_one_segment(spark):
+    df = spark.createDataFrame([("a and b or c",), ("and",), ("plain",), (" ",), ("x and ",), (None,)], "text string")
+    cuts = seg.all_cuts(seg.spans(F.col("text"), ["and", "or"]))
+    got = df.select(seg.n_segments(F.col("text"), cuts).alias("n"), F.size(seg.segments(F.col("text"), cuts)).alias("all")).collect()
+    assert [r.n for r in got] == [3, 1, 1, 1, 2, None] == [r.all if r.all != -1 else None for r in got]
